@@ -1,4 +1,6 @@
 """All queries of the library by name, with their SQL where SQL can express them."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from epochflow.plans import relational, streams  # noqa: F401
+from epochflow.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
