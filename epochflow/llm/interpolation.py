@@ -68,45 +68,36 @@ def _bigrams(hashes: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> tup
     return words, _pairs(before, words)
 
 
-def _requests(name: str, fold: int, keys: np.ndarray, counts: np.ndarray, order: int, buckets: int) -> Iterator[tuple]:
-    """Rows that ask for keys (sorted, so that bucket by bucket they come in order) and tell their counts in the block.
+def _packed(numbers: np.ndarray, width: int) -> bytes:
+    """The lower `width` bytes of each number, one plane a byte: of sorted or small numbers the upper planes vanish."""
+    planes = numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return zlib.compress(np.ascontiguousarray(planes.T[::-1]).tobytes(), 1)
 
-    The bucket is given by the key's upper 32 bits; of bigrams 6 more bytes are sent, which tell keys of a bucket apart.
-    """
-    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-    for b in range(buckets):
-        part, n = keys[cuts[b] : cuts[b + 1]], counts[cuts[b] : cuts[b + 1]]
-        if len(part):
-            raw = part.astype("<u8").view(np.uint8).reshape(-1, 8)
-            body = raw[:, : 8 if order == 1 else 6]
-            told = b"" if fold == _APART else zlib.compress(n.astype("<u4").tobytes(), 1)
-            yield (name, fold, order, b, len(part), body.tobytes(), told)
+
+def _unpacked(body: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(body), dtype=np.uint8).reshape(width, -1)[::-1].T
+    full = np.zeros((len(planes), 8), dtype=np.uint8)
+    full[:, :width] = planes
+    return full.view("<u8").ravel()
 
 
-_ROWS = "block string, fold int, sort int, bucket int, n int, body binary, told binary"
+#: Bytes of an n-gram's key that are sent, by order; the bucket, taken from the upper bytes, tells further.
+_WIDTH = {1: 8, 2: 5}
+_BLOCKS = "block string, fold int, ids binary, lengths binary, vocabulary binary, tokens binary"
 
 
-def _build(df: DataFrame, buckets: int, block_tokens: int) -> DataFrame:
-    """Rows of blocks (sort 0) and of their requests (sort = order of the n-gram)."""
+def _build(df: DataFrame, block_tokens: int) -> DataFrame:
+    """Blocks of documents (id, text, fold), each of one fold."""
 
     def built(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_: dict[int, Block] = {}
 
         def done(fold: int) -> pd.DataFrame:
-            block = open_.pop(fold)
-            name = uuid.uuid4().hex
-            hashes = np.array([xxhash.xxh64_intdigest(w) for w in block.number], dtype=np.uint64)
-            tokens, lengths = np.concatenate(block.tokens), np.array(block.lengths, dtype=np.uint32)
-            words, pairs = _bigrams(hashes, tokens, lengths)
-            rows = []
-            for order, stream in ((1, words), (2, pairs)):
-                keys, counts = np.unique(stream, return_counts=True)
-                rows += _requests(name, fold, keys, counts, order, buckets)
-            ids = np.array([(i is None or i != i, 0 if i is None or i != i else int(i)) for i in block.ids], dtype=[("null", "?"), ("id", "<i8")])
-            body = b"".join(len(b).to_bytes(8, "little") + b for b in (ids.tobytes(), lengths.tobytes(), hashes.tobytes(), tokens.tobytes()))
-            rows.append((name, fold, 0, -1, len(lengths), zlib.compress(body, 1), b""))
-            return pd.DataFrame(rows, columns=[c.split()[0] for c in _ROWS.split(", ")])
+            b = open_.pop(fold)
+            ids = np.array([(i is None or i != i, 0 if i is None or i != i else int(i)) for i in b.ids], dtype=[("null", "?"), ("id", "<i8")])
+            hashes = np.array([xxhash.xxh64_intdigest(w) for w in b.number], dtype=np.uint64)
+            row = (uuid.uuid4().hex, fold, zlib.compress(ids.tobytes(), 1), _packed(np.array(b.lengths), 4), hashes.tobytes(), _packed(np.concatenate(b.tokens), 4))
+            return pd.DataFrame([row], columns=[c.split()[0] for c in _BLOCKS.split(", ")])
 
         for part in batches:
             for doc_id, text, fold in zip(part["id"].astype(object), part["text"], part["fold"]):
@@ -117,58 +108,83 @@ def _build(df: DataFrame, buckets: int, block_tokens: int) -> DataFrame:
         for fold in list(open_):
             yield done(fold)
 
-    return df.mapInPandas(built, _ROWS)
+    return df.mapInPandas(built, _BLOCKS)
+
+
+class Streams:
+    """A block's document lengths, and the hashes of its words and bigrams in order."""
+
+    def __init__(self, block: pd.Series):
+        self.lengths, tokens = _unpacked(block["lengths"], 4).astype(np.int64), _unpacked(block["tokens"], 4)
+        words, pairs = _bigrams(np.frombuffer(block["vocabulary"], np.uint64), tokens, self.lengths)
+        self.of = {1: words, 2: pairs}
+
+
+_REQUESTS = "block string, fold int, sort int, bucket int, n int, body binary, told binary"
+
+
+def _ask(blocks: DataFrame, buckets: int) -> DataFrame:
+    """A row for each block, order and bucket: the distinct keys (sorted, so buckets follow each other) and their counts.
+
+    Blocks of documents not to be learned from tell no counts.
+    """
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for _, block in part.iterrows():
+                rows, streams = [], Streams(block)
+                for order, stream in streams.of.items():
+                    keys, counts = np.unique(stream, return_counts=True)
+                    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+                    cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+                    for b in np.flatnonzero(np.diff(cuts)):
+                        at = slice(cuts[b], cuts[b + 1])
+                        told = b"" if block["fold"] == _APART else _packed(counts[at], 4)
+                        rows.append((block["block"], int(block["fold"]), order, int(b), int(cuts[b + 1] - cuts[b]), _packed(keys[at], _WIDTH[order]), told))
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in _REQUESTS.split(", ")])
+
+    return blocks.mapInPandas(asked, _REQUESTS)
 
 
 def _summed(group: pd.DataFrame) -> pd.DataFrame:
-    """Answers of one bucket and order: counts of each key in all learned blocks and in the kept ones alone.
+    """Answers of one bucket and order: counts of each key in all learned blocks, for deleted ones in the kept, too.
 
-    One more row (block null) has the bucket's part of the totals: distinct keys and tokens learned.
+    One more row (block null) has the bucket's part of the totals: distinct keys and tokens, learned and kept.
     """
-    order = int(group["sort"].iloc[0])
-    width = 8 if order == 1 else 6
-    keys = []
-    for body in group["body"]:
-        raw = np.frombuffer(body, dtype=np.uint8).reshape(-1, width)
-        full = np.zeros((len(raw), 8), dtype=np.uint8)
-        full[:, :width] = raw
-        keys.append(full.view("<u8").ravel())
-    sizes = [len(k) for k in keys]
-    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    told = [np.zeros(n, "<u4") if not t else np.frombuffer(zlib.decompress(t), "<u4") for n, t in zip(sizes, group["told"])]
-    learned = np.bincount(inverse, np.concatenate(told), len(distinct)).astype(np.int64)
-    kept = np.bincount(inverse, np.concatenate([t if f == _KEPT else np.zeros_like(t) for t, f in zip(told, group["fold"])]), len(distinct)).astype(np.int64)
-    rows, at = [(None, -1, order, int(group["bucket"].iloc[0]), int((learned > 0).sum()), int(learned.sum()), int((kept > 0).sum()), int(kept.sum()), b"")], 0
-    for name, fold, n in zip(group["block"], group["fold"], sizes):
-        mine = inverse[at : at + n]
-        body = learned[mine].astype("<u4").tobytes() + (kept[mine].astype("<u4").tobytes() if fold == _DELETED else b"")
-        rows.append((name, int(fold), order, int(group["bucket"].iloc[0]), n, 0, 0, 0, zlib.compress(body, 1)))
-        at += n
+    order, bucket = int(group["sort"].iloc[0]), int(group["bucket"].iloc[0])
+    keys = np.concatenate([_unpacked(b, _WIDTH[order]) for b in group["body"]])
+    ends = np.cumsum(group["n"].to_numpy(np.int64))
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    del keys
+    learned, kept = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+    for fold, n, end, told in zip(group["fold"], group["n"], ends, group["told"]):
+        if fold != _APART:
+            counts, at = _unpacked(told, 4).astype(np.int64), inverse[end - n : end]
+            learned[at] += counts  # a block's keys are distinct
+            if fold == _KEPT:
+                kept[at] += counts
+    rows = [(None, -1, order, bucket, int((learned > 0).sum()), int(learned.sum()), int((kept > 0).sum()), int(kept.sum()), b"", b"")]
+    for name, fold, n, end in zip(group["block"], group["fold"], group["n"], ends):
+        at = inverse[end - n : end]
+        rows.append((name, int(fold), order, bucket, int(n), 0, 0, 0, _packed(learned[at], 5), _packed(kept[at], 5) if fold == _DELETED else b""))
     return pd.DataFrame(rows, columns=[c.split()[0] for c in _ANSWERS.split(", ")])
 
 
-_ANSWERS = "block string, fold int, sort int, bucket int, n bigint, total bigint, kept bigint, kept_total bigint, body binary"
+_ANSWERS = "block string, fold int, sort int, bucket int, n bigint, total bigint, kept bigint, kept_total bigint, learned binary, apart binary"
 
 
 class Answered:
     """A block with the corpus counts of its n-grams: of each token, its context, and both together."""
 
-    def __init__(self, block: pd.Series, answers: pd.DataFrame, kept: bool = False):
-        raw, parts, at = zlib.decompress(block["body"]), [], 0
-        while at < len(raw):
-            n = int.from_bytes(raw[at : at + 8], "little")
-            parts.append(raw[at + 8 : at + 8 + n])
-            at += 8 + n
-        self.ids = np.frombuffer(parts[0], dtype=[("null", "?"), ("id", "<i8")])
-        self.lengths, hashes, tokens = np.frombuffer(parts[1], np.uint32), np.frombuffer(parts[2], np.uint64), np.frombuffer(parts[3], np.uint32)
-        self.first = _starts(self.lengths)
-        words, pairs = _bigrams(hashes, tokens, self.lengths)
+    def __init__(self, block: pd.Series, answers: pd.DataFrame, column: str):
+        streams = Streams(block)
+        self.ids = np.frombuffer(zlib.decompress(block["ids"]), dtype=[("null", "?"), ("id", "<i8")])
+        self.lengths, self.first = streams.lengths, _starts(streams.lengths)
         counts = {}
-        for order, stream in ((1, words), (2, pairs)):
+        for order, stream in streams.of.items():
             inverse = np.unique(stream, return_inverse=True)[1]
             got = answers[answers["sort"] == order].sort_values("bucket")
-            found = [np.frombuffer(zlib.decompress(b), "<u4").reshape(2 if f == _DELETED else 1, -1)[1 if kept else 0] for b, f in zip(got["body"], got["fold"])]
-            counts[order] = np.concatenate(found).astype(np.int64)[inverse]
+            counts[order] = np.concatenate([_unpacked(b, 5) for b in got[column]]).astype(np.int64)[inverse]
         self.word, self.pair = counts[1], counts[2]
         self.context = np.empty_like(self.word)
         self.context[1:] = self.word[:-1]
@@ -225,34 +241,33 @@ def scores(df: DataFrame, id_col: str = "doc_id", text: str = "text", modulus: i
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"), fold.alias("fold"))
     sums = docs.agg(F.sum(F.length("text")), F.count_if(F.col("fold") != _APART), F.count_if(F.col("fold") == _KEPT)).first()
     buckets = max(8, (sums[0] or 0) // bucket_chars)
-    rows = written(_build(docs, buckets, block_tokens), "blocks")
-    asked = rows.where("sort > 0").groupBy("sort", "bucket")
-    answers = written(asked.applyInPandas(_summed, _ANSWERS), "answers")
+    blocks = written(_build(docs, block_tokens), "blocks")
+    answers = written(_ask(blocks, buckets).groupBy("sort", "bucket").applyInPandas(_summed, _ANSWERS), "answers")
     totals = answers.where("block is null and sort = 1").agg(*[F.sum(c) for c in ("n", "total", "kept", "kept_total")]).first()
     vocabulary, total, kept_vocabulary, kept_total = (int(x or 0) for x in totals)
 
     def held(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         parts = []
         for _, b in left.iterrows():
-            got = Answered(b, right, kept=True)
+            got = Answered(b, right, "apart")
             context, p2, p1 = got.estimates(kept_total, sums[2])
             parts.append(np.stack([context_bucket(context), _binned(p2), _binned(p1)]))
         cells, n = np.unique(np.concatenate(parts, axis=1), axis=1, return_counts=True)
         return pd.DataFrame({"b": cells[0], "p2": cells[1], "p1": cells[2], "n": n})
 
     pick = lambda d, c: d.where(c).groupBy("block")
-    table = pick(rows, f"sort = 0 and fold = {_DELETED}").cogroup(pick(answers, f"fold = {_DELETED}")).applyInPandas(held, "b bigint, p2 bigint, p1 bigint, n bigint")
+    table = pick(blocks, f"fold = {_DELETED}").cogroup(pick(answers, f"fold = {_DELETED}")).applyInPandas(held, "b bigint, p2 bigint, p1 bigint, n bigint")
     # A few hundred values each: buckets are powers of two, estimates are binned.
     cells = [tuple(r) for r in table.groupBy("b", "p2", "p1").agg(F.sum("n")).collect()]
     weights = fit_weights(cells, 1 / (kept_vocabulary + 1))
-    everywhere = np.mean(list(weights.values()), axis=0) if weights else np.full(3, 1 / 3)
+    everywhere = np.mean(list(weights.values()), axis=0) if weights else np.array([0.0, 0.0, 1.0]) if not total else np.full(3, 1 / 3)
     top = max(weights, default=0)
     mix = np.array([weights.get(b, weights[top] if weights and b > top else everywhere) for b in range(64)])
 
     def scored(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         parts = []
         for _, b in left.iterrows():
-            got = Answered(b, right)
+            got = Answered(b, right, "learned")
             context, p2, p1 = got.estimates(total, sums[1])
             w = mix[context_bucket(context)]
             model = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (vocabulary + 1))
@@ -262,6 +277,6 @@ def scores(df: DataFrame, id_col: str = "doc_id", text: str = "text", modulus: i
             parts.append(pd.DataFrame({"id": ids, "held_out": int(b["fold"]) == _APART, "n_tokens": got.lengths.astype(np.int64), "n_known": add((got.word > 0).astype(np.int64)), "base_score": add(base), "score": add(model)}))
         return pd.concat(parts)
 
-    out = rows.where("sort = 0").groupBy("block").cogroup(answers.where("block is not null").groupBy("block"))
+    out = blocks.groupBy("block").cogroup(answers.where("block is not null").groupBy("block"))
     out = out.applyInPandas(scored, "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
