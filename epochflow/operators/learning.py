@@ -117,14 +117,14 @@ def cross_validate(epochs: DataFrame, user: str, fold: str, label: str, pipeline
     rows = epochs.select(user, F.col(fold).alias("_f"), F.col(label).cast("bigint").alias("_y"), F.col(signal).alias("_x")).join(jobs, user)
 
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.dropna(subset=["_y"])
-        apart = (part["_f"] == part["held"]).to_numpy()
-        y = part["_y"].to_numpy(np.int64)
-        out = pd.DataFrame({user: [], "pipeline": [], "fold": [], "n": [], "correct": [], "accuracy": []})
-        if apart.sum() and (~apart).sum() >= least and len(np.unique(y[~apart])) >= 2:
+        part = part[part["_y"].notna()]
+        apart = (part["_f"] == part["held"]).to_numpy(dtype=bool)
+        y = part["_y"].to_numpy(dtype=np.int64)
+        rows = []
+        if apart.any() and (~apart).sum() >= least and len(np.unique(y[~apart])) >= 2:
             x = stack(part["_x"])
             hits = int((PIPELINES[key[1]](x[~apart], y[~apart])(x[apart]) == y[apart]).sum())
-            out = pd.DataFrame({user: [key[0]], "pipeline": [key[1]], "fold": [key[2]], "n": [int(apart.sum())], "correct": [hits], "accuracy": [hits / apart.sum()]})
-        return out
+            rows = [(int(key[0]), str(key[1]), int(key[2]), int(apart.sum()), hits, hits / int(apart.sum()))]
+        return pd.DataFrame(rows, columns=[user, "pipeline", "fold", "n", "correct", "accuracy"])
 
     return rows.groupBy(user, "pipeline", "held").applyInPandas(fit, f"{user} bigint, pipeline string, fold int, n bigint, correct bigint, accuracy double")
