@@ -31,7 +31,10 @@ def batched(kernel: Callable[[np.ndarray], object], returns: str):
             for at in shapes.values():
                 for i, value in zip(at, kernel(stack(rows.iloc[at]))):
                     out[i] = value
-            yield pd.Series(out, dtype=object if "array" in returns or returns == "string" else None)
+            if returns.startswith("struct"):
+                yield pd.DataFrame([v or {} for v in out], columns=[f.split(":")[0] for f in returns[7:-1].split(",")])
+            else:
+                yield pd.Series(out, dtype=object if "array" in returns or returns == "string" else None)
 
     return udf
 

@@ -29,10 +29,10 @@ def d10_separation(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("subject", "mean_on", "mean_off", "sd_on", "sd_off", "p05_on", "p95_off", "d"), "mean_on", "mean_off", "sd_on", "sd_off", "p05_on", "p95_off", "d")
 
 
-_SWEEP = f"WITH {DECISIONS}, t AS (SELECT p, (SELECT quantile_cont(score, [0.8, 0.9, 0.95, 0.975, 0.99]) FROM decisions WHERE predicted NOT IN ('signup', 'purchase') AND NOT is_artifact)[k] AS threshold FROM (VALUES (80.0, 1), (90.0, 2), (95.0, 3), (97.5, 4), (99.0, 5)) v(p, k)), r AS (SELECT t.p AS percentile, threshold, d.*, CASE WHEN NOT is_artifact AND score >= threshold THEN predicted END AS held, CASE WHEN predicted IN ('signup', 'purchase') THEN 'signup' END AS truth FROM decisions d, t), i AS (SELECT *, n - row_number() OVER (PARTITION BY percentile, session, held ORDER BY n) AS g FROM r), f AS (SELECT *, held IS NOT NULL AND row_number() OVER (PARTITION BY percentile, session, held, g ORDER BY n) % 2 = 0 AS fired FROM i), a AS (SELECT percentile, threshold, count_if(fired) AS fired, count_if(fired AND truth IS NOT NULL AND predicted = truth) AS tp, count_if(fired AND truth IS NOT NULL AND predicted <> truth) AS wrong, count_if(fired AND truth IS NULL) AS fp_idle, count_if(truth IS NOT NULL) AS targets FROM f GROUP BY 1, 2), b AS (SELECT *, tp / greatest(1, tp + wrong) AS acc, (tp + wrong) / greatest(1e-9, targets / 60.0) AS spm FROM a), c AS (SELECT *, least(1 - 1e-6, greatest(1e-6, acc)) AS p FROM b)"
+_SWEEP = f"WITH {DECISIONS}, t AS (SELECT p, (SELECT quantile_cont(score, [0.8, 0.9, 0.95, 0.975, 0.99]) FROM decisions WHERE predicted NOT IN ('signup', 'purchase') AND NOT is_artifact)[k] AS threshold FROM (VALUES (CAST(80 AS DOUBLE), 1), (90, 2), (95, 3), (97.5, 4), (99, 5)) v(p, k)), r AS (SELECT t.p AS percentile, threshold, d.*, CASE WHEN NOT is_artifact AND score >= threshold THEN predicted END AS held, CASE WHEN predicted IN ('signup', 'purchase') THEN 'signup' END AS truth FROM decisions d, t), i AS (SELECT *, n - row_number() OVER (PARTITION BY percentile, session, held ORDER BY n) AS g FROM r), f AS (SELECT *, held IS NOT NULL AND row_number() OVER (PARTITION BY percentile, session, held, g ORDER BY n) % 2 = 0 AS fired FROM i), a AS (SELECT percentile, threshold, count_if(fired) AS fired, count_if(fired AND truth IS NOT NULL AND predicted = truth) AS tp, count_if(fired AND truth IS NOT NULL AND predicted <> truth) AS wrong, count_if(fired AND truth IS NULL) AS fp_idle, count_if(truth IS NOT NULL) AS targets FROM f GROUP BY 1, 2), b AS (SELECT *, tp / greatest(1, tp + wrong) AS acc, (tp + wrong) / greatest(1e-9, targets / 60.0) AS spm FROM a), c AS (SELECT *, least(1 - 1e-6, greatest(1e-6, acc)) AS p FROM b)"
 
 
-@query(f"{_SWEEP} SELECT percentile, round(threshold, 6) AS threshold, fired, tp, wrong, fp_idle, round(CASE WHEN tp + wrong + fp_idle > 0 THEN tp / (tp + wrong + fp_idle) ELSE 0 END, 6) AS precision, round(tp / greatest(1, targets), 6) AS recall, round(greatest(0, (1 + p * log2(p) + (1 - p) * log2(1 - p)) * spm), 5) AS itr FROM c")
+@query(f"{_SWEEP} SELECT percentile, round(threshold, 6) AS threshold, fired, tp, wrong, fp_idle, round(CASE WHEN tp + wrong + fp_idle > 0 THEN tp / (tp + wrong + fp_idle) ELSE 0 END, 6) AS precision, round(tp / greatest(1, targets), 6) AS recall, round(greatest(0, (1 + p * log2(p) + (1 - p) * log2(1 - p)) * spm), 5) AS itr FROM c", longs="fired tp wrong fp_idle")
 def d11_d12_threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
     d = decisions(spark, sf)
     target = F.col("predicted").isin("signup", "purchase")
@@ -75,7 +75,7 @@ def d17_hardware_tiers(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("channel", F.round("rms", 6).alias("rms"), "distinct_values", quality.hardware_tier(F.col("rms"), F.col("distinct_values")).alias("tier"))
 
 
-@query("WITH c AS (SELECT user_id, event_type, stddev_pop(value) AS sd, count(DISTINCT round(value, 3)) AS dv, count(*) AS n FROM events GROUP BY 1, 2), t AS (SELECT *, CASE WHEN sd < 1 THEN 'dead' WHEN dv < 10 THEN 'stuck' WHEN sd > 200 THEN 'saturated' WHEN sd > 100 THEN 'noisy' ELSE 'ok' END AS tier FROM c) SELECT user_id, count(*) AS channels, count_if(tier IN ('dead', 'stuck', 'saturated')) AS bad, round(max(abs(n / 13.0 - 1)), 6) AS rate_error, CASE WHEN count_if(tier IN ('dead', 'stuck', 'saturated')) = 0 AND max(abs(n / 13.0 - 1)) <= 0.15 THEN 'READY' ELSE 'BLOCKED' END AS verdict FROM t GROUP BY 1")
+@query("WITH c AS (SELECT user_id, event_type, stddev_pop(value) AS sd, count(DISTINCT round(value, 3)) AS dv, count(*) AS n FROM events GROUP BY 1, 2), t AS (SELECT *, CASE WHEN sd < 1 THEN 'dead' WHEN dv < 10 THEN 'stuck' WHEN sd > 200 THEN 'saturated' WHEN sd > 100 THEN 'noisy' ELSE 'ok' END AS tier FROM c) SELECT user_id, count(*) AS channels, count_if(tier IN ('dead', 'stuck', 'saturated')) AS bad, round(max(abs(n / 13.0 - 1)), 6) AS rate_error, CASE WHEN count_if(tier IN ('dead', 'stuck', 'saturated')) = 0 AND max(abs(n / 13.0 - 1)) <= 0.15 THEN 'READY' ELSE 'BLOCKED' END AS verdict FROM t GROUP BY 1", longs="bad")
 def d18_k18_preflight(spark: SparkSession, sf: str) -> DataFrame:
     st = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.stddev_pop("value").alias("std"), F.count_distinct(F.round("value", 3)).alias("distinct_values"), F.count(F.lit(1)).alias("n"))
     return rounded(quality.preflight(st, ["user_id"], F.col("n"), 13.0), "rate_error")
@@ -116,7 +116,7 @@ def _confusion(spark: SparkSession, sf: str) -> DataFrame:
     return stats.confusion(rows, "truth", "predicted")
 
 
-@query(f"WITH {_CONF}, r AS (SELECT truth AS class, sum(n) AS support, sum(CASE WHEN truth = predicted THEN n ELSE 0 END) AS hits FROM cf GROUP BY 1), p AS (SELECT predicted AS class, sum(n) AS predicted FROM cf GROUP BY 1) SELECT class, support, round(hits / support, 6) AS recall, round(hits / predicted, 6) AS precision, round(2 * hits / (support + predicted), 6) AS f1 FROM r JOIN p USING (class)")
+@query(f"WITH {_CONF}, r AS (SELECT truth AS class, sum(n) AS support, sum(CASE WHEN truth = predicted THEN n ELSE 0 END) AS hits FROM cf GROUP BY 1), p AS (SELECT predicted AS class, sum(n) AS predicted FROM cf GROUP BY 1) SELECT class, support, round(hits / support, 6) AS recall, round(hits / predicted, 6) AS precision, round(2 * hits / (support + predicted), 6) AS f1 FROM r JOIN p USING (class)", longs="support")
 def d33_class_report(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.class_report(_confusion(spark, sf), "truth", "predicted").select("class", "support", "recall", "precision", "f1"), "recall", "precision", "f1")
 
@@ -147,7 +147,7 @@ def d41_layered_gate(spark: SparkSession, sf: str) -> DataFrame:
     return quality.gates(s, ["session"], "n", "status").select("session", "n", "gated", "first_fail")
 
 
-@query(f"WITH {DECISIONS}, g AS (SELECT session, t_ms - lag(t_ms) OVER (PARTITION BY session ORDER BY n) AS gap FROM decisions) SELECT session, round(avg(gap), 3) AS mean, round(stddev_pop(gap), 3) AS sd, max(gap) AS longest, round(quantile_cont(gap, 0.99), 3) AS p99, count_if(gap > 1.5 * 40000000) AS dropped FROM g WHERE gap IS NOT NULL GROUP BY 1")
+@query(f"WITH {DECISIONS}, g AS (SELECT session, t_ms - lag(t_ms) OVER (PARTITION BY session ORDER BY n) AS gap FROM decisions) SELECT session, round(avg(gap), 3) AS mean, round(stddev_pop(gap), 3) AS sd, max(gap) AS longest, round(quantile_cont(gap, 0.99), 3) AS p99, count_if(gap > 1.5 * 40000000) AS dropped FROM g WHERE gap IS NOT NULL GROUP BY 1", longs="dropped")
 def d44_timing(spark: SparkSession, sf: str) -> DataFrame:
     gap = F.col("t_ms") - F.lag("t_ms").over(Window.partitionBy("session").orderBy("n"))
     g = decisions(spark, sf).select("session", gap.alias("gap")).where("gap is not null")
@@ -206,7 +206,7 @@ def i5_decision_machine(spark: SparkSession, sf: str) -> DataFrame:
     return _decided(spark, sf).select("session", "n", "state")
 
 
-@query(f"{_MACHINE} SELECT session, count(*) AS windows, count_if(state = 'DISPATCHED') AS dispatched, count_if(state = 'REJECTED') AS rejected, count_if(state IN ('BLINK', 'LOCKOUT')) AS locked FROM m WHERE n > 0 GROUP BY 1")
+@query(f"{_MACHINE} SELECT session, count(*) AS windows, count_if(state = 'DISPATCHED') AS dispatched, count_if(state = 'REJECTED') AS rejected, count_if(state IN ('BLINK', 'LOCKOUT')) AS locked FROM m WHERE n > 0 GROUP BY 1", longs="dispatched rejected locked")
 def d22_decision_report(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("state")
     return _decided(spark, sf).groupBy("session").agg(F.count(F.lit(1)).alias("windows"), F.count_if(s == decide.DISPATCHED).alias("dispatched"), F.count_if(s == decide.REJECTED).alias("rejected"), F.count_if(s.isin(decide.BLINK, decide.LOCKOUT)).alias("locked"))
@@ -229,7 +229,7 @@ def i6_tree_selection(spark: SparkSession, sf: str) -> DataFrame:
     return decide.select(_left(spark, sf), decide.Tree, 5)
 
 
-@query(f"WITH {_LEFT} SELECT session, n, CASE WHEN NOT is_left THEN count_if(is_left) OVER (PARTITION BY session ORDER BY n) % 5 END AS chosen FROM l")
+@query(f"WITH {_LEFT} SELECT session, n, CASE WHEN NOT is_left THEN count_if(is_left) OVER (PARTITION BY session ORDER BY n) % 5 END AS chosen FROM l", longs="chosen")
 def i7_scan_selection(spark: SparkSession, sf: str) -> DataFrame:
     return decide.select(_left(spark, sf), decide.Scan, 5)
 
@@ -296,8 +296,8 @@ def d28_h21_trca(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _folds(spark: SparkSession, sf: str) -> DataFrame:
-    """Ten people; the folds are sessions, so no session is on both sides."""
-    return epochs(spark, sf).select("subject", F.col("session").cast("int").alias("fold"), (F.col("label") % 2).alias("y"), "signal")
+    """Ten people with five runs each; the folds are runs, so no run is on both sides."""
+    return epochs(spark, sf).select("subject", (F.floor(F.col("epoch_id") / 10) % 5).cast("int").alias("fold"), (F.col("label") % 2).alias("y"), "signal")
 
 
 @query()

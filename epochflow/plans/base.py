@@ -11,13 +11,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Registers a function (spark, sf_dir) under its name, with its SQL."""
+def query(sql: str | None = None, longs: str = ""):
+    """Registers a function (spark, sf_dir) under its name, with its SQL; `longs` names sums that SQL makes wider."""
 
     def put(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            cast = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in longs.split())
+            ORACLES[f.__name__] = f"SELECT * REPLACE ({cast}) FROM ({sql})" if longs else sql
         return f
 
     return put

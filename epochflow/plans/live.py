@@ -18,7 +18,7 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("user_id").alias("session"), F.col("event_id").alias("n"), ts.alias("ts"), F.unix_millis(ts).alias("t_ms"), command.alias("command"), F.col("event_type").alias("predicted"), F.col("value").alias("score"), (F.col("event_type") == "error").alias("is_artifact"))
 
 
-@query(f"{_MACHINE} SELECT m.session, count(*) AS windows, count_if(state = 'DISPATCHED') AS dispatched, count_if(state = 'LOCKOUT') AS locked FROM m WHERE n > 0 GROUP BY 1")
+@query(f"{_MACHINE} SELECT m.session, count(*) AS windows, count_if(state = 'DISPATCHED') AS dispatched, count_if(state = 'LOCKOUT') AS locked FROM m WHERE n > 0 GROUP BY 1", longs="dispatched locked")
 def i5_k14_stream_decisions(spark: SparkSession, sf: str) -> DataFrame:
     out = jobs.run_all(jobs.decide(_events(spark, sf), run=2, lockout=60_000_000, refractory=90_000_000), "decisions")
     return out.groupBy("session").agg(F.count(F.lit(1)).alias("windows"), F.count_if(F.col("state") == "DISPATCHED").alias("dispatched"), F.count_if(F.col("state") == "LOCKOUT").alias("locked"))
@@ -30,7 +30,7 @@ def i1_a21_stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("session", "k", F.round(F.aggregate("signal", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query(f"WITH {DECISIONS} SELECT session, count_if(score >= CASE WHEN session % 3 = 0 THEN 60.0 ELSE 20.0 END) AS passed FROM decisions GROUP BY 1")
+@query(f"WITH {DECISIONS} SELECT session, count_if(score >= CASE WHEN session % 3 = 0 THEN 60.0 ELSE 20.0 END) AS passed FROM decisions GROUP BY 1", longs="passed")
 def c14_stream_profiles(spark: SparkSession, sf: str) -> DataFrame:
     users = table(spark, sf, "events").select(F.col("user_id").alias("session")).distinct().where("session % 3 = 0").withColumn("threshold", F.lit(60.0))
     out = jobs.run_all(jobs.with_profile(_events(spark, sf), users, 20.0), "gated")

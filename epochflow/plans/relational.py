@@ -49,7 +49,7 @@ def b10_button_labels(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("p_partkey", "label", idx.alias("idx"), name.alias("name"))
 
 
-@query("SELECT c_mktsegment, count_if(starts_with(c_name, 'Customer#0000')) AS n FROM customer GROUP BY 1")
+@query("SELECT c_mktsegment, count_if(starts_with(c_name, 'Customer#0000')) AS n FROM customer GROUP BY 1", longs="n")
 def b4_label_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.count_if(F.startswith("c_name", F.lit("Customer#0000"))).alias("n"))
 
@@ -156,7 +156,7 @@ def b25_trial_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return r.where("k = 25 % n").select("o_custkey", "o_orderkey")
 
 
-@query("SELECT l_orderkey, count(*) AS blocks, sum(CAST(1 + (l_quantity * 250 - 750) // 250 AS BIGINT)) AS windows, round(sum(l_quantity) / 60, 6) AS minutes FROM lineitem WHERE l_quantity >= 3 GROUP BY 1")
+@query("SELECT l_orderkey, count(*) AS blocks, sum(CAST(1 + (l_quantity * 250 - 750) // 250 AS BIGINT)) AS windows, round(sum(l_quantity) / 60, 6) AS minutes FROM lineitem WHERE l_quantity >= 3 GROUP BY 1", longs="windows")
 def b27_protocol_plan(spark: SparkSession, sf: str) -> DataFrame:
     plan = table(spark, sf, "lineitem").where("l_quantity >= 3")
     made = 1 + F.floor((F.col("l_quantity") * 250 - 750) / 250)

@@ -16,7 +16,7 @@ def _windows(spark: SparkSession, sf: str) -> DataFrame:
     return windows.hop_windows(signal(spark, sf), ["channel"], "i", "x", 48, 16)
 
 
-@query(f"{_HOPS}, st AS (SELECT channel, k, max(abs(x - m)) AS peak, stddev_pop(x) AS std, max(j) AS jump FROM (SELECT *, avg(x) OVER (PARTITION BY channel, k) AS m, abs(x - lag(x) OVER (PARTITION BY channel, k ORDER BY i)) AS j FROM w SEMI JOIN full_w USING (channel, k)) GROUP BY 1, 2) SELECT channel, count(*) AS windows, count_if(peak <= 400 AND std >= 0.05 AND jump <= 75) AS kept, count_if(peak > 400) AS amplitude, count_if(std < 0.05) AS flat, count_if(jump > 75) AS jump FROM st GROUP BY 1")
+@query(f"{_HOPS}, st AS (SELECT channel, k, max(abs(x - m)) AS peak, stddev_pop(x) AS std, max(j) AS jump FROM (SELECT *, avg(x) OVER (PARTITION BY channel, k) AS m, abs(x - lag(x) OVER (PARTITION BY channel, k ORDER BY i)) AS j FROM w SEMI JOIN full_w USING (channel, k)) GROUP BY 1, 2) SELECT channel, count(*) AS windows, count_if(peak <= 400 AND std >= 0.05 AND jump <= 75) AS kept, count_if(peak > 400) AS amplitude, count_if(std < 0.05) AS flat, count_if(jump > 75) AS jump FROM st GROUP BY 1", longs="kept amplitude flat jump")
 def m0_window_screen(spark: SparkSession, sf: str) -> DataFrame:
     st = _windows(spark, sf).select("channel", "k", *quality.signal_stats(F.col("signal")))
     lim = quality.LIMITS
@@ -42,7 +42,7 @@ def i3_stitch(spark: SparkSession, sf: str) -> DataFrame:
     return whole.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 6).alias("total"), F.round(F.sum(F.col("x") * F.col("i")), 4).alias("moment"))
 
 
-@query(f"WITH {DECISIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY n DESC) AS back FROM decisions) SELECT session, count_if(back <= 2) AS kept, count_if(back > 2) AS dropped, max(n) AS newest FROM r GROUP BY 1")
+@query(f"WITH {DECISIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY n DESC) AS back FROM decisions) SELECT session, count_if(back <= 2) AS kept, count_if(back > 2) AS dropped, max(n) AS newest FROM r GROUP BY 1", longs="kept dropped")
 def f3_i4_keep_newest(spark: SparkSession, sf: str) -> DataFrame:
     back = F.row_number().over(Window.partitionBy("session").orderBy(F.col("n").desc()))
     return decisions(spark, sf).withColumn("back", back).groupBy("session").agg(F.count_if(F.col("back") <= 2).alias("kept"), F.count_if(F.col("back") > 2).alias("dropped"), F.max("n").alias("newest"))
@@ -78,18 +78,18 @@ def d2_b21_screen_trials(spark: SparkSession, sf: str) -> DataFrame:
     return _screened(spark, sf).select("epoch_id", "label", F.array_join("reasons", ",").alias("reasons"), "keep")
 
 
-@query(f"{_STATS} SELECT label, count(*) AS trials, count_if(NOT (amplitude OR flat OR jump OR outlier)) AS kept FROM scr GROUP BY 1")
+@query(f"{_STATS} SELECT label, count(*) AS trials, count_if(NOT (amplitude OR flat OR jump OR outlier)) AS kept FROM scr GROUP BY 1", longs="kept")
 def d6_class_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _screened(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("trials"), F.count_if("keep").alias("kept"))
 
 
-@query(f"WITH {EPOCHS}, st AS (SELECT epoch_id, ch AS channel, max(abs(x - m)) AS peak, stddev_pop(x) AS std FROM (SELECT *, avg(x) OVER (PARTITION BY epoch_id, ch) AS m FROM epochs) GROUP BY 1, 2) SELECT channel, round(quantile_cont(peak, 0.5), 6) AS median_peak, round(quantile_cont(peak, 0.95), 6) AS p95_peak, round(max(peak), 6) AS max_peak, round(quantile_cont(std, 0.5), 6) AS median_std, round(min(std), 6) AS min_std, round(max(std), 6) AS max_std, count_if(peak > 2.5) AS failing FROM st GROUP BY 1")
+@query(f"WITH {EPOCHS}, st AS (SELECT epoch_id, ch AS channel, max(abs(x - m)) AS peak, stddev_pop(x) AS std FROM (SELECT *, avg(x) OVER (PARTITION BY epoch_id, ch) AS m FROM epochs) GROUP BY 1, 2) SELECT channel, round(quantile_cont(peak, 0.5), 6) AS median_peak, round(quantile_cont(peak, 0.95), 6) AS p95_peak, round(max(peak), 6) AS max_peak, round(quantile_cont(std, 0.5), 6) AS median_std, round(min(std), 6) AS min_std, round(max(std), 6) AS max_std, count_if(peak > 2.5) AS failing FROM st GROUP BY 1", longs="failing")
 def d7_channel_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     out = _channel_stats(spark, sf).groupBy("channel").agg(F.percentile("peak", F.lit(0.5)).alias("median_peak"), F.percentile("peak", F.lit(0.95)).alias("p95_peak"), F.max("peak").alias("max_peak"), F.percentile("std", F.lit(0.5)).alias("median_std"), F.min("std").alias("min_std"), F.max("std").alias("max_std"), F.count_if(F.col("peak") > 2.5).alias("failing"))
     return rounded(out, "median_peak", "p95_peak", "max_peak", "median_std", "min_std", "max_std")
 
 
-@query(f"{_STATS}, v AS (SELECT subject, count(*) AS trials, count_if(NOT (amplitude OR flat OR jump OR outlier)) AS kept, count_if(amplitude) AS a, count_if(flat) AS f, count_if(jump) AS j, count_if(outlier) AS o FROM scr GROUP BY 1) SELECT subject, trials, kept, round(1 - kept / trials, 6) AS drop_rate, CASE WHEN a > 0 THEN 'amplitude' WHEN f > 0 THEN 'flat' WHEN j > 0 THEN 'jump' WHEN o > 0 THEN 'outlier' END AS first_reason, CASE WHEN kept > 0 AND 1 - kept / trials <= 0.33 THEN 'ACCEPT' ELSE 'REJECT' END AS verdict FROM v")
+@query(f"{_STATS}, v AS (SELECT subject, count(*) AS trials, count_if(NOT (amplitude OR flat OR jump OR outlier)) AS kept, count_if(amplitude) AS a, count_if(flat) AS f, count_if(jump) AS j, count_if(outlier) AS o FROM scr GROUP BY 1) SELECT subject, trials, kept, round(1 - kept / trials, 6) AS drop_rate, CASE WHEN a > 0 THEN 'amplitude' WHEN f > 0 THEN 'flat' WHEN j > 0 THEN 'jump' WHEN o > 0 THEN 'outlier' END AS first_reason, CASE WHEN kept > 0 AND 1 - kept / trials <= 0.33 THEN 'ACCEPT' ELSE 'REJECT' END AS verdict FROM v", longs="kept")
 def d8_k11_recording_verdict(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(quality.recording_verdict(_screened(spark, sf), ["subject"]).select("subject", "trials", "kept", "drop_rate", "first_reason", "verdict"), "drop_rate")
 
@@ -107,7 +107,7 @@ def d40_readiness(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("subject", verdict.alias("readiness"))
 
 
-@query(f"WITH {SIGNAL}, w AS (SELECT channel, i // 48 AS k, max(abs(x - m)) AS peak FROM (SELECT *, avg(x) OVER (PARTITION BY channel, i // 48) AS m FROM signal) GROUP BY 1, 2 HAVING count(*) = 48) SELECT channel, count(*) AS windows, count_if(peak <= 400) AS kept, count_if(peak > 400) / count(*) <= 0.33 AS passed FROM w GROUP BY 1")
+@query(f"WITH {SIGNAL}, w AS (SELECT channel, i // 48 AS k, max(abs(x - m)) AS peak FROM (SELECT *, avg(x) OVER (PARTITION BY channel, i // 48) AS m FROM signal) GROUP BY 1, 2 HAVING count(*) = 48) SELECT channel, count(*) AS windows, count_if(peak <= 400) AS kept, count_if(peak > 400) / count(*) <= 0.33 AS passed FROM w GROUP BY 1", longs="kept")
 def d19_continuous_screen(spark: SparkSession, sf: str) -> DataFrame:
     st = windows.tumbling_windows(signal(spark, sf), ["channel"], "i", "x", 48).select("channel", *quality.signal_stats(F.col("signal")))
     return st.groupBy("channel").agg(F.count(F.lit(1)).alias("windows"), F.count_if(F.col("peak") <= 400).alias("kept"), (F.count_if(F.col("peak") > 400) / F.count(F.lit(1)) <= 0.33).alias("passed"))
@@ -128,7 +128,7 @@ def e10_last_samples(spark: SparkSession, sf: str) -> DataFrame:
 _BLOCKS = f"{DECISIONS}, c AS (SELECT *, CASE WHEN n = 1 THEN 0 WHEN predicted IS DISTINCT FROM lag(predicted) OVER (PARTITION BY session ORDER BY n) THEN 1 ELSE 0 END AS ch FROM decisions), b AS (SELECT *, sum(ch) OVER (PARTITION BY session ORDER BY n) AS block FROM c)"
 
 
-@query(f"WITH {_BLOCKS} SELECT session, block, min(n) AS first, count(*) AS n, any_value(predicted) AS label FROM b GROUP BY 1, 2")
+@query(f"WITH {_BLOCKS} SELECT session, block, min(n) AS first, count(*) AS n, any_value(predicted) AS label FROM b GROUP BY 1, 2", longs="block")
 def e1_blocks(spark: SparkSession, sf: str) -> DataFrame:
     b = windows.block_ids(decisions(spark, sf), ["session"], "n", "predicted")
     return b.groupBy("session", "block").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("n"), F.first("predicted").alias("label"))
@@ -143,7 +143,7 @@ def e2_e4_split_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return windows.split_blocks(b, ["session"], "block", "n", 3, 2).groupBy("session", "block", "part").agg(F.count(F.lit(1)).alias("cnt"), F.min("n").alias("first")).withColumnRenamed("cnt", "n")
 
 
-@query(f"WITH {DECISIONS}, i AS (SELECT *, n - row_number() OVER (PARTITION BY session, command ORDER BY n) AS g FROM decisions), r AS (SELECT *, row_number() OVER (PARTITION BY session, command, g ORDER BY n) AS pos FROM i) SELECT session, count_if(command IS NOT NULL AND pos % 2 = 0) AS fired FROM r GROUP BY 1")
+@query(f"WITH {DECISIONS}, i AS (SELECT *, n - row_number() OVER (PARTITION BY session, command ORDER BY n) AS g FROM decisions), r AS (SELECT *, row_number() OVER (PARTITION BY session, command, g ORDER BY n) AS pos FROM i) SELECT session, count_if(command IS NOT NULL AND pos % 2 = 0) AS fired FROM r GROUP BY 1", longs="fired")
 def e3_debounce(spark: SparkSession, sf: str) -> DataFrame:
     return windows.debounced(decisions(spark, sf), ["session"], "n", "command", 2).groupBy("session").agg(F.count_if("fired").alias("fired"))
 
