@@ -125,7 +125,7 @@ def beta_upper(f: float, df1: float, df2: float) -> float:
         value *= c * d
         if abs(c * d - 1) < 1e-12:
             break
-    tail = front * value
+    tail = front * (value - 1)
     return 1 - tail if swap else tail
 
 
