@@ -57,3 +57,19 @@ def intents(spark: SparkSession) -> DataFrame:
 def aliases(spark: SparkSession) -> DataFrame:
     known = {i: i for some in INTENTS.values() for i in some}
     return spark.createDataFrame(list({**known, **ALIASES}.items()), "alias string, intent string")
+
+
+# Public datasets (id, categories, subjects, channels, rate in Hz, licence, access, importer).
+DATASETS = [
+    ("openneuro_ds008446", ["finger"], 20, 62, 512, "CC0-1.0", "public", "bids_finger"),
+    ("physionet_eegmmidb", ["hand", "feet"], 109, 64, 160, "ODC-By-1.0", "public", "physionet"),
+    ("bnci2014_001", ["hand", "feet"], 9, 22, 250, "CC-BY-ND-4.0", "public", "moabb"),
+    ("ofner2017", ["upper_limb"], 15, 61, 512, "CC-BY-4.0", "public", "moabb"),
+    ("cho2017", ["hand"], 52, 64, 512, "CC-BY-4.0", "public", "moabb"),
+    ("lee2019_mi", ["hand"], 54, 62, 1000, "CC0-1.0", "public", "moabb"),
+    ("zenodo_18470278", ["upper_limb"], 28, 54, None, "not stated on record", "restricted", None),
+]
+
+
+def datasets(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(DATASETS, "dataset string, categories array<string>, subjects int, channels int, rate int, license string, access string, importer string")

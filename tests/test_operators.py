@@ -122,3 +122,10 @@ def test_npz_and_csv_readers(spark, tmp_path):
     (tmp_path / "s.csv").write_text("\n".join(lines))
     rows = archives.read_continuous_csv(spark, f"file://{tmp_path}/s.csv", "time", ["c3", "CZ"], ";", 2.0).orderBy("i", "channel").collect()
     assert len(rows) == 100 and rows[0].fs == pytest.approx(250.0) and rows[3].x == 2.0
+
+
+def test_word_wrap():
+    from epochflow.functions.text import wrap
+
+    assert wrap("aa bb cc", 5) == ["aa bb", "cc"] and wrap("abcdefgh ij", 3) == ["abc", "def", "gh", "ij"]
+    assert wrap("", 4) == [""] and wrap("abcdef", 3) == ["abc", "def"]
