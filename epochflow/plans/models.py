@@ -157,3 +157,25 @@ def k10_k12_layer_report(spark: SparkSession, sf: str) -> DataFrame:
     return quality.gates(stages, ["subject"], "stage", "status").select("subject", "stage", "gated", "first_fail")
 
 
+
+
+@query()
+def h26_model_commands(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores to a command and its confidence, or to no action below the threshold of the person's idle scores."""
+    s = epochs(spark, sf).select("epoch_id", "subject", (F.col("label") > 7).alias("idle"), signals.fbcca_scores(F.col("signal"), [15.0, 20.0], 250.0, [6, 7]).alias("s"))
+    best = F.array_max("s")
+    rows = s.select("epoch_id", "subject", "idle", best.alias("confidence"), F.element_at(F.array(F.lit("left"), F.lit("right")), F.array_position("s", best).cast("int")).alias("name"), F.lit(False).alias("artifact"))
+    limit = stats.idle_threshold(rows, ["subject"], "confidence", "idle", "artifact")
+    gated = rows.join(F.broadcast(limit), "subject", "left")  # one row a person of these tables
+    return gated.select("epoch_id", "confidence", C.gate(F.col("name"), F.col("confidence"), F.coalesce("threshold", F.lit(0.0))).alias("command"))
+
+
+@query()
+def j2_k8_k13_task_set(spark: SparkSession, sf: str) -> DataFrame:
+    """All named pipelines on sessions held out, after screening, with the winner of each person."""
+    st = epochs(spark, sf).select("epoch_id", "subject", "label", F.posexplode("signal").alias("channel", "x"))
+    st = st.select("epoch_id", "subject", "label", "channel", *quality.signal_stats(F.col("x")))
+    kept = quality.masked_if_enough(quality.screen(st, ["epoch_id", "subject"], "label"), ["subject"]).select("epoch_id")
+    e = epochs(spark, sf).join(kept, "epoch_id", "left_semi")
+    f = e.select("subject", (F.floor(F.col("epoch_id") / 10) % 5).cast("int").alias("fold"), (F.col("label") % 2).alias("y"), "signal")
+    return stats.cv_summary(learning.cross_validate(f, "subject", "fold", "y", list(learning.PIPELINES)), ["subject"], "pipeline", "accuracy")
