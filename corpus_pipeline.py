@@ -9,11 +9,21 @@ from epochflow.llm import bpe, mixing, secret_grammar, simhash, toxicity
 from epochflow.llm.common import written
 from epochflow.llm.queries import byte_bpe_path
 
+#: Rows of an Arrow batch between Spark and Python: whole documents are large, and five stages share the executors.
+BATCH_ROWS = 1000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's batch size where it is larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out the documents whose toxicity is 0.5 or more; the model is learned from the labels of docs."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.score(docs, toxicity.learn(docs, labels))
     return scored.where(F.col("toxicity") < 0.5).select(*COLUMNS)
@@ -21,11 +31,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each near-duplicate group."""
+    small_batches(spark)
     return simhash.keep_one(docs).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts; keeps all documents."""
+    small_batches(spark)
     return secret_grammar.redact(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
@@ -36,6 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids and n_tokens of each document."""
+    small_batches(spark)
     ids = bpe.encode_column(docs.select("doc_id", "source", "text"), byte_bpe_path())
     return ids.select("doc_id", "source", "ids", F.size("ids").cast("bigint").alias("n_tokens"))
 

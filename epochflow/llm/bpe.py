@@ -9,9 +9,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The split pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -133,18 +135,28 @@ def load(path: str, piece: int = 4096) -> Bpe:
         return _loaded(f.read(), piece)
 
 
-def encode_column(df: DataFrame, path: str, text: str = "text", out: str = "ids", piece: int = 4096) -> DataFrame:
-    """Adds the ids of each whole text (array<int>; null and empty texts: empty). The file is sent to the tasks (a few MB)."""
+def encode_column(df: DataFrame, path: str, text: str = "text", out: str = "ids", piece: int = 4096, rows: int = 256) -> DataFrame:
+    """Adds the ids of each whole text (array<int>; null and empty texts: empty); a column of that name is replaced.
+
+    The file is sent to the tasks (a few MB). A task holds the ids of `rows` texts at a time.
+    """
     with open(path, "rb") as f:
         spec = df.sparkSession.sparkContext.broadcast(f.read())
+    if out != text:
+        df = df.drop(out)
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _loaded(spec.value, piece)
-        for texts in batches:
-            yield pd.Series([np.array(coder.encode(t or ""), dtype=np.int32) for t in texts], dtype=object)
-
-    return df.withColumn(out, ids(F.col(text)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                ids = [coder.encode(t or "") for t in part.column(text).to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(ends[-1]))
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, out])
+
+    return df.mapInArrow(encoded, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
 def decode_column(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", piece: int = 4096) -> DataFrame:

@@ -1,7 +1,7 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
 Sizes are summed by (source, block of documents). The driver holds only that table, which `max_sources` and
-`blocks_per_source` bound, and draws from it: how many blocks of each source each output shard gets (exact quotas,
+`most_blocks` bound, and draws from it: how many blocks of each source each output shard gets (exact quotas,
 split down a binary tree of shards), and which (disjoint pieces of a seeded permutation of the blocks). Documents meet
 their draws by a join on (source, block), and each shard is shuffled locally.
 """
@@ -27,9 +27,9 @@ _KEYS = 1 << 62
 class Mix:
     """A planned mix.
 
-    targets: source, source_size, target; sizes: id, source, size, block, key of each document; plan and last: what
-    each (source, block) and each cut document is drawn for. The first, third and fourth have at most max_sources
-    (* blocks_per_source) rows of a few bytes, so they are broadcast.
+    targets: source, source_size, target; sizes: id, source, size, spread, key and block of each document; plan and
+    last: what each (source, block) and each cut document is drawn for. targets and last have at most max_sources rows,
+    plan has most_blocks, of a few bytes each, so they are broadcast.
     """
 
     sizes: DataFrame
@@ -37,6 +37,8 @@ class Mix:
     plan: DataFrame
     last: DataFrame
     seed: int
+    blocks: int
+    shards: int
 
     def drawn(self, keyed: DataFrame) -> DataFrame:
         """Adds draws (array of epoch, shard, words, key, hit) to rows with source, size, block and key."""
@@ -75,13 +77,18 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
     return np.concatenate([split_quotas(drawn, left, rng), split_quotas(quotas - drawn, shards - left, rng)])
 
 
-def _keyed(df: DataFrame, id_col: str, text: str, source: str, blocks: int, seed: int, *more: str) -> DataFrame:
-    """id, source, size, block and key of each row, by its id alone, then `more` columns as _c0, _c1 and so on."""
+def _blocked(keyed: DataFrame, blocks: int) -> DataFrame:
+    """Adds the block of each row."""
+    return keyed.withColumn("block", F.pmod("spread", F.lit(blocks)).cast("int"))
+
+
+def _keyed(df: DataFrame, id_col: str, text: str, source: str, seed: int, *more: str) -> DataFrame:
+    """id, source, size, spread and key of each row, by its id alone, then `more` columns as _c0, _c1 and so on."""
     return df.select(
         F.col(id_col).alias("id"),
         F.col(source).alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), F.col(id_col)), F.lit(blocks)).cast("int").alias("block"),
+        F.xxhash64(F.lit(seed), F.lit("block"), F.col(id_col)).alias("spread"),
         F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 2).alias("key"),
         *[F.col(c).alias(f"_c{i}") for i, c in enumerate(more)],
     )
@@ -92,10 +99,11 @@ def plan_mix(
     weights=(5.0, 2.0, 1.0),
     share: float = 1.5,
     most: int = 2,
-    shards: int = 16,
-    blocks_per_source: int = 256,
+    shards: int | None = None,
+    shard_words: int = 100_000_000,
+    most_blocks: int = 1_000_000,
     seed: int = 42,
-    max_sources: int = 10_000,
+    max_sources: int = 4_000,
     id_col: str = "doc_id",
     text: str = "text",
     source: str = "source",
@@ -110,32 +118,38 @@ def plan_mix(
     size 0 and are drawn with their block; rows with equal ids are drawn together; an empty table gives empty results.
     Fails beyond max_sources.
 
+    There are as many shards as the mix holds shard_words, 64 at least (or `shards`), and about 8 draws of blocks for a
+    shard, 256 blocks a source at least, as far as most_blocks allows.
+
     Reruns draw the same.
     """
     spark = df.sparkSession
-    sizes = written(_keyed(df, id_col, text, source, blocks_per_source, seed), "sizes")
-    if sizes.agg(F.approx_count_distinct("source")).first()[0] > max_sources * 1.2:
+    sizes = written(_keyed(df, id_col, text, source, seed), "sizes")
+    size_of = {r["source"]: r["size"] for r in sizes.groupBy("source").agg(F.sum("size").alias("size")).limit(max_sources + 1).collect()}
+    if len(size_of) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
-    table = sizes.groupBy("source", "block").agg(F.sum("size").alias("size")).collect()
-    names = sorted({r["source"] for r in table}, key=lambda s: (s is None, s or ""))
-    of_block = {(r["source"], r["block"]): r["size"] for r in table}
-    size_of = dict.fromkeys(names, 0)
-    for (s, _), n in of_block.items():
-        size_of[s] += n
+    names = sorted(size_of, key=lambda s: (s is None, s or ""))
+    words = share * sum(size_of.values())
+    blocks = max(256, -(-8 * (shards or int(words // shard_words)) // max(1, len(names))))
+    blocks = max(1, min(blocks, most_blocks // max(1, len(names))))
+    shards = shards or max(64, min(int(words // shard_words), blocks * len(names) // 4))
+    sizes = _blocked(sizes, blocks)
+    of_block: dict = {s: {} for s in names}
+    for r in sizes.groupBy("source", "block").agg(F.sum("size").alias("size")).toLocalIterator():
+        of_block[r["source"]][r["block"]] = r["size"]
     heavy = [weights.get(s, 0.0) for s in names] if isinstance(weights, dict) else [weights[i % len(weights)] for i in range(len(names))]
-    targets = reshared([size_of[s] for s in names], heavy, share * sum(size_of.values()), most)
+    targets = reshared([size_of[s] for s in names], heavy, words, most)
 
     rng = np.random.default_rng(seed)
     orders, edges, quotas = [], {}, []
     for s, target in zip(names, targets):
-        words, drawn = round(target), []
-        blocks = np.array(sorted(b for x, b in of_block if x == s))
+        drawn: list[tuple[int, int]] = []
         for epoch in range(most):
-            left = words - epoch * size_of[s]
+            left = round(target) - epoch * size_of[s]
             if left <= 0:
                 break
-            for b in rng.permutation(blocks):
-                n = of_block[s, int(b)]
+            for b in rng.permutation(sorted(of_block[s])):
+                n = of_block[s][int(b)]
                 if n > left:
                     if left:
                         edges[s] = (int(b), epoch, left)
@@ -156,7 +170,7 @@ def plan_mix(
     plan = spark.createDataFrame([(s, b, d) for (s, b), d in rows.items()], _DRAWS)
     last = spark.createDataFrame([(s, edges[s][1], *cuts[s]) for s in edges], "_last string, last_epoch int, cut bigint, rest bigint, twins bigint")
     goals = spark.createDataFrame([(s, size_of[s], float(t)) for s, t in zip(names, targets)], "source string, source_size bigint, target double")
-    return Mix(sizes, goals, plan, last, seed)
+    return Mix(sizes, goals, plan, last, seed, blocks, shards)
 
 
 def _cut_keys(sizes: DataFrame, edges: dict) -> dict:
@@ -198,17 +212,17 @@ def taken_words(df: DataFrame, id_col: str = "doc_id", **plan) -> DataFrame:
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.alias("taken"))
 
 
-def mixed(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", shards: int = 16, blocks_per_source: int = 256, seed: int = 42, **plan) -> DataFrame:
+def mixed(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: int = 42, **plan) -> DataFrame:
     """The mix itself: df's columns plus mix_shard and mix_words, one row a draw, each shard in seeded random order.
 
     A document that is drawn twice comes twice; the one document of a source that is cut carries its first words only,
     and rows without words come with their block. Columns of df named mix_shard or mix_words are replaced.
     """
     kept = [c for c in df.columns if c not in ("mix_shard", "mix_words")]
-    mix = plan_mix(df, id_col=id_col, text=text, source=source, shards=shards, blocks_per_source=blocks_per_source, seed=seed, **plan)
-    out = mix.drawn(_keyed(df, id_col, text, source, blocks_per_source, seed, *kept))
+    mix = plan_mix(df, id_col=id_col, text=text, source=source, seed=seed, **plan)
+    out = mix.drawn(_blocked(_keyed(df, id_col, text, source, seed, *kept), mix.blocks))
     out = out.withColumn("_d", F.explode("draws")).where("size = 0 OR _d.words > 0")
     body = F.col(f"_c{kept.index(text)}")
     body = F.when(F.col("_d.words") >= F.col("size"), body).otherwise(F.array_join(F.slice(F.regexp_extract_all(body, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("_d.words").cast("int")), ""))
     out = out.select(*[(body if c == text else F.col(f"_c{i}")).alias(c) for i, c in enumerate(kept)], F.col("_d.shard").alias("mix_shard"), F.col("_d.words").alias("mix_words"), F.col("_d.key").alias("_order"))
-    return out.repartition(shards, "mix_shard").sortWithinPartitions("mix_shard", "_order").drop("_order")
+    return out.repartition(mix.shards, "mix_shard").sortWithinPartitions("mix_shard", "_order").drop("_order")
