@@ -171,26 +171,25 @@ class Forest:
         """For each query the rows that share a prefix with it in some tree.
 
         Descends each tree to the longest prefix that any string shares, then ascends all trees together, one sign at a
-        time, until their ranges hold `enough` rows (with repeats) or everything.
+        time and tree by tree, until their ranges hold `enough` rows (with repeats) or everything.
         """
         own = [self._strings(queries, p) for p in self.planes]
         n, trees = len(self.order[0]), len(self.order)
         low = np.zeros((trees, len(queries)), dtype=np.int64)
-        high = np.full((trees, len(queries)), n, dtype=np.int64)
-        open_ = np.ones(len(queries), dtype=bool)
+        high = np.zeros((trees, len(queries)), dtype=np.int64)
+        total = np.zeros(len(queries), dtype=np.int64)
+        at = np.arange(len(queries))
         for depth in range(64, -1, -1):
-            if not open_.any():
-                break
-            at = np.flatnonzero(open_)
-            if depth == 0:
-                low[:, at], high[:, at] = 0, n
-                break
             mask = np.uint64((1 << 64) - (1 << (64 - depth)))
             for t in range(trees):
+                if not len(at):
+                    break
                 first = own[t][at] & mask
+                total[at] -= high[t, at] - low[t, at]
                 low[t, at] = np.searchsorted(self.sorted[t], first, "left")
                 high[t, at] = np.searchsorted(self.sorted[t], first | ~mask, "right")
-            open_[at[(high[:, at] - low[:, at]).sum(axis=0) >= enough]] = False
+                total[at] += high[t, at] - low[t, at]
+                at = at[total[at] < enough]
         for q in range(len(queries)):
             seen = np.zeros(n, dtype=bool)
             for t in range(trees):
@@ -198,13 +197,13 @@ class Forest:
             yield np.flatnonzero(seen)
 
 
-def nearest(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", shard_rows: int = 8192, query_rows: int = 4096, trees: int = 48, share: float = 1.6, least: int = 512, seed: int = 11) -> DataFrame:
+def nearest(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", shard_rows: int = 8192, query_rows: int = 4096, trees: int = 48, share: float = 0.75, least: int = 1024, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by `every`, by cosine.
 
     Equal vectors are one class, of which the k + 1 smallest ids can be results. Classes are dealt to shards of about
     shard_rows by hash; a shard holds a forest of its own (every class is in each of its trees) and answers blocks of
     query_rows distinct query vectors; a query's best of all shards are its result. A shard looks at rows until its
-    trees' ranges add up to max(least, share * rows) with repeats, so its candidates are some 40 % of it where
+    trees' ranges add up to max(least, share * rows) with repeats, so its candidates are about half of it where
     neighbours are far apart, and the whole of a small shard.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids; only
