@@ -176,6 +176,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius:
     Rows that share that id (and are in the component) are told apart by a hash of the text, then by none: one stays.
     """
     found = _labelled(df, id_col, text, radius, shingle).where(F.col("id").eqNullSafe(F.col("component_id")))
-    kept = found.groupBy("component").agg(F.min(F.struct("id", "body")).alias("k")).select(F.col("k.id").alias("_kept_id"), F.col("k.body").alias("_kept_body"))
-    same = df[id_col].eqNullSafe(kept["_kept_id"]) & (F.xxhash64(df[text]) == kept["_kept_body"])
-    return df.join(kept, same, "left_semi").dropDuplicates([id_col, text])
+    kept = found.groupBy("component").agg(F.min(F.struct("id", "body")).alias("k"))
+    kept = kept.select(F.struct("k.id", F.coalesce("k.body", F.lit(0).cast("bigint")).alias("body")).alias("_key"))
+    # One key for the join and for dropping repeated rows, so that texts are shuffled once. Null ids are equal in it.
+    keyed = df.withColumn("_key", F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("body")))
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
