@@ -226,7 +226,7 @@ def fit_weights(table: list[tuple[int, int, int, int]], uniform: float, rounds:
     return out
 
 
-def scores(df: DataFrame, id_col: str = "doc_id", text: str = "text", modulus: int = 7, held_out: int = 2, block_tokens: int = 2_000_000, bucket_chars: int = 4_000_000, deleted_share: int = 10) -> DataFrame:
+def scores(df: DataFrame, id_col: str = "doc_id", text: str = "text", modulus: int = 7, held_out: int = 2, block_tokens: int = 1_000_000, bucket_chars: int = 4_000_000, deleted_share: int = 10) -> DataFrame:
     """One row per document: id_col (bigint), held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     Learns from documents whose crc32(id as text) mod modulus is not held_out (null ids are learned from). Counts for
