@@ -1,7 +1,7 @@
 """Toxicity: disguised words are restored by a noisy channel (Viterbi over character lattices), then texts are scored.
 
 The channel writes a letter as itself, as a look-alike, with marks in between, or several times; the source is a
-character trigram model of the corpus' words. Words (and beginnings of words) that are significantly more frequent in
+character trigram model of the corpus' words. Texts spaced out letter by letter are split into known words. Words (and beginnings of words) that are significantly more frequent in
 documents labelled toxic carry the score.
 """
 
@@ -29,13 +29,17 @@ _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*]+[^\W_]){3,}(?![^\W_])")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Log costs of the channel: a look-alike, a mark left out, another sign left out, a repeated letter left out.
 _LOOK, _MARK, _SIGN, _AGAIN = -1.0, -0.4, -6.0, -1.2
+#: Restored tokens up to this length are kept for their next occurrence; longer ones are restored each time.
+_KEPT = 40
 
 
 @dataclass
 class CharModel:
-    """Interpolated character trigrams; ^ begins a word and $ ends it."""
+    """Interpolated character trigrams; ^ begins a word and $ ends it. Beside them words and their counts."""
 
     tri: dict[str, int]
+    words: dict[str, int] = field(default_factory=dict)
+    sizes: list[int] = field(init=False)
     bi: dict[str, int] = field(init=False)
     pairs: dict[str, int] = field(init=False)
     uni: dict[str, int] = field(init=False)
@@ -43,6 +47,7 @@ class CharModel:
     seen: dict[str, float] = field(init=False, default_factory=dict)
 
     def __post_init__(self):
+        self.sizes = sorted({len(w) for w in self.words})
         self.bi, self.pairs, self.uni = defaultdict(int), defaultdict(int), defaultdict(int)
         for g, n in self.tri.items():
             self.bi[g[:2]] += n
@@ -63,26 +68,65 @@ class CharModel:
 
 
 def restore(token: str, model: CharModel) -> str:
-    """The likeliest letters behind a token (Viterbi; a state is the last two letters)."""
-    best = {("^", "^"): (0.0, "")}
+    """The likeliest letters behind a token (Viterbi; a state is the last two letters).
+
+    Paths share their letters as linked pairs, so time and memory grow with the length only.
+    """
+    best = {("^", "^"): (0.0, None)}
     for at, c in enumerate(token):
         options = []
         if c.isalpha():
             options.append((c, 0.0))
         options += [(x, _LOOK) for x in LOOKALIKES.get(c, "")]
         cost = _MARK if c in _MARKS else _SIGN
-        new: dict[tuple[str, str], tuple[float, str]] = {}
+        new: dict[tuple[str, str], tuple[float, tuple | None]] = {}
         for (a, b), (p, out) in best.items():
-            steps = [((b, x), p + w + model.logp(a, b, x), out + x) for x, w in options]
+            steps = [((b, x), p + w + model.logp(a, b, x), x) for x, w in options]
             if not c.isalpha():
-                steps.append(((a, b), p + cost, out))
+                steps.append(((a, b), p + cost, ""))
             elif c == b and at and token[at - 1] == c:
-                steps.append(((a, b), p + _AGAIN, out))
-            for state, q, text in steps:
+                steps.append(((a, b), p + _AGAIN, ""))
+            for state, q, x in steps:
                 if state not in new or q > new[state][0]:
-                    new[state] = (q, text)
+                    new[state] = (q, (out, x) if x else out)
         best = dict(sorted(new.items(), key=lambda x: -x[1][0])[:24])
-    return max((p + model.logp(a, b, "$"), out) for (a, b), (p, out) in best.items())[1]
+    ends = [(p + model.logp(a, b, "$"), out) for (a, b), (p, out) in best.items()]
+    top = max(p for p, _ in ends)
+    return max(_letters(out) for p, out in ends if p == top)
+
+
+def _letters(linked: tuple | None) -> str:
+    out = []
+    while linked:
+        linked, x = linked
+        out.append(x)
+    return "".join(reversed(out))
+
+
+def split(letters: str, model: CharModel) -> list[str]:
+    """The likeliest words that the letters of a spaced-out run are (Viterbi; a state is the place where a word ends).
+
+    Known words cost their share; a letter outside them costs more than any word, and such neighbours stay together.
+    """
+    total = math.log(sum(model.words.values()) + 1)
+    best = [(0.0, 0, True)]
+    for end in range(1, len(letters) + 1):
+        steps = [(best[end - 1][0] + math.log(0.1) - total, end - 1, False)]
+        for size in model.sizes:
+            if size > end:
+                break
+            if n := model.words.get(letters[end - size : end]):
+                steps.append((best[end - size][0] + math.log(n) - total, end - size, True))
+        best.append(max(steps))
+    out, at, after = [], len(letters), True
+    while at:
+        _, start, known = best[at]
+        if known or after:
+            out.append(letters[start:at])
+        else:
+            out[-1] = letters[start:at] + out[-1]
+        at, after = start, known
+    return out[::-1]
 
 
 def restored_words(text: str | None, model: CharModel | None, cache: dict) -> set[str]:
@@ -106,16 +150,20 @@ def restored_words(text: str | None, model: CharModel | None, cache: dict) -> se
         else:
             words.update(_WORD.findall(token))
             disguised = not core.isdigit()
-        if model and disguised and len(token) <= 40:
-            if token not in cache:
+        if model and disguised:
+            if token in cache:
+                words |= cache[token]
+                continue
+            found = {restore(part, model) for part in {core, token}}
+            if len(token) <= _KEPT:
                 if len(cache) > 20_000:
                     cache.clear()
-                cache[token] = {restore(core, model), restore(token, model)}
-            words |= cache[token]
+                cache[token] = found
+            words |= found
     if model:
         for m in _SPACED.finditer(low):
-            if len(m[0]) <= 80:
-                words.add(restore(m[0], model))
+            words.add(glued := restore(m[0], model))
+            words.update(split(glued, model))
     words.discard("")
     return words
 
@@ -181,7 +229,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
             yield pd.DataFrame(list(grams.items()), columns=["g", "n"])
 
     grams = sample.mapInPandas(trigrams, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
-    chars = CharModel({r["g"]: r["n"] for r in grams.collect()})  # the sample is bounded, and so are its trigrams
+
+    def lexicon(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            n = Counter(w for t in part["text"] for w in set(_WORD.findall((t or "").lower())))
+            yield pd.DataFrame(list(n.items()), columns=["w", "n"])
+
+    words = sample.mapInPandas(lexicon, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).where("n >= 4")
+    # The sample is bounded, and so are its trigrams and words.
+    chars = CharModel({r["g"]: r["n"] for r in grams.collect()}, {r["w"]: r["n"] for r in words.collect()})
     sent = docs.sparkSession.sparkContext.broadcast(chars)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -132,6 +132,21 @@ def test_disguised_words_are_restored(spark):
     assert got[1] > 0.5 and got[2] > 0.5 and got[3] < 0.5 and got[4] < 0.5 and got[None] == got[4]
 
 
+def test_long_disguises_are_restored(spark):
+    around = "you are such a worthless go away now please".split()
+    rows = [(i, " ".join(around + (["idiot", "stupid"] if i % 3 == 0 else ["weather", "fine"]))) for i in range(150)]
+    docs = spark.createDataFrame([(i, f"{t} {'abcdefghijklmnop'[i % 16]}{i}") for i, t in rows], "doc_id long, text string")
+    model = toxicity.learn(docs, docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) toxic"))
+    sentence = " ".join("youaresuchaworthlessidiotgoawaynowplease")
+    texts = [sentence, " ".join([sentence] * 3), "a i d i o t", "i.........d.........i.........o.........t", "1--------d--------1--------0--------t--------", " ".join("youaresuchweathergoawaynowplease" * 2)]
+    assert all(len(t) > 40 for t in texts if t != texts[2]) and len(texts[0]) < 80 < len(texts[1]) and len(texts[5]) > 80
+    for t in texts[:5]:
+        assert "idiot" in toxicity.restored_words(t, model.chars, {}), t
+    assert {"you", "worthless", "idiot", "please"} <= toxicity.restored_words(sentence, model.chars, {})
+    got = [r.toxicity > 0.5 for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert got == [True] * 5 + [False]
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 1), (None, "x", 2), (2, "y " * 50000, 3), (2, "y " * 50000, 3)], "doc_id long, text string, score long")
     labels = spark.createDataFrame([(1, None), (None, 1), (2, 1), (2, 0)], "doc_id long, toxic int")
