@@ -47,8 +47,10 @@ _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 # Bytes: A-Z lower-cased, other ASCII but digits and letters to a space, the rest kept.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
-_TAIL = re.compile(r"(?:spdx-license-identifier\s*:|(?:licensed|released|available|distributed)\s+under)\s+(?:the\s+)?([^\n]{0,400})", re.I)
-_TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*)")
+_TAG = re.compile(r"(?:spdx-license-identifier\s*:|(?:licensed|released|available|distributed)\s+under)\s+(?:the\s+)?", re.I)
+# Between tokens: white space over at most one line's end (any number within brackets), with the next line's comment mark.
+_LINE, _ID = r"(?:\n[^\S\n]*(?:(?://+|#+|\*+|;+|--+)[^\S\n]*)?)", r"(\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*)"
+_TOKEN, _INNER = re.compile(rf"[^\S\n]*{_LINE}?{_ID}"), re.compile(rf"[^\S\n]*{_LINE}*{_ID}")
 _VERSION = re.compile(r" (?:(?:version|v) ?|v)?(\d{1,2})(?: (\d{1,2}))?(?= |$)")
 
 
@@ -65,42 +67,44 @@ def _known(token: str, allowed: tuple[str, ...]) -> bool:
     return any(token == f or token.startswith(f + "-") for f in allowed)
 
 
-def evaluate(expression: str) -> tuple[set[str], float] | None:
-    """Labels and confidence of the licence expression that the text begins with; None if it begins with none.
+def evaluate(text: str, at: int = 0) -> tuple[set[str], float] | None:
+    """Labels and confidence of the licence expression that the text begins with at a place; None if there is none.
 
     Shunting-yard with `with` before `and` before `or`. A licence id has confidence 1 if its family is known and 0.5 if
     not; `and` takes the lower, `or` the higher, `with` multiplies by 0.8 if the exception is unknown. The longest
     beginning that is a whole expression counts; brackets left open end it.
     """
-    values: list[tuple[set[str], float]] = []
+    ids: list[str] = []
+    values: list[float] = []
     stack: list[str] = []
-    at, operand, best = 0, True, None
+    operand, best = True, None
 
-    def combine(ops: list[str], of: list[tuple[set[str], float]]) -> None:
+    def combine(ops: list[str], of: list[float]) -> None:
         op, right, left = ops.pop(), of.pop(), of.pop()
-        score = {"and": min, "or": max, "with": lambda x, y: x * (1.0 if y >= 1 else 0.8)}[op](left[1], right[1])
-        of.append((left[0] | right[0], score))
+        of.append({"and": min, "or": max, "with": lambda x, y: x * (1.0 if y >= 1 else 0.8)}[op](left, right))
 
-    def whole() -> tuple[set[str], float]:
+    def whole() -> tuple[int, float]:
+        """How many ids the expression has so far, and its confidence."""
         ops, of = list(stack), list(values)
         while ops:
             combine(ops, of)
-        return of[-1]
+        return len(ids), of[-1]
 
-    while m := _TOKEN.match(expression, at):
+    while m := (_INNER if "(" in stack else _TOKEN).match(text, at):
         raw = m[1].rstrip(".-")
         token = raw.lower()
         if operand:
             if token == "(":
                 stack.append("(")
-            elif token in _PRECEDENCE or token == ")":
+            elif token in _PRECEDENCE or token == ")" or token == "spdx-license-identifier":
                 break
             else:
                 exception = bool(stack) and stack[-1] == "with"
                 known = _known(token, EXCEPTIONS if exception else FAMILIES)
                 if not known and not re.search(r"[-\d]", token):
                     break
-                values.append(({token}, 1.0 if known else 0.5))
+                ids.append(token)
+                values.append(1.0 if known else 0.5)
                 operand = False
         elif token in _PRECEDENCE:
             while stack and stack[-1] != "(" and _PRECEDENCE[stack[-1]] >= _PRECEDENCE[token]:
@@ -120,7 +124,7 @@ def evaluate(expression: str) -> tuple[set[str], float] | None:
             best = whole()
         if raw != m[1] and not operand:
             break
-    return best
+    return best and (set(ids[: best[0]]), best[1])
 
 
 def scan_text(text: str | None) -> dict:
@@ -147,8 +151,8 @@ def scan_text(text: str | None) -> dict:
                 more.add(f"{label}-{v[1]}" + f".{v[2]}" * bool(v[2]))
             miss *= 0.5
     if any(phrase in TAGS for _, _, phrase in hits):
-        for m in _TAIL.finditer(raw):
-            if found := evaluate(m[1]):
+        for m in _TAG.finditer(raw):
+            if found := evaluate(raw, m.end()):
                 more |= found[0]
                 miss *= 1 - 0.9 * found[1]
             else:

@@ -41,6 +41,17 @@ def test_licence_places_and_expressions():
     assert licences.scan_text("Licensed under the Apache License, Version 2.0.")["labels"] == "apache,apache-2.0"
 
 
+def test_each_tag_and_whole_expressions_count():
+    r = licences.scan_text("Code is licensed under MIT. The data are released under CC-BY-4.0 and docs available under GPL-3.0-only.")
+    assert r["labels"] == "cc-by,cc-by-4.0,gpl-3.0-only,mit" and r["score"] > 0.99
+    ids = [f"bsd-{i}-clause" for i in range(200)]
+    for joint in (" OR ", " OR\n", " OR\n\n  ", "\n * OR ", "\r\n# OR "):
+        assert licences.scan_text(f"SPDX-License-Identifier: ({joint.join(ids)}) AND ISC")["labels"] == ",".join(sorted([*ids, "isc"]))
+    assert licences.scan_text("licensed under Apache-2.0\nOR MIT")["labels"] == "apache-2.0,mit"
+    assert licences.scan_text("SPDX-License-Identifier: MIT\n\nWith Python-3 it runs")["labels"] == "mit"
+    assert licences.scan_text("SPDX-License-Identifier: MIT OR\nSPDX-License-Identifier: ISC")["labels"] == "isc,mit"
+
+
 def test_licence_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "a"), (None, "MIT license", "b"), (2, "x " * 50000, "c"), (2, "x " * 50000, "c")], "doc_id long, text string, labels string")
     got = licences.scan(df).collect()
