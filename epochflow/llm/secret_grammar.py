@@ -27,6 +27,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _LONG = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+#: Ordinary tokens have a distribution of their own in each form: numbers are unlike words, and both unlike mixed tokens.
+_FORMS = ("number", "word", "mixed")
+_CUTS = [re.compile(f"[{marks}]") for marks in ("=", "/", ".", "=/", "=.", "/.", "=/.")]
 #: Characters of each class; what is in none stands for itself.
 _CLASSES = {"d": "0123456789", "x": "abcdef", "l": "ghijklmnopqrstuvwxyz", "X": "ABCDEF", "U": "GHIJKLMNOPQRSTUVWXYZ"}
 _CLASS_OF = {c: k for k, cs in _CLASSES.items() for c in cs}
@@ -135,39 +138,69 @@ def infer(strings: list[str], alpha: float = 0.05) -> Automaton:
 
 @dataclass(frozen=True)
 class Grammar:
-    """Automata by kind, log probabilities of the classes in ordinary tokens, and the margin in nats a character."""
+    """Automata by kind, log probabilities of the classes in ordinary tokens by form, and the margin in nats a character."""
 
     automata: dict[str, Automaton]
-    ordinary: dict[str, float]
+    ordinary: dict[str, dict[str, float]]
     margin: float
 
     def likelihood(self, token: str) -> float:
-        """The best automaton's log likelihood ratio to ordinary tokens, a character; -inf if none accepts the token."""
-        floor = min(self.ordinary.values(), default=-5.0)
-        usual = sum(self.ordinary.get(k := _CLASS_OF.get(c, c), floor) - math.log(_SIZE.get(k, 1)) for c in token)
+        """The best automaton's log likelihood ratio to ordinary tokens of its form, a character; -inf if none accepts the token."""
         found = [p for a in self.automata.values() if (p := a.logp(token)) is not None]
-        return (max(found) - usual) / len(token) if found else -math.inf
+        if not found:
+            return -math.inf
+        ordinary = self.ordinary.get(_form(token), {})
+        floor = min(ordinary.values(), default=-5.0)
+        usual = sum(ordinary.get(k := _CLASS_OF.get(c, c), floor) - math.log(_SIZE.get(k, 1)) for c in token)
+        return (max(found) - usual) / len(token)
 
     def spans(self, text: str) -> tuple[list[tuple[int, int, str, str]], list[tuple[int, int, str, str]]]:
         """Base spans, and all spans."""
         base, runs = base_spans(text)
         more = []
         for start, end in runs:
-            for a, b in _tokens(text, start, end, base):
-                if self.likelihood(text[a:b]) >= self.margin:
-                    more.append((a, b, "format", text[a:b]))
+            for gap in _tokens(text, start, end, base):
+                done = []
+                for a, b in _parts(text, *gap):
+                    if not any(x <= a and b <= y for x, y in done) and self.likelihood(text[a:b]) >= self.margin:
+                        done.append((a, b))
+                more += [(a, b, "format", text[a:b]) for a, b in done]
         return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def _tokens(text: str, start: int, end: int, base: list) -> Iterator[tuple[int, int]]:
-    """The run without marks at its ends, if it holds letters and digits and no base span."""
+def _form(token: str) -> str:
+    return "number" if not _LETTER.search(token) else "mixed" if _DIGIT.search(token) else "word"
+
+
+def _bare(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The stretch without marks at its ends, if it is long enough."""
     while end > start and text[end - 1] in ".=-_/+":
         end -= 1
     while end > start and text[start] in ".=-_/+":
         start += 1
-    if end - start >= 16 and _DIGIT.search(text, start, end) and _LETTER.search(text, start, end):
-        if not any(a < end and start < b for a, b, *_ in base):
-            yield start, end
+    if end - start >= 16:
+        yield start, end
+
+
+def _tokens(text: str, start: int, end: int, base: list) -> Iterator[tuple[int, int]]:
+    """What the base spans (sorted by start) leave of a run, without marks at the ends."""
+    for a, b, *_ in base:
+        if a < end and start < b:
+            yield from _bare(text, start, a)
+            start = b
+    yield from _bare(text, start, end)
+
+
+def _parts(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The candidates of a token, the widest first: itself, and its parts between the marks =, / and . of each choice."""
+    found = {(start, end)}
+    for cut in _CUTS:
+        at = start
+        for m in cut.finditer(text, start, end):
+            found.update(_bare(text, at, m.start()))
+            at = m.end()
+        found.update(_bare(text, at, end))
+    yield from sorted(found, key=lambda x: (x[0] - x[1], x))
 
 
 def learn(df: DataFrame, text: str = "text", most_strings: int = 400, most_ordinary: int = 2000, alpha: float = 0.05, margin: float = 0.3) -> Grammar:
@@ -191,10 +224,12 @@ def learn(df: DataFrame, text: str = "text", most_strings: int = 400, most_ordin
     rows = df.select(F.explode(found(F.col(text))).alias("x")).select("x.*").distinct()
     rows = written(rows, "credentials")
     samples = {k: [r[0] for r in rows.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(n).select("value").collect()] for k, n in (*((k, most_strings) for k in KINDS[:3]), ("", most_ordinary))}
-    counts = Counter(_CLASS_OF.get(c, c) for v in samples[""] for c in v)
-    counts.update(dict.fromkeys(["d", "x", "l", "X", "U", *"+/_.=-"], 20))
-    total = sum(counts.values())
-    return Grammar({k: infer(samples[k], alpha) for k in KINDS[:3] if len(samples[k]) >= 8}, {c: math.log(n / total) for c, n in counts.items()}, margin)
+    counts = Counter((_form(v), _CLASS_OF.get(c, c)) for v in samples[""] for c in v)
+    ordinary = {}
+    for form in _FORMS:
+        n = {c: counts[form, c] + 20 for c in ("d", "x", "l", "X", "U", *"+/_.=-") if (c != "d" or form != "word") and (c not in "xlXU" or form != "number")}
+        ordinary[form] = {c: math.log(k / sum(n.values())) for c, k in n.items()}
+    return Grammar({k: infer(samples[k], alpha) for k in KINDS[:3] if len(samples[k]) >= 8}, ordinary, margin)
 
 
 def _digest(spans: list) -> str:

@@ -101,6 +101,19 @@ def test_learned_formats_find_unlabelled_secrets(spark):
     assert out[3].startswith("some words [SECRET]") and key(3) not in out[3]
 
 
+def test_secrets_inside_runs_are_found(spark):
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest().upper()
+    rows = [(i, f"some words token = \"{key(i)}\" and more words of-text2 http://www.example.com/a1/page") for i in range(60)]
+    grammar = secret_grammar.learn(spark.createDataFrame(rows, "doc_id long, text string"))
+    lost, base = key(5000), "0a" * 15
+    for around in ("KEY={}", "//host.com/x/{}", "a.b={}/rest", "{}=" + key(5001), "//h/name={}.", base + "/{}", "{}=" + base + "=" + key(5001)):
+        text = around.format(lost)
+        found = [text[a:b] for a, b, kind, _ in grammar.spans(text)[1] if kind == "format"]
+        assert lost in found and found == [v for v in (lost, key(5001)) if v in text], text
+    assert list(secret_grammar._tokens("A" * 20, 0, 20, [])) == [(0, 20)]
+    assert grammar.spans("//www.example.com/ordinary/pages/of-text2/words")[1] == []
+
+
 def test_automata_merge_and_keep_the_language():
     import itertools
 
