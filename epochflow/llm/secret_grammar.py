@@ -203,11 +203,11 @@ def _parts(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     yield from sorted(found, key=lambda x: (x[0] - x[1], x))
 
 
-def learn(df: DataFrame, text: str = "text", most_strings: int = 400, most_ordinary: int = 2000, alpha: float = 0.05, margin: float = 0.3) -> Grammar:
+def learn(df: DataFrame, text: str = "text", most_strings: int = 400, alpha: float = 0.05, margin: float = 0.3) -> Grammar:
     """Learns from all texts: base matches label credentials, other long tokens stand for ordinary text.
 
-    A bounded sample is fitted: of the distinct credentials of each kind those `most_strings` with the lowest hash, and
-    likewise `most_ordinary` other tokens. A kind of fewer than 8 credentials gets no automaton.
+    Automata are fitted on a bounded sample: of the distinct credentials of each kind those `most_strings` with the
+    lowest hash. Classes are counted over all other distinct tokens. A kind of fewer than 8 credentials gets no automaton.
     """
 
     @F.pandas_udf("array<struct<kind:string,value:string>>")
@@ -223,8 +223,15 @@ def learn(df: DataFrame, text: str = "text", most_strings: int = 400, most_ordin
 
     rows = df.select(F.explode(found(F.col(text))).alias("x")).select("x.*").distinct()
     rows = written(rows, "credentials")
-    samples = {k: [r[0] for r in rows.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(n).select("value").collect()] for k, n in (*((k, most_strings) for k in KINDS[:3]), ("", most_ordinary))}
-    counts = Counter((_form(v), _CLASS_OF.get(c, c)) for v in samples[""] for c in v)
+    samples = {k: [r[0] for r in rows.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(most_strings).select("value").collect()] for k in KINDS[:3]}
+
+    def classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            n = Counter((_form(v), _CLASS_OF.get(c, c)) for v in part["value"] for c in v)
+            yield pd.DataFrame([(f, c, k) for (f, c), k in n.items()], columns=["f", "c", "n"])
+
+    sums = rows.where("kind = ''").select("value").mapInPandas(classes, "f string, c string, n bigint").groupBy("f", "c").agg(F.sum("n").alias("n"))
+    counts = Counter({(r["f"], r["c"]): r["n"] for r in sums.collect()})  # forms x classes at most
     ordinary = {}
     for form in _FORMS:
         n = {c: counts[form, c] + 20 for c in ("d", "x", "l", "X", "U", *"+/_.=-") if (c != "d" or form != "word") and (c not in "xlXU" or form != "number")}

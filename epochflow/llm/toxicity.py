@@ -203,7 +203,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     """Fits on labelled documents whose crc32(id as text) mod modulus is not held_out.
 
     Bounded: of those labels the `most_rows` with the lowest id hash are used (an id with several labels takes the
-    largest; null ids and labels are left out). Near copies among them count once. Without labels of both classes the
+    largest; null ids and labels are left out). Near copies among them count once. The channel's trigrams are counted
+    over all documents. Without labels of both classes the
     model has no weights and scores everything with the prior.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~remainder_is(id_col, modulus, held_out))
@@ -228,7 +229,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
                     grams.update(w[i : i + 3] for i in range(len(w) - 2))
             yield pd.DataFrame(list(grams.items()), columns=["g", "n"])
 
-    grams = sample.mapInPandas(trigrams, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
+    grams = docs.select(F.col(text).alias("text")).mapInPandas(trigrams, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
 
     def lexicon(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -236,7 +237,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
             yield pd.DataFrame(list(n.items()), columns=["w", "n"])
 
     words = sample.mapInPandas(lexicon, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).where("n >= 4")
-    # The sample is bounded, and so are its trigrams and words.
+    # Trigrams grow with the alphabets, not with the rows; the sample is bounded, and so are its words.
     chars = CharModel({r["g"]: r["n"] for r in grams.collect()}, {r["w"]: r["n"] for r in words.collect()})
     sent = docs.sparkSession.sparkContext.broadcast(chars)
 
@@ -263,7 +264,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with toxicity (0 to 1). Null and empty texts get the prior; a column of that name is replaced."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by learn()'s most_rows
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by learn()'s most_rows and by the alphabets
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -114,6 +115,18 @@ def test_secrets_inside_runs_are_found(spark):
     assert grammar.spans("//www.example.com/ordinary/pages/of-text2/words")[1] == []
 
 
+def test_corpus_statistics_come_from_all_texts(spark):
+    tokens = [f"of{i}-ordinary-words-in-here" for i in range(2500)] + [f"{'Z' * (1 + i % 3)}{i}-ORDINARY-{'Q' * 9}" for i in range(500)]
+    df = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(tokens)], "doc_id long, text string, toxic int")
+    counts = {c: 20 for c in ("d", "x", "l", "X", "U", *"+/_.=-")}
+    for c in "".join(tokens):
+        counts[secret_grammar._CLASS_OF.get(c, c)] += 1
+    got = secret_grammar.learn(df).ordinary["mixed"]
+    assert got.keys() == counts.keys() and all(abs(math.exp(p) - counts[c] / sum(counts.values())) < 1e-9 for c, p in got.items())
+    chars = toxicity.learn(df.select("doc_id", "text"), df.where("doc_id < 100").select("doc_id", "toxic")).chars
+    assert chars.tri["^^q"] == 500 and chars.tri["^^w"] == 2500
+
+
 def test_automata_merge_and_keep_the_language():
     import itertools
 
