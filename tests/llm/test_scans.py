@@ -222,7 +222,66 @@ def test_pages_without_article_tags(spark):
     assert wrappers.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def wrapper_of(*pages):
+    out = wrappers.expression(wrappers.parse(pages[0]))
+    for p in pages[1:]:
+        out = wrappers.merge(out, wrappers.expression(wrappers.parse(p)))
+    return out
+
+
 def test_wrappers_are_union_free():
-    a = wrappers.expression(wrappers.parse("<div><h1>a</h1><p>x</p><p>y</p></div>"))
-    b = wrappers.expression(wrappers.parse("<div><h1>b</h1><ul><li>1</li><li>2</li></ul><p>z</p></div>"))
-    assert wrappers.shown(wrappers.merged(a, b)) == "<><div><h1>#</h1>(<ul>(<li>#</li>)+</ul>)?(<p>#</p>)+</div></>"
+    w = wrapper_of("<div><h1>a</h1><p>x</p><p>y</p></div>", "<div><h1>b</h1><ul><li>1</li><li>2</li></ul><p>z</p></div>")
+    assert wrappers.shown(w) == "<><div><h1>#</h1>(<ul>(<li>#</li>)+</ul>)?(<p>#</p>)+</div></>"
+    assert wrappers.shown(wrapper_of("<h1>Same</h1><p>a", "<h1>Same</h1><p>b")) == "<><h1>=</h1><p>#</p></>"
+    assert wrappers.shown(wrappers.loaded(wrappers.dumped(w))) == wrappers.shown(w)
+
+
+def test_slots_decide_where_the_article_is():
+    """No tag or name tells the groups of these pages apart; what varies, what stays and what is linked does."""
+    word = lambda i, n: " ".join(f"w{(i * 7919 + j * 31) % 1009}" for j in range(n))
+    page = lambda i: (
+        f"<body><div class=first>All texts are ours, and whoever reads them here agrees with all that we say. {'Again. ' * 9}</div>"
+        f"<div class=second>{''.join(f'<div><a href=/{j}>{word(i + j, 4)}</a></div>' for j in range(6))}</div>"
+        f"<div class=third><h2>{word(i, 4)}</h2><p>{word(i + 1, 30)}</p><div class=k>Sent from our office</div><p>{word(i + 2, 25)}</p></div></body>"
+    )
+    rule = wrappers.rule(wrapper_of(*map(page, range(8))))
+    assert rule["path"] == ["body", "div.third"]
+    for i in range(8):
+        assert wrappers.extract(page(i), **rule) == "\n\n".join([word(i, 4), word(i + 1, 30), word(i + 2, 25)])
+
+
+def test_few_equal_texts_are_no_template():
+    pages = [f"<article><h1>T{i}</h1><p>the same</p><p>other {i}</p></article>" for i in range(4)]
+    rule = wrappers.rule(wrapper_of(*pages))
+    assert rule == {"path": ["article"], "template": []}
+    assert wrappers.extract(pages[0], **rule) == "T0\n\nthe same\n\nother 0"
+
+
+def test_nothing_else_is_dropped_from_an_article():
+    page = "<article><p>Let <math>x</math> be.</p><object>kept</object><div class='related search alert form'>also</div><script>no</script><p>a<script>x</script>b</p></article>"
+    assert wrappers.extract(page, ["article"]) == "Let x be.\n\nkept\n\nalso\n\nab"
+
+
+def test_deep_wide_and_long_pages():
+    deep = "<div>" * 100_000 + "text"
+    assert wrappers.extract(deep, None) == "text"
+    w = wrappers.loaded(wrappers.dumped(wrapper_of(deep, "<div>" * 50_000 + "other")))
+    assert len(wrappers.shown(w)) > 1_000_000
+    assert wrappers.extract("<div><p>x</p>" * 5000, None) == "\n\n".join(["x"] * 5000)
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    pages = ["".join(f"<div class={letters(60 * i + j)}>text {i} {j}</div>" for j in range(60)) for i in range(200)]
+    w = wrapper_of(*pages)
+    assert len(list(w.preorder())) <= 2 * wrappers.WIDTH + 2
+    assert wrappers.extract(pages[3], **wrappers.rule(w)) == "\n\n".join(f"text 3 {j}" for j in range(60))
+    assert len(list(wrapper_of(*[f"<{letters(i)}>x</{letters(i)}>" for i in range(500)]).preorder())) <= 2 * wrappers.WIDTH + 2
+    many = "<p>word</p>" * 100_000
+    assert wrappers.extract(many, None) == "\n\n".join(["word"] * 100_000)
+
+
+def test_hosts_are_merged_by_levels(spark):
+    rows = [(i, f"https://{'hot' if i % 3 else 'h' + str(i)}.example/{i}", f"<body><div class=x><p>{'word%d ' % i * 9}</p></div><div class=y>Same here</div></body>") for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(24)
+    found = wrappers.infer_wrappers(df, fan_in=2).collect()
+    hot = next(r for r in found if r.host == "hot.example")
+    assert len(found) == 101 and wrappers.loaded(hot.wrapper).pages == 200 and hot.path == ["body", "div.x"]
+    assert {r.text for r in wrappers.main_text(df, broadcast_bytes=0).collect()} == {" ".join([f"word{i}"] * 9) for i in range(300)}
