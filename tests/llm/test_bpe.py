@@ -43,6 +43,30 @@ def test_joins_of_long_unsplit_texts_are_exact(reference):
         assert coder.encode(text) == reference.encode(text, add_special_tokens=False).ids
 
 
+def test_long_runs_of_white_space(reference):
+    rng = random.Random(9)
+    coder = bpe.load(PATH, 16)
+    for n in range(300):
+        text = "".join(rng.choice([" " * rng.randrange(1, 60), "\n" * rng.randrange(1, 40), "".join(rng.choice(" \t\r\n\x85\xa0\u3000") for _ in range(50)), "a", "!", "'s", "1", "<|endoftext|>", "\x1c" * 20]) for _ in range(12))
+        assert coder.encode(text) == reference.encode(text, add_special_tokens=False).ids, repr(text)
+    coder = bpe.load(PATH)
+    mixed = "".join(rng.choice(" \n\t") for _ in range(300_000))
+    for text in (" " * 2_000_000, f"a{' ' * 2_000_000}b", f"a{mixed}\n", f"{mixed}b{' ' * 5000}<|endoftext|>{' ' * 5000}", "'" * 300_000, "\x1c" * 50_000):
+        assert coder.encode(text) == reference.encode(text, add_special_tokens=False).ids
+
+
+def test_files_of_other_kinds_are_refused():
+    import json
+
+    with open(PATH) as f:
+        data = json.load(f)
+    for part, key, value in (("model", "byte_fallback", True), ("pre_tokenizer", "add_prefix_space", True), ("model", "dropout", 0.1), ("model", "merges", data["model"]["merges"][::-1])):
+        with pytest.raises(ValueError):
+            bpe.Bpe(json.dumps({**data, part: {**data[part], key: value}}).encode())
+    with pytest.raises(ValueError):
+        bpe.Bpe(json.dumps({**data, "normalizer": {"type": "NFC"}}).encode())
+
+
 def test_round_trip_of_nulls_empties_and_clashing_columns(spark):
     rows = [(1, None, "x"), (2, "", "y"), (None, "a b", "z"), (3, "x" * 20000, "w"), (3, "x" * 20000, "w")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
