@@ -19,7 +19,7 @@ def byte_bpe_path() -> str:
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.taken_words(_table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), share=1.5, most=2)
-    return taken.select("doc_id", "size", "source_size", "target", "taken")
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

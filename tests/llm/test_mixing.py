@@ -16,32 +16,51 @@ def brute_targets(sizes, weights, total, most=2):
     return [min(most * s, w * low) for s, w in zip(sizes, weights)]
 
 
-def test_reshared_matches_water_filling():
+def test_targets_match_water_filling(spark):
     rng = np.random.default_rng(0)
-    for _ in range(50):
-        sizes = rng.integers(1, 1000, 9).tolist()
-        weights = [(5, 2, 1)[i % 3] for i in range(9)]
-        assert mixing.reshared(sizes, weights, 1.5 * sum(sizes), 2) == pytest.approx(brute_targets(sizes, weights, 1.5 * sum(sizes)), rel=1e-9)
+    for n in (1, 5, 9, 40):
+        sizes = rng.integers(0, 1000, n).tolist()
+        weights = [(5, 2, 1)[i % 3] for i in range(n)]
+        df = spark.createDataFrame([(f"s{i:02d}" if i < n - 1 else None, s) for i, s in enumerate(sizes)], "source string, source_size bigint")
+        got = {r.source: r.target for r in mixing.reshared(df, (5.0, 2.0, 1.0), 1.5, 2).collect()}
+        want = brute_targets(sizes, weights, 1.5 * sum(sizes))
+        assert [got[f"s{i:02d}" if i < n - 1 else None] for i in range(n)] == pytest.approx(want, rel=1e-9)
+    got = {r.source: r.target for r in mixing.reshared(df, {"s01": 1, None: 3}, 0.001, 2).collect()}
+    assert got[None] == pytest.approx(3 * got["s01"]) and sum(v > 0 for v in got.values()) == 2
 
 
 def test_quotas_are_exact():
     quotas = np.array([100, 37, 1, 0])
-    parts = mixing.split_quotas(quotas, 7, np.random.default_rng(1))
-    assert parts.shape == (7, 4) and (parts.sum(axis=0) == quotas).all() and parts.min() >= 0
-    assert parts.sum(axis=1).max() - parts.sum(axis=1).min() <= 2
+    for weights in ([1] * 7, [3, 1, 1, 2]):
+        parts = mixing.split_quotas(quotas, np.array(weights), np.random.default_rng(1))
+        assert parts.shape == (len(weights), 4) and (parts.sum(axis=0) == quotas).all() and parts.min() >= 0
+        assert all(abs(p - 138 * w / sum(weights)) <= 3 for p, w in zip(parts.sum(axis=1), weights))
+
+
+def test_many_sources_and_levels(spark):
+    """More sources than groups, and more shards than branches: targets and draws stay exact, and shards even."""
+    rows = [(i, "w " * (1 + i % 7), f"s{i % 5000}" if i % 3 else "hot") for i in range(12000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.taken_words(df, shards=64, groups=16, branches=8).collect()
+    check(got)
+    draws = [s for r in got for s in r.shards]
+    assert set(draws) == set(range(64))
+    again = mixing.taken_words(df.repartition(7), shards=64, groups=16, branches=8).collect()
+    assert {(r.doc_id, r.taken, tuple(r.shards)) for r in again} == {(r.doc_id, r.taken, tuple(r.shards)) for r in got}
 
 
 def check(rows):
     by = {}
     for r in rows:
-        assert 0 <= r.taken <= 2 * r["size"]
-        by.setdefault(r.source, []).append(r)
+        r = r if isinstance(r, dict) else r.asDict()
+        assert 0 <= r["taken"] <= 2 * r["size"] and len(r["shards"]) <= 2
+        by.setdefault(r["source"], []).append(r)
     names = sorted(by, key=lambda s: (s is None, s or ""))
     sizes = [sum(r["size"] for r in by[s]) for s in names]
     want = brute_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5 * sum(sizes))
     for s, n, t in zip(names, sizes, want):
-        assert {(r.source_size, round(r.target, 4)) for r in by[s]} == {(n, round(t, 4))}
-        assert sum(r.taken for r in by[s]) == round(by[s][0].target)
+        assert {(r["source_size"], round(r["target"], 4)) for r in by[s]} == {(n, round(t, 4))}
+        assert sum(r["taken"] for r in by[s]) == round(by[s][0]["target"])
 
 
 def test_query(spark, sf_dir):
