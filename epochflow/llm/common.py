@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Translation table for bytes: A-Z become a-z, everything else stays.
@@ -20,9 +20,11 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one is set only where the session names none, as in tests."""
+    """The shared folder of the cluster; a temporary one is set only where the session names none and is local, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", "")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -42,22 +44,58 @@ def remainder_is(id_col: str, modulus: int, remainder: int):
     return F.coalesce(hashed == remainder, F.lit(False))
 
 
-def tiled(df: DataFrame, keys: list[str], spread: str, most: int) -> DataFrame:
-    """Adds tile_a <= tile_b so that groups of (keys, tile_a, tile_b) hold about 2 * most rows at the most.
+def few(df: DataFrame, rows: int = 300_000) -> bool:
+    """Whether df has at most that many rows, so that it may be broadcast."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def perhaps_broadcast(df: DataFrame) -> DataFrame:
+    """df, to be broadcast where it is small; it should be a written table."""
+    return F.broadcast(df) if few(df) else df
+
+
+def heavy_keys(df: DataFrame, keys: list[str], most: float, weight: Column | None = None) -> DataFrame:
+    """(keys, _tiles) of the keys that weigh more than `most`: at most rows / most of them."""
+    total = F.sum(weight if weight is not None else F.lit(1))
+    return written(df.groupBy(*keys).agg(total.alias("_w")).where(F.col("_w") > most).select(*keys, F.ceil(F.col("_w") / most).cast("int").alias("_tiles")), "heavy")
+
+
+def tiled(df: DataFrame, keys: list[str], spread: str, most: float, weight: Column | None = None) -> DataFrame:
+    """Adds tile_a <= tile_b so that groups of (keys, tile_a, tile_b) hold about 2 * most rows (or weight) at the most.
 
     A key with n rows is cut into ceil(n / most) tiles by a hash of `spread`; a row goes to each pair of tiles that
     holds its own (column `tile`), so every two rows of a key meet in exactly one group (two rows of one tile meet in
-    the group where tile_a = tile_b). Keys that fit keep one tile and one copy of each row.
+    the group where tile_a = tile_b). Keys that fit keep one tile and one copy of each row. Rows learn of heavy keys by
+    a broadcast of those (by a join if there are too many), so a heavy key is split before any shuffle.
+    """
+    out = df.join(perhaps_broadcast(heavy_keys(df, keys, most, weight)), keys, "left").withColumn("_tiles", F.coalesce("_tiles", F.lit(1)))
+    out = out.withColumn("tile", F.pmod(F.xxhash64(F.lit("tile"), F.col(spread)), F.col("_tiles")).cast("int"))
+    out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    return out.withColumn("tile_a", F.least("tile", "_other")).withColumn("tile_b", F.greatest("tile", "_other")).drop("_tiles", "_other")
+
+
+def packed(df: DataFrame, keys: list[str], spread: str, most: float, weight: Column | None = None) -> DataFrame:
+    """tiled(), and a bucket: small keys share buckets of about `most` rows (or weight), heavy ones have their own.
+
+    Groups of (bucket, tile_a, tile_b) hold about 2 * most at the most; a group may hold several keys.
+    """
+    total = df.agg(F.sum(weight if weight is not None else F.lit(1))).first()[0] or 0
+    out = tiled(df, keys, spread, most, weight)
+    hashed = F.xxhash64(F.lit("bucket"), *keys)
+    alone = F.col("tile_b") > 0  # every copy of a row of a heavy key but that of its first tile with itself
+    return out.withColumn("bucket", F.when(alone, hashed).otherwise(F.pmod(hashed, F.lit(max(1, math.ceil(total / most))))))
+
+
+def joined(rows: DataFrame, classes: DataFrame, key: str, size: str, most: int = 100_000) -> DataFrame:
+    """rows left-joined with classes (unique keys; `size`: rows of the class, dropped) by key, whatever rows share a key.
+
+    Classes of more than `most` rows, of which there are at most rows / most, are broadcast; null keys meet nothing.
     """
-    cuts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_tiles"))
-    out = df.join(cuts, keys).withColumn("tile", F.pmod(F.xxhash64(F.lit("tile"), F.col(spread)), F.col("_tiles")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
-    return (
-        out.withColumn("_other", other)
-        .withColumn("tile_a", F.least("tile", "_other"))
-        .withColumn("tile_b", F.greatest("tile", "_other"))
-        .drop("_tiles", "_other")
-    )
+    big = written(classes.where(F.col(size) > most), "big_classes").drop(size)
+    keyed, none = rows.where(F.col(key).isNotNull()), rows.where(F.col(key).isNull())
+    out = keyed.join(F.broadcast(big), key)
+    out = out.unionByName(keyed.join(F.broadcast(big.select(key)), key, "left_anti").join(classes.where(F.col(size) <= most).drop(size), key, "left"))
+    return out.unionByName(none, allowMissingColumns=True)
 
 
 def merge_roots(root: np.ndarray, members: np.ndarray) -> None:
@@ -71,8 +109,8 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 60
     """Labels each node of the undirected edges (a, b: bigint) with the smallest node it reaches.
 
     Alternates large-star and small-star steps until the edges no longer change; every round is a few aggregations and
-    joins over edges only, written to the shared folder. Returns (node, component) for nodes that have an edge to
-    another node; an empty input gives an empty result. Null ends and loops are left out.
+    joins over edges only, written to the shared folder. Returns (node, component) for nodes that reach a smaller one
+    (so not for the component itself); an empty input gives an empty result. Null ends and loops are left out.
     """
 
     def state(e: DataFrame) -> tuple:

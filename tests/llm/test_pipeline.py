@@ -3,7 +3,9 @@ import re
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from epochflow.llm import bpe, secret_grammar, simhash  # noqa: E402
+from epochflow.llm import bpe, secret_grammar  # noqa: E402
+
+from test_simhash import jaccard_components  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -31,20 +33,25 @@ def test_toxic_documents_go_and_clean_ones_stay(spark, kept):
 
 
 def test_one_document_of_each_group_stays(kept):
-    prints = [(d.doc_id, simhash.fingerprint(d.text)) for d in kept[1]]
-    root = {i: i for i, _ in prints}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for k, (i, p) in enumerate(prints):
-        for j, q in prints[:k]:
-            if (p ^ q).bit_count() <= 4:
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    assert sorted(d.doc_id for d in kept[2]) == sorted({find(i) for i, _ in prints})
+    groups = jaccard_components([(d.doc_id, d.text) for d in kept[1]])
+    assert sorted(d.doc_id for d in kept[2]) == sorted(set(groups.values()))
+
+
+def test_odd_rows_go_through_all_stages(spark, tmp_path):
+    """Null ids, texts and sources, empty texts, repeated rows, extra columns with names that stages use, an empty table."""
+    spark.createDataFrame([(1, 0), (None, 1), (3, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(1, "some plain words here", "en", "a", 4), (1, "some plain words here", "en", "a", 4), (None, "other words of no id", None, None, 5), (2, None, "en", "a", None), (3, "", "en", None, 0), (4, "w " * 30000, "en", "b", 60000)]
+    docs = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, size string, _key0 string, toxicity string")
+    seen = []
+    for part in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            part = corpus_pipeline.written(stage(spark, part, str(tmp_path)), name)
+            seen.append(part.collect())
+    assert sorted(str(r.doc_id) for r in seen[1]) == ["1", "2", "4", "None"]
+    assert all(r.text is None or r.text for r in seen[2]) and len(seen[2]) == 4
+    assert all(tuple(r.asDict()) == corpus_pipeline.COLUMNS for rows in seen[:4] for r in rows)
+    assert {str(r.doc_id) for r in seen[4]} <= {"1", "2", "4", "None"} and all(r.n_tokens == len(r.ids) for r in seen[4])
+    assert seen[5:] == [[]] * 5
 
 
 def test_secrets_are_masked_and_all_documents_stay(kept):
