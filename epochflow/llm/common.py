@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,6 +106,35 @@ def merge_roots(root: np.ndarray, members: np.ndarray) -> None:
         root[np.isin(root, found[1:])] = found[0]
 
 
+def runs(keys: np.ndarray, tile: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by key and tile: the rows low to high (exclusive) that each row is to be compared with."""
+    at = np.arange(len(keys))
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else at
+    ends = np.append(starts[1:], len(keys))
+    run = np.repeat(np.arange(len(starts)), ends - starts)
+    if a == b:
+        return at + 1, ends[run]
+    second = np.add.reduceat((tile == a).astype(np.int64), starts) + starts if len(keys) else at
+    return np.where(tile == a, second[run], at), np.where(tile == a, ends[run], at)
+
+
+def least_linked(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The smallest row that each row reaches by the pairs."""
+    root = np.arange(n)
+    for i, j in pairs:
+        while True:
+            low = np.minimum(root[i], root[j])
+            if (root[i] == low).all() and (root[j] == low).all():
+                break
+            for x in (i, j):
+                np.minimum.at(root, root[x], low)
+                np.minimum.at(root, x, low)
+            root = root[root]
+    while (root[root] != root).any():
+        root = root[root]
+    return root
+
+
 def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """Labels each node of the undirected edges (a, b: bigint) with the smallest node it reaches.
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bits_for, connected_components, merge_roots, tiled, written
+from .common import bits_for, connected_components, joined, least_linked, packed, perhaps_broadcast, runs, written
 
 
 def usable(column: str):
@@ -41,42 +43,98 @@ def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-class Codes:
-    """Sign codes of rotated unit vectors. factor: the inner product of a vector with its own code's direction."""
+@lru_cache(maxsize=8)
+def stacked(size: int, seed: int, bits: int = 256) -> np.ndarray:
+    """Random rotations side by side, as many as give `bits` directions; keeps inner products."""
+    copies = -(-bits // size)
+    return np.concatenate([rotation(size, seed + 100_000 + r) for r in range(copies)], axis=1) / math.sqrt(copies)
 
-    def __init__(self, unit: np.ndarray, seed: int = 7):
-        self.rotated = unit @ rotation(unit.shape[1], seed)
-        self.signs = np.where(self.rotated >= 0, 1.0, -1.0) / math.sqrt(unit.shape[1])
-        self.factor = np.clip((self.rotated * self.signs).sum(axis=1), 1e-9, 1.0)
 
-    def may_reach(self, rows: slice, other: Codes, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (row, other's row) that the bounds leave open.
+def encoded(unit: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Binary codes (signs of the rotated vectors, packed) and correction factors of unit vectors.
 
-        t / factor, with t the inner product of a rotated vector and a code's direction, estimates the vectors' inner
-        product without bias. The angle of code and vector is known from the factor; if the vectors' angle is a at
-        most, t must be the cosine of an angle within a of that. No pair at `cosine` or above is left out.
+    factor: the inner product of a rotated vector and its own code's direction.
+    """
+    rotated = unit @ stacked(unit.shape[1], seed)
+    return np.packbits(rotated >= 0, axis=1), np.clip(np.abs(rotated).sum(axis=1) / math.sqrt(rotated.shape[1]), 1e-9, 1.0)
+
+
+def code_radius(size: int, cosine: float, z: float = 8.0) -> float:
+    """Differing bits of two codes, at most, of vectors at `cosine`: each differs with the chance of their angle, z deviations up."""
+    bits, share = size * -(-256 // size), math.acos(cosine) / math.pi
+    return bits * share + z * math.sqrt(bits * share * (1 - share))
+
+
+def close_codes(codes: np.ndarray, low: np.ndarray, high: np.ndarray, radius: float, chunk: int = 256, width: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, low[i] <= j < high[i]) whose codes (rows of bytes) differ in `radius` bits at most."""
+    padded = np.zeros((len(codes), -(-codes.shape[1] // 8) * 8), dtype=np.uint8)
+    padded[:, : codes.shape[1]] = codes
+    words = np.ascontiguousarray(padded.view(np.uint64).T)
+    asks = np.flatnonzero(high > low)
+    for run in np.split(asks, np.flatnonzero(np.diff(high[asks])) + 1):
+        for at in range(0, len(run), chunk):
+            i = run[at : at + chunk]
+            for first in range(int(low[i].min()), int(high[i[0]]), width):
+                last = min(first + width, int(high[i[0]]))
+                bits = np.zeros((len(i), last - first), dtype=np.uint16)
+                for w in words:
+                    bits += np.bitwise_count(w[i][:, None] ^ w[None, first:last])
+                p, q = np.nonzero(bits <= radius)
+                after = q + first >= low[i[p]]
+                yield i[p[after]], q[after] + first
+
+
+class Estimates:
+    """Estimates of inner products from rotated vectors on one side, and codes with their factors on the other."""
+
+    def __init__(self, unit: np.ndarray, codes: np.ndarray, factor: np.ndarray, seed: int):
+        self.rotated = unit @ stacked(unit.shape[1], seed)
+        bits = self.rotated.shape[1]
+        self.directions = (np.unpackbits(codes, axis=1)[:, :bits] * 2.0 - 1.0) / math.sqrt(bits)
+        self.factor, self.free = factor, max(1, bits - bits // unit.shape[1])
+
+    def open_pairs(self, low: np.ndarray, high: np.ndarray, cosine: float, z: float = 8.0, chunk: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (i, low[i] <= j < high[i]) whose cosine may reach `cosine`.
+
+        With t the inner product of i's rotated vector and the direction of j's code, t / factor estimates the cosine
+        without bias. A vector at cosine c is c times j's plus a rest in a random direction across it, so the
+        estimate's deviation is sqrt(1 - c^2) * sqrt(1 - factor^2) / factor / sqrt(directions that are free). Pairs
+        whose estimate plus z deviations stays below `cosine` are settled; the others are open.
         """
-        own, a = np.arccos(other.factor), math.acos(cosine) + 1e-6
-        low, high = np.cos(np.minimum(own + a, math.pi)), np.cos(np.maximum(own - a, 0.0))
-        t = self.rotated[rows] @ other.signs.T
-        return np.nonzero((t >= low - 1e-9) & (t <= high + 1e-9))
+        wide = z * math.sqrt(max(0.0, 1 - cosine * cosine)) * np.sqrt(1 - self.factor**2) / self.factor / math.sqrt(self.free) + 1e-9
+        asks = np.flatnonzero(high > low)
+        for run in np.split(asks, np.flatnonzero(np.diff(high[asks])) + 1):
+            for at in range(0, len(run), chunk):
+                i = run[at : at + chunk]
+                span = slice(int(low[i].min()), int(high[i[0]]))
+                estimate = self.rotated[i] @ self.directions[span].T / self.factor[span]
+                p, q = np.nonzero(estimate + wide[span] >= cosine)
+                after = q + span.start >= low[i[p]]
+                yield i[p[after]], q[after] + span.start
 
 
 def _tables(label_rows: int, cell_rows: int, cosine: float, miss: float) -> tuple[int, int]:
-    """Bits a table and tables, so that cells are near cell_rows and a pair at `cosine` is missed with chance `miss`."""
+    """Bits a table and tables, so that cells are near cell_rows and a pair at `cosine` is missed with chance `miss`.
+
+    Up to 8 cells all pairs of a label meet in tiles, which takes fewer copies of a row than tables do.
+    """
+    if label_rows <= 8 * cell_rows:
+        return 0, 1
     bits = bits_for(label_rows, cell_rows)
     together = (1 - math.acos(cosine) / math.pi) ** bits
-    return bits, 1 if not bits else math.ceil(math.log(miss) / math.log(1 - together))
+    return bits, math.ceil(math.log(miss) / math.log(1 - together))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.98, cell_rows: int = 4096, miss: float = 1e-9, seed: int = 7) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.98, cell_rows: int = 8192, compare_rows: int = 4096, miss: float = 1e-6, seed: int = 7) -> DataFrame:
     """One row per vector: id_col, n_links, component_id, kept.
 
     Vectors with the same label and size link at `cosine` or more. Equal vectors of a label are one class first, and
-    count with their number. Classes meet in cells: all of a label's while they are few, else those that agree on some
-    signs of extra rotations in one of several tables (more rows: more signs and tables; the chance to miss a pair at
-    the threshold stays below `miss`). In a cell, codes with correction factors bound each inner product and only open
-    pairs are recomputed; the cell returns sums of links and at most one link a class for the components.
+    count with their number. Each class gets a binary code and its correction factor once. Codes alone meet in cells:
+    all of a label's while they are few, else those that agree on some signs of further rotations in one of several
+    tables (more rows: more signs and tables; the chance to miss a pair right at the threshold stays below `miss`).
+    Codes within code_radius make candidate components, and only those are sent with their vectors, once each: there
+    estimates from codes and factors with their confidence bounds settle most pairs, and open pairs are recomputed
+    exactly. No pair is sent: groups return sums of links and at most one link a class for the components.
 
     Null labels, and vectors that are null, empty, zero or hold null or non-finite components, link with nothing:
     n_links 0, own id as component_id, kept (not if the id is null). Repeated ids are several vectors of one name; an
@@ -84,71 +142,82 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label"))
     rows = rows.withColumn("node", F.when(usable("v") & F.col("label").isNotNull(), F.xxhash64("label", "v")))
-    rows = written(rows, "vectors")
     classes = rows.where("node is not null").groupBy("node", "label", "v").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
     classes = written(classes.withColumn("size", F.size("v")), "classes")
     largest = classes.groupBy("label", "size").count().agg(F.max("count")).first()[0] or 0
     bits, tables = _tables(largest, cell_rows, cosine, miss)
 
-    @F.pandas_udf("array<bigint>")
-    def keys(vectors: pd.Series) -> pd.Series:
+    @F.pandas_udf("code binary, factor double, keys array<bigint>")
+    def coded(vectors: pd.Series) -> pd.DataFrame:
         out: list = [None] * len(vectors)
         sizes = np.array([len(v) for v in vectors])
         for size in np.unique(sizes):
             at = np.flatnonzero(sizes == size)
             x = _unit(np.stack([np.asarray(vectors.iloc[i], dtype=np.float64) for i in at]))
-            need = -(-tables * bits // size)
-            signs = np.concatenate([x @ rotation(size, seed + 1000 + r) for r in range(need)], axis=1) >= 0
-            packed = (signs[:, : tables * bits].reshape(len(at), tables, bits) * (1 << np.arange(bits))).sum(axis=2)
-            for i, p in zip(at, packed):
-                out[i] = p
-        return pd.Series(out)
-
-    keyed = classes.withColumn("keys", keys("v") if bits else F.array(F.lit(0).cast("bigint")))
-    cells = keyed.select("*", F.posexplode("keys").alias("table", "key"))
-    cells = tiled(cells, ["label", "size", "table", "key"], "node", 2 * cell_rows)
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["tile", "node"])
-        a, b, table = (int(group[c].iloc[0]) for c in ("tile_a", "tile_b", "table"))
-        node, tile, n = group["node"].to_numpy(np.int64), group["tile"].to_numpy(), group["n"].to_numpy(np.int64)
-        x, key = np.stack(group["v"].to_numpy()).astype(np.float64), np.stack(group["keys"].to_numpy())
-        codes = Codes(_unit(x), seed)
-        left, right = np.flatnonzero(tile == a), np.flatnonzero(tile == b)
-        span = slice(right[0], right[-1] + 1) if len(right) else slice(0, 0)
-        other = Codes.__new__(Codes)
-        other.rotated, other.signs, other.factor = codes.rotated[span], codes.signs[span], codes.factor[span]
-        root, links = np.arange(len(node)), np.zeros(len(node), dtype=np.int64)
-        for at in range(0, len(left), 512):
-            chunk = slice(int(left[at]), int(left[min(at + 512, len(left)) - 1]) + 1)
-            i, j = codes.may_reach(chunk, other, cosine)
-            i, j = i + chunk.start, j + (span.start or 0)
-            if a == b:
-                i, j = i[i < j], j[i < j]
-            for part in range(0, len(i), 200_000):
-                p, q = i[part : part + 200_000], j[part : part + 200_000]
-                linked = cosines(x[p], x[q]) >= cosine
-                p, q = p[linked], q[linked]
-                cuts = np.flatnonzero(np.diff(p)) + 1
-                for u, w in zip(np.split(p, cuts), np.split(q, cuts)):
-                    if len(u):
-                        merge_roots(root, np.append(w, u[0]))
-                if table:
-                    new = ~(key[p, :table] == key[q, :table]).any(axis=1)
-                    p, q = p[new], q[new]
-                np.add.at(links, p, n[q])
-                np.add.at(links, q, n[p])
-        some = np.flatnonzero((links > 0) | (root != np.arange(len(node))))
-        return pd.DataFrame({"node": node[some], "root": node[root[some]], "links": links[some]})
-
-    found = written(cells.groupBy("label", "size", "table", "key", "tile_a", "tile_b").applyInPandas(compare, "node bigint, root bigint, links bigint"), "links")
+            codes, factor = encoded(x, seed)
+            keys = np.zeros((len(at), 1), dtype=np.int64)
+            if bits:
+                signs = np.concatenate([x @ rotation(size, seed + 1000 + r) for r in range(-(-tables * bits // size))], axis=1) >= 0
+                keys = (signs[:, : tables * bits].reshape(len(at), tables, bits) * (1 << np.arange(bits))).sum(axis=2)
+            for i, c, f, k in zip(at, codes, factor, keys):
+                out[i] = (c.tobytes(), f, k)
+        return pd.DataFrame(out, columns=["code", "factor", "keys"])
+
+    coded_classes = written(classes.select("node", "label", "size", coded("v").alias("c")).select("node", "label", "size", "c.*"), "codes")
+    cells = coded_classes.select("node", "size", "code", "label", F.posexplode("keys").alias("table", "key"))
+    cells = packed(cells.select("node", "size", "code", F.xxhash64("label", "size", "table", "key").alias("cell")), ["cell"], "node", cell_rows)
+
+    def screened(group: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for size, part in group.groupby("size"):
+            part = part.sort_values(["cell", "tile", "node"])
+            node = part["node"].to_numpy(np.int64)
+            low, high = runs(part["cell"].to_numpy(np.int64), part["tile"].to_numpy(), int(part["tile_a"].iloc[0]), int(part["tile_b"].iloc[0]))
+            codes = np.frombuffer(b"".join(part["code"]), dtype=np.uint8).reshape(len(part), -1)
+            root = least_linked(len(node), close_codes(codes, low, high, code_radius(int(size), cosine)))
+            moved = np.flatnonzero(root != np.arange(len(node)))
+            found.append(pd.DataFrame({"a": node[moved], "b": node[root[moved]]}))
+        return pd.concat(found)
+
+    candidates = connected_components(cells.groupBy("bucket", "tile_a", "tile_b").applyInPandas(screened, "a bigint, b bigint"), "a", "b")
+    candidates = written(candidates.union(candidates.select("component", "component").distinct()), "candidates")
+    candidates = written(packed(candidates, ["component"], "node", compare_rows), "tiles")
+    vectors = classes.join(coded_classes.select("node", "code", "factor"), "node").select("node", "n", "v", "size", "code", "factor")
+    vectors = vectors.join(perhaps_broadcast(candidates), "node")
+
+    def compared(group: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, part in group.groupby("size"):
+            part = part.sort_values(["component", "tile", "node"])
+            node, n = part["node"].to_numpy(np.int64), part["n"].to_numpy(np.int64)
+            low, high = runs(part["component"].to_numpy(np.int64), part["tile"].to_numpy(), int(part["tile_a"].iloc[0]), int(part["tile_b"].iloc[0]))
+            x = np.stack(part["v"].to_numpy()).astype(np.float64)
+            codes = np.frombuffer(b"".join(part["code"]), dtype=np.uint8).reshape(len(part), -1)
+            links = np.zeros(len(node), dtype=np.int64)
+
+            def linked() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for i, j in Estimates(_unit(x), codes, part["factor"].to_numpy(), seed).open_pairs(low, high, cosine):  # noqa: B023
+                    for at in range(0, len(i), 200_000):
+                        p, q = i[at : at + 200_000], j[at : at + 200_000]
+                        same = cosines(x[p], x[q]) >= cosine  # noqa: B023
+                        p, q = p[same], q[same]
+                        np.add.at(links, p, n[q])  # noqa: B023
+                        np.add.at(links, q, n[p])  # noqa: B023
+                        yield p, q
+
+            root = least_linked(len(node), linked())
+            some = np.flatnonzero((links > 0) | (root != np.arange(len(node))))
+            found.append(pd.DataFrame({"node": node[some], "root": node[root[some]], "links": links[some]}))
+        return pd.concat(found)
+
+    found = written(vectors.groupBy("bucket", "tile_a", "tile_b").applyInPandas(compared, "node bigint, root bigint, links bigint"), "links")
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select("node", "root"), "node", "root").withColumnRenamed("component", "part")
     named = classes.select("node", "n", "least").join(sums, "node", "left").join(parts, "node", "left")
-    named = named.withColumn("part", F.coalesce("part", "node"))
+    named = written(named.withColumn("part", F.coalesce("part", "node")), "named")
     named = named.join(named.groupBy("part").agg(F.min("least").alias("component_id")), "part")
-    named = named.select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    out = rows.select("id", "node").join(named, "node", "left")
+    named = named.select("node", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    out = joined(rows.select("id", "node"), named, "node", "n")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bits_for, connected_components, joined, merge_roots, packed, perhaps_broadcast, tiled, words_of, written
+from .common import bits_for, connected_components, joined, least_linked, merge_roots, packed, perhaps_broadcast, runs, tiled, words_of, written
 
 #: (bands, bands that must agree): two words that differ in at most r bits agree on bands - r whole bands or more.
 _LADDER = (1, 2, 3, 4, 6)
@@ -222,35 +222,6 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int, seed: int = 5) -> np.nd
     return keys.view(np.int64)
 
 
-def _runs(keys: np.ndarray, tile: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by key and tile: the rows low to high (exclusive) that each row is to be compared with."""
-    at = np.arange(len(keys))
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else at
-    ends = np.append(starts[1:], len(keys))
-    run = np.repeat(np.arange(len(starts)), ends - starts)
-    if a == b:
-        return at + 1, ends[run]
-    second = np.add.reduceat((tile == a).astype(np.int64), starts) + starts if len(keys) else at
-    return np.where(tile == a, second[run], at), np.where(tile == a, ends[run], at)
-
-
-def _least_linked(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest row that each row reaches by the pairs."""
-    root = np.arange(n)
-    for i, j in pairs:
-        while True:
-            low = np.minimum(root[i], root[j])
-            if (root[i] == low).all() and (root[j] == low).all():
-                break
-            for x in (i, j):
-                np.minimum.at(root, root[x], low)
-                np.minimum.at(root, x, low)
-            root = root[root]
-    while (root[root] != root).any():
-        root = root[root]
-    return root
-
-
 def verified(sets: list[np.ndarray], low: np.ndarray, high: np.ndarray, similarity: float) -> np.ndarray:
     """The smallest row that each row reaches by pairs (i, low[i] <= j < high[i]) whose sets' Jaccard is `similarity` or more.
 
@@ -284,8 +255,8 @@ def link_similar(prints: DataFrame, texts: DataFrame, key: str, similarity: floa
     def screened(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["key", "tile", "node"])
         node = group["node"].to_numpy(np.int64)
-        low, high = _runs(group["key"].to_numpy(np.int64), group["tile"].to_numpy(), int(group["tile_a"].iloc[0]), int(group["tile_b"].iloc[0]))
-        root = _least_linked(len(node), near_in_runs(group["fp"].to_numpy(np.int64).view(np.uint64), low, high, radius))
+        low, high = runs(group["key"].to_numpy(np.int64), group["tile"].to_numpy(), int(group["tile_a"].iloc[0]), int(group["tile_b"].iloc[0]))
+        root = least_linked(len(node), near_inruns(group["fp"].to_numpy(np.int64).view(np.uint64), low, high, radius))
         moved = np.flatnonzero(root != np.arange(len(node)))
         return pd.DataFrame({"a": node[moved], "b": node[root[moved]]}).drop_duplicates()
 
@@ -305,7 +276,7 @@ def link_similar(prints: DataFrame, texts: DataFrame, key: str, similarity: floa
     def compared(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["component", "tile", "node"])
         node = group["node"].to_numpy(np.int64)
-        low, high = _runs(group["component"].to_numpy(np.int64), group["tile"].to_numpy(), int(group["tile_a"].iloc[0]), int(group["tile_b"].iloc[0]))
+        low, high = runs(group["component"].to_numpy(np.int64), group["tile"].to_numpy(), int(group["tile_a"].iloc[0]), int(group["tile_b"].iloc[0]))
         root = verified([np.sort(np.asarray(s, dtype=np.int64)) for s in group["shingles"]], low, high, similarity)
         moved = np.flatnonzero(root != np.arange(len(node)))
         return pd.DataFrame({"a": node[moved], "b": node[root[moved]]})

@@ -30,24 +30,42 @@ def brute_links(x, labels, cosine=0.98):
         part = new
 
 
-@pytest.mark.parametrize("cell_rows", [8, 64, 4096])
+@pytest.mark.parametrize("cell_rows", [8, 64, 8192])
 def test_links_and_components_match_brute_force(spark, cell_rows):
     x, labels = planted()
     df = spark.createDataFrame([(i, v.tolist(), int(k), "x") for i, (v, k) in enumerate(zip(x, labels))], SCHEMA)
     n, part = brute_links(x, labels)
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.near_duplicates(df, cell_rows=cell_rows).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.near_duplicates(df, cell_rows=cell_rows, compare_rows=cell_rows).collect()}
     assert got == {i: (n[i], part[i], part[i] == i) for i in range(len(x))}
     assert n.sum() > 100
 
 
-def test_bounds_leave_out_no_pair():
-    x, _ = planted(300, 9)
-    unit = E._unit(x.astype(np.float64))
-    codes = E.Codes(unit)
-    left, right = codes.may_reach(slice(0, 300), codes, 0.98)
-    open_ = set(zip(left.tolist(), right.tolist()))
-    near = np.argwhere(unit @ unit.T >= 0.98)
-    assert all((i, j) in open_ for i, j in near.tolist()) and len(open_) < 300 * 300 / 3
+@pytest.mark.parametrize("size", [1, 2, 16, 64, 300])
+def test_codes_and_estimates_leave_out_no_pair(size):
+    rng = np.random.default_rng(size)
+    x = rng.standard_normal((200, size))
+    x = np.concatenate([x, x + rng.standard_normal(x.shape) * 0.2 * rng.random((200, 1))])
+    unit = E._unit(x)
+    codes, factor = E.encoded(unit, 3)
+    low, high = np.arange(400) + 1, np.full(400, 400)
+    near = {(i, j) for i, j in np.argwhere(unit @ unit.T >= 0.98).tolist() if i < j}
+    close = {(int(i), int(j)) for p, q in E.close_codes(codes, low, high, E.code_radius(size, 0.98), width=64) for i, j in zip(p, q)}
+    open_ = {(int(i), int(j)) for p, q in E.Estimates(unit, codes, factor, 3).open_pairs(low, high, 0.98) for i, j in zip(p, q)}
+    assert len(near) >= 40 and near <= close and near <= open_
+    assert size < 16 or len(open_) < len(near) + 400 and len(close) < len(near) + 400
+
+
+def test_estimates_are_unbiased():
+    rng = np.random.default_rng(4)
+    x, y = E._unit(rng.standard_normal((2, 64)))[:, None]
+    found = []
+    for seed in range(200):
+        codes, factor = E.encoded(y, seed)
+        e = E.Estimates(np.concatenate([x, y]), np.concatenate([codes, codes]), np.repeat(factor, 2), seed)
+        found.append((e.rotated[0] @ e.directions[1]) / e.factor[1])
+        E.stacked.cache_clear()
+    true = float((x @ y.T).item())
+    assert abs(np.mean(found) - true) < 4 * np.std(found) / 200**0.5 and np.std(found) < 0.06
 
 
 def test_odd_vectors(spark):

@@ -149,7 +149,7 @@ def test_runs_and_pairs_match_brute_force():
         order = np.lexsort((tile, key))
         key, tile = key[order], tile[order]
         prints = rng.integers(0, 2**63, n, dtype=np.uint64) & np.uint64(0xFFFFF)
-        low, high = simhash._runs(key, tile, a, b)
+        low, high = simhash.runs(key, tile, a, b)
         got = {(int(i), int(j)) for x, y in simhash.near_in_runs(prints, low, high, 6, block=7) for i, j in zip(x, y)}
         want = {(i, j) for i in range(n) for j in range(i + 1, n) if key[i] == key[j] and (tile[i] != tile[j]) == (a != b) and (int(prints[i]) ^ int(prints[j])).bit_count() <= 6}
         assert got == want
