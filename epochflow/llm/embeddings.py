@@ -8,8 +8,9 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bits_for, connected_components, joined, least_linked, packed, perhaps_broadcast, runs, written
 
@@ -140,7 +141,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     n_links 0, own id as component_id, kept (not if the id is null). Repeated ids are several vectors of one name; an
     empty table gives an empty result; other columns are not returned.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label"))
+    rows = df.select(F.col(id_col).alias("id"), _floats(df, vector).alias("v"), F.col(label).alias("label"))
     rows = rows.withColumn("node", F.when(usable("v") & F.col("label").isNotNull(), F.xxhash64("label", "v")))
     classes = rows.where("node is not null").groupBy("node", "label", "v").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
     classes = written(classes.withColumn("size", F.size("v")), "classes")
@@ -266,49 +267,77 @@ class Forest:
             yield np.flatnonzero(seen)
 
 
-def nearest(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", shard_rows: int = 8192, query_rows: int = 4096, trees: int = 48, share: float = 0.75, least: int = 1024, seed: int = 11) -> DataFrame:
+def _floats(df: DataFrame, vector: str) -> Column:
+    """The vector as floats if it has that type (half as long to send), else as doubles."""
+    return F.col(vector).cast(df.schema[vector].dataType if df.schema[vector].dataType == T.ArrayType(T.FloatType()) else "array<double>")
+
+
+class _Search:
+    """A shard of vectors of one size, and the search of query vectors in its forest."""
+
+    def __init__(self, part: pd.DataFrame, trees: int, seed: int, share: float, least: int, k: int):
+        self.x = np.stack(part["v"].to_numpy()).astype(np.float64)
+        self.ids, self.k = part["ids"].to_numpy(), k
+        self.forest = Forest(_unit(self.x), trees, seed)
+        self.enough = int(max(least, share * len(self.x)))
+
+    def found(self, part: pd.DataFrame) -> Iterator[tuple[int, int, float]]:
+        """(query's node, id, score) of the k + 1 nearest found rows of each query, ties by id."""
+        y, k = np.stack(part["v"].to_numpy()).astype(np.float64), self.k
+        for q, rows in enumerate(self.forest.candidates(_unit(y), self.enough)):
+            score = cosines(self.x[rows], np.broadcast_to(y[q], (len(rows), y.shape[1])))
+            # k + 1 classes at least: one of them may hold the query's own row alone; ties at the end are all kept.
+            cut = np.partition(score, len(score) - k - 1)[len(score) - k - 1] if len(score) > k + 1 else -np.inf
+            best = sorted((-score[i], int(one)) for i in np.flatnonzero(score >= cut) for one in self.ids[rows[i]])[: k + 1]
+            yield from ((int(part["node"].iloc[q]), one, -far) for far, one in best)
+
+
+def nearest(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", shard_rows: int | None = None, trees: int = 48, share: float = 0.75, least: int = 1024, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by `every`, by cosine.
 
-    Equal vectors are one class, of which the k + 1 smallest ids can be results. Classes are dealt to shards of about
-    shard_rows by hash; a shard holds a forest of its own (every class is in each of its trees) and answers blocks of
-    query_rows distinct query vectors; a query's best of all shards are its result. A shard looks at rows until its
-    trees' ranges add up to max(least, share * rows) with repeats, so its candidates are about half of it where
-    neighbours are far apart, and the whole of a small shard.
+    Equal vectors are one class, of which the k + 1 smallest ids can be results. Classes are dealt by hash to shards of
+    about shard_rows (by default 8,192 to 65,536, more where there are more rows). A task reads a shard, builds its
+    forest once (every class is in each of its trees), and answers the distinct query vectors that stream in behind it;
+    the best of all shards, merged in two levels, are a query's result. A shard looks at rows until its trees' ranges
+    add up to max(least, share * rows) with repeats, so its candidates are about half of it where neighbours are far
+    apart, and the whole of a small shard.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids; only
     vectors of equal size meet. Rows that repeat a query's id are that query: its own rows are no candidates of it.
     Ties go to the smaller id. Empty tables give empty results; other columns are not returned.
     """
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(usable("v") & F.col("id").isNotNull()).distinct()
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), _floats(df, vector).alias("v")).where(usable("v") & F.col("id").isNotNull()).distinct()
     rows = written(rows.withColumn("node", F.xxhash64("v")), "vectors")
-    lowest = _smallest_ids(rows, k + 1)
-    classes = written(rows.groupBy("node", "v").agg(F.lit(1).alias("one")).drop("one").join(lowest, "node"), "classes")
-    shards = max(1, -(-classes.count() // shard_rows))
+    classes = written(rows.groupBy("node", "v").agg(F.lit(1).alias("one")).drop("one").join(_smallest_ids(rows, k + 1), "node"), "classes")
+    count = classes.count()
+    shards = max(1, -(-count // (shard_rows or max(8192, min(65_536, count // 64)))))
     asked = written(rows.where(F.col("id") % every == 0), "queries")
-    distinct = asked.select("node", "v").distinct()
-    blocks = max(1, -(-distinct.count() // query_rows))
-    deal = lambda name, n: F.pmod(F.xxhash64(F.lit(name), F.col("node")), F.lit(n)).cast("int")
-    to_all = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    index = classes.withColumn("shard", deal("shard", shards)).withColumn("block", to_all(blocks)).withColumn("size", F.size("v"))
-    queries = distinct.withColumn("block", deal("block", blocks)).withColumn("shard", to_all(shards)).withColumn("size", F.size("v"))
-
-    def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(left) and len(right):
-            left, right = left.sort_values("node"), right.sort_values("node")
-            x, y = np.stack(left["v"].to_numpy()).astype(np.float64), np.stack(right["v"].to_numpy()).astype(np.float64)
-            ids, node, asks = left["ids"].to_numpy(), left["node"].to_numpy(), right["node"].to_numpy()
-            forest = Forest(_unit(x), trees, seed)
-            for q, found in enumerate(forest.candidates(_unit(y), int(max(least, share * len(x))))):
-                score = cosines(x[found], np.broadcast_to(y[q], (len(found), y.shape[1])))
-                # k + 1 classes at least: one of them may hold the query's own row alone; ties at the end are all kept.
-                cut = np.partition(score, len(score) - k - 1)[len(score) - k - 1] if len(score) > k + 1 else -np.inf
-                best = sorted(((-score[i], int(one)) for i in np.flatnonzero(score >= cut) for one in ids[found[i]]))[: k + 1]
-                out += [(int(asks[q]), one, -s) for s, one in best]
-        return pd.DataFrame(out, columns=["node", "vec_id", "score"]).astype({"node": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = index.groupBy("shard", "block", "size").cogroup(queries.groupBy("shard", "block", "size")).applyInPandas(search, "node bigint, vec_id bigint, score double")
-    best = found.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k + 1).alias("best"))
+    shard = F.pmod(F.xxhash64(F.lit("shard"), F.col("node")), F.lit(shards)).cast("int")
+    index = classes.select(shard.alias("shard"), F.size("v").alias("size"), F.lit(0).alias("asks"), "node", "v", "ids")
+    to_all = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    queries = asked.select("node", "v").distinct().select(to_all.alias("shard"), F.size("v").alias("size"), F.lit(1).alias("asks"), "node", "v")
+    stream = index.unionByName(queries, allowMissingColumns=True).repartition(shards, "shard").sortWithinPartitions("shard", "size", "asks", "node")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, ready = None, [], None
+        for batch in batches:
+            out: list[tuple] = []
+            for key, part in batch.groupby(["shard", "size", "asks"]):
+                if key[:2] != at:
+                    at, held, ready = key[:2], [], None
+                if not key[2]:
+                    held.append(part)
+                elif held or ready:
+                    ready = ready or _Search(pd.concat(held), trees, seed, share, least, k)
+                    held = []
+                    out += ready.found(part)
+            yield pd.DataFrame(out, columns=["node", "vec_id", "score"]).astype({"node": "int64", "vec_id": "int64", "score": "float64"})
+
+    found = stream.mapInPandas(search, "node bigint, vec_id bigint, score double").select("node", F.struct((-F.col("score")).alias("far"), "vec_id").alias("hit"))
+    top = lambda c: F.slice(F.array_sort(F.collect_set(c)), 1, k + 1)
+    part = F.pmod(F.xxhash64("hit"), F.lit(math.isqrt(shards) + 1))
+    some = found.groupBy("node", part.alias("part")).agg(top("hit").alias("best"))
+    best = some.select("node", F.explode("best").alias("hit")).groupBy("node").agg(top("hit").alias("best"))
     hits = asked.select(F.col("id").alias("query_id"), "node").join(best, "node")
     others = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k)
     hits = hits.select("query_id", F.posexplode(others).alias("at", "hit"))
