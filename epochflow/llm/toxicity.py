@@ -1,8 +1,8 @@
 """Toxicity: disguised words are restored by a noisy channel (Viterbi over character lattices), then texts are scored.
 
 The channel writes a letter as itself, as a look-alike, with marks in between, or several times; the source is a
-character trigram model of the corpus' words. Texts spaced out letter by letter are split into known words. Words (and beginnings of words) that are significantly more frequent in
-documents labelled toxic carry the score.
+character trigram model of the corpus' words. Texts spaced out letter by letter are split into known words. Words (and
+beginnings of words) that are significantly more frequent in documents labelled toxic carry the score.
 """
 
 from __future__ import annotations
@@ -68,7 +68,7 @@ class CharModel:
 
 
 def restore(token: str, model: CharModel) -> str:
-    """The likeliest letters behind a token (Viterbi; a state is the last two letters).
+    """The likeliest letters behind a token (Viterbi over all states; a state is the last two letters).
 
     Paths share their letters as linked pairs, so time and memory grow with the length only.
     """
@@ -89,7 +89,7 @@ def restore(token: str, model: CharModel) -> str:
             for state, q, x in steps:
                 if state not in new or q > new[state][0]:
                     new[state] = (q, (out, x) if x else out)
-        best = dict(sorted(new.items(), key=lambda x: -x[1][0])[:24])
+        best = new
     ends = [(p + model.logp(a, b, "$"), out) for (a, b), (p, out) in best.items()]
     top = max(p for p, _ in ends)
     return max(_letters(out) for p, out in ends if p == top)
@@ -204,8 +204,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
     Bounded: of those labels the `most_rows` with the lowest id hash are used (an id with several labels takes the
     largest; null ids and labels are left out). Near copies among them count once. The channel's trigrams are counted
-    over all documents. Without labels of both classes the
-    model has no weights and scores everything with the prior.
+    over all documents. Without labels of both classes the model has no weights and scores everything with the prior.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~remainder_is(id_col, modulus, held_out))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_y"))

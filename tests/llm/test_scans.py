@@ -184,6 +184,39 @@ def test_long_disguises_are_restored(spark):
     assert got == [True] * 5 + [False]
 
 
+def test_viterbi_finds_the_best_of_all_paths():
+    """All spellings of short tokens, scored one by one."""
+    import itertools
+
+    words = "toilet illegal idiot stupid little list still title".split()
+    tri = {}
+    for w in words:
+        w = f"^^{w}$"
+        for i in range(len(w) - 2):
+            tri[w[i : i + 3]] = tri.get(w[i : i + 3], 0) + 1
+    model = toxicity.CharModel(tri)
+
+    def options(token, i):
+        c = token[i]
+        out = [(c, 0.0)] if c.isalpha() else []
+        out += [(x, toxicity._LOOK) for x in toxicity.LOOKALIKES.get(c, "")]
+        if not c.isalpha():
+            out.append(("", toxicity._MARK if c in toxicity._MARKS else toxicity._SIGN))
+        return out
+
+    rng = random.Random(3)
+    for _ in range(60):
+        token = "".join(rng.choice("1|!ltio.50") for _ in range(rng.randrange(1, 8)))
+        best = -1e9
+        for path in itertools.product(*(options(token, i) for i in range(len(token)))):
+            letters = "^^" + "".join(x for x, _ in path) + "$"
+            best = max(best, sum(w for _, w in path) + sum(model.logp(*letters[i : i + 3]) for i in range(len(letters) - 2)))
+        got = toxicity.restore(token, model)
+        if not any(a == b and a.isalpha() for a, b in zip(token, token[1:])):
+            letters = "^^" + got + "$"
+            assert best - 1e-9 <= sum(model.logp(*letters[i : i + 3]) for i in range(len(letters) - 2)), token
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 1), (None, "x", 2), (2, "y " * 50000, 3), (2, "y " * 50000, 3)], "doc_id long, text string, score long")
     labels = spark.createDataFrame([(1, None), (None, 1), (2, 1), (2, 0)], "doc_id long, toxic int")
