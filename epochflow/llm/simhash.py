@@ -256,7 +256,7 @@ def link_similar(prints: DataFrame, texts: DataFrame, key: str, similarity: floa
         group = group.sort_values(["key", "tile", "node"])
         node = group["node"].to_numpy(np.int64)
         low, high = runs(group["key"].to_numpy(np.int64), group["tile"].to_numpy(), int(group["tile_a"].iloc[0]), int(group["tile_b"].iloc[0]))
-        root = least_linked(len(node), near_inruns(group["fp"].to_numpy(np.int64).view(np.uint64), low, high, radius))
+        root = least_linked(len(node), near_in_runs(group["fp"].to_numpy(np.int64).view(np.uint64), low, high, radius))
         moved = np.flatnonzero(root != np.arange(len(node)))
         return pd.DataFrame({"a": node[moved], "b": node[root[moved]]}).drop_duplicates()
 
