@@ -220,13 +220,23 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     classes = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
+        held: Counter = Counter()  # documents by word, so that a word is cut into trigrams once
+
+        def cut() -> pd.DataFrame:
             grams: Counter = Counter()
+            for w, k in held.items():
+                w = f"^^{w}$"
+                for i in range(len(w) - 2):
+                    grams[w[i : i + 3]] += k
+            held.clear()
+            return pd.DataFrame(list(grams.items()), columns=["g", "n"])
+
+        for part in batches:
             for t in part["text"]:
-                for w in set(_WORD.findall((t or "").lower())):
-                    w = f"^^{w}$"
-                    grams.update(w[i : i + 3] for i in range(len(w) - 2))
-            yield pd.DataFrame(list(grams.items()), columns=["g", "n"])
+                held.update(set(_WORD.findall((t or "").lower())))
+            if len(held) > 200_000:
+                yield cut()
+        yield cut()
 
     grams = docs.select(F.col(text).alias("text")).mapInPandas(trigrams, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
 
