@@ -17,9 +17,11 @@ DEAD, NOISY, SATURATED, STUCK = 1.0, 100.0, 200.0, 10
 def signal_stats(signal: Column) -> list[Column]:
     """peak (of the mean-centred signal), std (population) and jump (largest step) of an array of samples."""
     mean = F.aggregate(signal, F.lit(0.0), lambda a, x: a + x) / F.size(signal)
-    square = F.aggregate(signal, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+    # The mean is bound by a transform of one element, or it would be computed anew for each sample.
+    square = F.transform(F.array(mean), lambda m: F.aggregate(signal, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)))[0]
+    peak = F.transform(F.array(mean), lambda m: F.greatest(F.abs(F.array_max(signal) - m), F.abs(F.array_min(signal) - m)))[0]
     steps = F.zip_with(F.slice(signal, 2, 1 << 30), F.slice(signal, 1, F.size(signal) - 1), lambda b, a: F.abs(b - a))
-    return [F.array_max(F.transform(signal, lambda x: F.abs(x - mean))).alias("peak"), F.sqrt(square / F.size(signal)).alias("std"), F.coalesce(F.array_max(steps), F.lit(0.0)).alias("jump")]
+    return [peak.alias("peak"), F.sqrt(square / F.size(signal)).alias("std"), F.coalesce(F.array_max(steps), F.lit(0.0)).alias("jump")]
 
 
 def long_stats(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:

@@ -16,12 +16,13 @@ from epochflow.operators.signals import as_lists, batched, stack
 def long_covariance(epochs: DataFrame, key: str, label: str, signal: str = "signal", shrink: float = 0.05) -> DataFrame:
     """(key, label, i, j, c): the trial covariances by expressions alone."""
     mean = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
-    centred = F.transform(signal, lambda ch: F.transform(ch, lambda v: v - mean(ch)))
+    # One mean a channel, bound by a transform of one element, and one power a trial.
+    centred = F.transform(signal, lambda ch: F.transform(F.array(mean(ch)), lambda m: F.transform(ch, lambda v: v - m))[0])
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
     rows = epochs.select(key, label, centred.alias("x"), F.size(signal).alias("n"))
+    rows = rows.withColumn("power", F.aggregate("x", F.lit(0.0), lambda s, ch: s + dot(ch, ch)))
     ij = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
-    power = F.aggregate("x", F.lit(0.0), lambda s, ch: s + dot(ch, ch))
-    c = dot(F.get("x", F.col("i")), F.get("x", F.col("j"))) / power
+    c = dot(F.get("x", F.col("i")), F.get("x", F.col("j"))) / F.col("power")
     return ij.select(key, label, "i", "j", ((1 - shrink) * c + F.when(F.col("i") == F.col("j"), shrink / F.col("n")).otherwise(0.0)).alias("c"))
 
 

@@ -44,10 +44,11 @@ def tumbling_windows(df: DataFrame, keys: list[str], index: str, value: str, siz
 
 
 def stitch(windows: DataFrame, keys: list[str], hop: int) -> DataFrame:
-    """(keys, signal): overlapping windows put together again, the first whole and the last `hop` of each next."""
-    part = F.when(F.col("k") == F.min("k").over(Window.partitionBy(*keys)), F.col("signal")).otherwise(F.slice("signal", -hop, hop))
-    rows = windows.select(*keys, F.struct("k", part.alias("x")).alias("p"))
-    return rows.groupBy(*keys).agg(F.flatten(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["x"])).alias("signal"))
+    """(keys, i, x): overlapping windows put together again, the first whole and the last `hop` of each next, a row a sample."""
+    first = windows.groupBy(*keys).agg(F.min("k").alias("_first"))
+    rows = windows.join(first, keys).withColumn("_skip", F.when(F.col("k") == F.col("_first"), 0).otherwise(F.size("signal") - hop))
+    rows = rows.select(*keys, "k", "_first", "_skip", F.posexplode(F.slice("signal", F.col("_skip") + 1, F.size("signal") - F.col("_skip"))).alias("_at", "x"))
+    return rows.select(*keys, ((F.col("k") - F.col("_first")) * hop + F.col("_skip") + F.col("_at")).alias("i"), "x")
 
 
 def last_n(value: str, keys: list[str], order: str, n: int) -> Column:

@@ -72,9 +72,9 @@ def b11_intent_map(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("o_custkey", F.size("m").cast("bigint").alias("actions"), F.map_keys("m")[0].alias("first_action"))
 
 
-@query(f"WITH {_LABELS}, s AS (SELECT DISTINCT user_id, intent, ord FROM lab WHERE intent <> 'idle' AND event_id % 3 = 0), k AS (SELECT user_id, string_agg(intent, '|' ORDER BY ord) AS joined, string_agg(intent, '-' ORDER BY ord) AS short, count(*) AS n FROM s GROUP BY 1) SELECT user_id, concat(CASE WHEN n <= 3 THEN short ELSE concat(n, '-intents') END, '-', substr(sha1(joined), 1, 8)) AS task_set FROM k")
+@query(f"WITH {_LABELS}, s AS (SELECT DISTINCT user_id, intent, ord FROM lab WHERE intent <> 'idle'), k AS (SELECT user_id, string_agg(intent, '|' ORDER BY ord) AS joined, string_agg(intent, '-' ORDER BY ord) AS short, count(*) AS n FROM s GROUP BY 1) SELECT user_id, concat(CASE WHEN n <= 3 THEN short ELSE concat(n, '-intents') END, '-', substr(sha1(joined), 1, 8)) AS task_set FROM k")
 def b12_f1_task_set_key(spark: SparkSession, sf: str) -> DataFrame:
-    s = _labelled(spark, sf).where("intent != 'idle' and event_id % 3 = 0").groupBy("user_id").agg(F.array_sort(F.collect_set(F.struct("ord", "intent"))).alias("s"))
+    s = _labelled(spark, sf).where("intent != 'idle'").groupBy("user_id").agg(F.array_sort(F.collect_set(F.struct("ord", "intent"))).alias("s"))
     return s.select("user_id", C.task_set_key(F.transform("s", lambda x: x["intent"])).alias("task_set"))
 
 
@@ -262,10 +262,10 @@ def h15_json(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", F.col("p.k").alias("k"), F.to_json("p").alias("out"))
 
 
-@query("SELECT o_custkey, max_by(o_orderkey, o_orderdate) AS latest FROM (SELECT * FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey, o_orderdate) = 1) GROUP BY 1")
+@query("SELECT o_custkey, o_orderkey AS latest FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
 def a2_latest_recording(spark: SparkSession, sf: str) -> DataFrame:
-    one = F.count(F.lit(1)).over(Window.partitionBy("o_custkey", "o_orderdate")) == 1
-    return table(spark, sf, "orders").withColumn("one", one).where("one").groupBy("o_custkey").agg(F.max_by("o_orderkey", "o_orderdate").alias("latest"))
+    """Of recordings of one date the one with the largest key."""
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey")).alias("r")).select("o_custkey", F.col("r.o_orderkey").alias("latest"))
 
 
 @query("SELECT label, trial, count(*) AS samples FROM (SELECT vec_id // 10 AS trial, label, unnest(embedding) AS x FROM embeddings) GROUP BY 1, 2")

@@ -38,7 +38,7 @@ def i2_tumbling_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {SIGNAL}, n AS (SELECT channel, count(*) AS c FROM signal GROUP BY 1) SELECT channel, count(*) AS n, round(sum(x), 6) AS total, round(sum(x * i), 4) AS moment FROM signal JOIN n USING (channel) WHERE i < 48 + 16 * ((c - 48) // 16) GROUP BY 1")
 def i3_stitch(spark: SparkSession, sf: str) -> DataFrame:
-    whole = windows.stitch(_windows(spark, sf), ["channel"], 16).select("channel", F.posexplode("signal").alias("i", "x"))
+    whole = windows.stitch(_windows(spark, sf), ["channel"], 16)
     return whole.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 6).alias("total"), F.round(F.sum(F.col("x") * F.col("i")), 4).alias("moment"))
 
 
@@ -202,9 +202,9 @@ def i9_feedback_suppression(spark: SparkSession, sf: str) -> DataFrame:
     return last.where("mark is null or t_ms >= mark + 3200000").groupBy("session").agg(F.count(F.lit(1)).alias("open_windows"))
 
 
-@query("WITH w AS (SELECT doc_id, n_chars / 100.0 AS want FROM documents), t AS (SELECT DISTINCT round(value, 2) AS have FROM events) SELECT doc_id, (SELECT have FROM t WHERE abs(have - want) <= 0.05 ORDER BY abs(have - want), have LIMIT 1) AS have FROM w WHERE want < 300")
+@query("WITH w AS (SELECT doc_id, n_chars / 100.0 AS want FROM documents), t AS (SELECT DISTINCT round(value, 2) AS have FROM events) SELECT doc_id, (SELECT have FROM t WHERE abs(have - want) <= 0.05 ORDER BY abs(have - want), have LIMIT 1) AS have FROM w")
 def c5_h14_nearest_frequency(spark: SparkSession, sf: str) -> DataFrame:
-    want = table(spark, sf, "documents").select("doc_id", (F.col("n_chars") / 100.0).alias("want")).where("want < 300")
+    want = table(spark, sf, "documents").select("doc_id", (F.col("n_chars") / 100.0).alias("want"))
     have = table(spark, sf, "events").select(F.round("value", 2).alias("have")).distinct()
     return joins.nearest_within(want, have, "want", "have", 0.05).select("doc_id", "have")
 
@@ -241,3 +241,11 @@ def b2_crop_or_pad(spark: SparkSession, sf: str) -> DataFrame:
 def d43_channel_normalisation(spark: SparkSession, sf: str) -> DataFrame:
     sd = F.stddev_pop("x")
     return long_epochs(spark, sf).groupBy("ch").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.when(sd < 1e-8, 1.0).otherwise(sd), 6).alias("scale"))
+
+
+@query("SELECT label, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight FROM embeddings GROUP BY 1")
+def d43_class_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Inverse-frequency weights: rows / (classes * rows of the class)."""
+    n = epochs(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    total = n.agg(F.sum("n").alias("_all"), F.count(F.lit(1)).alias("_classes"))
+    return n.crossJoin(F.broadcast(total)).select("label", "n", F.round(F.col("_all") / (F.col("_classes") * F.col("n")), 6).alias("weight"))  # one row of totals
