@@ -31,6 +31,15 @@ def bandpass(order: int, low: float, high: float, fs: float) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=16)
+def notch(frequency: float, quality: float, fs: float) -> np.ndarray:
+    """A second-order notch as one section: zeros on the unit circle, poles of the bandwidth frequency / quality."""
+    w = 2 * np.pi * frequency / fs
+    gain = 1 / (1 + np.tan(w / quality / 2))
+    zeros = gain * np.array([1.0, -2 * np.cos(w), 1.0])
+    return np.array([[*zeros, 1.0, -2 * gain * np.cos(w), 2 * gain - 1]])
+
+
 def _run(sos: np.ndarray, x: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Sections one after another (direct form II transposed) over the last axis, all rows at once."""
     y = x.astype(np.float64).copy()
@@ -79,8 +88,13 @@ def canonical_correlation(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def fbcca(signals: np.ndarray, frequencies, fs: float, channels, harmonics: int = 4, bands=SUB_BANDS, weights=BAND_WEIGHTS, top: float = TOP_HZ) -> np.ndarray:
-    """(rows, classes) filter-bank scores: weighted squared canonical correlations; each band is filtered once."""
+    """(rows, classes) filter-bank scores: weighted squared canonical correlations; each band is filtered once.
+
+    Signals must be longer than the columns of both sides together, or every correlation is 1.
+    """
     n = signals.shape[-1]
+    if n <= 2 * harmonics + len(channels) + 1:
+        raise ValueError(f"{n} samples are too few for {harmonics} harmonics of {len(channels)} channels")
     banks = [reference_bank(f, n, fs, harmonics) for f in frequencies]
     out = np.zeros((len(signals), len(banks)))
     for low, w in zip(bands, weights):
@@ -91,6 +105,12 @@ def fbcca(signals: np.ndarray, frequencies, fs: float, channels, harmonics: int
     return out
 
 
+def cca(signals: np.ndarray, frequencies, fs: float, channels, harmonics: int = 4) -> np.ndarray:
+    """(rows, classes) largest canonical correlations with sines and cosines of each frequency."""
+    banks = [reference_bank(f, signals.shape[-1], fs, harmonics) for f in frequencies]
+    return np.array([[canonical_correlation(trial.T, b) for b in banks] for trial in signals[:, channels]])
+
+
 def amplitude_spectrum(x: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:
     """One-sided peak amplitudes; the constant and Nyquist parts are not doubled."""
     n = x.shape[-1]

@@ -52,6 +52,32 @@ def fbcca_scores(signal: Column, frequencies: list[float], fs: float, channels:
     return batched(lambda x: as_lists(K.fbcca(x, frequencies, fs, channels, **bank)), "array<double>")(signal)
 
 
+def cca_scores(signal: Column, frequencies: list[float], fs: float, channels: list[int], harmonics: int = 4) -> Column:
+    return batched(lambda x: as_lists(K.cca(x, frequencies, fs, channels, harmonics)), "array<double>")(signal)
+
+
+def notched(signal: Column, fs: float, frequency: float = 50.0, quality: float = 30.0) -> Column:
+    sos = K.notch(frequency, quality, fs)
+    return batched(lambda x: [list(map(list, t)) for t in K.zero_phase(sos, x)], "array<array<double>>")(signal)
+
+
+def shapes(signal: Column, fs: float, fundamental: float) -> Column:
+    """sine, square or noise of each channel, with the third harmonic's share of the first."""
+    of = lambda x: [[dict(zip(("shape", "ratio"), K.shape_of(c, fs, fundamental))) for c in t] for t in x]
+    return batched(of, "array<struct<shape:string,ratio:double>>")(signal)
+
+
+def gated_spectrum(long: DataFrame, keys: list[str], index: str, value: str, n: int, floor: float) -> DataFrame:
+    """(keys, index, y): short signals of n samples without the frequency bins whose amplitude is below the floor (no UDF)."""
+    bins = spectrum(long, keys, index, value, n, 1.0, parts=True).where(F.col("amplitude") >= floor)
+    at = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(index)
+    rows = bins.select(*keys, "bin", "re", "im", at)
+    angle = 2 * np.pi * F.pmod(F.col("bin") * F.col(index), F.lit(n)) / n
+    share = F.when((F.col("bin") == 0) | (F.col("bin") * 2 == n), 1.0).otherwise(2.0) / n
+    kept = rows.groupBy(*keys, index).agg(F.sum(share * (F.col("re") * F.cos(angle) + F.col("im") * F.sin(angle))).alias("y"))
+    return long.select(*keys, index).join(kept, [*keys, index], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
+
+
 def blink(signal: Column, fs: float, channels: list[int], limit: float = 100.0) -> Column:
     """Judged on the raw signal; after a high-pass blinks are gone."""
     return batched(lambda x: K.is_blink(x[:, channels], fs, limit).tolist(), "boolean")(signal)
@@ -82,11 +108,11 @@ def tones(df: DataFrame, fs: float, signal: str = "signal", low: float = 4.0, hi
     return df.withColumn("_t", udf(F.col(signal))).select(*df.columns, "_t.*")
 
 
-def spectrum(long: DataFrame, keys: list[str], index: str, value: str, n: int, fs: float) -> DataFrame:
+def spectrum(long: DataFrame, keys: list[str], index: str, value: str, n: int, fs: float, parts: bool = False) -> DataFrame:
     """Amplitudes of every frequency bin of short signals of n samples, as sums of products (no UDF)."""
     bins = F.explode(F.sequence(F.lit(0), F.lit(n // 2))).alias("bin")
     rows = long.select(*keys, F.col(index).alias("_i"), F.col(value).alias("_x"), bins)
     angle = 2 * np.pi * F.pmod(F.col("bin") * F.col("_i"), F.lit(n)) / n
     out = rows.groupBy(*keys, "bin").agg(F.sum(F.col("_x") * F.cos(angle)).alias("re"), F.sum(F.col("_x") * F.sin(angle)).alias("im"))
     scale = F.when((F.col("bin") == 0) | (F.col("bin") * 2 == n), 1.0).otherwise(2.0) / n
-    return out.select(*keys, "bin", (F.col("bin") * fs / n).alias("hz"), (scale * F.sqrt(F.col("re") ** 2 + F.col("im") ** 2)).alias("amplitude"))
+    return out.select(*keys, "bin", *(["re", "im"] if parts else []), (F.col("bin") * fs / n).alias("hz"), (scale * F.sqrt(F.col("re") ** 2 + F.col("im") ** 2)).alias("amplitude"))

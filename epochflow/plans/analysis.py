@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from epochflow.functions import columns as C
 from epochflow.operators import decide, learning, quality, signals, spatial, stats
-from epochflow.plans.base import DECISIONS, EPOCHS, SIGNAL, decisions, epochs, long_epochs, query, rounded, signal, table
+from epochflow.plans.base import DECISIONS, EPOCHS, SIGNAL, decisions, epochs, long_epochs, query, rounded, signal, stream_windows, table
 
 _SCORED = f"WITH {DECISIONS}, sc AS (SELECT *, predicted IN ('signup', 'purchase') AS active FROM decisions)"
 
@@ -257,11 +257,41 @@ def h17_blink(spark: SparkSession, sf: str) -> DataFrame:
     return epochs(spark, sf).select("epoch_id", signals.blink(F.col("signal"), 250.0, [0, 1], 1.0).alias("blink"))
 
 
+_GATE = f"WITH {EPOCHS}, b AS (SELECT epoch_id, ch, k AS bin, sum(x * cos(2 * pi() * ((k * s) % 8) / 8)) AS re, sum(x * sin(2 * pi() * ((k * s) % 8) / 8)) AS im FROM epochs, range(5) t(k) GROUP BY 1, 2, 3), g AS (SELECT *, CASE WHEN bin IN (0, 4) THEN 1 ELSE 2 END / 8.0 AS share FROM b), y AS (SELECT epoch_id, ch, CAST(t.s AS INT) AS s, sum(CASE WHEN share * sqrt(re * re + im * im) >= 0.5 THEN share * (re * cos(2 * pi() * ((bin * t.s) % 8) / 8) + im * sin(2 * pi() * ((bin * t.s) % 8) / 8)) ELSE 0 END) AS y FROM g, range(8) t(s) GROUP BY 1, 2, 3)"
+
+
+@query(f"{_GATE} SELECT epoch_id, ch, s, round(y, 5) AS y FROM y")
+def h8_spectral_gate(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(signals.gated_spectrum(long_epochs(spark, sf), ["epoch_id", "ch"], "s", "x", 8, 0.5), "y", digits=5)
+
+
+@query()
+def h9_notch(spark: SparkSession, sf: str) -> DataFrame:
+    """Mains hum at 50 Hz taken out of windows of the stream: what is left of each channel."""
+    w = stream_windows(spark, sf).select("epoch_id", F.posexplode(signals.notched(F.col("signal"), 250.0)).alias("ch", "y"))
+    return w.select("epoch_id", "ch", F.explode("y").alias("y")).groupBy("epoch_id", "ch").agg(F.stddev_pop("y").alias("std"), F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def h11_k16_signal_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether windows carry the expected test signal: a square wave at 10 Hz on the best channel."""
+    w = stream_windows(spark, sf).withColumn("shapes", signals.shapes(F.col("signal"), 250.0, 10.0))
+    t = signals.tones(w, 250.0)
+    shape = F.element_at("shapes", F.col("tone_channel") + 1)
+    off = F.abs(F.col("frequency") - 10.0)
+    verdict = F.when((off <= 0.5) & (F.col("snr") >= 30) & (shape["shape"] == "square"), "PASS").when(F.col("snr") < 30, "NO_TONE").when(off > 0.5, "OTHER_TONE").otherwise("OTHER_SHAPE")
+    return t.select("epoch_id", "tone_channel", "frequency", "snr", shape["shape"].alias("shape"), shape["ratio"].alias("ratio"), verdict.alias("verdict"))
+
+
 @query()
 def h20_h18_fbcca(spark: SparkSession, sf: str) -> DataFrame:
-    scores = signals.fbcca_scores(F.col("signal"), [15.0, 20.0], 250.0, [6, 7])
-    e = epochs(spark, sf).select("epoch_id", scores.alias("s"))
-    return e.select("epoch_id", F.col("s")[0].alias("s0"), F.col("s")[1].alias("s1"), F.when(F.col("s")[1] > F.col("s")[0], 1).otherwise(0).alias("best"))
+    """Filter-bank scores and plain canonical correlations of windows of 750 samples, and the best class by each."""
+    every = [0, 1, 2, 3, 4]
+    s = signals.fbcca_scores(F.col("signal"), [15.0, 20.0], 250.0, every)
+    c = signals.cca_scores(F.col("signal"), [15.0, 20.0], 250.0, every)
+    e = stream_windows(spark, sf).select("epoch_id", s.alias("s"), c.alias("c"))
+    best = lambda x: F.when(x[1] > x[0], 1).otherwise(0)
+    return e.select("epoch_id", F.col("s")[0].alias("s0"), F.col("s")[1].alias("s1"), best(F.col("s")).alias("best"), F.col("c")[0].alias("c0"), F.col("c")[1].alias("c1"), best(F.col("c")).alias("plain_best"))
 
 
 @query()
@@ -299,8 +329,9 @@ def d28_h21_trca(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _folds(spark: SparkSession, sf: str) -> DataFrame:
-    """Ten people with five runs each; the folds are runs, so no run is on both sides."""
-    return epochs(spark, sf).select("subject", (F.floor(F.col("epoch_id") / 10) % 5).cast("int").alias("fold"), (F.col("label") % 2).alias("y"), "signal")
+    """People of 250 trials each, more of them in larger tables; the folds are five sets of runs, so no run is on both sides."""
+    e = epochs(spark, sf)
+    return e.select(F.floor(F.col("epoch_id") / 250).alias("subject"), (F.floor(F.col("epoch_id") / 10) % 5).cast("int").alias("fold"), (F.col("label") % 2).alias("y"), "signal", "epoch_id")
 
 
 @query()
@@ -310,8 +341,9 @@ def k5_k7_cross_validation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def k4_k9_d34_model_choice(spark: SparkSession, sf: str) -> DataFrame:
-    cv = learning.cross_validate(_folds(spark, sf), "subject", "fold", "y", ["csp_lda", "trca"])
-    return stats.cv_summary(cv, ["subject"], "pipeline", "accuracy")
+    """FBCCA, which needs no training, against TRCA on the same folds of windows of the stream; sessions of 50 windows."""
+    w = stream_windows(spark, sf).select(F.floor(F.col("epoch_id") / 50).alias("subject"), (F.floor(F.col("epoch_id") / 2) % 5).cast("int").alias("fold"), (F.col("epoch_id") % 2).alias("y"), "signal")
+    return stats.cv_summary(learning.cross_validate(w, "subject", "fold", "y", ["fbcca", "trca"]), ["subject"], "pipeline", "accuracy")
 
 
 @query()

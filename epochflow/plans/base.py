@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from epochflow.operators import windows
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -72,6 +74,13 @@ def long_epochs(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("epoch_id", "label", "session", "subject", "ch", F.posexplode("row").alias("s", "x"))
 
 
+def stream_windows(spark: SparkSession, sf: str, size: int = 750, hop: int = 250, channels: int = 5) -> DataFrame:
+    """Windows of the stream over all its channels: epoch_id (the window's number), signal (channels by name)."""
+    w = windows.hop_windows(signal(spark, sf), ["channel"], "i", "x", size, hop)
+    rows = w.groupBy(F.col("k").alias("epoch_id")).agg(F.sort_array(F.collect_list(F.struct("channel", "signal"))).alias("c"))
+    return rows.where(F.size("c") == channels).select("epoch_id", F.transform("c", lambda c: c["signal"]).alias("signal"))
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     """Values that are sums of doubles, rounded for comparison."""
     return df.withColumns({c: F.round(c, digits) for c in columns})

@@ -9,7 +9,7 @@ from epochflow.functions import columns as C
 from epochflow.functions import kernels as K
 from epochflow.operators import estimators, learning, quality, signals, spatial, stats, windows
 from epochflow.plans.analysis import _folds
-from epochflow.plans.base import EPOCHS, epochs, long_epochs, query, table
+from epochflow.plans.base import EPOCHS, epochs, long_epochs, query, stream_windows, table
 
 
 @query(f"WITH {EPOCHS}, p AS (SELECT epoch_id, label, ch, ln(var_pop(x) + 1e-12) AS p FROM epochs GROUP BY 1, 2, 3), m AS (SELECT label, ch, quantile_cont(p, 0.5) AS m FROM p GROUP BY 1, 2), d AS (SELECT p.*, m, abs(p - m) AS d FROM p JOIN m USING (label, ch)), mad AS (SELECT label, ch, quantile_cont(d, 0.5) AS mad FROM d GROUP BY 1, 2) SELECT epoch_id, ch, round(CASE WHEN mad > 0 THEN 0.6745 * (p - m) / mad ELSE 0 END, 5) AS z FROM d JOIN mad USING (label, ch)")
@@ -61,7 +61,7 @@ def d14_mahalanobis(spark: SparkSession, sf: str) -> DataFrame:
 def d35_permutation_test(spark: SparkSession, sf: str) -> DataFrame:
     """Share of label shuffles (within person, by hash) that score as well; one task per person, shuffle and fold."""
     f = _folds(spark, sf)
-    numbered = f.withColumn("i", F.row_number().over(Window.partitionBy("subject").orderBy("fold", F.xxhash64("signal"))))
+    numbered = f.withColumn("i", F.row_number().over(Window.partitionBy("subject").orderBy("epoch_id")))
     rounds = numbered.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(8))))
     dealt = rounds.withColumn("j", F.row_number().over(Window.partitionBy("subject", "m").orderBy(F.when(F.col("m") == 0, F.col("i").cast("bigint")).otherwise(F.xxhash64("m", "i")))))
     y = numbered.select("subject", F.col("i").alias("j"), F.col("y").alias("new"))
@@ -91,14 +91,17 @@ def k17_leakage_gap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def k6_within_vs_cross(spark: SparkSession, sf: str) -> DataFrame:
-    """Each person's second half, learned from the own first half or from everybody else's."""
-    e = windows.halves(epochs(spark, sf).withColumn("y", F.col("label") % 2), ["subject"], "epoch_id")
-    own = e.select("subject", (F.col("half") - 1).alias("fold"), "y", "signal")
-    people = e.select("subject").distinct().withColumnRenamed("subject", "who")
-    others = e.crossJoin(F.broadcast(people)).where("(subject = who and half = 2) or (subject != who and half = 1)")  # ten people
-    cross = others.select(F.col("who").alias("subject"), F.when(F.col("subject") == F.col("who"), 1).otherwise(0).alias("fold"), "y", "signal")
-    score = lambda d, name: learning.cross_validate(d, "subject", "fold", "y", ["csp_lda"]).where("fold = 1").select("subject", F.col("accuracy").alias(name))
-    return score(own, "within").join(score(cross, "across"), "subject")
+    """Each person's second half, learned from the own first half, or from other people (five folds of whole people).
+
+    Models across people are fitted from sums that merge across tasks, so no task holds their trials together.
+    """
+    e = windows.halves(_folds(spark, sf).drop("fold"), ["subject"], "epoch_id")
+    own = learning.cross_validate(e.withColumn("fold", (F.col("half") - 1).cast("int")), "subject", "fold", "y", ["csp_lda"])
+    own = own.where("fold = 1").select("subject", F.col("accuracy").alias("within"))
+    apart = e.withColumn("apart", F.pmod(F.xxhash64(F.lit(7), "subject"), F.lit(5)).cast("int"))
+    found = learning.held_out_csp_lda(apart, "apart", 5, "y").where("half = 2 and predicted is not null")
+    across = found.groupBy("subject").agg(F.avg((F.col("predicted") == F.col("y")).cast("double")).alias("across"))
+    return own.join(across, "subject", "left")
 
 
 @query()
@@ -149,7 +152,7 @@ def h24_filter_bank_features(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def k10_k12_layer_report(spark: SparkSession, sf: str) -> DataFrame:
     """Per person: screening, separability and classifier in one gated table."""
-    p = long_epochs(spark, sf).withColumn("y", F.col("label") % 2).groupBy("epoch_id", "subject", "y", "ch").agg(C.log_variance(F.var_pop("x")).alias("p"))
+    p = long_epochs(spark, sf).withColumns({"y": F.col("label") % 2, "subject": F.floor(F.col("epoch_id") / 250)}).groupBy("epoch_id", "subject", "y", "ch").agg(C.log_variance(F.var_pop("x")).alias("p"))
     f = stats.anova(p, ["subject", "ch"], "p", "y").groupBy("subject").agg(F.max("f").alias("f"))
     cv = learning.cross_validate(_folds(spark, sf), "subject", "fold", "y", ["csp_lda"]).groupBy("subject").agg((F.sum("correct") / F.sum("n")).alias("accuracy"))
     rows = f.join(cv, "subject", "left")
@@ -161,12 +164,12 @@ def k10_k12_layer_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def h26_model_commands(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores to a command and its confidence, or to no action below the threshold of the person's idle scores."""
-    s = epochs(spark, sf).select("epoch_id", "subject", (F.col("label") > 7).alias("idle"), signals.fbcca_scores(F.col("signal"), [15.0, 20.0], 250.0, [6, 7]).alias("s"))
+    """Scores of windows to a command and its confidence, or to no action below the threshold of the session's idle windows."""
+    s = stream_windows(spark, sf).select("epoch_id", F.floor(F.col("epoch_id") / 50).alias("session"), (F.col("epoch_id") % 3 == 0).alias("idle"), signals.fbcca_scores(F.col("signal"), [15.0, 20.0], 250.0, [0, 1, 2, 3, 4]).alias("s"))
     best = F.array_max("s")
-    rows = s.select("epoch_id", "subject", "idle", best.alias("confidence"), F.element_at(F.array(F.lit("left"), F.lit("right")), F.array_position("s", best).cast("int")).alias("name"), F.lit(False).alias("artifact"))
-    limit = stats.idle_threshold(rows, ["subject"], "confidence", "idle", "artifact")
-    gated = rows.join(F.broadcast(limit), "subject", "left")  # one row a person of these tables
+    rows = s.select("epoch_id", "session", "idle", best.alias("confidence"), F.element_at(F.array(F.lit("left"), F.lit("right")), F.array_position("s", best).cast("int")).alias("name"), F.lit(False).alias("artifact"))
+    limit = stats.idle_threshold(rows, ["session"], "confidence", "idle", "artifact")
+    gated = rows.join(limit, "session", "left")
     return gated.select("epoch_id", "confidence", C.gate(F.col("name"), F.col("confidence"), F.coalesce("threshold", F.lit(0.0))).alias("command"))
 
 
@@ -176,6 +179,5 @@ def j2_k8_k13_task_set(spark: SparkSession, sf: str) -> DataFrame:
     st = epochs(spark, sf).select("epoch_id", "subject", "label", F.posexplode("signal").alias("channel", "x"))
     st = st.select("epoch_id", "subject", "label", "channel", *quality.signal_stats(F.col("x")))
     kept = quality.masked_if_enough(quality.screen(st, ["epoch_id", "subject"], "label"), ["subject"]).select("epoch_id")
-    e = epochs(spark, sf).join(kept, "epoch_id", "left_semi")
-    f = e.select("subject", (F.floor(F.col("epoch_id") / 10) % 5).cast("int").alias("fold"), (F.col("label") % 2).alias("y"), "signal")
-    return stats.cv_summary(learning.cross_validate(f, "subject", "fold", "y", list(learning.PIPELINES)), ["subject"], "pipeline", "accuracy")
+    f = _folds(spark, sf).join(kept, "epoch_id", "left_semi")
+    return stats.cv_summary(learning.cross_validate(f, "subject", "fold", "y", ["csp_lda", "riemann_lr", "riemann_lda", "trca"]), ["subject"], "pipeline", "accuracy")
