@@ -50,8 +50,8 @@ def test_hop_windows_forms_agree(spark):
     fast = windows.hop_windows(df, ["c"], "i", "x", 30, 10).orderBy("c", "k").collect()
     slow = windows.hop_windows_exploded(df, ["c"], "i", "x", 30, 10).orderBy("c", "k").collect()
     assert fast == slow and len(fast) == 16 and fast[0].signal[10:] == fast[1].signal[:20]
-    whole = windows.stitch(windows.hop_windows(df, ["c"], "i", "x", 30, 10), ["c"], 10).orderBy("c").collect()
-    assert whole[0].signal == [float(i) for i in range(100)]
+    whole = windows.stitch(windows.hop_windows(df, ["c"], "i", "x", 30, 10), ["c"], 10).orderBy("c", "i").collect()
+    assert [(r.c, r.i, r.x) for r in whole] == [(k, i, float(i * (k + 1))) for k in range(2) for i in range(100)]
     assert windows.hop_windows(df, ["c"], "i", "x", 30, 7).count() == 22
     gap = df.where("i != 35")
     assert windows.hop_windows(gap, ["c"], "i", "x", 30, 10).count() == windows.hop_windows_exploded(gap, ["c"], "i", "x", 30, 10).count() == 10
