@@ -11,10 +11,38 @@ from epochflow.functions.columns import itr_bits
 from epochflow.operators.windows import debounced
 
 
+def exact_quantile(df: DataFrame, keys: list[str], value: str, shares: list[float], out: str = "quantiles", error: float = 1e-3) -> DataFrame:
+    """(keys, out): the linearly interpolated quantiles of each key, exact, whatever the rows of a key.
+
+    A sketch brackets each quantile; rows below the bracket are counted, and only those within it (a few thousandths)
+    are put in order.
+    """
+    n = len(shares)
+    given = [c for c in (*keys,)]
+    near = [min(1.0, max(0.0, s + d)) for s in shares for d in (-error, error)]
+    brackets = df.groupBy(*given).agg(F.percentile_approx(value, near, int(4 / error)).alias("_b"), F.count(value).alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max"))
+    each = brackets.select(
+        *given, "_n", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(s).alias("share"), (F.lit(s) * (F.col("_n") - 1)).alias("at"), (F.col("_min") if near[2 * j] <= 0 else F.col("_b")[2 * j]).alias("low"), (F.col("_max") if near[2 * j + 1] >= 1 else F.col("_b")[2 * j + 1]).alias("high")) for j, s in enumerate(shares)])).alias("q")
+    ).select(*given, "q.*")
+    rows = df.where(F.col(value).isNotNull()).select(*given, F.col(value).cast("double").alias("_v"))
+    rows = rows.join(each, given) if given else rows.crossJoin(F.broadcast(each))  # a row a quantile
+    low, high = F.col("low"), F.col("high")
+    # A bracket may lack one of the two neighbours of a quantile where few rows lie between; these are the next values.
+    sides = rows.groupBy(*given, "j", "at").agg(F.count_if(F.col("_v") < low).alias("_below"), F.max(F.when(F.col("_v") < low, F.col("_v"))).alias("_less"), F.min(F.when(F.col("_v") > high, F.col("_v"))).alias("_more"))
+    inside = rows.where("_v >= low AND _v <= high")
+    rank = F.row_number().over(Window.partitionBy(*given, "j").orderBy("_v")) - 1
+    placed = inside.withColumn("_rank", rank).join(sides.select(*given, "j", "_below"), [*given, "j"]).withColumn("_rank", F.col("_rank") + F.col("_below"))
+    of = lambda edge: F.min(F.when(F.col("_rank") == edge, F.col("_v")))
+    ends = placed.groupBy(*given, "j").agg(of(F.floor("at")).alias("_a"), of(F.ceil("at")).alias("_z"))
+    ends = sides.join(ends, [*given, "j"], "left").withColumns({"a": F.coalesce("_a", "_less"), "z": F.coalesce("_z", "_more")})
+    found = ends.select(*given, F.struct("j", (F.col("a") + (F.col("z") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("v")).alias("q"))
+    return found.groupBy(*given).agg(F.transform(F.array_sort(F.collect_list("q")), lambda q: q["v"]).alias(out)).where(F.size(out) == n)
+
+
 def idle_threshold(df: DataFrame, keys: list[str], score: str, idle: str, artifact: str, share: float = 0.95) -> DataFrame:
     """The share-quantile of idle scores without artifacts; keys without any are left out."""
     clean = df.where(F.col(idle) & ~F.col(artifact))
-    return clean.groupBy(*keys).agg(F.percentile(score, F.lit(share)).alias("threshold"))
+    return exact_quantile(clean, keys, score, [share]).select(*keys, F.col("quantiles")[0].alias("threshold"))
 
 
 def cohen_d(m1: Column, v1: Column, m0: Column, v0: Column) -> Column:
@@ -143,8 +171,9 @@ def goertzel(df: DataFrame, keys: list[str], index: str, value: str, frequency:
     f = frequency if isinstance(frequency, Column) else F.lit(float(frequency))
     angle = 2 * math.pi * f * F.col(index) / rate
     s, c, x = F.sin(angle), F.cos(angle), F.col(value)
-    n = df.withColumn("_x", x - F.avg(value).over(Window.partitionBy(*keys)))
-    sums = n.groupBy(*keys).agg(F.sum(s * s).alias("ss"), F.sum(c * c).alias("cc"), F.sum(s * c).alias("sc"), F.sum(s * F.col("_x")).alias("sx"), F.sum(c * F.col("_x")).alias("cx"), F.sum(F.col("_x") ** 2).alias("xx"))
+    raw = df.groupBy(*keys).agg(*[F.sum(e).alias(n) for n, e in {"ss": s * s, "cc": c * c, "sc": s * c, "_sx": s * x, "_cx": c * x, "_xx": x * x, "_s": s, "_c": c, "_x": x}.items()], F.count(value).alias("_n"))
+    less = lambda both, one: F.col(both) - F.col(one) * F.col("_x") / F.col("_n")  # noqa: E731  of x without its mean
+    sums = raw.withColumns({"sx": less("_sx", "_s"), "cx": less("_cx", "_c"), "xx": less("_xx", "_x")})
     det = F.col("ss") * F.col("cc") - F.col("sc") ** 2
     a, b = (F.col("sx") * F.col("cc") - F.col("cx") * F.col("sc")) / det, (F.col("cx") * F.col("ss") - F.col("sx") * F.col("sc")) / det
     return sums.select(*keys, F.sqrt(a * a + b * b).alias("amplitude"), F.atan2(b, a).alias("phase"), ((a * F.col("sx") + b * F.col("cx")) / F.col("xx")).alias("r2"))

@@ -6,10 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sample_index(df: DataFrame, keys: list[str], order: str, out: str = "i") -> DataFrame:
-    """Adds the zero-based place of each row within its key, in arrival order."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn(out, F.row_number().over(w) - 1)
+def sample_index(df: DataFrame, keys: list[str], order: str, out: str = "i", span: int = 100_000) -> DataFrame:
+    """Adds the zero-based place of each row within its key by a whole-numbered order.
+
+    Rows are numbered within ranges of `span` of the order, and the counts of earlier ranges are added, so that a key
+    may hold any share of the rows; only a row for each key and range is ever ordered by key.
+    """
+    rows = df.withColumn("_range", F.floor(F.col(order) / span))
+    counts = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    at = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order)) - 1
+    return rows.withColumn("_at", at).join(counts, [*keys, "_range"]).withColumn(out, (F.col("_at") + F.col("_before")).cast("bigint")).drop("_range", "_at", "_before")
+
+
+def chunked(df: DataFrame, index: str, size: int, before: int = 0, after: int = 0) -> DataFrame:
+    """Adds chunk (of `size` places) and own; rows near an edge come in the next chunk, too, where own is false.
+
+    So a window over (keys, chunk) sees `before` earlier and `after` later places of each own row, and no key is
+    ordered as a whole.
+    """
+    at, chunk = F.pmod(F.col(index), F.lit(size)), F.floor(F.col(index) / size)
+    copies = F.array(chunk, F.when(at >= size - before, chunk + 1), F.when(at < after, chunk - 1))
+    out = df.withColumn("chunk", F.explode(F.filter(copies, lambda c: c.isNotNull())))
+    return out.withColumn("own", F.col("chunk") == chunk)
 
 
 def hop_windows(df: DataFrame, keys: list[str], index: str, value: str, size: int, hop: int) -> DataFrame:
@@ -23,9 +43,10 @@ def hop_windows(df: DataFrame, keys: list[str], index: str, value: str, size: in
     parts = size // hop
     block = F.floor(F.col(index) / hop)
     blocks = df.groupBy(*keys, block.cast("bigint").alias("k")).agg(F.sort_array(F.collect_list(F.struct(F.col(index).alias("i"), F.col(value).alias("x")))).alias("b"))
-    w = Window.partitionBy(*keys).orderBy("k")
+    blocks = chunked(blocks, "k", 1024, after=parts - 1)
+    w = Window.partitionBy(*keys, "chunk").orderBy("k")
     tied = [F.struct(F.lead("b", j).over(w).alias("b"), F.lead("k", j).over(w).alias("k")) for j in range(parts)]
-    out = blocks.select(*keys, "k", F.array(*tied).alias("t"))
+    out = blocks.select(*keys, "k", "own", F.array(*tied).alias("t")).where("own")
     whole = F.forall("t", lambda t: F.size(t["b"]) == hop) & (F.element_at("t", -1)["k"] == F.col("k") + parts - 1)
     signal = F.flatten(F.transform("t", lambda t: F.transform(t["b"], lambda s: s["x"])))
     return out.where(whole).select(*keys, "k", (F.col("k") * hop).alias("start"), signal.alias("signal"))

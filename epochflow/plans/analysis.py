@@ -37,7 +37,7 @@ def d11_d12_threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
     d = decisions(spark, sf)
     target = F.col("predicted").isin("signup", "purchase")
     shares = [0.8, 0.9, 0.95, 0.975, 0.99]
-    t = d.where(~target & ~F.col("is_artifact")).agg(F.percentile("score", shares).alias("t"))
+    t = stats.exact_quantile(d.where(~target & ~F.col("is_artifact")), [], "score", shares, "t")
     t = t.select(F.explode(F.arrays_zip(F.array(*[F.lit(100 * s) for s in shares]).alias("percentile"), F.col("t").alias("threshold"))).alias("z")).select(F.round("z.percentile", 1).alias("percentile"), "z.threshold")
     rows = d.select("session", "n", "score", F.col("predicted").alias("command"), F.col("is_artifact").alias("artifact"), F.when(target, F.lit("signup")).alias("truth"))
     out = stats.threshold_sweep(rows, t, "n", 1.0, 2).select("percentile", "threshold", "fired", "tp", "wrong", "fp_idle", "precision", "recall", "itr")

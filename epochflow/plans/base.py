@@ -32,8 +32,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def signal(spark: SparkSession, sf: str) -> DataFrame:
     """A stream of samples per channel: channel, i, x, user_id, event_id."""
-    w = Window.partitionBy("event_type").orderBy("event_id")
-    return table(spark, sf, "events").select(F.col("event_type").alias("channel"), (F.row_number().over(w) - 1).cast("bigint").alias("i"), F.col("value").alias("x"), "user_id", "event_id")
+    e = table(spark, sf, "events").select(F.col("event_type").alias("channel"), F.col("value").alias("x"), "user_id", "event_id")
+    return windows.sample_index(e, ["channel"], "event_id").select("channel", "i", "x", "user_id", "event_id")
 
 
 SIGNAL = "signal AS (SELECT event_type AS channel, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, value AS x, user_id, event_id FROM events)"

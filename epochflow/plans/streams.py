@@ -115,14 +115,16 @@ def d19_continuous_screen(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {SIGNAL} SELECT channel, i, round(x - lag(x) OVER (PARTITION BY channel ORDER BY i), 6) AS step FROM signal")
 def e5_e6_first_difference(spark: SparkSession, sf: str) -> DataFrame:
-    s = signal(spark, sf)
-    return s.select("channel", "i", F.round(F.col("x") - F.lag("x").over(Window.partitionBy("channel").orderBy("i")), 6).alias("step"))
+    s = windows.chunked(signal(spark, sf), "i", 65_536, before=1)
+    step = F.col("x") - F.lag("x").over(Window.partitionBy("channel", "chunk").orderBy("i"))
+    return s.select("channel", "i", "own", F.round(step, 6).alias("step")).where("own").drop("own")
 
 
 @query(f"WITH {SIGNAL} SELECT channel, i, round(avg(x) OVER w, 6) AS mean FROM signal WINDOW w AS (PARTITION BY channel ORDER BY i ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER w = 16")
 def e10_last_samples(spark: SparkSession, sf: str) -> DataFrame:
-    s = signal(spark, sf).select("channel", "i", windows.last_n("x", ["channel"], "i", 16).alias("last"))
-    return s.where("last is not null").select("channel", "i", F.round(F.aggregate("last", F.lit(0.0), lambda a, x: a + x) / 16, 6).alias("mean"))
+    s = windows.chunked(signal(spark, sf), "i", 65_536, before=15)
+    s = s.select("channel", "i", "own", windows.last_n("x", ["channel", "chunk"], "i", 16).alias("last"))
+    return s.where("own and last is not null").select("channel", "i", F.round(F.aggregate("last", F.lit(0.0), lambda a, x: a + x) / 16, 6).alias("mean"))
 
 
 _BLOCKS = f"{DECISIONS}, c AS (SELECT *, CASE WHEN n = 1 THEN 0 WHEN predicted IS DISTINCT FROM lag(predicted) OVER (PARTITION BY session ORDER BY n) THEN 1 ELSE 0 END AS ch FROM decisions), b AS (SELECT *, sum(ch) OVER (PARTITION BY session ORDER BY n) AS block FROM c)"

@@ -129,3 +129,32 @@ def test_word_wrap():
 
     assert wrap("aa bb cc", 5) == ["aa bb", "cc"] and wrap("abcdefgh ij", 3) == ["abc", "def", "gh", "ij"]
     assert wrap("", 4) == [""] and wrap("abcdef", 3) == ["abc", "def"]
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(k, float(v)) for k, n in enumerate((1, 2, 3, 500, 20000)) for v in (rng.standard_normal(n).round(1 if k % 2 else 6))]
+    df = spark.createDataFrame(rows + [(9, None)], "k long, v double").repartition(5)
+    shares = [0.0, 0.05, 0.5, 0.8, 0.975, 1.0]
+    got = {r.k: r.quantiles for r in stats.exact_quantile(df, ["k"], "v", shares).collect()}
+    assert got.keys() == set(range(5))
+    for k in range(5):
+        assert np.allclose(got[k], np.quantile([v for j, v in rows if j == k], shares), atol=1e-12)
+    whole = stats.exact_quantile(df, [], "v", shares).first().quantiles
+    assert np.allclose(whole, np.quantile([v for _, v in rows], shares), atol=1e-12)
+
+
+def test_places_and_chunks_of_a_hot_key(spark):
+    df = spark.createDataFrame([("a" if i % 10 else "b", i * 3) for i in range(1000)], "k string, at long")
+    got = windows.sample_index(df, ["k"], "at", span=50).orderBy("at").collect()
+    seen = {"a": 0, "b": 0}
+    for r in got:
+        assert r.i == seen[r.k]
+        seen[r.k] += 1
+    chunks = windows.chunked(df.withColumn("i", df["at"] / 3), "i", 100, before=2, after=1).collect()
+    assert sum(r.own for r in chunks) == 1000 and len(chunks) == 1000 + 10 * 3
+    long = spark.createDataFrame([(0, i, float(i)) for i in range(4000)], "c long, i long, x double")
+    fast = windows.hop_windows(long, ["c"], "i", "x", 3, 1).orderBy("k").collect()
+    assert [r.signal for r in fast] == [[float(i), i + 1.0, i + 2.0] for i in range(3998)]
