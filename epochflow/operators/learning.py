@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -76,36 +77,99 @@ def _mean(c: np.ndarray) -> np.ndarray:
     return m
 
 
-def csp_lda(x: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-    c = K.covariances(x)
-    a, b = np.unique(y)[:2]
-    w = K.csp(c[y == a].mean(axis=0), c[y == b].mean(axis=0))
-    model = Lda().fit(K.log_variance_features(w, x), y)
-    return lambda new: model.predict(K.log_variance_features(w, new))
+def _lda(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    m = Lda().fit(x, y)
+    return {"classes": m.classes, "means": m.means, "inverse": m.inverse, "priors": m.priors}
 
 
-def riemann_lr(x: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-    c = K.covariances(x)
-    mean = _mean(c)
-    model = Logistic().fit(K.tangent(c, mean), y)
-    return lambda new: model.predict(K.tangent(K.covariances(new), mean))
+def _told(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    m = Lda()
+    m.classes, m.means, m.inverse, m.priors = p["classes"], p["means"], p["inverse"], p["priors"]
+    return m.predict(x)
 
 
-def riemann_lda(x: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-    c = K.covariances(x)
-    mean = _mean(c)
-    model = Lda().fit(K.tangent(c, mean), y)
-    return lambda new: model.predict(K.tangent(K.covariances(new), mean))
+def trained(pipeline: str, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """The parameters of a fitted pipeline, as named arrays."""
+    if pipeline == "csp_lda":
+        c = K.covariances(x)
+        a, b = np.unique(y)[:2]
+        w = K.csp(c[y == a].mean(axis=0), c[y == b].mean(axis=0))
+        return {"filters": w, **_lda(K.log_variance_features(w, x), y)}
+    if pipeline in ("riemann_lr", "riemann_lda"):
+        c = K.covariances(x)
+        mean = _mean(c)
+        z = K.tangent(c, mean)
+        if pipeline == "riemann_lda":
+            return {"mean": mean, **_lda(z, y)}
+        m = Logistic().fit(z, y)
+        return {"mean": mean, "centre": m.mean, "scale": m.scale, "classes": m.classes, "w": m.w}
+    if pipeline == "trca":
+        x = x - x.mean(axis=-1, keepdims=True)
+        found = {k: x[y == k] for k in np.unique(y) if (y == k).sum() >= 2}
+        sums = {k: (t.sum(axis=0), (t @ t.transpose(0, 2, 1)).sum(axis=0)) for k, t in found.items()}
+        return {"classes": np.array(list(found)), "filters": np.stack([K.trca(s @ s.T - q, q) for s, q in sums.values()]), "templates": np.stack([t.mean(axis=0) for t in found.values()])}
+    raise ValueError(pipeline)
 
 
-def trca_templates(x: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-    x = x - x.mean(axis=-1, keepdims=True)
-    found = {k: x[y == k] for k in np.unique(y) if (y == k).sum() >= 2}
-    filters = {k: (K.trca(t.sum(axis=0) @ t.sum(axis=0).T - (t @ t.transpose(0, 2, 1)).sum(axis=0), (t @ t.transpose(0, 2, 1)).sum(axis=0)), t.mean(axis=0)) for k, t in found.items()}
-    names = np.array(list(filters))
-    w = np.stack([f for f, _ in filters.values()])
-    score = lambda t: [K.pearson((w @ (t - t.mean(axis=-1, keepdims=True))).ravel(), (w @ one).ravel()) for _, one in filters.values()]
-    return lambda new: names[[int(np.argmax(score(t))) for t in new]]
+def told(pipeline: str, p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """The classes that a fitted pipeline tells."""
+    if pipeline == "csp_lda":
+        return _told(p, K.log_variance_features(p["filters"], x))
+    if pipeline == "riemann_lda":
+        return _told(p, K.tangent(K.covariances(x), p["mean"]))
+    if pipeline == "riemann_lr":
+        m = Logistic()
+        m.mean, m.scale, m.classes, m.w = p["centre"], p["scale"], p["classes"], p["w"]
+        return m.predict(K.tangent(K.covariances(x), p["mean"]))
+    w = p["filters"]
+    score = lambda t: [K.pearson((w @ (t - t.mean(axis=-1, keepdims=True))).ravel(), (w @ one).ravel()) for one in p["templates"]]
+    return p["classes"][[int(np.argmax(score(t))) for t in x]]
+
+
+def _fit(pipeline: str) -> Callable:
+    def fit(x: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        p = trained(pipeline, x, y)
+        return lambda new: told(pipeline, p, new)
+
+    return fit
+
+
+csp_lda, riemann_lr, riemann_lda, trca_templates = map(_fit, ("csp_lda", "riemann_lr", "riemann_lda", "trca"))
+
+
+def refit(epochs: DataFrame, choice: DataFrame, user: str, label: str, signal: str = "signal") -> DataFrame:
+    """(user, pipeline, trials, model): the pipeline that `choice` (user, pipeline) names, fitted anew on all of a user's epochs.
+
+    model: the parameters as JSON. Users with fewer than two classes have none.
+    """
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        part = part[part["_y"].notna()]
+        y, rows = part["_y"].to_numpy(dtype=np.int64), []
+        if len(np.unique(y)) >= 2:
+            pipeline = part["pipeline"].iloc[0]
+            p = trained(pipeline, stack(part["_x"]), y)
+            rows = [(int(part[user].iloc[0]), pipeline, len(y), json.dumps({k: v.tolist() for k, v in p.items()}))]
+        return pd.DataFrame(rows, columns=[user, "pipeline", "trials", "model"])
+
+    rows = epochs.select(user, F.col(label).cast("bigint").alias("_y"), F.col(signal).alias("_x")).join(choice.select(user, "pipeline"), user)
+    return rows.groupBy(user).applyInPandas(fit, f"{user} bigint, pipeline string, trials bigint, model string")
+
+
+def applied(epochs: DataFrame, models: DataFrame, user: str, signal: str = "signal", out: str = "predicted") -> DataFrame:
+    """Adds what each user's model tells; users without one are left out."""
+
+    @F.pandas_udf("bigint")
+    def tell(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for names, texts, x in batches:
+            found = pd.Series(0, index=x.index, dtype="int64")
+            for text in texts.unique():
+                at = texts == text
+                p = {k: np.array(v) for k, v in json.loads(text).items()}
+                found[at] = told(names[at].iloc[0], p, stack(x[at]))
+            yield found
+
+    return epochs.join(models.select(user, "pipeline", "model"), user).withColumn(out, tell("pipeline", "model", signal)).drop("model")
 
 
 def fbcca_classes(x: np.ndarray, y: np.ndarray, frequencies=(15.0, 20.0), fs: float = 250.0) -> Callable[[np.ndarray], np.ndarray]:

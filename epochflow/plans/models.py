@@ -9,7 +9,8 @@ from epochflow.functions import columns as C
 from epochflow.functions import kernels as K
 from epochflow.operators import estimators, learning, quality, signals, spatial, stats, windows
 from epochflow.plans.analysis import _folds
-from epochflow.plans.base import EPOCHS, epochs, long_epochs, query, stream_windows, table
+from epochflow.plans.base import DECISIONS, EPOCHS, decisions, epochs, long_epochs, query, stream_windows, table
+from epochflow.sources.scratch import scratch_path
 
 
 @query(f"WITH {EPOCHS}, p AS (SELECT epoch_id, label, ch, ln(var_pop(x) + 1e-12) AS p FROM epochs GROUP BY 1, 2, 3), m AS (SELECT label, ch, quantile_cont(p, 0.5) AS m FROM p GROUP BY 1, 2), d AS (SELECT p.*, m, abs(p - m) AS d FROM p JOIN m USING (label, ch)), mad AS (SELECT label, ch, quantile_cont(d, 0.5) AS mad FROM d GROUP BY 1, 2) SELECT epoch_id, ch, round(CASE WHEN mad > 0 THEN 0.6745 * (p - m) / mad ELSE 0 END, 5) AS z FROM d JOIN mad USING (label, ch)")
@@ -181,3 +182,61 @@ def j2_k8_k13_task_set(spark: SparkSession, sf: str) -> DataFrame:
     kept = quality.masked_if_enough(quality.screen(st, ["epoch_id", "subject"], "label"), ["subject"]).select("epoch_id")
     f = _folds(spark, sf).join(kept, "epoch_id", "left_semi")
     return stats.cv_summary(learning.cross_validate(f, "subject", "fold", "y", ["csp_lda", "riemann_lr", "riemann_lda", "trca"]), ["subject"], "pipeline", "accuracy")
+
+
+@query()
+def k7_k8_k10_models(spark: SparkSession, sf: str) -> DataFrame:
+    """The life of a person's model: the winner of the cross-validation is fitted anew on all runs, saved, read again and used.
+
+    delta: how its cross-validated accuracy differs from that of the first three runs alone; change as in the history.
+    """
+    f = _folds(spark, sf)
+    score = lambda rows: stats.cv_summary(learning.cross_validate(rows, "subject", "fold", "y", ["csp_lda", "riemann_lda"]), ["subject"], "pipeline", "accuracy").where("winner")
+    now, before = score(f), score(f.where("fold < 3")).select("subject", F.col("mean").alias("before"))
+    path = scratch_path(spark, "models")
+    learning.refit(f, now, "subject", "y").write.parquet(path)
+    used = learning.applied(f, spark.read.parquet(path), "subject")
+    seen = used.groupBy("subject", "pipeline").agg(F.avg((F.col("predicted") == F.col("y")).cast("double")).alias("on_own_trials"), F.count(F.lit(1)).alias("trials"))
+    delta = F.col("mean") - F.col("before")
+    change = F.when(delta.isNull(), "first").when(delta > 0.005, "improved").when(delta < -0.005, "declined").otherwise("unchanged")
+    return seen.join(now.select("subject", F.col("mean").alias("accuracy"), "mean"), "subject").join(before, "subject", "left").select("subject", "pipeline", "trials", "accuracy", "on_own_trials", F.coalesce(delta, F.lit(0.0)).alias("delta"), change.alias("change"))
+
+
+@query(f"WITH {EPOCHS}, p AS (SELECT epoch_id, label % 2 AS y, ch, ln(var_pop(x) + 1e-12) AS p FROM epochs GROUP BY 1, 2, 3), c AS (SELECT ch, y, count(*) AS n, avg(p) AS m, var_pop(p) AS v FROM p GROUP BY 1, 2), g AS (SELECT ch, sum(n * m) / sum(n) AS g FROM c GROUP BY 1), f AS (SELECT ch, (sum(n * (m - g) ** 2) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))) AS f FROM c JOIN g USING (ch) GROUP BY 1) SELECT max_by(ch, f) AS channel, round(max(f), 5) AS f, count(*) AS channels FROM f")
+def f5_best_channel(spark: SparkSession, sf: str) -> DataFrame:
+    """The channel whose log power tells the classes apart best."""
+    p = long_epochs(spark, sf).withColumn("y", F.col("label") % 2).groupBy("epoch_id", "y", "ch").agg(C.log_variance(F.var_pop("x")).alias("v"))
+    return stats.anova(p, ["ch"], "v", "y").agg(F.max_by("ch", "f").alias("channel"), F.round(F.max("f"), 5).alias("f"), F.count(F.lit(1)).alias("channels"))
+
+
+@query(f"WITH {EPOCHS}, b AS (SELECT epoch_id, ch, k AS bin, sum(x * cos(2 * pi() * ((k * s) % 8) / 8)) AS re, sum(x * sin(2 * pi() * ((k * s) % 8) / 8)) AS im FROM epochs, range(5) t(k) GROUP BY 1, 2, 3), r AS (SELECT epoch_id, ch, sum(CASE WHEN bin = 1 THEN 4 * (re * re + im * im) / 64 ELSE 0 END) AS target, avg(CASE WHEN bin = 2 THEN 4 WHEN bin = 3 THEN 4 WHEN bin = 4 THEN 1 END * (re * re + im * im) / 64) AS reference FROM b GROUP BY 1, 2) SELECT epoch_id, ch, round(target / greatest(reference, 1e-12), 4) AS ratio, target < 0.1 * reference AS low_power FROM r")
+def d20_target_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    """Power of the target bin over the mean of the bins above it, and whether the target is too weak to use."""
+    s = signals.spectrum(long_epochs(spark, sf), ["epoch_id", "ch"], "s", "x", 8, 250.0).withColumn("p", F.col("amplitude") ** 2)
+    r = s.groupBy("epoch_id", "ch").agg(F.sum(F.when(F.col("bin") == 1, F.col("p")).otherwise(0.0)).alias("target"), F.avg(F.when(F.col("bin") > 1, F.col("p"))).alias("reference"))
+    return r.select("epoch_id", "ch", F.round(F.col("target") / F.greatest("reference", F.lit(1e-12)), 4).alias("ratio"), (F.col("target") < 0.1 * F.col("reference")).alias("low_power"))
+
+
+@query(f"WITH {DECISIONS}, i AS (SELECT session, count(*) AS idle, count_if(command IS NOT NULL) AS fired FROM decisions WHERE predicted NOT IN ('signup', 'purchase') AND NOT is_artifact GROUP BY 1) SELECT session, idle, fired, round(fired / (idle / 60.0), 6) AS per_idle_minute FROM i", longs="fired")
+def d46_false_commands(spark: SparkSession, sf: str) -> DataFrame:
+    """Commands in idle windows (a second each), per minute of them."""
+    d = decisions(spark, sf).where(~F.col("predicted").isin("signup", "purchase") & ~F.col("is_artifact"))
+    i = d.groupBy("session").agg(F.count(F.lit(1)).alias("idle"), F.count_if(F.col("command").isNotNull()).alias("fired"))
+    return i.select("session", "idle", "fired", F.round(F.col("fired") / (F.col("idle") / 60.0), 6).alias("per_idle_minute"))
+
+
+@query("WITH l AS (SELECT c_custkey, max(o_orderdate) AS last FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE c_acctbal > 0 GROUP BY 1) SELECT c_custkey, last FROM l WHERE last IS NULL OR last + INTERVAL 30 DAY <= TIMESTAMP '1998-06-01'")
+def a17_k15_due_exports(spark: SparkSession, sf: str) -> DataFrame:
+    """Who has agreed to an export (a positive balance stands for it) and is due for one."""
+    c, o = table(spark, sf, "customer").where("c_acctbal > 0"), table(spark, sf, "orders")
+    last = c.join(o, c["c_custkey"] == o["o_custkey"], "left").groupBy("c_custkey").agg(F.max("o_orderdate").alias("last"))
+    return last.where(F.col("last").isNull() | (F.col("last") + F.make_dt_interval(F.lit(30)) <= F.lit("1998-06-01").cast("timestamp_ntz")))
+
+
+@query("WITH own AS (SELECT user_id % 10 AS person, event_type AS label, count(*) AS n FROM events GROUP BY 1, 2), a AS (SELECT *, label IN ('signup', 'purchase') OR (label = 'view' AND person < 5) AS allowed FROM own) SELECT person, count(*) AS labels, string_agg(label, ',' ORDER BY label) FILTER (NOT allowed) AS foreign_labels, CASE WHEN bool_and(allowed) THEN 'ACCEPT' ELSE 'REFUSE' END AS verdict FROM a GROUP BY 1")
+def b5_foreign_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal files with labels that the person's task set lacks are refused."""
+    own = table(spark, sf, "events").groupBy((F.col("user_id") % 10).alias("person"), F.col("event_type").alias("label")).count()
+    allowed = F.col("label").isin("signup", "purchase") | ((F.col("label") == "view") & (F.col("person") < 5))
+    odd = F.nullif(F.array_join(F.array_sort(F.collect_list(F.when(~allowed, F.col("label")))), ","), F.lit(""))
+    return own.groupBy("person").agg(F.count(F.lit(1)).alias("labels"), odd.alias("foreign_labels"), F.when(F.bool_and(allowed), "ACCEPT").otherwise("REFUSE").alias("verdict"))

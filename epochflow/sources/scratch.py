@@ -1,4 +1,4 @@
-"""Folders for intermediate data: below the shared folder that the session names."""
+"""Folders for intermediate data: below the shared folder that the session names; a temporary one only on one machine."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 def scratch_path(spark: SparkSession, name: str) -> str:
     root = spark.conf.get("spark.checkpoint.dir", "")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -208,3 +208,17 @@ def test_bootstrap_holds_the_mean(spark):
     mean = dict(duckdb.sql(f"SELECT person, avg(score) FROM (SELECT o_custkey % 20 AS person, o_orderkey % 5 AS fold, avg(o_totalprice) AS score FROM '{SF}/orders.parquet' GROUP BY 1, 2) GROUP BY 1").fetchall())
     for r in QUERIES["d36_bootstrap"](spark, SF).collect():
         assert r.low <= mean[r.person] <= r.high and r.low < r.high
+
+
+def test_saved_models_tell_as_fitted(spark, trials):
+    ids, y, x = trials
+    two, who = y % 2, ids // 250
+    df = spark.createDataFrame([(int(i), int(w), int(k), t.tolist()) for i, w, k, t in zip(ids, who, two, x)], "epoch_id long, subject long, y int, signal array<array<double>>")
+    for pipeline in ("csp_lda", "riemann_lda", "riemann_lr", "trca"):
+        choice = spark.createDataFrame([(0, pipeline), (1, pipeline)], "subject long, pipeline string")
+        got = {r.epoch_id: r.predicted for r in learning.applied(df, learning.refit(df, choice, "subject", "y"), "subject").collect()}
+        for s in (0, 1):
+            own = who == s
+            assert [got[i] for i in ids[own]] == learning.PIPELINES[pipeline](x[own], two[own])(x[own]).tolist()
+    rows = QUERIES["k7_k8_k10_models"](spark, SF).collect()
+    assert {r.subject for r in rows} == {0, 1} and all(r.trials == 250 and 0.5 < r.on_own_trials <= 1 for r in rows)
