@@ -114,3 +114,18 @@ def test_queries(spark, sf_dir):
         cos[i] = -9
         hits += len({ids[j] for j in np.argsort(-cos)[:5]} & {r.vec_id for r in found if r.query_id == ids[i]})
     assert hits >= 0.9 * 5 * len(queries)
+
+
+def test_links_match_their_sql(spark):
+    import duckdb
+
+    from epochflow.llm.queries import ORACLES
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    cur = con.execute(ORACLES["op7_embedding_near_dedup"])
+    names = [d[0] for d in cur.description]
+    df = op7_embedding_near_dedup(spark, sf)
+    assert sorted(df.columns) == sorted(names)
+    assert sorted(tuple(r[c] for c in names) for r in df.collect()) == sorted(cur.fetchall())
