@@ -2,37 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def wrap(text: str, width: int) -> list[str]:
-    """Lines of at most `width`: words move to the next line whole, and longer ones are broken hard."""
-    lines, line = [], ""
-    for word in text.split(" "):
-        while len(word) > width:
-            if line:
-                lines.append(line)
-                line = ""
-            lines.append(word[:width])
-            word = word[width:]
-        joined = f"{line} {word}" if line else word
-        if len(joined) > width:
-            lines.append(line)
-            joined = word
-        line = joined
-    return [*lines, line] if line or not lines else lines
-
-
 def wrapped(text: Column, width: int) -> Column:
-    """The lines of each text; null stays null."""
+    """The lines of a text: leading spaces go, and the running line is cut at the width, within words as well.
+
+    An empty text is one empty line; null stays null.
+    """
+    body = F.ltrim(text)
+    last = F.floor(F.greatest(F.length(body) - 1, F.lit(0)) / width).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(body, k * width + 1, F.lit(width)))
 
-    @F.pandas_udf("array<string>")
-    def lines(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for rows in batches:
-            yield pd.Series([None if t is None else wrap(t, width) for t in rows], dtype=object)
 
-    return lines(text)
+def tail(lines: Column, most: int) -> Column:
+    """The last `most` lines."""
+    n = F.size(lines)
+    return F.slice(lines, F.greatest(n - most + 1, F.lit(1)), most)

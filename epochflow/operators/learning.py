@@ -205,6 +205,63 @@ def cross_validate(epochs: DataFrame, user: str, fold: str, label: str, pipeline
     return rows.groupBy(user, "pipeline", "held").applyInPandas(fit, f"{user} bigint, pipeline string, fold int, n bigint, correct bigint, accuracy double")
 
 
+def permutation_scores(epochs: DataFrame, user: str, fold: str, label: str, order: str, pipeline: str, rounds: int, per_task: int = 10, signal: str = "signal") -> DataFrame:
+    """(user, round, accuracy) of `rounds` cross-validations with shuffled labels, and of round 0 with the true ones.
+
+    A task fits `per_task` rounds of one user, so epochs are sent once for those. Shuffles are seeded by user and round
+    over the epochs in `order`; folds with fewer than two classes to learn from are left out.
+    """
+    rows = epochs.select(user, F.col(fold).alias("_f"), F.col(label).cast("bigint").alias("_y"), F.col(order).alias("_o"), F.col(signal).alias("_x")).where("_y is not null")
+    sent = rows.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(rounds // per_task))))
+
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_o")
+        x, f, true = stack(part["_x"]), part["_f"].to_numpy(), part["_y"].to_numpy(dtype=np.int64)
+        out = []
+        for m in range(int(key[1]) * per_task, min((int(key[1]) + 1) * per_task, rounds + 1)):
+            y = np.random.default_rng([int(key[0]), m]).permutation(true) if m else true
+            hits = n = 0
+            for held in np.unique(f):
+                apart = f == held
+                if len(np.unique(y[~apart])) >= 2:
+                    hits += int((PIPELINES[pipeline](x[~apart], y[~apart])(x[apart]) == y[apart]).sum())
+                    n += int(apart.sum())
+            if n:
+                out.append((int(key[0]), m, hits / n))
+        return pd.DataFrame(out, columns=[user, "round", "accuracy"])
+
+    return sent.groupBy(user, "_c").applyInPandas(fit, f"{user} bigint, round int, accuracy double")
+
+
+def balanced_folds(df: DataFrame, keys: list[str], group: str, folds: int) -> DataFrame:
+    """(keys, group, fold): whole groups go to folds, the largest first, each to the lightest fold so far (ties: the first).
+
+    Only counts of groups are gathered, one row of them a key; groups are recordings or people, few of a key.
+    """
+    counts = df.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("_n"))
+    by_size = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("_n")).alias("less"), F.col(group).alias("g")))).alias("_g"))
+    empty = F.struct(F.array_repeat(F.lit(0).cast("bigint"), folds).alias("loads"), F.lit(-1).alias("fold"))
+
+    def deal(state, one):
+        last = F.element_at(state, -1)
+        at = (F.array_position(last["loads"], F.array_min(last["loads"])) - 1).cast("int")
+        loads = F.transform(last["loads"], lambda x, i: x - F.when(i == at, one["less"]).otherwise(F.lit(0).cast("bigint")))
+        return F.concat(state, F.array(F.struct(loads.alias("loads"), at.alias("fold"))))
+
+    dealt = by_size.withColumn("_d", F.aggregate("_g", F.array(empty), deal))
+    rows = dealt.select(*keys, F.explode(F.arrays_zip(F.col("_g.g").alias("g"), F.slice(F.col("_d.fold"), 2, F.size("_g")).alias("fold"))).alias("z"))
+    return rows.select(*keys, F.col("z.g").alias(group), F.col("z.fold").alias("fold"))
+
+
+def complete_folds(df: DataFrame, keys: list[str], fold: str, label: str) -> DataFrame:
+    """(keys, fold, trials, complete): whether a fold and the rest have all classes of their key."""
+    c = df.groupBy(*keys, fold, label).agg(F.count(F.lit(1)).alias("_n"))
+    every = c.groupBy(*keys, label).agg(F.sum("_n").alias("_all"))
+    classes = every.groupBy(*keys).agg(F.count(F.lit(1)).alias("_classes"))
+    out = c.join(every, [*keys, label]).join(classes, keys).groupBy(*keys, fold)
+    return out.agg(F.sum("_n").alias("trials"), ((F.count(F.lit(1)) == F.max("_classes")) & F.bool_and(F.col("_all") > F.col("_n"))).alias("complete"))
+
+
 def held_out_csp_lda(epochs: DataFrame, fold: str, folds: int, label: str, out: str = "predicted", signal: str = "signal") -> DataFrame:
     """Adds what csp_lda predicts for each epoch, learned from all epochs of the other folds (two classes, 0 and 1).
 

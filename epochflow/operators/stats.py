@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,6 +158,17 @@ def beta_upper(f: float, df1: float, df2: float) -> float:
     return 1 - tail if swap else tail
 
 
+def binomial_upper(hits: Column, n: Column, p: float = 0.5) -> Column:
+    """Chance of `hits` or more of n, each of chance p (one row a test)."""
+
+    @F.pandas_udf("double")
+    def upper(k: pd.Series, of: pd.Series) -> pd.Series:
+        tail = [1.0 if a <= 0 else beta_upper(a * (1 - p) / (p * (b - a + 1)), 2.0 * (b - a + 1), 2.0 * a) for a, b in zip(k, of)]
+        return pd.Series(tail, dtype="float64")
+
+    return upper(hits, n)
+
+
 def bootstrap_interval(folds: DataFrame, keys: list[str], score: str, resamples: int = 2000, seed: int = 3, share: float = 0.95) -> DataFrame:
     """Percentile interval of the mean of a few fold scores per key; draws come from a hash, so reruns agree."""
     packed = folds.groupBy(*keys).agg(F.sort_array(F.collect_list(score)).alias("s"))

@@ -255,15 +255,15 @@ def h8_h9_h19_bandpass(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def h17_blink(spark: SparkSession, sf: str) -> DataFrame:
-    return epochs(spark, sf).select("epoch_id", signals.blink(F.col("signal"), 250.0, [0, 1], 1.0).alias("blink"))
+    return epochs(spark, sf).select("epoch_id", signals.blink(F.col("signal"), 250.0, [0, 1], 0.2).alias("blink"))
 
 
-_GATE = f"WITH {EPOCHS}, b AS (SELECT epoch_id, ch, k AS bin, sum(x * cos(2 * pi() * ((k * s) % 8) / 8)) AS re, sum(x * sin(2 * pi() * ((k * s) % 8) / 8)) AS im FROM epochs, range(5) t(k) GROUP BY 1, 2, 3), g AS (SELECT *, CASE WHEN bin IN (0, 4) THEN 1 ELSE 2 END / 8.0 AS share FROM b), y AS (SELECT epoch_id, ch, CAST(t.s AS INT) AS s, sum(CASE WHEN share * sqrt(re * re + im * im) >= 0.5 THEN share * (re * cos(2 * pi() * ((bin * t.s) % 8) / 8) + im * sin(2 * pi() * ((bin * t.s) % 8) / 8)) ELSE 0 END) AS y FROM g, range(8) t(s) GROUP BY 1, 2, 3)"
+_GATE = f"WITH {EPOCHS}, b AS (SELECT epoch_id, ch, k AS bin, sum(x * cos(2 * pi() * ((k * s) % 8) / 8)) AS re, sum(x * sin(2 * pi() * ((k * s) % 8) / 8)) AS im FROM epochs, range(5) t(k) GROUP BY 1, 2, 3), g AS (SELECT *, CASE WHEN bin IN (0, 4) THEN 1 ELSE 2 END / 8.0 AS share FROM b), y AS (SELECT epoch_id, ch, CAST(t.s AS INT) AS s, sum(CASE WHEN share * sqrt(re * re + im * im) >= 0.08 THEN share * (re * cos(2 * pi() * ((bin * t.s) % 8) / 8) + im * sin(2 * pi() * ((bin * t.s) % 8) / 8)) ELSE 0 END) AS y FROM g, range(8) t(s) GROUP BY 1, 2, 3)"
 
 
 @query(f"{_GATE} SELECT epoch_id, ch, s, round(y, 5) AS y FROM y")
 def h8_spectral_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(signals.gated_spectrum(long_epochs(spark, sf), ["epoch_id", "ch"], "s", "x", 8, 0.5), "y", digits=5)
+    return rounded(signals.gated_spectrum(long_epochs(spark, sf), ["epoch_id", "ch"], "s", "x", 8, 0.08), "y", digits=5)
 
 
 @query()

@@ -60,26 +60,20 @@ def d14_mahalanobis(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def d35_permutation_test(spark: SparkSession, sf: str) -> DataFrame:
-    """Share of label shuffles (within person, by hash) that score as well; one task per person, shuffle and fold."""
-    f = _folds(spark, sf)
-    numbered = f.withColumn("i", F.row_number().over(Window.partitionBy("subject").orderBy("epoch_id")))
-    rounds = numbered.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(8))))
-    dealt = rounds.withColumn("j", F.row_number().over(Window.partitionBy("subject", "m").orderBy(F.when(F.col("m") == 0, F.col("i").cast("bigint")).otherwise(F.xxhash64("m", "i")))))
-    y = numbered.select("subject", F.col("i").alias("j"), F.col("y").alias("new"))
-    shuffled = dealt.join(y, ["subject", "j"]).select((F.col("subject") * 100 + F.col("m")).alias("subject"), "fold", F.col("new").alias("y"), "signal")
-    cv = learning.cross_validate(shuffled, "subject", "fold", "y", ["csp_lda"]).groupBy("subject").agg((F.sum("correct") / F.sum("n")).alias("accuracy"))
-    by = cv.select(F.floor(F.col("subject") / 100).alias("person"), (F.col("subject") % 100).alias("m"), "accuracy")
-    seen = by.where("m = 0").select("person", F.col("accuracy").alias("seen"))
-    return by.where("m > 0").join(seen, "person").groupBy("person", "seen").agg(((F.count_if(F.col("accuracy") >= F.col("seen")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+    """Share of 200 label shuffles (within person) that score as well as the true labels, each learned anew."""
+    by = learning.permutation_scores(_folds(spark, sf), "subject", "fold", "y", "epoch_id", "csp_lda", 200)
+    seen = by.where("round = 0").select("subject", F.col("accuracy").alias("seen"))
+    p = (F.count_if(F.col("accuracy") >= F.col("seen")) + 1) / (F.count(F.lit(1)) + 1)
+    return by.where("round > 0").join(seen, "subject").groupBy(F.col("subject").alias("person"), "seen").agg(p.alias("p"), F.count(F.lit(1)).alias("shuffles"))
 
 
 @query()
 def d37_learning_curve(spark: SparkSession, sf: str) -> DataFrame:
-    """Accuracy from the first 50 %, 75 % and all runs to learn from."""
-    f = _folds(spark, sf)
-    parts = f.withColumn("runs", F.explode(F.array(F.lit(3), F.lit(4), F.lit(5)))).where(F.col("fold") < F.col("runs"))
-    cv = learning.cross_validate(parts.withColumn("subject", F.col("subject") * 10 + F.col("runs")), "subject", "fold", "y", ["csp_lda"])
-    return cv.groupBy((F.col("subject") % 10).alias("runs")).agg((F.sum("correct") / F.sum("n")).alias("accuracy"), F.sum("n").alias("n"))
+    """Accuracy from the first 25 %, 50 %, 75 % and all of the 25 runs of each person, in five folds of whole runs."""
+    f = _folds(spark, sf).withColumn("run", F.floor(F.col("epoch_id") / 10) % 25)
+    parts = f.withColumn("quarter", F.explode(F.sequence(F.lit(1), F.lit(4)))).where(F.col("run") < F.floor(F.col("quarter") * 25 / 4))
+    cv = learning.cross_validate(parts.withColumn("subject", F.col("subject") * 4 + F.col("quarter") - 1), "subject", "fold", "y", ["csp_lda"])
+    return cv.groupBy(((F.col("subject") % 4 + 1) * 25).alias("percent")).agg((F.sum("correct") / F.sum("n")).alias("accuracy"), F.sum("n").alias("n"))
 
 
 @query()
@@ -142,12 +136,12 @@ def h10_resample(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def h24_filter_bank_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Log-variance features of spatial filters in three bands, side by side."""
+    """Log-variance features of four spatial filters in each of six bands, side by side."""
     e = epochs(spark, sf).where("label in (0, 1)").select("epoch_id", "label", "signal")
-    for i, (low, high) in enumerate(((4.0, 12.0), (12.0, 24.0), (24.0, 40.0))):
+    for i, (low, high) in enumerate(((4.0, 8.0), (8.0, 12.0), (12.0, 16.0), (16.0, 20.0), (20.0, 26.0), (26.0, 32.0))):
         e = e.withColumn("_b", signals.bandpassed(F.col("signal"), 250.0, low, high)).withColumn("_c", signals.covariance(F.col("_b")))
         e = spatial.csp_features(e, spatial.csp_filters(e, "label", (0, 1), 4, "_c"), "_b", f"f{i}")
-    return e.select("epoch_id", "label", F.concat("f0", "f1", "f2").alias("features"))
+    return e.select("epoch_id", "label", F.concat(*[f"f{i}" for i in range(6)]).alias("features"))
 
 
 @query()

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochflow.functions import dims
-from epochflow.functions.text import wrapped
 from epochflow.operators import signals, spatial
 from epochflow.plans.base import SIGNAL, epochs, query, signal, table
 from epochflow.plans.live import _events
@@ -108,12 +107,6 @@ def a19_model_table(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.csp_features(c, np.array(found[0]["params"]).reshape(found[0]["rows"], -1)).select("epoch_id", "features")
 
 
-@query()
-def h4_word_wrap(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "conversations").select("conv_id", "turn", wrapped(F.col("text"), 40).alias("lines"))
-    return lines.select("conv_id", "turn", F.posexplode("lines").alias("at", "line"))
-
-
 @query()
 def i8_dwell(spark: SparkSession, sf: str) -> DataFrame:
     """Targets that stayed armed for an hour of event time, over the live stream."""

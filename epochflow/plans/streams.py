@@ -59,9 +59,9 @@ def d1_trial_stats(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(quality.long_stats(rows, ["channel", "trial"], "i", "x"), "peak", "std", "jump")
 
 
-_STATS = f"WITH {EPOCHS}, st AS (SELECT epoch_id, label, subject, ch AS channel, max(abs(x - m)) AS peak, stddev_pop(x) AS std, max(j) AS jump FROM (SELECT *, avg(x) OVER (PARTITION BY epoch_id, ch) AS m, abs(x - lag(x) OVER (PARTITION BY epoch_id, ch ORDER BY s)) AS j FROM epochs) GROUP BY 1, 2, 3, 4), p AS (SELECT *, ln(std * std + 1e-12) AS p FROM st), md AS (SELECT label, channel, quantile_cont(p, 0.5) AS m, count(*) AS n FROM p GROUP BY 1, 2), dv AS (SELECT p.*, m, n, abs(p.p - m) AS d FROM p JOIN md USING (label, channel)), mad AS (SELECT label, channel, quantile_cont(d, 0.5) AS mad FROM dv GROUP BY 1, 2), z AS (SELECT dv.*, CASE WHEN mad > 0 AND n >= 4 THEN 0.6745 * (p - m) / mad ELSE 0 END AS z FROM dv JOIN mad USING (label, channel)), scr AS (SELECT epoch_id, label, subject, bool_or(peak > 2.5) AS amplitude, bool_or(std < 0.3) AS flat, bool_or(jump > 4.0) AS jump, bool_or(abs(z) > 4.0) AS outlier FROM z GROUP BY 1, 2, 3)"
+_STATS = f"WITH {EPOCHS}, st AS (SELECT epoch_id, label, subject, ch AS channel, max(abs(x - m)) AS peak, stddev_pop(x) AS std, max(j) AS jump FROM (SELECT *, avg(x) OVER (PARTITION BY epoch_id, ch) AS m, abs(x - lag(x) OVER (PARTITION BY epoch_id, ch ORDER BY s)) AS j FROM epochs) GROUP BY 1, 2, 3, 4), p AS (SELECT *, ln(std * std + 1e-12) AS p FROM st), md AS (SELECT label, channel, quantile_cont(p, 0.5) AS m, count(*) AS n FROM p GROUP BY 1, 2), dv AS (SELECT p.*, m, n, abs(p.p - m) AS d FROM p JOIN md USING (label, channel)), mad AS (SELECT label, channel, quantile_cont(d, 0.5) AS mad FROM dv GROUP BY 1, 2), z AS (SELECT dv.*, CASE WHEN mad > 0 AND n >= 4 THEN 0.6745 * (p - m) / mad ELSE 0 END AS z FROM dv JOIN mad USING (label, channel)), scr AS (SELECT epoch_id, label, subject, bool_or(peak > 0.42) AS amplitude, bool_or(std < 0.04) AS flat, bool_or(jump > 0.7) AS jump, bool_or(abs(z) > 4.0) AS outlier FROM z GROUP BY 1, 2, 3)"
 #: Limits that bind on the scale of these epochs.
-_LIMITS = {"amplitude": 2.5, "flat": 0.3, "jump": 4.0}
+_LIMITS = {"amplitude": 0.42, "flat": 0.04, "jump": 0.7}
 
 
 def _channel_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,9 +83,9 @@ def d6_class_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _screened(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("trials"), F.count_if("keep").alias("kept"))
 
 
-@query(f"WITH {EPOCHS}, st AS (SELECT epoch_id, ch AS channel, max(abs(x - m)) AS peak, stddev_pop(x) AS std FROM (SELECT *, avg(x) OVER (PARTITION BY epoch_id, ch) AS m FROM epochs) GROUP BY 1, 2) SELECT channel, round(quantile_cont(peak, 0.5), 6) AS median_peak, round(quantile_cont(peak, 0.95), 6) AS p95_peak, round(max(peak), 6) AS max_peak, round(quantile_cont(std, 0.5), 6) AS median_std, round(min(std), 6) AS min_std, round(max(std), 6) AS max_std, count_if(peak > 2.5) AS failing FROM st GROUP BY 1", longs="failing")
+@query(f"WITH {EPOCHS}, st AS (SELECT epoch_id, ch AS channel, max(abs(x - m)) AS peak, stddev_pop(x) AS std FROM (SELECT *, avg(x) OVER (PARTITION BY epoch_id, ch) AS m FROM epochs) GROUP BY 1, 2) SELECT channel, round(quantile_cont(peak, 0.5), 6) AS median_peak, round(quantile_cont(peak, 0.95), 6) AS p95_peak, round(max(peak), 6) AS max_peak, round(quantile_cont(std, 0.5), 6) AS median_std, round(min(std), 6) AS min_std, round(max(std), 6) AS max_std, count_if(peak > 0.42) AS failing FROM st GROUP BY 1", longs="failing")
 def d7_channel_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
-    out = _channel_stats(spark, sf).groupBy("channel").agg(F.percentile("peak", F.lit(0.5)).alias("median_peak"), F.percentile("peak", F.lit(0.95)).alias("p95_peak"), F.max("peak").alias("max_peak"), F.percentile("std", F.lit(0.5)).alias("median_std"), F.min("std").alias("min_std"), F.max("std").alias("max_std"), F.count_if(F.col("peak") > 2.5).alias("failing"))
+    out = _channel_stats(spark, sf).groupBy("channel").agg(F.percentile("peak", F.lit(0.5)).alias("median_peak"), F.percentile("peak", F.lit(0.95)).alias("p95_peak"), F.max("peak").alias("max_peak"), F.percentile("std", F.lit(0.5)).alias("median_std"), F.min("std").alias("min_std"), F.max("std").alias("max_std"), F.count_if(F.col("peak") > _LIMITS["amplitude"]).alias("failing"))
     return rounded(out, "median_peak", "p95_peak", "max_peak", "median_std", "min_std", "max_std")
 
 

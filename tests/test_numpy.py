@@ -89,7 +89,7 @@ def test_notched_windows(spark, windows):
 def test_gate_is_the_kernel(spark, trials):
     ids, _, x = trials
     got = {(r.epoch_id, r.ch, r.s): r.y for r in QUERIES["h8_spectral_gate"](spark, SF).collect()}
-    want = K.spectral_gate(x, 0.5)
+    want = K.spectral_gate(x, 0.08)
     assert all(abs(got[i, c, s] - want[k, c, s]) < 2e-5 for k, i in enumerate(ids[:50]) for c in range(8) for s in range(8))
 
 

@@ -1,7 +1,11 @@
 import io
+import math
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from epochflow.operators import decide, learning, spatial, stats, windows
 from epochflow.operators.signals import covariance
@@ -124,11 +128,54 @@ def test_npz_and_csv_readers(spark, tmp_path):
     assert len(rows) == 100 and rows[0].fs == pytest.approx(250.0) and rows[3].x == 2.0
 
 
-def test_word_wrap():
-    from epochflow.functions.text import wrap
-
-    assert wrap("aa bb cc", 5) == ["aa bb", "cc"] and wrap("abcdefgh ij", 3) == ["abc", "def", "gh", "ij"]
-    assert wrap("", 4) == [""] and wrap("abcdef", 3) == ["abc", "def"]
+def test_word_wrap(spark):
+    from epochflow.functions.text import tail, wrapped
+
+    def lines(text, width):
+        df = spark.createDataFrame([(text,)], "t string")
+        return df.select(wrapped(F.col("t"), width)).first()[0]
+
+    assert lines("aa bb cc", 5) == ["aa bb", " cc"] and lines("abcdefgh ij", 3) == ["abc", "def", "gh ", "ij"]
+    assert lines("", 4) == [""] and lines("  abcdef", 3) == ["abc", "def"] and lines(None, 4) is None
+    many = spark.createDataFrame([("abcdefghij",)], "t string").select(tail(wrapped(F.col("t"), 2), 3), tail(wrapped(F.col("t"), 9), 3)).first()
+    assert many[0] == ["ef", "gh", "ij"] and many[1] == ["abcdefghi", "j"]
+
+
+def test_balanced_folds(spark):
+    """Against a plain greedy loop; groups of one size go by name."""
+    rng = random.Random(4)
+    rows = [(k, g, rng.randrange(2)) for k in range(3) for g in range(9) for _ in range(rng.choice([1, 2, 2, 5, 9]))]
+    df = spark.createDataFrame(rows, "k long, g long, y int")
+    got = {(r.k, r.g): r.fold for r in learning.balanced_folds(df, ["k"], "g", 3).collect()}
+    for k in range(3):
+        n = Counter(g for key, g, _ in rows if key == k)
+        loads = [0, 0, 0]
+        for g, size in sorted(n.items(), key=lambda x: (-x[1], x[0])):
+            at = loads.index(min(loads))
+            loads[at] += size
+            assert got[k, g] == at
+    whole = df.join(spark.createDataFrame([(k, g, f) for (k, g), f in got.items()], "k long, g long, fold int"), ["k", "g"])
+    for r in learning.complete_folds(whole, ["k"], "fold", "y").collect():
+        sides = [{y for k, g, y in rows if k == r.k and (got[k, g] == r.fold) == held} for held in (True, False)]
+        assert r.complete == (sides[0] == sides[1] == {0, 1})
+        assert r.trials == sum(k == r.k and got[k, g] == r.fold for k, g, _ in rows)
+
+
+def test_binomial_upper(spark):
+    df = spark.createDataFrame([(k, n) for n in (1, 7, 40, 3000) for k in {0, 1, n // 2, n}], "k long, n long")
+    for r in df.select("k", "n", stats.binomial_upper(F.col("k"), F.col("n")).alias("p")).collect():
+        want = sum(math.comb(r.n, i) for i in range(r.k, r.n + 1)) / 2**r.n
+        assert abs(r.p - want) < 1e-9
+
+
+def test_permuted_labels(spark):
+    """Classes that differ in spread are told apart by the true labels, hardly by shuffled ones; reruns agree."""
+    rng = np.random.default_rng(2)
+    rows = [(1, i, i // 10 % 4, i % 2, (rng.standard_normal((4, 40)) * np.array([[1 + 3 * (i % 2)], [1], [1], [4 - 3 * (i % 2)]])).tolist()) for i in range(80)]
+    df = spark.createDataFrame(rows, "s long, e long, f int, y int, signal array<array<double>>")
+    got = [learning.permutation_scores(df, "s", "f", "y", "e", "csp_lda", 23).orderBy("round").collect() for _ in range(2)]
+    assert got[0] == got[1] and [r.round for r in got[0]] == list(range(24))
+    assert got[0][0].accuracy > 0.95 and sum(r.accuracy for r in got[0][1:]) / 23 < 0.65
 
 
 def test_exact_quantiles_match_numpy(spark):
