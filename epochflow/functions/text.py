@@ -13,7 +13,7 @@ def wrapped(text: Column, width: int) -> Column:
     """
     body = F.ltrim(text)
     last = F.floor(F.greatest(F.length(body) - 1, F.lit(0)) / width).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(body, k * width + 1, F.lit(width)))
+    return F.when(text.isNotNull(), F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(body, k * width + 1, F.lit(width))))
 
 
 def tail(lines: Column, most: int) -> Column:

@@ -15,7 +15,7 @@ from epochflow.plans.relational import _LABELS, _labelled
 from epochflow.plans.streams import _LIMITS, _screened
 from epochflow.sources.scratch import scratch_path
 
-_LINES = "list_transform(range(0, greatest(length({t}) - 1, 0) // {w} + 1), lambda k: substring({t}, k * {w} + 1, {w}))"
+_LINES = "CASE WHEN {t} IS NOT NULL THEN list_transform(range(0, greatest(length({t}) - 1, 0) // {w} + 1), lambda k: substring({t}, k * {w} + 1, {w})) END"
 
 
 @query(f"WITH l AS (SELECT conv_id, turn, {_LINES.format(t='ltrim(text)', w=40)} AS lines FROM conversations) SELECT conv_id, turn, CAST(unnest(range(0, len(lines))) AS INT) AS at, unnest(lines) AS line FROM l WHERE lines IS NOT NULL")
