@@ -318,3 +318,33 @@ def test_hosts_are_merged_by_levels(spark):
     hot = next(r for r in found if r.host == "hot.example")
     assert len(found) == 101 and wrappers.loaded(hot.wrapper).pages == 200 and hot.path == ["body", "div.x"]
     assert {r.text for r in wrappers.main_text(df, broadcast_bytes=0).collect()} == {" ".join([f"word{i}"] * 9) for i in range(300)}
+
+
+def test_short_credentials_are_candidates(spark):
+    import random
+
+    rng = random.Random(4)
+    key = lambda: "".join(rng.choice("bcdfghjkmnpqrstvwxz" if i % 2 == 0 else "23456789") for i in range(12))
+    rows = [(i, f"ordinary words with plain sentences and numbers 20240{i % 10} version-1.{i} then password = {key()} and more of them") for i in range(200)]
+    grammar = secret_grammar.learn(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = [any(k == "format" for *_, k, _ in grammar.spans(f"ordinary words {key()} more")[1]) for _ in range(50)]
+    assert sum(found) >= 45
+    assert grammar.spans("ordinary sentences, numbers 202405 and version-1.77 of something else")[1] == []
+    assert grammar.spans(f"short {key()[:5]}")[1] == []
+
+
+def test_long_lists_of_digests_take_linear_time(spark):
+    import time
+
+    digests = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(150_000)]
+    text = "\n".join(f"{d}  files/part-{i}.bin" for i, d in enumerate(digests))
+    assert len(text) > 10_000_000
+    grammar = secret_grammar.Grammar({"hex": secret_grammar.infer(digests[:50])}, {}, 0.3)
+    began = time.perf_counter()
+    base, spans = grammar.spans(text)
+    assert len(base) == 150_000 and time.perf_counter() - began < 60
+    assert secret_grammar.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().n_hex == 150_000
+    # overlapping and nested base spans, walked side by side with the runs
+    gaps = lambda runs, base: list(secret_grammar._gaps("a" * 200, runs, base))
+    assert gaps([(0, 50), (60, 120)], [(5, 100, "k"), (10, 20, "k")]) == [(100, 120)]
+    assert gaps([(0, 50), (60, 120)], [(10, 20, "k"), (15, 30, "k"), (70, 80, "k")]) == [(0, 10), (30, 50), (60, 70), (80, 120)]
