@@ -12,7 +12,7 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -48,6 +48,7 @@ TEMPLATE_PAGES = 5
 EVIDENCE = {"article": 8.0, "main": 4.0}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
+_REST = re.compile(r"[^<]+|<")
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 _CASED = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -86,7 +87,10 @@ class _Page:
     def __init__(self):
         self.root = Node("", "", False)
         self.stack = [("", self.root, False)]
-        self.open = Counter()
+        #: Places in the stack of the open tags by name, of all that end inline tags, and of lists.
+        self.open: defaultdict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+        self.lists: list[int] = []
         self.run: list[str] = []
         self.linked = 0
 
@@ -99,35 +103,39 @@ class _Page:
             self.linked = 0
 
     def push(self, tag: str, block: Node | None, link: bool) -> None:
+        for places in (self.open[tag], *self._kinds(tag)):
+            places.append(len(self.stack))
         self.stack.append((tag, block, link))
-        self.open[tag] += 1
 
-    def close(self, tags: set[str], stop) -> None:
-        """Closes the innermost of the tags, if it is open and no tag that `stop` names is further in."""
-        if not any(self.open[t] for t in tags):
+    def _kinds(self, tag: str) -> Iterator[list[int]]:
+        if tag not in INLINE:
+            yield self.blocks
+        if tag in LISTS:
+            yield self.lists
+
+    def close(self, tags: set[str], stops: list[int]) -> None:
+        """Closes the innermost of the tags, if it is open and none of the tags at the places `stops` is further in."""
+        at = max((self.open[t][-1] for t in tags if self.open[t]), default=0)
+        if not at or stops and stops[-1] > at:
             return
-        for i in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[i][0]
-            if tag in tags:
-                if tag not in INLINE and self.stack[-1][1] is not None:
-                    self.flush()
-                for gone, *_ in self.stack[i:]:
-                    self.open[gone] -= 1
-                del self.stack[i:]
-                return
-            if stop(tag):
-                return
+        if self.stack[at][0] not in INLINE and self.stack[-1][1] is not None:
+            self.flush()
+        for gone, *_ in self.stack[at:]:
+            for places in (self.open[gone], *self._kinds(gone)):
+                places.pop()
+        del self.stack[at:]
 
 
 def parse(page: str | None) -> Node:
     """The page's blocks, nested; unclosed and misplaced tags are closed as browsers do, more or less."""
     text = page or ""
     p = _Page()
-    at, n = 0, len(text)
+    at, n, last = 0, len(text), text.rfind(">")
     while at < n:
-        m = _TOKEN.match(text, at)
+        # Beyond the last tag's end there is text alone, and no tag is looked for.
+        m = _TOKEN.match(text, at) if at <= last or text.startswith(("<!--", "<![CDATA["), at) else _REST.match(text, at)
         at = m.end()
-        tag = m[2] or m[5]
+        tag = m.re is _TOKEN and (m[2] or m[5])
         _, block, link = p.stack[-1]
         if not tag:
             data = m[0]
@@ -141,12 +149,12 @@ def parse(page: str | None) -> Node:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            p.close({tag}, (lambda t: t not in INLINE) if tag in INLINE else (lambda t: False))
+            p.close({tag}, p.blocks if tag in INLINE else [])
             continue
         if tag in ENDS_P:
-            p.close({"p"}, lambda t: t not in INLINE)
+            p.close({"p"}, p.blocks)
         elif tag in SIBLINGS:
-            p.close(SIBLINGS[tag], lambda t: t in LISTS)
+            p.close(SIBLINGS[tag], p.lists)
         _, block, link = p.stack[-1]
         attrs = m[3] or m[6] or ""
         key, skip = _named(tag, attrs)

@@ -348,3 +348,19 @@ def test_long_lists_of_digests_take_linear_time(spark):
     gaps = lambda runs, base: list(secret_grammar._gaps("a" * 200, runs, base))
     assert gaps([(0, 50), (60, 120)], [(5, 100, "k"), (10, 20, "k")]) == [(100, 120)]
     assert gaps([(0, 50), (60, 120)], [(10, 20, "k"), (15, 30, "k"), (70, 80, "k")]) == [(0, 10), (30, 50), (60, 70), (80, 120)]
+
+
+def test_pages_parse_in_linear_time():
+    import time
+
+    began = time.perf_counter()
+    wrappers.parse("<b><div>" + "<i>" * 200_000 + "</b>" * 200_000)
+    wrappers.parse("<p>" * 200_000 + "<ul>" + "</p>" * 200_000)
+    wrappers.parse("<p>a</p>" + "<a " * 200_000)
+    assert time.perf_counter() - began < 60
+    texts = lambda page: texts_of(wrappers.parse(page))[1]
+    texts_of = lambda node: (node.tag, [c if isinstance(c, tuple) else texts_of(c) for c in node.children])
+    # </b> does not reach beyond the div, </p> closes the p around the inline tags, <li> the one before it in its list
+    assert texts("<b><div>x</b>y</div>z") == [("div", [("xy", 0)]), ("z", 0)]
+    assert texts("<p>a<i>b<p>c") == [("p", [("ab", 0)]), ("p", [("c", 0)])]
+    assert texts("<ul><li>a<ul><li>b</ul><li>c") == [("ul", [("li", [("a", 0), ("ul", [("li", [("b", 0)])])]), ("li", [("c", 0)])])]
