@@ -201,11 +201,11 @@ def tree(symbols: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarra
     Names of runs of 1, 2, 4, ... symbols (equal runs, equal names, in order) sort the suffixes and measure what
     neighbours share. A node of the tree is a stretch of the order within which neighbours share that node's depth.
     """
-    names, width = [np.unique(symbols, return_inverse=True)[1].astype(np.int64)], 1
+    names, width = [np.unique(symbols, return_inverse=True)[1].astype(np.int32)], 1
     while 2 * width <= depth:
         last = names[-1]
-        after = np.append(last[width:], np.full(min(width, len(last)), -1)) + 1
-        names.append(np.unique(last * (len(last) + 2) + after, return_inverse=True)[1].astype(np.int64))
+        after = np.append(last[width:], np.full(min(width, len(last)), -1, dtype=np.int32)) + 1
+        names.append(np.unique(last.astype(np.int64) * (len(last) + 2) + after, return_inverse=True)[1].astype(np.int32))
         width *= 2
     top = names[-1]
     order = starts[np.lexsort((top[starts + depth - width], top[starts]))]
@@ -227,15 +227,13 @@ def deep_leaves(order: np.ndarray, shared: np.ndarray, depth: int) -> np.ndarray
 def _repeated(words: list[str], lo: np.ndarray, hi: np.ndarray, window: int) -> list[tuple[int, int, int]]:
     """(row, first start, last start) of the windows of rows that another window of these rows equals."""
     number: dict[str, int] = {}
-    symbols, base = [], [0]
-    for w in words:
-        symbols += [number.setdefault(x, len(number)) for x in w.split(" ")]
-        base.append(len(symbols))
-    base = np.array(base[:-1])
+    parts = [np.array([number.setdefault(x, len(number)) for x in w.split(" ")], dtype=np.int32) for w in words]
+    base = np.cumsum([0, *map(len, parts)])[:-1]
+    symbols = np.concatenate(parts)
     n = hi - lo + 1
     row = np.repeat(np.arange(len(n)), n)
     starts = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + base[row]
-    found = np.sort(deep_leaves(*tree(np.array(symbols), starts, window), window))
+    found = np.sort(deep_leaves(*tree(symbols, starts, window), window))
     of = np.searchsorted(base, found, side="right") - 1
     cuts = np.flatnonzero((np.diff(found) != 1) | (np.diff(of) != 0)) + 1
     return [(of[i], lo[of[i]] + found[i] - base[of[i]], lo[of[i]] + found[j - 1] - base[of[i]]) for i, j in pairwise([0, *cuts, len(found)]) if j > i]
@@ -275,7 +273,7 @@ def _split(rows: DataFrame, window: int) -> DataFrame:
     return rows.mapInPandas(halves, f"{_ROWS}, n bigint, near int, far int, words string")
 
 
-def repeated_ranges(docs: DataFrame, window: int = 35, gram: int = 8, most: int = 20_000, group_rows: int = 10_000) -> DataFrame:
+def repeated_ranges(docs: DataFrame, window: int = 35, gram: int = 8, most: int = 3_000, group_rows: int = 3_000) -> DataFrame:
     """(doc, twin, lo, hi): ranges of window starts whose words also start elsewhere; docs as of _keyed()."""
     gram = min(gram, window)
     rows = written(_anchors(docs, window, gram), "anchors")
@@ -294,12 +292,12 @@ def repeated_ranges(docs: DataFrame, window: int = 35, gram: int = 8, most: int
     return out
 
 
-def _covered(ranges: list | None, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Disjoint, ordered ranges (start, end) of words that windows of these starts cover."""
-    if ranges is None or not len(ranges):
+def _covered(lo: np.ndarray | None, hi: np.ndarray | None, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Disjoint, ordered ranges (start, end) of words that windows starting at lo to hi cover."""
+    if lo is None or not len(lo):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found = np.array(sorted((r["lo"], r["hi"]) for r in ranges), dtype=np.int64)
-    lo, hi = found[:, 0], np.maximum.accumulate(found[:, 1] + window)
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order].astype(np.int64), np.maximum.accumulate(hi[order].astype(np.int64) + window)
     first = np.concatenate([[True], lo[1:] > hi[:-1]])
     return lo[first], hi[np.append(np.flatnonzero(first)[1:], len(lo)) - 1]
 
@@ -320,7 +318,7 @@ def _kept(text: str | None, starts: np.ndarray, ends: np.ndarray) -> Iterator[tu
 def _told(df: DataFrame, id_col: str, text: str, window: int, finding: dict) -> DataFrame:
     """df's columns as _c0, _c1, ..., the text, and the ranges of each row."""
     ranges = repeated_ranges(_keyed(df, id_col, text), window, **finding)
-    ranges = ranges.groupBy("doc", "twin").agg(F.collect_list(F.struct("lo", "hi")).alias("_ranges"))
+    ranges = ranges.groupBy("doc", "twin").agg(F.collect_list(F.struct("lo", "hi")).alias("_ranges")).select("doc", "twin", F.col("_ranges.lo").alias("_lo"), F.col("_ranges.hi").alias("_hi"))
     key = _keyed(df, id_col, text)
     rows = df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(df.columns)], *[F.xxhash64(F.lit(name), F.col(id_col), F.col(text)).alias(name) for name in key.columns[:2]])
     return rows.join(ranges, ["doc", "twin"], "left")
@@ -336,12 +334,12 @@ def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: i
     """
 
     @F.pandas_udf("n_words bigint, n_removed bigint, kept_sha256 string")
-    def digest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, ranges in batches:
+    def digest(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for part in batches:
             out = []
-            for t, r in zip(texts, ranges):
+            for t, lo, hi in zip(*part):
                 n, left, sha = 0, 0, hashlib.sha256()
-                for words, keep in _kept(t, *_covered(r, window)):
+                for words, keep in _kept(t, *_covered(lo, hi, window)):
                     if keep:
                         sha.update((b" " if left else b"") + b" ".join(keep))
                     n, left = n + words, left + len(keep)
@@ -350,16 +348,16 @@ def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: i
 
     source = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     out = _told(source, "id", "text", window, finding)
-    return out.select(F.col("_c0").alias(id_col), digest("_c1", "_ranges").alias("d")).select(id_col, "d.*")
+    return out.select(F.col("_c0").alias(id_col), digest("_c1", "_lo", "_hi").alias("d")).select(id_col, "d.*")
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 35, **finding) -> DataFrame:
     """df with the kept words of each text, joined by one space; texts that lose no word stay as they are. See removed()."""
 
     @F.pandas_udf("string")
-    def cleaned(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, ranges in batches:
-            yield pd.Series([t if r is None or not len(r) else b" ".join(w for _, keep in _kept(t, *_covered(r, window)) for w in keep).decode() for t, r in zip(texts, ranges)], dtype=object)
+    def cleaned(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for part in batches:
+            yield pd.Series([t if lo is None else b" ".join(w for _, keep in _kept(t, *_covered(lo, hi, window)) for w in keep).decode() for t, lo, hi in zip(*part)], dtype=object)
 
     out = _told(df, id_col, text, window, finding)
-    return out.select(*[(cleaned(f"_c{i}", "_ranges") if c == text else F.col(f"_c{i}")).alias(c) for i, c in enumerate(df.columns)])
+    return out.select(*[(cleaned(f"_c{i}", "_lo", "_hi") if c == text else F.col(f"_c{i}")).alias(c) for i, c in enumerate(df.columns)])
