@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,10 +48,13 @@ _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 # Bytes: A-Z lower-cased, other ASCII but digits and letters to a space, the rest kept.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
-_TAG = re.compile(r"(?:spdx-license-identifier\s*:|(?:licensed|released|available|distributed)\s+under)\s+(?:the\s+)?", re.I)
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+# After a tag's last word: marks and white space, and words that lead to the licence's name.
+_LEAD = re.compile(r"[^\w(.]*(?:(?:the|terms|of|a|an|version|gnu)\b[^\w(.]*)*", re.I)
 # Between tokens: white space over at most one line's end (any number within brackets), with the next line's comment mark.
 _LINE, _ID = r"(?:\n[^\S\n]*(?:(?://+|#+|\*+|;+|--+)[^\S\n]*)?)", r"(\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*)"
 _TOKEN, _INNER = re.compile(rf"[^\S\n]*{_LINE}?{_ID}"), re.compile(rf"[^\S\n]*{_LINE}*{_ID}")
+_NUMBER = re.compile(r"(?:version |v\.? ?)?(\d{1,2}(?:\.\d{1,3})*)(?:\+|-or-later|-only)?", re.I)
 _VERSION = re.compile(r" (?:(?:version|v) ?|v)?(\d{1,2})(?: (\d{1,2}))?(?= |$)")
 
 
@@ -106,6 +110,8 @@ def evaluate(text: str, at: int = 0) -> tuple[set[str], float] | None:
                 ids.append(token)
                 values.append(1.0 if known else 0.5)
                 operand = False
+        elif (v := _NUMBER.fullmatch(raw)) and ids and not re.search(r"\d$", ids[-1]):
+            ids[-1] += f"-{v[1]}"  # "GPL 3.0" is one id
         elif token in _PRECEDENCE:
             while stack and stack[-1] != "(" and _PRECEDENCE[stack[-1]] >= _PRECEDENCE[token]:
                 combine(stack, values)
@@ -150,9 +156,11 @@ def scan_text(text: str | None) -> dict:
             if v := _VERSION.match(line, end):
                 more.add(f"{label}-{v[1]}" + f".{v[2]}" * bool(v[2]))
             miss *= 0.5
-    if any(phrase in TAGS for _, _, phrase in hits):
-        for m in _TAG.finditer(raw):
-            if found := evaluate(raw, m.end()):
+    if tags := [end for _, end, phrase in hits if phrase in TAGS]:
+        ends = [m.end() for m in _WORD.finditer(raw)]  # of the words that the automaton read, in the text as it is
+        spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), dtype=np.uint8) == 32)
+        for last in np.searchsorted(spaces, tags) - 1:
+            if found := evaluate(raw, _LEAD.match(raw, ends[last]).end()):
                 more |= found[0]
                 miss *= 1 - 0.9 * found[1]
             else:

@@ -364,3 +364,15 @@ def test_pages_parse_in_linear_time():
     assert texts("<b><div>x</b>y</div>z") == [("div", [("xy", 0)]), ("z", 0)]
     assert texts("<p>a<i>b<p>c") == [("p", [("ab", 0)]), ("p", [("c", 0)])]
     assert texts("<ul><li>a<ul><li>b</ul><li>c") == [("ul", [("li", [("a", 0), ("ul", [("li", [("b", 0)])])]), ("li", [("c", 0)])])]
+
+
+def test_tags_stand_where_the_automaton_finds_them():
+    labels = lambda text: set(licences.scan_text(text)["labels"].split(",")) - {""}
+    for text in ("SPDX License Identifier: MIT", "spdx_license_identifier = MIT", "Licensed, under MIT", "Ünï licensed\n# under  the MIT"):
+        assert "mit" in labels(text), text
+        assert licences.scan_text(text)["score"] > 0.8, text
+    assert labels("This is licensed under GNU GPL 3.0") == {"gpl-3.0"}
+    assert labels("released under the terms of the Apache-2.0 OR (MIT AND BSD 3) licence") == {"apache-2.0", "mit", "bsd-3"}
+    assert labels("licensed under") == set() and labels("x licensed under the") == set()
+    many = "licensed, under MIT and " * 20_000
+    assert licences.scan_text(many)["n_words"] == 80_000 and labels(many) == {"mit"}
