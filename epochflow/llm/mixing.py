@@ -24,6 +24,8 @@ from .common import written
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a plan that are broadcast at the most; a longer one is joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Blocks of a source, if it is not large.
+BLOCKS = 256
 
 
 @dataclass(frozen=True)
@@ -31,13 +33,14 @@ class Mix:
     """A planned mix.
 
     sizes: id, source, size, spread, key and block of each document; plan: source, block, source_size, target and draws
-    (epoch, shard, and where the last document of the source is cut: key, words left for it, rows that share it).
+    (epoch, shard, and where the last document of the source is cut: key, words left for it, rows that share it);
+    many: number of blocks of the sources that have more than BLOCKS.
     """
 
     sizes: DataFrame
     plan: DataFrame
     seed: int
-    blocks: int
+    many: DataFrame
     shards: int
     few: bool
 
@@ -76,9 +79,11 @@ def _keyed(df: DataFrame, id_col: str, text: str, source: str, seed: int, *more:
     )
 
 
-def _blocked(keyed: DataFrame, blocks: int) -> DataFrame:
-    """Adds the block of each row."""
-    return keyed.withColumn("block", F.pmod("spread", F.lit(blocks)).cast("int"))
+def _blocked(keyed: DataFrame, many: DataFrame) -> DataFrame:
+    """Adds the block of each row; `many` has (source, blocks) of large sources."""
+    many = many.select(F.col("source").alias("_of"), F.col("blocks").alias("_blocks"))
+    out = keyed.join(F.broadcast(many), keyed["source"].eqNullSafe(many["_of"]), "left")
+    return out.withColumn("block", F.pmod("spread", F.coalesce("_blocks", F.lit(BLOCKS))).cast("int")).drop("_of", "_blocks")
 
 
 def _weighted(sources: DataFrame, weights) -> DataFrame:
@@ -181,15 +186,17 @@ def plan_mix(
     that share that document's id are cut alike. Null sources are a source of their own; null and empty texts have
     size 0 and are drawn with their block; rows with equal ids are drawn together; an empty table gives empty results.
 
-    There are as many shards as the mix holds shard_words, 64 at least (or `shards`), and about 8 draws of blocks for a
-    shard, 256 blocks a source at least. A task plans at most a group of sources or a branch of shards; the driver holds
+    There are as many shards as the mix holds shard_words, 64 at least (or `shards`), and about 8 blocks for a shard, a
+    source has blocks by its size, BLOCKS at least. A task plans at most a group of sources or a branch of shards; the driver holds
     at most groups x branches numbers. Reruns draw the same.
     """
     sizes = written(_keyed(df, id_col, text, source, seed), "sizes")
     words, names = sizes.agg(F.sum("size"), F.approx_count_distinct(F.coalesce("source", F.lit("")))).first()
     shards = shards or max(64, int(share * (words or 0) // shard_words))
-    blocks = max(256, -(-8 * shards // max(1, names)))
-    sizes = _blocked(sizes, blocks)
+    # Sources of more than BLOCKS of the 8 * shards blocks: at most 8 * shards / BLOCKS of them.
+    blocks = F.ceil(F.sum("size") * F.lit(8 * shards / max(1, words or 0))).cast("int")
+    many = written(sizes.groupBy("source").agg(blocks.alias("blocks")).where(F.col("blocks") > BLOCKS), "many")
+    sizes = _blocked(sizes, many)
     by_block = written(sizes.groupBy("source", "block").agg(F.sum("size").alias("n")), "blocks")
     targets = reshared(by_block.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, most)
     targets = targets.withColumnRenamed("source", "_of")
@@ -240,7 +247,7 @@ def plan_mix(
     plan = goals.join(draws, goals["source"].eqNullSafe(draws["_of"]) & (goals["block"] == draws["_at"]), "left")
     plan = written(plan.select("source", "block", "source_size", "target", "_draws"), "plan")
     few = plan.count() <= BROADCAST_ROWS
-    return Mix(sizes, plan.withColumn("_draws", F.coalesce("_draws", F.array().cast(plan.schema["_draws"].dataType))), seed, blocks, shards, few)
+    return Mix(sizes, plan.withColumn("_draws", F.coalesce("_draws", F.array().cast(plan.schema["_draws"].dataType))), seed, many, shards, few)
 
 
 def _cuts(sizes: DataFrame, last: DataFrame) -> DataFrame:
@@ -275,7 +282,7 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     """
     kept = [c for c in df.columns if c not in ("mix_shard", "mix_words")]
     mix = plan_mix(df, id_col=id_col, text=text, source=source, seed=seed, **plan)
-    out = mix.drawn(_blocked(_keyed(df, id_col, text, source, seed, *kept), mix.blocks))
+    out = mix.drawn(_blocked(_keyed(df, id_col, text, source, seed, *kept), mix.many))
     out = out.withColumn("_d", F.explode("draws")).where("size = 0 OR _d.words > 0")
     body = F.col(f"_c{kept.index(text)}")
     body = F.when(F.col("_d.words") >= F.col("size"), body).otherwise(F.array_join(F.slice(F.regexp_extract_all(body, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("_d.words").cast("int")), ""))

@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from epochflow.llm import mixing
 from epochflow.llm.queries import op1_mix_sources
@@ -93,3 +94,13 @@ def test_odd_rows(spark):
     assert set(mixing.mixed(df).columns) == {"doc_id", "text", "source", "size", "mix_shard", "mix_words"}
     assert mixing.taken_words(df.limit(0)).count() == 0 and mixing.mixed(df.limit(0)).count() == 0
     assert mixing.taken_words(df.where("doc_id = 2")).first().taken == 0
+
+
+def test_a_dominant_source_has_blocks_by_its_size(spark):
+    """One source of 90 % of the words among 5,000 others: blocks stay near one eighth of a shard, and totals exact."""
+    rows = spark.range(45_000).selectExpr("id AS doc_id", "repeat('w ', 20) AS text", "'big' AS source").union(spark.range(5_000).selectExpr("id + 100000 AS doc_id", "repeat('w ', 20) AS text", "concat('s', id) AS source"))
+    mix = mixing.plan_mix(rows, shards=200)
+    largest = mix.sizes.groupBy("source", "block").agg(F.sum("size").alias("n")).agg(F.max("n")).first()[0]
+    assert mix.many.collect() == [("big", 1440)] and largest <= 4 * 20 * 45_000 // 1440
+    taken = mixing.taken_words(rows, shards=200).groupBy("source").agg(F.sum("taken").alias("n"), F.max("target").alias("t")).collect()
+    assert len(taken) == 5001 and all(r.n == round(r.t) for r in taken)
