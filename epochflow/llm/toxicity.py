@@ -1,7 +1,8 @@
 """Toxicity: disguised words are restored by a noisy channel (Viterbi over character lattices), then texts are scored.
 
 The channel writes a letter as itself, as a look-alike, with marks in between, or several times; the source is a
-character trigram model of the corpus' words. Texts spaced out letter by letter are split into known words. Words (and
+character trigram model of the corpus' words, which may end within a token. Texts spaced out letter by letter are split
+into known words. Words (and
 beginnings of words) that are significantly more frequent in documents labelled toxic carry the score.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -22,11 +23,12 @@ from .common import remainder_is, words_of, written
 
 # Look-alikes and the letters they may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
+SHAPES = {"|_|": "u", "()": "o", "\\/": "v", "/\\": "a", "|)": "d", "|<": "k"}
 _MARKS = set(".-_*~'\"’`^·,:;/\\#%&=?<>[]{}) ")
 _EDGE = "".join(_MARKS - {" "}) + "!|+($@"
-_TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*]+[^\W_]){3,}(?![^\W_])")
-_WORD = re.compile(r"[^\W\d_]+")
+_DOUBLE, _TRIPLE = re.compile(r"([^\W\d_])\1"), re.compile(r"([^\W\d_])\1\1")
+_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[\s.\-_*]+[^\W_]){2,}(?![^\W_])")
+_WORD, _REPEATED = re.compile(r"[^\W\d_]+"), re.compile(r"(.)\1+", re.S)
 #: Log costs of the channel: a look-alike, a mark left out, another sign left out, a repeated letter left out.
 _LOOK, _MARK, _SIGN, _AGAIN = -1.0, -0.4, -6.0, -1.2
 #: Restored tokens up to this length are kept for their next occurrence; longer ones are restored each time.
@@ -35,10 +37,15 @@ _KEPT = 40
 
 @dataclass
 class CharModel:
-    """Interpolated character trigrams; ^ begins a word and $ ends it. Beside them words and their counts."""
+    """Interpolated character trigrams; ^ begins a word and $ ends it. Beside them words and their counts.
+
+    lower: counts of contexts of two letters, of pairs, of letters before another and of letters, where tri lacks rare
+    trigrams; else they are summed from tri.
+    """
 
     tri: dict[str, int]
     words: dict[str, int] = field(default_factory=dict)
+    lower: tuple[dict, dict, dict, dict] | None = None
     sizes: list[int] = field(init=False)
     bi: dict[str, int] = field(init=False)
     pairs: dict[str, int] = field(init=False)
@@ -48,15 +55,13 @@ class CharModel:
 
     def __post_init__(self):
         self.sizes = sorted({len(w) for w in self.words})
-        self.bi, self.pairs, self.uni = defaultdict(int), defaultdict(int), defaultdict(int)
-        for g, n in self.tri.items():
+        self.bi, self.pairs, self.starts, self.uni = self.lower or tuple(defaultdict(int) for _ in range(4))
+        for g, n in self.tri.items() if not self.lower else ():
             self.bi[g[:2]] += n
             self.pairs[g[1:]] += n
+            self.starts[g[1]] += n
             self.uni[g[2]] += n
-        ends = defaultdict(int)
-        for g, n in self.pairs.items():
-            ends[g[0]] += n
-        self.starts, self.total = ends, sum(self.uni.values()) + 1
+        self.total = sum(self.uni.values()) + 1
 
     def logp(self, a: str, b: str, c: str) -> float:
         key = a + b + c
@@ -67,30 +72,33 @@ class CharModel:
         return self.seen[key]
 
 
-def restore(token: str, model: CharModel) -> str:
+def restore(token: str, model: CharModel, apart: bool = False) -> str:
     """The likeliest letters behind a token (Viterbi over all states; a state is the last two letters).
 
-    Paths share their letters as linked pairs, so time and memory grow with the length only.
+    apart: words may also end at marks, and a space stands between them. Paths share their letters as linked pairs,
+    so time and memory grow with the length only.
     """
-    best = {("^", "^"): (0.0, None)}
+    best: list[dict[tuple[str, str], tuple[float, tuple | None]]] = [{("^", "^"): (0.0, None)}]
+    best += [{} for _ in token]
     for at, c in enumerate(token):
-        options = []
-        if c.isalpha():
-            options.append((c, 0.0))
-        options += [(x, _LOOK) for x in LOOKALIKES.get(c, "")]
+        options = [(c, 0.0, 1)] if c.isalpha() else []
+        options += [(x, _LOOK, 1) for x in LOOKALIKES.get(c, "")]
+        options += [(x, _LOOK, len(shape)) for shape, x in SHAPES.items() if shape[0] == c and token.startswith(shape, at)]
         cost = _MARK if c in _MARKS else _SIGN
-        new: dict[tuple[str, str], tuple[float, tuple | None]] = {}
-        for (a, b), (p, out) in best.items():
-            steps = [((b, x), p + w + model.logp(a, b, x), x) for x, w in options]
+        for (a, b), (p, out) in best[at].items():
+            steps = [((b, x), p + w + model.logp(a, b, x), x, size) for x, w, size in options]
             if not c.isalpha():
-                steps.append(((a, b), p + cost, ""))
+                steps.append(((a, b), p + cost, "", 1))
+                if apart and c in _MARKS and b != "^":
+                    steps.append((("^", "^"), p + cost + model.logp(a, b, "$"), " ", 1))
             elif c == b and at and token[at - 1] == c:
-                steps.append(((a, b), p + _AGAIN, ""))
-            for state, q, x in steps:
+                steps.append(((a, b), p + _AGAIN, "", 1))
+            for state, q, x, size in steps:
+                new = best[at + size]
                 if state not in new or q > new[state][0]:
                     new[state] = (q, (out, x) if x else out)
-        best = new
-    ends = [(p + model.logp(a, b, "$"), out) for (a, b), (p, out) in best.items()]
+        best[at] = {}
+    ends = [(p + model.logp(a, b, "$"), out) for (a, b), (p, out) in best[-1].items()]
     top = max(p for p, _ in ends)
     return max(_letters(out) for p, out in ends if p == top)
 
@@ -129,18 +137,26 @@ def split(letters: str, model: CharModel) -> list[str]:
     return out[::-1]
 
 
-def restored_words(text: str | None, model: CharModel | None, cache: dict) -> set[str]:
-    """The distinct lower-case words of the text; disguised ones come restored, beside their letters as they stand."""
+def _once(word: str) -> str:
+    """The word with each repeated letter once."""
+    return _REPEATED.sub(r"\1", word)
+
+
+def restored_words(text: str | None, model: CharModel | None, cache: dict, telling: Telling | None = None) -> set[str]:
+    """The distinct lower-case words of the text; disguised ones come restored, beside their letters as they stand.
+
+    With `telling`, words with doubled letters are only restored where that may give a word that tells.
+    """
     low = (text or "").lower()
     words = set()
     tokens = set(low.split())
-    triple = bool(_TRIPLE.search(low))
+    double, triple = bool(_DOUBLE.search(low)), bool(_TRIPLE.search(low))
     for token in tokens:
         core = token.strip(_EDGE)
         if not core:
             continue
-        plain = core.isalpha()
-        if plain and not (triple and _TRIPLE.search(core)):
+        again = double and _DOUBLE.search(core) and (triple and _TRIPLE.search(core) or not telling or telling.may(core))
+        if core.isalpha() and not again:
             words.add(core)
             if core == token:
                 continue
@@ -154,7 +170,7 @@ def restored_words(text: str | None, model: CharModel | None, cache: dict) -> se
             if token in cache:
                 words |= cache[token]
                 continue
-            found = {restore(part, model) for part in {core, token}}
+            found = {w for part in {core, token} for w in (restore(part, model), *restore(part, model, True).split())}
             if len(token) <= _KEPT:
                 if len(cache) > 20_000:
                     cache.clear()
@@ -162,7 +178,7 @@ def restored_words(text: str | None, model: CharModel | None, cache: dict) -> se
             words |= found
     if model:
         for m in _SPACED.finditer(low):
-            words.add(glued := restore(m[0], model))
+            words.add(glued := restore(" ".join(m[0].split()), model))
             words.update(split(glued, model))
     words.discard("")
     return words
@@ -173,6 +189,19 @@ def features(words: set[str], prefix: int = 5) -> set[str]:
     return words | {w[:prefix] + "*" for w in words if len(w) > prefix}
 
 
+class Telling:
+    """Which words may be spellings of words and beginnings that tell, with letters doubled."""
+
+    def __init__(self, features_: Iterable[str]):
+        self.whole = {_once(f) for f in features_ if not f.endswith("*")}
+        self.begin = {_once(f[:-1]) for f in features_ if f.endswith("*")}
+        self.sizes = sorted({len(f) for f in self.begin})
+
+    def may(self, word: str) -> bool:
+        once = _once(word)
+        return once in self.whole or any(once[:n] in self.begin for n in self.sizes)
+
+
 @dataclass(frozen=True)
 class Model:
     """Character model, log-odds of the features that tell, and of the prior."""
@@ -199,12 +228,59 @@ def _one_of_copies(text: str | None, shingle: int = 5) -> int:
     return min((xxhash.xxh64_intdigest(b" ".join(g)) >> 1 for g in grams), default=0)
 
 
+def _character_model(texts: DataFrame, sample: DataFrame, rarest_gram: int = 1_000_000, rarest_word: int = 200_000) -> CharModel:
+    """The source model, counted over all texts: words by how many texts have them, and the trigrams of those words.
+
+    What is rarer than one of `rarest_gram` trigrams is left to the lower orders, so that at most so many trigrams,
+    contexts and pairs come to the driver whatever the scripts are; letters are at most as many as Unicode has. Words
+    come if they are one of `rarest_word` pairs of a word and a text (4 at least), or in 4 texts of the bounded sample.
+    """
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: Counter = Counter()
+
+        def sent() -> pd.DataFrame:
+            out = pd.DataFrame(list(held.items()), columns=["w", "n"])
+            held.clear()
+            return out
+
+        for part in batches:
+            for t in part["text"]:
+                held.update(set(_WORD.findall((t or "").lower())))
+                if len(held) > 200_000:
+                    yield sent()
+        yield sent()
+
+    def trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            grams: Counter = Counter()
+            for w, k in zip(part["w"], part["n"]):
+                w = f"^^{w}$"
+                for i in range(len(w) - 2):
+                    grams[w[i : i + 3]] += k
+            yield pd.DataFrame(list(grams.items()), columns=["g", "n"])
+
+    n = F.sum("n").alias("n")
+    words = written(texts.mapInPandas(found, "w string, n bigint").groupBy("w").agg(n), "words")
+    grams = written(words.mapInPandas(trigrams, "g string, n bigint").groupBy("g").agg(n), "trigrams")
+    all_words, all_grams = (d.agg(F.sum("n")).first()[0] or 0 for d in (words, grams))
+
+    def counts(key, least: float) -> dict[str, int]:
+        return defaultdict(int, {r["k"]: r["n"] for r in grams.groupBy(key.alias("k")).agg(n).where(F.col("n") >= least).collect()})
+
+    g, least = F.col("g"), all_grams / rarest_gram
+    lower = tuple(counts(F.substring(g, at, size), bound) for at, size, bound in ((1, 2, least), (2, 2, least), (2, 1, 0), (3, 1, 0)))
+    in_sample = sample.mapInPandas(found, "w string, n bigint").groupBy("w").agg(n).where("n >= 4").select("w").withColumn("sampled", F.lit(True))
+    known = words.join(in_sample, "w", "left").where(F.col("sampled") | (F.col("n") >= max(4.0, all_words / rarest_word)))
+    return CharModel(dict(counts(g, least)), {r["w"]: r["n"] for r in known.collect()}, lower)
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 5, held_out: int = 0, most_rows: int = 20_000, z: float = 2.58) -> Model:
     """Fits on labelled documents whose crc32(id as text) mod modulus is not held_out.
 
     Bounded: of those labels the `most_rows` with the lowest id hash are used (an id with several labels takes the
-    largest; null ids and labels are left out). Near copies among them count once. The channel's trigrams are counted
-    over all documents. Without labels of both classes the model has no weights and scores everything with the prior.
+    largest; null ids and labels are left out). Near copies among them count once. The channel's words and trigrams are
+    counted over all documents. Without labels of both classes the model has no weights and scores everything with the prior.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~remainder_is(id_col, modulus, held_out))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_y"))
@@ -219,35 +295,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     sample = written(texts.withColumn("k", copy_key("text")).groupBy("k", "_y").agg(F.min("text").alias("text")), "labelled")
     classes = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
 
-    def trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()  # documents by word, so that a word is cut into trigrams once
-
-        def cut() -> pd.DataFrame:
-            grams: Counter = Counter()
-            for w, k in held.items():
-                w = f"^^{w}$"
-                for i in range(len(w) - 2):
-                    grams[w[i : i + 3]] += k
-            held.clear()
-            return pd.DataFrame(list(grams.items()), columns=["g", "n"])
-
-        for part in batches:
-            for t in part["text"]:
-                held.update(set(_WORD.findall((t or "").lower())))
-            if len(held) > 200_000:
-                yield cut()
-        yield cut()
-
-    grams = docs.select(F.col(text).alias("text")).mapInPandas(trigrams, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
-
-    def lexicon(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            n = Counter(w for t in part["text"] for w in set(_WORD.findall((t or "").lower())))
-            yield pd.DataFrame(list(n.items()), columns=["w", "n"])
-
-    words = sample.mapInPandas(lexicon, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).where("n >= 4")
-    # Trigrams grow with the alphabets, not with the rows; the sample is bounded, and so are its words.
-    chars = CharModel({r["g"]: r["n"] for r in grams.collect()}, {r["w"]: r["n"] for r in words.collect()})
+    chars = _character_model(docs.select(F.col(text).alias("text")), sample)
     sent = docs.sparkSession.sparkContext.broadcast(chars)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,13 +321,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with toxicity (0 to 1). Null and empty texts get the prior; a column of that name is replaced."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by learn()'s most_rows and by the alphabets
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by learn()'s most_rows and by the character model's bounds
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache: dict = {}
+        telling = Telling(sent.value.weights)
         for texts in batches:
-            yield pd.Series([sent.value.score(features(restored_words(t, sent.value.chars, cache))) for t in texts], dtype="float64")
+            yield pd.Series([sent.value.score(features(restored_words(t, sent.value.chars, cache, telling))) for t in texts], dtype="float64")
 
     return docs.withColumn("toxicity", scored(F.col(text)))
 

@@ -376,3 +376,31 @@ def test_tags_stand_where_the_automaton_finds_them():
     assert labels("licensed under") == set() and labels("x licensed under the") == set()
     many = "licensed, under MIT and " * 20_000
     assert licences.scan_text(many)["n_words"] == 80_000 and labels(many) == {"mit"}
+
+
+def test_doubled_letters_white_space_shapes_and_joined_words(spark):
+    around = "you are such a worthless go away now please sit down all letters will still be good".split()
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.sample(around, len(around)) + (["idiot", "stupid", "moron", "shit", "head"] if i % 3 == 0 else ["weather", "fine", "head"]))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.learn(docs, docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) toxic"))
+    telling = toxicity.Telling(model.weights)
+    for token, word in (("iddiot", "idiot"), ("stuupid", "stupid"), ("i\nd\ni\no\nt", "idiot"), ("m\to\tr\to\tn", "moron"), ("st|_|pid", "stupid"), ("m()r()n", "moron"), ("sh1t-h34d", "shit"), ("you-1d10t", "idiot")):
+        for t in (None, telling):
+            assert word in toxicity.restored_words(token, model.chars, {}, t), token
+    assert telling.may("stuppid") and not telling.may("letter") and not telling.may("all")
+    clean = "all letters will still be good, please"
+    assert toxicity.restored_words(clean, model.chars, {}, telling) == set(clean.replace(",", "").split())
+
+
+def test_source_model_counts_all_documents_within_bounds(spark):
+    rows = [(i, f"common word{'abcdefghij'[i % 10]}" + (" rare" if i < 3 else " often") + (" 漢字" if i == 0 else "")) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sample = docs.limit(10).select("text")
+    whole = toxicity._character_model(docs, sample)
+    assert whole.words["often"] == 1997 and "rare" not in whole.words and whole.words["common"] == 2000
+    derived = toxicity.CharModel(whole.tri)
+    assert (derived.bi, derived.pairs, derived.starts, derived.uni) == whole.lower and derived.total == whole.total
+    few = toxicity._character_model(docs, sample, rarest_gram=100, rarest_word=20)
+    assert 0 < len(few.tri) <= 100 and len(few.words) <= 20 + 10 and few.uni == whole.uni and few.total == whole.total
+    assert "^^漢" not in few.tri and few.logp("^", "^", "漢") < 0
