@@ -28,6 +28,7 @@ _MARKS = set(".-_*~'\"’`^·,:;/\\#%&=?<>[]{}) ")
 _EDGE = "".join(_MARKS - {" "}) + "!|+($@"
 _DOUBLE, _TRIPLE = re.compile(r"([^\W\d_])\1"), re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[\s.\-_*]+[^\W_]){2,}(?![^\W_])")
+_JOINT = re.compile(r"[-_.,:;/&?=~*]+")
 _WORD, _REPEATED = re.compile(r"[^\W\d_]+"), re.compile(r"(.)\1+", re.S)
 #: Log costs of the channel: a look-alike, a mark left out, another sign left out, a repeated letter left out.
 _LOOK, _MARK, _SIGN, _AGAIN = -1.0, -0.4, -6.0, -1.2
@@ -171,6 +172,7 @@ def restored_words(text: str | None, model: CharModel | None, cache: dict, telli
                 words |= cache[token]
                 continue
             found = {w for part in {core, token} for w in (restore(part, model), *restore(part, model, True).split())}
+            found |= {restore(part, model) for part in _JOINT.split(core) if len(part) > 2 and not part.isalpha()}
             if len(token) <= _KEPT:
                 if len(cache) > 20_000:
                     cache.clear()
