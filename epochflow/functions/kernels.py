@@ -8,6 +8,8 @@ import numpy as np
 
 # Sub-bands (Hz) and weights of the filter bank, and the bands of the spectra.
 SUB_BANDS, BAND_WEIGHTS, TOP_HZ = (12.0, 22.0, 32.0), (1.0, 0.65, 0.45), 88.0
+#: Pass band of motor imagery, and the bands of its filter bank (Hz).
+MOTOR_BAND, MOTOR_BANK = (8.0, 30.0), ((4.0, 8.0), (8.0, 12.0), (12.0, 16.0), (16.0, 20.0), (20.0, 26.0), (26.0, 32.0))
 BANDS = {"delta": (1, 4), "theta": (4, 8), "alpha": (8, 13), "beta": (13, 30), "gamma": (30, 45), "broad": (1, 40)}
 
 
@@ -238,3 +240,147 @@ def pearson(a: np.ndarray, b: np.ndarray) -> float:
     a, b = a - a.mean(), b - b.mean()
     n = np.linalg.norm(a) * np.linalg.norm(b)
     return float(a @ b / n) if n > 1e-12 else 0.0
+
+
+EULER = 0.57721566490153286
+
+
+def digamma(n: np.ndarray) -> np.ndarray:
+    """Of whole numbers from 1 on: harmonic numbers less Euler's constant, a series from 16 on."""
+    small = np.cumsum(np.append(0.0, 1.0 / np.arange(1, 16))) - EULER
+    m = np.maximum(np.asarray(n, dtype=np.float64), 1.0)
+    series = np.log(m) - 1 / (2 * m) - 1 / (12 * m**2) + 1 / (120 * m**4) - 1 / (252 * m**6) + 1 / (240 * m**8)
+    return np.where(m < 16, small[np.minimum(m, 16).astype(np.int64) - 1], series)
+
+
+def mutual_information(x: np.ndarray, y: np.ndarray, neighbours: int = 3) -> np.ndarray:
+    """Nats that each column of x tells of the classes y, by nearest neighbours on the sorted values; 0 at least.
+
+    A value's radius is the distance to its k-th neighbour of its class (fewer in a small class); the values of all
+    classes nearer than that are counted, the value itself included (equal ones, where the radius is 0). Classes of a
+    single value are left out.
+    """
+    names, inverse, sizes = np.unique(y, return_inverse=True, return_counts=True)
+    kept = sizes[inverse] > 1
+    x, inverse, own = x[kept], inverse[kept], sizes[inverse[kept]]
+    n, out = len(x), np.zeros(x.shape[1])
+    if not n:
+        return out
+    known = np.minimum(neighbours, own - 1)
+    for f, column in enumerate(x.T):
+        radius = np.empty(n)
+        for c in np.unique(inverse):
+            at = np.flatnonzero(inverse == c)
+            order = at[np.argsort(column[at], kind="stable")]
+            v, k = column[order], known[at[0]]
+            padded = np.concatenate([np.full(k, -np.inf), v, np.full(k, np.inf)])
+            around = np.stack([np.abs(padded[k + j : k + j + len(v)] - v) for j in range(-k, k + 1) if j])
+            radius[order] = np.partition(around, k - 1, axis=0)[k - 1]
+        v = np.sort(column)
+        within = _nearer(v, column, radius, True) - _nearer(v, column, radius, False)
+        equal = np.searchsorted(v, column, "right") - np.searchsorted(v, column, "left")
+        m = np.where(radius > 0, np.maximum(within, 1), equal)
+        out[f] = max(0.0, digamma(np.array([n]))[0] + digamma(known).mean() - digamma(own).mean() - digamma(m).mean())
+    return out
+
+
+def _nearer(v: np.ndarray, at: np.ndarray, radius: np.ndarray, above: bool) -> np.ndarray:
+    """Where the sorted values that are nearer than the radius end (or begin, below); sums may round across a value."""
+    place = np.searchsorted(v, at + radius, "left") if above else np.searchsorted(v, at - radius, "right")
+    while True:
+        edge = v[np.clip(place - 1 if above else place, 0, len(v) - 1)]
+        far = (place > 0 if above else place < len(v)) & (np.abs(edge - at) >= radius) & (edge > at if above else edge < at)
+        beyond = v[np.clip(place if above else place - 1, 0, len(v) - 1)]
+        near = (place < len(v) if above else place > 0) & (np.abs(beyond - at) < radius)
+        if not (far | near).any():
+            return place
+        side = ("left", "right") if above else ("right", "left")
+        place = np.where(far, np.searchsorted(v, edge, side[0]), np.where(near, np.searchsorted(v, beyond, side[1]), place))
+
+
+def support_vectors(x: np.ndarray, y: np.ndarray, cost: float = 1.0, tolerance: float = 1e-3, most: int = 100_000) -> tuple[np.ndarray, float]:
+    """Weights and offset of a linear margin between y = 1 and y = -1 with hinge loss: steps on the most violating pair."""
+    gram = x @ x.T
+    a, gradient = np.zeros(len(y)), -np.ones(len(y))
+    for _ in range(most):
+        pull = -y * gradient
+        up, low = np.where((y > 0) & (a < cost) | (y < 0) & (a > 0), pull, -np.inf), np.where((y > 0) & (a > 0) | (y < 0) & (a < cost), pull, np.inf)
+        i, j = int(np.argmax(up)), int(np.argmin(low))
+        if up[i] - low[j] < tolerance:
+            break
+        step = (up[i] - low[j]) / max(gram[i, i] + gram[j, j] - 2 * gram[i, j], 1e-12)
+        step = min(step, cost - a[i] if y[i] > 0 else a[i], a[j] if y[j] > 0 else cost - a[j])
+        a[i] += y[i] * step
+        a[j] -= y[j] * step
+        gradient += y * step * (gram[:, i] - gram[:, j])
+    return x.T @ (a * y), float((up[i] + low[j]) / 2)
+
+
+def platt(sums, most: int = 100, least: float = 1e-5) -> tuple[float, float]:
+    """(a, b) of the probabilities 1 / (1 + exp(a * margin + b)), by Newton steps with halving.
+
+    sums(a, b): loss, its gradient by a and b, and its second derivatives aa, bb, ab, added up over all margins; the
+    margins themselves stay where they are.
+    """
+    a, b = sums.start
+    loss, ga, gb, haa, hbb, hab = sums(a, b)
+    for _ in range(most):
+        if abs(ga) < least and abs(gb) < least:
+            break
+        haa, hbb = haa + 1e-12, hbb + 1e-12
+        det = haa * hbb - hab * hab
+        da, db = -(hbb * ga - hab * gb) / det, -(haa * gb - hab * ga) / det
+        step, slope = 1.0, ga * da + gb * db
+        while step >= 1e-10:
+            new = sums(a + step * da, b + step * db)
+            if new[0] < loss + 1e-4 * step * slope:
+                a, b = a + step * da, b + step * db
+                loss, ga, gb, haa, hbb, hab = new
+                break
+            step /= 2
+        else:
+            break
+    return a, b
+
+
+class Margins:
+    """The sums that platt() asks for, of margins in memory; targets are drawn in from 0 and 1 by the class sizes."""
+
+    def __init__(self, margin: np.ndarray, positive: np.ndarray):
+        hits = positive.sum()
+        self.margin, self.start = margin, (0.0, float(np.log((len(margin) - hits + 1) / (hits + 1))))
+        self.target = np.where(positive, (hits + 1) / (hits + 2), 1 / (len(margin) - hits + 2))
+
+    def __call__(self, a: float, b: float) -> tuple:
+        z = a * self.margin + b
+        p = 1 / (1 + np.exp(np.clip(z, -500, 500)))
+        d1, d2 = self.target - p, p * (1 - p)
+        loss = (self.target * z + np.logaddexp(0, -z)).sum()
+        return loss, (self.margin * d1).sum(), d1.sum(), (self.margin**2 * d2).sum(), d2.sum(), (self.margin * d2).sum()
+
+
+def filter_bank_trca(x: np.ndarray, y: np.ndarray, fs: float = 250.0, starts=SUB_BANDS, top: float = TOP_HZ, shrink: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(classes, filters (bands, classes, channels), templates (bands, classes, channels, samples)) of classes of two trials or more."""
+    classes = np.array([k for k in np.unique(y) if (y == k).sum() >= 2])
+    filters, templates = [], []
+    for low in starts:
+        banded = zero_phase(bandpass(4, low, min(top, 0.45 * fs), fs), x)
+        banded = banded - banded.mean(axis=-1, keepdims=True)
+        sums = [(t.sum(axis=0), (t @ t.transpose(0, 2, 1)).sum(axis=0), len(t)) for t in (banded[y == k] for k in classes)]
+        filters.append([trca(s @ s.T - q, q, shrink) for s, q, _ in sums])
+        templates.append([s / n for s, _, n in sums])
+    return classes, np.array(filters), np.array(templates)
+
+
+def filter_bank_trca_scores(x: np.ndarray, filters: np.ndarray, templates: np.ndarray, fs: float = 250.0, starts=SUB_BANDS, weights=BAND_WEIGHTS, top: float = TOP_HZ) -> np.ndarray:
+    """(rows, classes): over the bands, weighted signed squares of the correlation with each template through all filters."""
+    out = np.zeros((len(x), templates.shape[1]))
+    for low, weight, w, ts in zip(starts, weights, filters, templates):
+        banded = zero_phase(bandpass(4, low, min(top, 0.45 * fs), fs), x)
+        seen = (w @ (banded - banded.mean(axis=-1, keepdims=True))).reshape(len(x), -1)
+        known = (w @ ts).reshape(len(ts), -1)
+        seen, known = seen - seen.mean(axis=1, keepdims=True), known - known.mean(axis=1, keepdims=True)
+        norm = np.linalg.norm(seen, axis=1)[:, None] * np.linalg.norm(known, axis=1)
+        r = np.where(norm > 1e-12, seen @ known.T / np.maximum(norm, 1e-300), 0.0)
+        out += weight * np.sign(r) * r * r
+    return out

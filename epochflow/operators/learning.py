@@ -14,6 +14,10 @@ from epochflow.functions import kernels as K
 from epochflow.operators.signals import stack
 
 
+#: Sampling rate that the pipelines' filters are made for, and features that the filter bank keeps.
+FS, BEST_FEATURES = 250.0, 12
+
+
 class Lda:
     """Linear discriminant with Ledoit-Wolf shrinkage of the pooled covariance."""
 
@@ -77,6 +81,68 @@ def _mean(c: np.ndarray) -> np.ndarray:
     return m
 
 
+class Svm:
+    """Standardised linear margins between each two classes, with Platt's probabilities from out-of-fold margins."""
+
+    def fit(self, x: np.ndarray, y: np.ndarray, folds: int = 5) -> Svm:
+        self.classes = np.unique(y)
+        self.mean, self.scale = x.mean(axis=0), np.where(x.std(axis=0) < 1e-8, 1.0, x.std(axis=0))
+        z, weights, offsets, sigmoids = (x - self.mean) / self.scale, [], [], []
+        for one, other in self.pairs():
+            at = np.flatnonzero((y == one) | (y == other))
+            sign, rows = np.where(y[at] == other, 1.0, -1.0), z[at]
+            w, b = K.support_vectors(rows, sign)
+            margins = rows @ w + b
+            # Folds keep the classes' shares: trials of a class are dealt in turn.
+            fold = np.zeros(len(at), dtype=np.int64)
+            for c in (-1.0, 1.0):
+                fold[sign == c] = np.arange((sign == c).sum()) % folds
+            for f in range(folds):
+                held = fold == f
+                if held.any() and len(np.unique(sign[~held])) == 2:
+                    v, c = K.support_vectors(rows[~held], sign[~held])
+                    margins[held] = rows[held] @ v + c
+            weights.append(w)
+            offsets.append(b)
+            sigmoids.append(K.platt(K.Margins(margins, sign > 0)))
+        self.w, self.b, self.sigmoid = np.array(weights), np.array(offsets), np.array(sigmoids)
+        return self
+
+    def pairs(self) -> list[tuple]:
+        return [(a, b) for i, a in enumerate(self.classes) for b in self.classes[i + 1 :]]
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """(rows, classes): each pair's probabilities, averaged; they add up to 1."""
+        z = ((x - self.mean) / self.scale) @ self.w.T + self.b
+        p = 1 / (1 + np.exp(np.clip(self.sigmoid[:, 0] * z + self.sigmoid[:, 1], -500, 500)))
+        out = np.zeros((len(x), len(self.classes)))
+        for k, (a, b) in enumerate(self.pairs()):
+            out[:, np.searchsorted(self.classes, b)] += p[:, k]
+            out[:, np.searchsorted(self.classes, a)] += 1 - p[:, k]
+        return out / out.sum(axis=1, keepdims=True)
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """The class that wins most pairs by the margin's sign; ties go to the first."""
+        z = ((x - self.mean) / self.scale) @ self.w.T + self.b
+        votes = np.zeros((len(x), len(self.classes)))
+        for k, (a, b) in enumerate(self.pairs()):
+            votes[np.arange(len(x)), np.where(z[:, k] > 0, np.searchsorted(self.classes, b), np.searchsorted(self.classes, a))] += 1
+        return self.classes[np.argmax(votes, axis=1)]
+
+
+def banded(x: np.ndarray) -> np.ndarray:
+    """Trials in the pass band that opens the motor pipelines."""
+    return K.zero_phase(K.bandpass(4, *K.MOTOR_BAND, FS), x)
+
+
+def _bank(x: np.ndarray) -> list[np.ndarray]:
+    return [K.zero_phase(K.bandpass(4, *band, FS), x) for band in K.MOTOR_BANK]
+
+
+def _bank_features(x: np.ndarray, filters: np.ndarray) -> np.ndarray:
+    return np.concatenate([K.log_variance_features(w, b) for w, b in zip(filters, _bank(x))], axis=1)
+
+
 def _lda(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     m = Lda().fit(x, y)
     return {"classes": m.classes, "means": m.means, "inverse": m.inverse, "priors": m.priors}
@@ -90,40 +156,57 @@ def _told(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
 
 def trained(pipeline: str, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     """The parameters of a fitted pipeline, as named arrays."""
+    if pipeline == "fbcsp":
+        a, b = np.unique(y)[:2]
+        covs = [K.covariances(part) for part in _bank(x)]
+        filters = np.stack([K.csp(c[y == a].mean(axis=0), c[y == b].mean(axis=0)) for c in covs])
+        z = _bank_features(x, filters)
+        picked = np.sort(np.argsort(-K.mutual_information(z, y), kind="stable")[:BEST_FEATURES])
+        return {"filters": filters, "picked": picked, **_lda(z[:, picked], y)}
     if pipeline == "csp_lda":
+        x = banded(x)
         c = K.covariances(x)
         a, b = np.unique(y)[:2]
         w = K.csp(c[y == a].mean(axis=0), c[y == b].mean(axis=0))
         return {"filters": w, **_lda(K.log_variance_features(w, x), y)}
-    if pipeline in ("riemann_lr", "riemann_lda"):
-        c = K.covariances(x)
+    if pipeline in ("riemann_lr", "riemann_lda", "riemann_svm"):
+        c = K.covariances(banded(x))
         mean = _mean(c)
         z = K.tangent(c, mean)
         if pipeline == "riemann_lda":
             return {"mean": mean, **_lda(z, y)}
+        if pipeline == "riemann_svm":
+            s = Svm().fit(z, y)
+            return {"mean": mean, "centre": s.mean, "scale": s.scale, "classes": s.classes, "w": s.w, "b": s.b, "sigmoid": s.sigmoid}
         m = Logistic().fit(z, y)
         return {"mean": mean, "centre": m.mean, "scale": m.scale, "classes": m.classes, "w": m.w}
     if pipeline == "trca":
-        x = x - x.mean(axis=-1, keepdims=True)
-        found = {k: x[y == k] for k in np.unique(y) if (y == k).sum() >= 2}
-        sums = {k: (t.sum(axis=0), (t @ t.transpose(0, 2, 1)).sum(axis=0)) for k, t in found.items()}
-        return {"classes": np.array(list(found)), "filters": np.stack([K.trca(s @ s.T - q, q) for s, q in sums.values()]), "templates": np.stack([t.mean(axis=0) for t in found.values()])}
+        return dict(zip(("classes", "filters", "templates"), K.filter_bank_trca(x, y, FS)))
     raise ValueError(pipeline)
 
 
 def told(pipeline: str, p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     """The classes that a fitted pipeline tells."""
+    if pipeline == "fbcsp":
+        return _told(p, _bank_features(x, p["filters"])[:, p["picked"].astype(np.int64)])
     if pipeline == "csp_lda":
-        return _told(p, K.log_variance_features(p["filters"], x))
+        return _told(p, K.log_variance_features(p["filters"], banded(x)))
     if pipeline == "riemann_lda":
-        return _told(p, K.tangent(K.covariances(x), p["mean"]))
+        return _told(p, K.tangent(K.covariances(banded(x)), p["mean"]))
+    if pipeline == "riemann_svm":
+        return margins_of(p).predict(K.tangent(K.covariances(banded(x)), p["mean"]))
     if pipeline == "riemann_lr":
         m = Logistic()
         m.mean, m.scale, m.classes, m.w = p["centre"], p["scale"], p["classes"], p["w"]
-        return m.predict(K.tangent(K.covariances(x), p["mean"]))
-    w = p["filters"]
-    score = lambda t: [K.pearson((w @ (t - t.mean(axis=-1, keepdims=True))).ravel(), (w @ one).ravel()) for one in p["templates"]]
-    return p["classes"][[int(np.argmax(score(t))) for t in x]]
+        return m.predict(K.tangent(K.covariances(banded(x)), p["mean"]))
+    return p["classes"][np.argmax(K.filter_bank_trca_scores(x, p["filters"], p["templates"], FS), axis=1)]
+
+
+def margins_of(p: dict[str, np.ndarray]) -> Svm:
+    """The fitted margins among a pipeline's parameters."""
+    m = Svm()
+    m.mean, m.scale, m.classes, m.w, m.b, m.sigmoid = (p[k] for k in ("centre", "scale", "classes", "w", "b", "sigmoid"))
+    return m
 
 
 def _fit(pipeline: str) -> Callable:
@@ -134,7 +217,7 @@ def _fit(pipeline: str) -> Callable:
     return fit
 
 
-csp_lda, riemann_lr, riemann_lda, trca_templates = map(_fit, ("csp_lda", "riemann_lr", "riemann_lda", "trca"))
+csp_lda, fbcsp, riemann_svm, riemann_lr, riemann_lda, trca_templates = map(_fit, ("csp_lda", "fbcsp", "riemann_svm", "riemann_lr", "riemann_lda", "trca"))
 
 
 def refit(epochs: DataFrame, choice: DataFrame, user: str, label: str, signal: str = "signal") -> DataFrame:
@@ -178,7 +261,9 @@ def fbcca_classes(x: np.ndarray, y: np.ndarray, frequencies=(15.0, 20.0), fs: fl
     return lambda new: names[np.argmax(K.fbcca(new, frequencies[: len(names)], fs, list(range(new.shape[1]))), axis=1)]
 
 
-PIPELINES: dict[str, Callable] = {"fbcca": fbcca_classes, "csp_lda": csp_lda, "riemann_lr": riemann_lr, "riemann_lda": riemann_lda, "trca": trca_templates}
+PIPELINES: dict[str, Callable] = {"fbcca": fbcca_classes, "csp_lda": csp_lda, "fbcsp": fbcsp, "riemann_svm": riemann_svm, "riemann_lr": riemann_lr, "riemann_lda": riemann_lda, "trca": trca_templates}
+#: The motor-imagery pipelines that users choose from.
+MOTOR = ["csp_lda", "fbcsp", "riemann_svm", "riemann_lr"]
 
 
 def cross_validate(epochs: DataFrame, user: str, fold: str, label: str, pipelines: list[str], signal: str = "signal", least: int = 4) -> DataFrame:
@@ -205,6 +290,37 @@ def cross_validate(epochs: DataFrame, user: str, fold: str, label: str, pipeline
     return rows.groupBy(user, "pipeline", "held").applyInPandas(fit, f"{user} bigint, pipeline string, fold int, n bigint, correct bigint, accuracy double")
 
 
+def _scores(pipeline: str, x: np.ndarray, y: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(classes, scores (rows, classes)) of new trials, learned from x and y, of a pipeline that scores."""
+    if pipeline == "trca":
+        classes, filters, templates = K.filter_bank_trca(x, y, FS)
+        return classes, K.filter_bank_trca_scores(new, filters, templates, FS)
+    classes = np.unique(y)
+    return classes, K.fbcca(new, (15.0, 20.0)[: len(classes)], FS, list(range(new.shape[1])))
+
+
+def held_out_scores(epochs: DataFrame, user: str, fold: str, label: str, pipelines: list[str], signal: str = "signal") -> DataFrame:
+    """(user, fold, y, pipeline, predicted, margin) of each epoch in its held-out fold; margin: best score less the second.
+
+    A user's epochs go to one task, which fits all folds and pipelines; folds with fewer than two classes of two trials
+    to learn from give no rows.
+    """
+    rows = epochs.select(user, F.col(fold).cast("int").alias("fold"), F.col(label).cast("bigint").alias("y"), F.col(signal).alias("x")).where("y IS NOT NULL")
+
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        x, f, y, out = stack(part["x"]), part["fold"].to_numpy(), part["y"].to_numpy(dtype=np.int64), []
+        for held in np.unique(f):
+            apart = f == held
+            counts = np.unique(y[~apart], return_counts=True)[1]
+            for p in pipelines if (counts >= 2).sum() >= 2 else ():
+                classes, s = _scores(p, x[~apart], y[~apart], x[apart])
+                ordered = np.sort(s, axis=1)
+                out += zip([int(key[0])] * len(s), [int(held)] * len(s), y[apart], [p] * len(s), classes[s.argmax(axis=1)], ordered[:, -1] - ordered[:, -2])
+        return pd.DataFrame(out, columns=[user, "fold", "y", "pipeline", "predicted", "margin"])
+
+    return rows.groupBy(user).applyInPandas(fit, f"{user} bigint, fold int, y bigint, pipeline string, predicted bigint, margin double")
+
+
 def permutation_scores(epochs: DataFrame, user: str, fold: str, label: str, order: str, pipeline: str, rounds: int, per_task: int = 10, signal: str = "signal") -> DataFrame:
     """(user, round, accuracy) of `rounds` cross-validations with shuffled labels, and of round 0 with the true ones.
 
@@ -278,7 +394,7 @@ def held_out_csp_lda(epochs: DataFrame, fold: str, folds: int, label: str, out:
             held: dict = {}
             for b in batches:
                 if len(b):
-                    for k, v in of(b["f"].to_numpy(), b["y"].to_numpy(), stack(b["x"])).items():
+                    for k, v in of(b["f"].to_numpy(), b["y"].to_numpy(), banded(stack(b["x"]))).items():
                         held[k] = held.get(k, 0) + v
             for (f, y), v in held.items():
                 yield pd.DataFrame({"f": f, "y": y, "p": range(len(v)), "v": v})
@@ -329,7 +445,7 @@ def held_out_csp_lda(epochs: DataFrame, fold: str, folds: int, label: str, out:
             found = pd.Series([None] * len(f), dtype="Int32")
             for i, model in models.items():
                 if (at := (f == i).to_numpy()).any():
-                    found[at] = model.predict(K.log_variance_features(filters[i], stack(x[at])))
+                    found[at] = model.predict(K.log_variance_features(filters[i], banded(stack(x[at]))))
             yield found
 
     return epochs.withColumn(out, predicted(F.col(fold), F.col(signal)))

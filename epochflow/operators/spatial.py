@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,10 @@ def class_means(covariances: DataFrame, label: str, column: str = "cov") -> dict
 
 
 def frechet_mean(covariances: DataFrame, column: str = "cov", tolerance: float = 1e-8, rounds: int = 50) -> np.ndarray:
-    """Riemannian mean: each step is one pass that adds up logarithms within tasks; the matrix alone goes to the driver."""
+    """Riemannian mean: each step is one pass that adds up logarithms within tasks; the matrix alone goes to the driver.
+
+    Steps end once one is shorter than the tolerance; a mean that `rounds` of them have not settled is warned of.
+    """
     start = covariances.select(F.posexplode(column).alias("p", "c")).groupBy("p").agg(F.avg("c").alias("c")).orderBy("p").collect()
     n = int(len(start) ** 0.5)
     mean = np.array([r["c"] for r in start]).reshape(n, n)
@@ -60,6 +64,8 @@ def frechet_mean(covariances: DataFrame, column: str = "cov", tolerance: float =
             mean = root @ ((v * np.exp(w)) @ v.T) @ root
             if np.linalg.norm(step) < tolerance:
                 break
+        else:
+            warnings.warn(f"the mean has not settled in {rounds} rounds: the last step was {np.linalg.norm(step):.1e}", stacklevel=2)
     finally:
         held.unpersist()
     return mean
@@ -85,38 +91,43 @@ def csp_features(df: DataFrame, filters: np.ndarray, signal: str = "signal", out
     return df.withColumn(out, batched(lambda x: as_lists(K.log_variance_features(filters, x)), "array<double>")(F.col(signal)))
 
 
-def trca_filters(epochs: DataFrame, label: str, signal: str = "signal") -> dict:
-    """(filter, template) of each class with two trials or more.
+def trca_filters(epochs: DataFrame, label: str, signal: str = "signal", bands: tuple | None = None, fs: float = 250.0, top: float = K.TOP_HZ) -> dict:
+    """(filters, templates) of each class with two trials or more, a list of one of each a band; without bands a single pair.
 
-    The sum of X_i X_j' over different trials is (sum X)(sum X)' - sum X X', so both are sums that merge across tasks.
+    The sum of X_i X_j' over different trials is (sum X)(sum X)' - sum X X', so both are sums that merge across tasks;
+    all bands are summed in one pass, under a key for band and class.
     """
+    filters = [K.bandpass(4, low, min(top, 0.45 * fs), fs) for low in bands or ()]
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
         for b in batches:
             for k, part in b.groupby(label):
                 x = stack(part[signal])
-                x -= x.mean(axis=-1, keepdims=True)
-                s, q, n = held.get(k, (0, 0, 0))
-                held[k] = s + x.sum(axis=0), q + (x @ x.transpose(0, 2, 1)).sum(axis=0), n + len(x)
-        for k, (s, q, n) in held.items():
+                for band, y in enumerate([K.zero_phase(f, x) for f in filters] if bands else [x]):
+                    y = y - y.mean(axis=-1, keepdims=True)
+                    s, q, n = held.get((band, k), (0, 0, 0))
+                    held[band, k] = s + y.sum(axis=0), q + (y @ y.transpose(0, 2, 1)).sum(axis=0), n + len(y)
+        for (band, k), (s, q, n) in held.items():
             values = np.concatenate([s.ravel(), q.ravel()])
-            yield pd.DataFrame({"k": k, "p": range(len(values)), "v": values, "n": n, "c": len(q)})
-
-    rows = epochs.select(label, signal).mapInPandas(sums, "k bigint, p int, v double, n bigint, c int").groupBy("k", "p").agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.max("c").alias("c")).orderBy("k", "p").collect()
-    out = {}
-    for k in sorted({r["k"] for r in rows}):
-        mine = [r for r in rows if r["k"] == k]
-        n, c = mine[0]["n"], mine[0]["c"]
-        values = np.array([r["v"] for r in mine])
+            yield pd.DataFrame({"band": band, "k": k, "p": range(len(values)), "v": values, "n": n, "c": len(q)})
+
+    rows = epochs.select(label, signal).mapInPandas(sums, "band int, k bigint, p int, v double, n bigint, c int")
+    rows = rows.groupBy("band", "k", "p").agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.max("c").alias("c")).orderBy("k", "band", "p").toPandas()  # bands x classes x (channels x samples)
+    out: dict = {}
+    for (k, _), mine in rows.groupby(["k", "band"], sort=True):
+        n, c, values = int(mine["n"].iloc[0]), int(mine["c"].iloc[0]), mine["v"].to_numpy()
         s, q = values[: -c * c].reshape(c, -1), values[-c * c :].reshape(c, c)
         if n >= 2:
-            out[k] = K.trca(s @ s.T - q, q), s / n
-    return out
+            out.setdefault(int(k), []).append((K.trca(s @ s.T - q, q), s / n))
+    return {k: ([f for f, _ in found], [t for _, t in found]) if bands else found[0] for k, found in out.items()}
 
 
-def trca_scores(df: DataFrame, filters: dict, signal: str = "signal", out: str = "scores") -> DataFrame:
-    """Signed squared correlations with each class template, through all filters together."""
+def trca_scores(df: DataFrame, filters: dict, signal: str = "signal", out: str = "scores", bands: tuple | None = None, weights: tuple = K.BAND_WEIGHTS, fs: float = 250.0) -> DataFrame:
+    """Signed squared correlations with each class template, through all filters together; over bands, their weighted sum."""
+    if bands:
+        w, templates = (np.array([np.array(found[i]) for found in filters.values()]).swapaxes(0, 1) for i in (0, 1))
+        return df.withColumn(out, batched(lambda x: as_lists(K.filter_bank_trca_scores(x, w, templates, fs, bands, weights)), "array<double>")(F.col(signal)))
     w = np.stack([f for f, _ in filters.values()])
     templates = [(w @ t).ravel() for _, t in filters.values()]
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epochflow.functions import columns as C
+from epochflow.functions import kernels as K
 from epochflow.operators import decide, learning, quality, signals, spatial, stats
 from epochflow.plans.base import DECISIONS, EPOCHS, SIGNAL, decisions, epochs, long_epochs, query, rounded, signal, stream_windows, table
+from epochflow.sources.scratch import staged
 
 _SCORED = f"WITH {DECISIONS}, sc AS (SELECT *, predicted IN ('signup', 'purchase') AS active FROM decisions)"
 
@@ -313,7 +314,7 @@ def _covariances(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def d26_h25_a16_tangent(spark: SparkSession, sf: str) -> DataFrame:
     c = _covariances(spark, sf)
-    mean = spatial.frechet_mean(c, rounds=12)
+    mean = spatial.frechet_mean(c)
     return spatial.tangent_features(c.select("epoch_id", "label", "cov"), mean).select("epoch_id", "label", "features")
 
 
@@ -337,14 +338,35 @@ def _folds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def k5_k7_cross_validation(spark: SparkSession, sf: str) -> DataFrame:
-    return learning.cross_validate(_folds(spark, sf), "subject", "fold", "y", ["csp_lda", "riemann_lda"])
+    """The four motor-imagery pipelines under the same folds of whole runs."""
+    return learning.cross_validate(_folds(spark, sf), "subject", "fold", "y", learning.MOTOR)
+
+
+def _stream_trials(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of the stream as trials of two targets in sessions of 50; runs of four windows share a fold."""
+    return stream_windows(spark, sf).select("epoch_id", F.floor(F.col("epoch_id") / 50).alias("subject"), (F.floor(F.col("epoch_id") / 4) % 5).cast("int").alias("fold"), (F.col("epoch_id") % 2).alias("y"), "signal")
+
+
+@query()
+def d28_h21_filter_bank_trca(spark: SparkSession, sf: str) -> DataFrame:
+    """Filter-bank ensemble scores of windows of 750 samples; three bands are summed in one pass."""
+    w = staged(_stream_trials(spark, sf), "windows")
+    found = spatial.trca_filters(w, "y", bands=K.SUB_BANDS)
+    return spatial.trca_scores(w, found, bands=K.SUB_BANDS).select("epoch_id", F.col("y").alias("label"), "scores")
 
 
 @query()
 def k4_k9_d34_model_choice(spark: SparkSession, sf: str) -> DataFrame:
-    """FBCCA, which needs no training, against TRCA on the same folds of windows of the stream; sessions of 50 windows."""
-    w = stream_windows(spark, sf).select(F.floor(F.col("epoch_id") / 50).alias("subject"), (F.floor(F.col("epoch_id") / 2) % 5).cast("int").alias("fold"), (F.col("epoch_id") % 2).alias("y"), "signal")
-    return stats.cv_summary(learning.cross_validate(w, "subject", "fold", "y", ["fbcca", "trca"]), ["subject"], "pipeline", "accuracy")
+    """FBCCA, which needs no training, against filter-bank TRCA on the same folds of windows of the stream.
+
+    separation: Cohen's d of how far the best score is above the second, of right against wrong windows, over all folds.
+    """
+    w = staged(_stream_trials(spark, sf), "windows")
+    scored = learning.held_out_scores(w, "subject", "fold", "y", ["fbcca", "trca"])
+    right = F.col("predicted") == F.col("y")
+    margin = stats.separation(scored.withColumn("right", right), ["pipeline"], "margin", "right").select("pipeline", F.col("d").alias("separation"))
+    folds = scored.groupBy("subject", "pipeline", "fold").agg(F.avg(right.cast("double")).alias("accuracy"))
+    return stats.cv_summary(folds, ["subject"], "pipeline", "accuracy").join(F.broadcast(margin), "pipeline")
 
 
 @query()

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from epochflow.functions import columns as C
 from epochflow.functions import kernels as K
-from epochflow.operators import estimators, learning, quality, signals, spatial, stats, windows
+from epochflow.operators import estimators, information, learning, quality, signals, spatial, stats, windows
 from epochflow.plans.analysis import _folds
 from epochflow.plans.base import DECISIONS, EPOCHS, decisions, epochs, long_epochs, query, stream_windows, table
+from epochflow.plans.streams import _LIMITS
 from epochflow.sources.scratch import scratch_path
 
 
@@ -25,6 +26,21 @@ def d32_best_features(spark: SparkSession, sf: str) -> DataFrame:
     return stats.anova(p, ["feature"], "v", "y").orderBy(F.col("f").desc()).limit(3).select("feature", F.round("f", 5).alias("f"))
 
 
+_PSI = "(coalesce(list_sum(list_transform(range(1, {}), lambda i: 1.0 / i)), 0) - 0.57721566490153286)"
+
+
+@query(
+    f"WITH {EPOCHS}, p AS (SELECT epoch_id, label, ch, ln(var_pop(x) + 1e-12) AS v FROM epochs GROUP BY 1, 2, 3), own AS (SELECT label, count(DISTINCT epoch_id) AS own FROM p GROUP BY 1 HAVING own > 1), q AS (SELECT p.*, own FROM p JOIN own USING (label)), "
+    "near AS (SELECT a.ch, a.epoch_id, any_value(a.v) AS v, any_value(a.own) AS own, list_sort(list(abs(b.v - a.v)))[least(3, any_value(a.own) - 1)] AS d FROM q a JOIN q b ON a.ch = b.ch AND a.label = b.label AND a.epoch_id <> b.epoch_id GROUP BY 1, 2), "
+    "c AS (SELECT n.ch, n.epoch_id, any_value(n.own) AS own, greatest(1, count_if(CASE WHEN n.d > 0 THEN abs(q.v - n.v) < n.d ELSE q.v = n.v END)) AS m FROM near n JOIN q ON q.ch = n.ch GROUP BY 1, 2) "
+    f"SELECT ch AS feature, count(*) AS n, round(greatest(0, {_PSI.format('count(*)')} + avg({_PSI.format('least(3, own - 1)')}) - avg({_PSI.format('own')}) - avg({_PSI.format('m')})), 6) AS mi FROM c GROUP BY 1"
+)
+def d32_mutual_information(spark: SparkSession, sf: str) -> DataFrame:
+    """What each channel's log power tells of the class, by nearest neighbours; no channel is ordered in one task."""
+    p = long_epochs(spark, sf).groupBy("epoch_id", "label", "ch").agg(C.log_variance(F.var_pop("x")).alias("v"))
+    return information.mutual_information(p, "ch", "v", "label").select(F.col("ch").alias("feature"), "n", F.round("mi", 6).alias("mi"))
+
+
 @query("WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) SELECT doc_id, count(*) AS words, max(length(w)) AS longest FROM w GROUP BY 1")
 def h4_wrapped_words(spark: SparkSession, sf: str) -> DataFrame:
     w = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("w"))
@@ -109,9 +125,10 @@ def d29_d30_j1_pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def d31_svm(spark: SparkSession, sf: str) -> DataFrame:
+    """Linear margins of tangent features with probabilities: learned on runs 0 to 3 (each held out in turn for the sigmoid), scored on 4."""
     e = epochs(spark, sf).select("epoch_id", (F.floor(F.col("epoch_id") / 10) % 5).alias("fold"), (F.col("label") % 2).cast("double").alias("label"), "signal")
     model = estimators.BUILDERS["riemann_svm"]().fit(e.where("fold < 4"))
-    return model.transform(e.where("fold = 4")).select("epoch_id", "label", "prediction")
+    return model.transform(e.where("fold = 4")).select("epoch_id", "label", "prediction", "margin", "probability")
 
 
 @query()
@@ -173,9 +190,9 @@ def j2_k8_k13_task_set(spark: SparkSession, sf: str) -> DataFrame:
     """All named pipelines on sessions held out, after screening, with the winner of each person."""
     st = epochs(spark, sf).select("epoch_id", "subject", "label", F.posexplode("signal").alias("channel", "x"))
     st = st.select("epoch_id", "subject", "label", "channel", *quality.signal_stats(F.col("x")))
-    kept = quality.masked_if_enough(quality.screen(st, ["epoch_id", "subject"], "label"), ["subject"]).select("epoch_id")
+    kept = quality.masked_if_enough(quality.screen(st, ["epoch_id", "subject"], "label", _LIMITS), ["subject"]).select("epoch_id")
     f = _folds(spark, sf).join(kept, "epoch_id", "left_semi")
-    return stats.cv_summary(learning.cross_validate(f, "subject", "fold", "y", ["csp_lda", "riemann_lr", "riemann_lda", "trca"]), ["subject"], "pipeline", "accuracy")
+    return stats.cv_summary(learning.cross_validate(f, "subject", "fold", "y", learning.MOTOR), ["subject"], "pipeline", "accuracy")
 
 
 @query()

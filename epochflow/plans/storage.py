@@ -86,7 +86,7 @@ def a7_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 def a16_k15_feature_export(spark: SparkSession, sf: str) -> DataFrame:
     """Tangent vectors as floats with small class numbers; no raw signal leaves."""
     c = epochs(spark, sf).select("subject", "label", signals.covariance(F.col("signal")).alias("cov"))
-    rows = spatial.tangent_features(c, spatial.frechet_mean(c, rounds=6)).select("subject", F.col("label").cast("tinyint").alias("class"), F.transform("features", lambda x: x.cast("float")).alias("features"))
+    rows = spatial.tangent_features(c, spatial.frechet_mean(c)).select("subject", F.col("label").cast("tinyint").alias("class"), F.transform("features", lambda x: x.cast("float")).alias("features"))
     path = scratch_path(spark, "export")
     rows.write.partitionBy("subject").parquet(path)
     return spark.read.parquet(path)
