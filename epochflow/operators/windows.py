@@ -122,3 +122,17 @@ def halves(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     at = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
     return df.withColumn("half", F.when(at <= F.floor(n / 2), 1).otherwise(2))
+
+
+def last_known(df: DataFrame, keys: list[str], order: str, value: str, out: str, span: int = 100_000) -> DataFrame:
+    """Adds the last value that is not null up to each row of its key, by a whole-numbered order.
+
+    Values are carried within ranges of the order; a row a key and range tells later ranges what it ends with.
+    """
+    rows = df.withColumn("_range", F.floor(F.col(order) / span))
+    ends = rows.where(F.col(value).isNotNull()).groupBy(*keys, "_range").agg(F.max_by(value, order).alias("_end"))
+    every = rows.select(*keys, "_range").distinct().join(ends, [*keys, "_range"], "left")
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = every.select(*keys, "_range", F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+    within = F.last(value, ignorenulls=True).over(Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("_within", within).join(before, [*keys, "_range"]).withColumn(out, F.coalesce("_within", "_before")).drop("_range", "_within", "_before")

@@ -26,7 +26,7 @@ def d32_best_features(spark: SparkSession, sf: str) -> DataFrame:
     return stats.anova(p, ["feature"], "v", "y").orderBy(F.col("f").desc()).limit(3).select("feature", F.round("f", 5).alias("f"))
 
 
-_PSI = "(coalesce(list_sum(list_transform(range(1, {}), lambda i: 1.0 / i)), 0) - 0.57721566490153286)"
+_PSI = "(coalesce(list_sum(list_transform(range(1, CAST({} AS BIGINT)), lambda i: 1.0 / i)), 0) - 0.57721566490153286)"
 
 
 @query(
