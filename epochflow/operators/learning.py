@@ -321,6 +321,38 @@ def held_out_scores(epochs: DataFrame, user: str, fold: str, label: str, pipelin
     return rows.groupBy(user).applyInPandas(fit, f"{user} bigint, fold int, y bigint, pipeline string, predicted bigint, margin double")
 
 
+def purged_scores(epochs: DataFrame, user: str, fold: str, label: str, place: str, reach: int, pipeline: str, signal: str = "signal", least: int = 4) -> DataFrame:
+    """(user, fold, purge, n, correct, purged, shared) of folds of overlapping windows, as they are and purged.
+
+    Windows whose places (`place`: the number of a window in its stream) are less than `reach` apart share samples.
+    With purge, training windows that share some with a held-out one are left out (purged); shared counts those that
+    are still learned from. A user's windows go to one task, which fits all folds.
+    """
+    rows = epochs.select(user, F.col(fold).cast("int").alias("fold"), F.col(label).cast("bigint").alias("y"), F.col(place).cast("bigint").alias("at"), F.col(signal).alias("x")).where("y IS NOT NULL")
+
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        x, f, y, at = stack(part["x"]), part["fold"].to_numpy(), part["y"].to_numpy(dtype=np.int64), part["at"].to_numpy()
+        out = []
+        for held in np.unique(f):
+            apart = f == held
+            near = ~apart & (_distance(at, np.sort(at[apart])) < reach)
+            for purge in (False, True):
+                used = ~apart & ~near if purge else ~apart
+                if used.sum() >= least and len(np.unique(y[used])) >= 2:
+                    hits = int((PIPELINES[pipeline](x[used], y[used])(x[apart]) == y[apart]).sum())
+                    out.append((int(key[0]), int(held), purge, int(apart.sum()), hits, int(near.sum()) if purge else 0, int((near & used).sum())))
+        return pd.DataFrame(out, columns=[user, "fold", "purge", "n", "correct", "purged", "shared"])
+
+    return rows.groupBy(user).applyInPandas(fit, f"{user} bigint, fold int, purge boolean, n bigint, correct bigint, purged bigint, shared bigint")
+
+
+def _distance(places: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """How far each place is from the nearest of the held ones (sorted)."""
+    right = np.searchsorted(held, places)
+    left, right = held[np.maximum(right - 1, 0)], held[np.minimum(right, len(held) - 1)]
+    return np.minimum(np.abs(places - left), np.abs(places - right))
+
+
 def permutation_scores(epochs: DataFrame, user: str, fold: str, label: str, order: str, pipeline: str, rounds: int, per_task: int = 10, signal: str = "signal") -> DataFrame:
     """(user, round, accuracy) of `rounds` cross-validations with shuffled labels, and of round 0 with the true ones.
 

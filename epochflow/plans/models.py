@@ -11,7 +11,7 @@ from epochflow.operators import estimators, information, learning, quality, sign
 from epochflow.plans.analysis import _folds
 from epochflow.plans.base import DECISIONS, EPOCHS, decisions, epochs, long_epochs, query, stream_windows, table
 from epochflow.plans.streams import _LIMITS
-from epochflow.sources.scratch import scratch_path
+from epochflow.sources.scratch import scratch_path, staged
 
 
 @query(f"WITH {EPOCHS}, p AS (SELECT epoch_id, label, ch, ln(var_pop(x) + 1e-12) AS p FROM epochs GROUP BY 1, 2, 3), m AS (SELECT label, ch, quantile_cont(p, 0.5) AS m FROM p GROUP BY 1, 2), d AS (SELECT p.*, m, abs(p - m) AS d FROM p JOIN m USING (label, ch)), mad AS (SELECT label, ch, quantile_cont(d, 0.5) AS mad FROM d GROUP BY 1, 2) SELECT epoch_id, ch, round(CASE WHEN mad > 0 THEN 0.6745 * (p - m) / mad ELSE 0 END, 5) AS z FROM d JOIN mad USING (label, ch)")
@@ -100,6 +100,22 @@ def k17_leakage_gap(spark: SparkSession, sf: str) -> DataFrame:
     return score("naive", "by_trial").join(score("fold", "by_run"), "subject").withColumn("gap", F.col("by_trial") - F.col("by_run"))
 
 
+@query()
+def k17_overlap_leakage(spark: SparkSession, sf: str) -> DataFrame:
+    """What overlap adds: windows of 750 samples every 250, dealt to folds at random or by stretches of ten whose edges are purged.
+
+    leaked: training windows that hold samples of a held-out one, over the random folds; purged folds have none.
+    """
+    w = stream_windows(spark, sf).select(F.floor(F.col("epoch_id") / 400).alias("subject"), "epoch_id", (F.floor(F.col("epoch_id") / 2) % 2).alias("y"), "signal")
+    w = w.withColumns({"naive": F.pmod(F.xxhash64(F.lit(17), "epoch_id"), F.lit(4)).cast("int"), "stretch": (F.floor(F.col("epoch_id") / 10) % 4).cast("int")})
+    w = staged(w, "windows")
+    score = lambda fold: learning.purged_scores(w, "subject", fold, "y", "epoch_id", 3, "csp_lda")
+    sums = [(F.sum("correct") / F.sum("n")).alias("accuracy"), F.sum("shared").alias("shared"), F.sum("purged").alias("purged"), F.sum("n").alias("n")]
+    naive = score("naive").where("NOT purge").groupBy("subject").agg(*sums).select("subject", F.col("accuracy").alias("naive"), F.col("shared").alias("leaked"))
+    apart = score("stretch").where("purge").groupBy("subject").agg(*sums).select("subject", F.col("accuracy").alias("apart"), "purged", F.col("shared").alias("still_shared"), "n")
+    return naive.join(apart, "subject").withColumn("gap", F.col("naive") - F.col("apart"))
+
+
 @query()
 def k6_within_vs_cross(spark: SparkSession, sf: str) -> DataFrame:
     """Each person's second half, learned from the own first half, or from other people (five folds of whole people).

@@ -208,3 +208,29 @@ def test_task_sets_are_screened_by_limits_that_bind(spark):
     assert {r.pipeline for r in rows} == set(learning.MOTOR) and all(0 <= r["mean"] <= 1 for r in rows)
     by = {r.subject for r in rows}
     assert all(sum(r.winner for r in rows if r.subject == s) == 1 for s in by)
+
+
+def test_purged_folds_share_no_sample(spark):
+    rng = np.random.default_rng(7)
+    n = 60
+    x, y = rng.standard_normal((n, 5, 64)), np.arange(n) // 2 % 2
+    fold = np.arange(n) // 10 % 3
+    df = spark.createDataFrame([(1, int(fold[i]), int(y[i]), 100 + i, x[i].tolist()) for i in range(n)], "subject long, fold int, y long, k long, signal array<array<double>>")
+    got = {(r.fold, r.purge): r for r in learning.purged_scores(df, "subject", "fold", "y", "k", 3, "csp_lda").collect()}
+    for f in range(3):
+        held = np.flatnonzero(fold == f)
+        near = np.array([i for i in range(n) if fold[i] != f and min(abs(i - h) for h in held) < 3])
+        for purge in (False, True):
+            used = np.array([i for i in range(n) if fold[i] != f and not (purge and i in near)])
+            told = learning.csp_lda(x[used], y[used])(x[held])
+            r = got[f, purge]
+            assert (r.n, r.correct) == (len(held), int((told == y[held]).sum()))
+            assert (r.purged, r.shared) == ((len(near), 0) if purge else (0, len(near)))
+
+
+def test_overlap_of_the_stream(spark):
+    from epochflow.plans.registry import QUERIES
+
+    for r in QUERIES["k17_overlap_leakage"](spark, "/root/testdata/sf0.1").collect():
+        assert r.leaked > 0 and r.still_shared == 0 and r.purged > 0 and 0 <= r.naive <= 1
+        assert r.gap == pytest.approx(r.naive - r.apart)
