@@ -77,6 +77,40 @@ def masked_if_enough(screened: DataFrame, keys: list[str], least: int = 8) -> Da
     return screened.withColumn("_n", n).where((F.col("_n") < least) | F.col("keep")).drop("_n")
 
 
+def masked_by_classes(screened: DataFrame, keys: list[str], label: str, least: int = 8, each: int = 2) -> DataFrame:
+    """The kept trials of each key, or all of them where fewer than the larger of `least` and `each` a class were kept.
+
+    Counts are joined back, a row a key, so no key's trials meet in one task.
+    """
+    n = screened.groupBy(*keys).agg(F.count_if("keep").alias("_n"), F.greatest(F.lit(least), each * F.count_distinct(label)).alias("_least"))
+    return screened.join(n, keys).where(F.col("keep") | (F.col("_n") < F.col("_least"))).drop("_n", "_least")
+
+
+def compliance_report(screened: DataFrame, keys: list[str]) -> DataFrame:
+    """trials, kept, drop rate and share of cues not followed of each key, with warnings where either is high."""
+    out = screened.groupBy(*keys).agg(F.count(F.lit(1)).alias("trials"), F.count_if("keep").alias("kept"), F.count_if("noncompliant").alias("_off"))
+    out = out.withColumns({"drop_rate": 1 - F.col("kept") / F.col("trials"), "noncompliant_rate": F.col("_off") / F.col("trials")}).drop("_off")
+    return out.withColumn("warnings", reasons((F.col("drop_rate") > MOST_DROPPED, "many trials dropped"), (F.col("noncompliant_rate") > MOST_NONCOMPLIANT, "cues often not followed")))
+
+
+def preflight_reasons(df: DataFrame, keys: list[str], channel: str, value: str, large: float = 400.0, least_spread: float = 0.0) -> DataFrame:
+    """channels, flagged, reasons and verdict of each session, from one row a sample.
+
+    A channel is not finite, dead, stuck or saturated, or large: beyond `large` with more spread than least_spread. If all
+    channels are large, it is the reference that is off: CHECK_REFERENCE; else a flagged channel blocks.
+    """
+    x = F.col(value)
+    bad = x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
+    c = df.groupBy(*keys, channel).agg(F.count_if(bad).alias("bad"), F.stddev_pop(value).alias("sd"), F.count_distinct(value).alias("values"), F.max(F.abs(value)).alias("peak"))
+    tier = hardware_tier(F.col("sd"), F.col("values"))
+    reason = F.when(F.col("bad") > 0, "not finite").when(tier.isin("dead", "stuck", "saturated"), tier).when((F.col("peak") > large) & (F.col("sd") > least_spread), "large")
+    named = F.when(F.col("reason").isNotNull(), F.struct(channel, "reason"))
+    out = c.withColumn("reason", reason).groupBy(*keys).agg(F.count(F.lit(1)).alias("channels"), F.count("reason").alias("flagged"), F.count_if(F.col("reason") == "large").alias("_large"), F.sort_array(F.collect_list(named)).alias("_r"))
+    said = F.array_join(F.transform("_r", lambda r: F.concat_ws(": ", r[channel], r["reason"])), "; ")
+    verdict = F.when(F.col("flagged") == 0, "READY").when(F.col("_large") == F.col("channels"), "CHECK_REFERENCE").otherwise("BLOCKED")
+    return out.select(*keys, "channels", "flagged", said.alias("reasons"), verdict.alias("verdict"))
+
+
 def hardware_tier(std: Column, distinct: Column) -> Column:
     """dead, stuck, saturated, noisy or ok."""
     return F.when(std < DEAD, "dead").when(distinct < STUCK, "stuck").when(std > SATURATED, "saturated").when(std > NOISY, "noisy").otherwise("ok")

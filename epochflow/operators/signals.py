@@ -116,3 +116,27 @@ def spectrum(long: DataFrame, keys: list[str], index: str, value: str, n: int, f
     out = rows.groupBy(*keys, "bin").agg(F.sum(F.col("_x") * F.cos(angle)).alias("re"), F.sum(F.col("_x") * F.sin(angle)).alias("im"))
     scale = F.when((F.col("bin") == 0) | (F.col("bin") * 2 == n), 1.0).otherwise(2.0) / n
     return out.select(*keys, "bin", *(["re", "im"] if parts else []), (F.col("bin") * fs / n).alias("hz"), (scale * F.sqrt(F.col("re") ** 2 + F.col("im") ** 2)).alias("amplitude"))
+
+
+def tone_command(hz: Column, snr: Column, commands: list[tuple[float, str]], tolerance: float, least_snr: float = 0.0) -> list[Column]:
+    """command and confidence of a tone: the nearest of a few frequencies (ties: the lower) within the tolerance.
+
+    No command, and confidence 0, without one or for a tone weaker than least_snr; else min(1, snr / 20).
+    """
+    near = F.array_min(F.filter(F.array(*[F.struct(F.abs(hz - f).alias("d"), F.lit(f).alias("hz"), F.lit(c).alias("command")) for f, c in commands]), lambda x: x["d"] <= tolerance))
+    command = F.when(snr >= least_snr, near["command"])
+    return [command.alias("command"), F.when(command.isNotNull(), F.least(F.lit(1.0), snr / 20)).otherwise(0.0).alias("confidence")]
+
+
+def band_table(bins: DataFrame, keys: list[str], bands: dict[str, tuple[float, float]]) -> DataFrame:
+    """(the last key, band, median_power, n): summed squared amplitudes of spectrum()'s bins within each band, medians over the other keys.
+
+    Bands are a few and fixed; bands without a bin have no row. Medians are exact, from bracketed quantiles.
+    """
+    from epochflow.operators.stats import exact_quantile
+
+    named = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high")) for b, (low, high) in bands.items()])
+    rows = bins.select(*keys, "hz", "amplitude", F.explode(F.filter(named, lambda b: F.col("hz").between(b["low"], b["high"]))).alias("b"))
+    power = rows.groupBy(*keys, F.col("b.band").alias("band")).agg(F.sum(F.col("amplitude") ** 2).alias("power"))
+    n = power.groupBy(keys[-1], "band").agg(F.count(F.lit(1)).alias("n"))
+    return exact_quantile(power, [keys[-1], "band"], "power", [0.5]).select(keys[-1], "band", F.col("quantiles")[0].alias("median_power")).join(n, [keys[-1], "band"])

@@ -120,6 +120,19 @@ def cv_summary(folds: DataFrame, keys: list[str], pipeline: str, score: str) ->
     return out.withColumn("winner", F.row_number().over(w) == 1)
 
 
+def reliability(df: DataFrame, keys: list[str], label: str, block: str, session: str, trials: int = 8, blocks: int = 3, sessions: int = 3) -> DataFrame:
+    """Whether a key's cross-validation means anything: classes, and the least trials and blocks of a class, and sessions.
+
+    NOT_ENOUGH below two classes or `trials` a class, NOT_TRUSTWORTHY below `blocks` of each class (folds would rest on
+    one or two recordings), PROVISIONAL below `sessions`, else RELIABLE.
+    """
+    c = df.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_t"), F.count_distinct(block).alias("_b"))
+    least = c.groupBy(*keys).agg(F.count(F.lit(1)).alias("classes"), F.min("_t").alias("least_trials"), F.min("_b").alias("least_blocks"))
+    out = least.join(df.groupBy(*keys).agg(F.count_distinct(session).alias("sessions")), keys)
+    verdict = F.when((F.col("classes") < 2) | (F.col("least_trials") < trials), "NOT_ENOUGH").when(F.col("least_blocks") < blocks, "NOT_TRUSTWORTHY").when(F.col("sessions") < sessions, "PROVISIONAL").otherwise("RELIABLE")
+    return out.withColumn("verdict", verdict)
+
+
 def t_test(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
     """Welch's t, from sums."""
     of = lambda g: F.when(F.col(group) == g, F.col(value))

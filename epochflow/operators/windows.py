@@ -136,3 +136,8 @@ def last_known(df: DataFrame, keys: list[str], order: str, value: str, out: str,
     before = every.select(*keys, "_range", F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
     within = F.last(value, ignorenulls=True).over(Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return rows.withColumn("_within", within).join(before, [*keys, "_range"]).withColumn(out, F.coalesce("_within", "_before")).drop("_range", "_within", "_before")
+
+
+def cue_sample(given: Column, ms: Column, start_ms: Column, rate: float) -> Column:
+    """The sample of a cue: the one that the log gives, else from its time since the start, cut to a whole number."""
+    return F.coalesce(given.cast("bigint"), ((ms - start_ms) / 1000.0 * rate).cast("bigint"))
