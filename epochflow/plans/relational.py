@@ -95,11 +95,11 @@ def b14_a20_montages(spark: SparkSession, sf: str) -> DataFrame:
     return e.join(F.broadcast(dims.montages(spark)), "montage").groupBy("montage").agg(F.count(F.lit(1)).alias("trials"), F.bool_and(valid).alias("valid"))
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 2 WHEN value < 10.0 THEN -1 WHEN event_type = 'signup' THEN 0 WHEN event_type = 'purchase' THEN 1 END AS code FROM events WHERE event_type IN ('error', 'signup', 'purchase')")
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 2 WHEN value < 10.0 THEN -1 WHEN event_type = 'signup' THEN 0 WHEN event_type = 'purchase' THEN 1 ELSE 3 END AS code FROM events")
 def b15_b28_gate_and_code(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "events").where(F.col("event_type").isin("error", "signup", "purchase"))
+    """Class index, 2 for a blink, -1 below the gate; a command that the classes lack has a code of its own, 3."""
     command = F.when(F.col("event_type") == "error", F.lit("BLINK")).otherwise(C.gate(F.col("event_type"), F.col("value"), 10.0))
-    return d.select("event_id", C.code(command, ["signup", "purchase"]).alias("code"))
+    return table(spark, sf, "events").select("event_id", F.coalesce(C.code(command, ["signup", "purchase"]), F.lit(3)).alias("code"))
 
 
 @query("SELECT event_id, CASE WHEN event_type IN ('signup', 'purchase') THEN event_type END AS command FROM events")

@@ -9,7 +9,7 @@ from epochflow.functions import dims
 from epochflow.operators import signals, spatial
 from epochflow.plans.base import SIGNAL, epochs, query, signal, table
 from epochflow.plans.live import _events
-from epochflow.sources import archives
+from epochflow.sources import archives, recordings
 from epochflow.sources.scratch import scratch_path
 from epochflow.streaming import jobs
 
@@ -112,3 +112,32 @@ def i8_dwell(spark: SparkSession, sf: str) -> DataFrame:
     """Targets that stayed armed for an hour of event time, over the live stream."""
     rows = _events(spark, sf).select("ts", "session", F.when(F.col("predicted") != "error", F.col("predicted")).alias("target"))
     return jobs.run_all(jobs.dwell(rows, 3600.0, "1 hour"), "dwell")
+
+
+def _recorded(spark: SparkSession, sf: str) -> str:
+    """The folder of the epochs' recordings, one a subject and session."""
+    path = scratch_path(spark, "recordings")
+    rows = epochs(spark, sf).withColumns({"name": F.when(F.col("label") < 2, F.lit("idle_rest")).otherwise(F.concat(F.lit("target_"), F.col("label"))), "block": F.floor(F.col("epoch_id") / 50).cast("int")})
+    recordings.write_recordings(rows, path, "subject", "session", "epoch_id", "name", block="block").agg(F.sum("trials")).collect()  # one row
+    spark.dataSource.register(recordings.Recordings)
+    return path
+
+
+_RECORDED = "SELECT CAST(vec_id % 10 AS VARCHAR) AS subject, CAST(vec_id % 5 AS VARCHAR) AS session, count(*) AS trials, count(DISTINCT vec_id // 50) AS blocks, count_if(label < 2) AS idle, round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))), 4) AS total FROM embeddings {} GROUP BY 1, 2"
+
+
+def _summary(rows: DataFrame) -> DataFrame:
+    total = F.aggregate(F.flatten("signal"), F.lit(0.0), lambda a, x: a + x)
+    return rows.groupBy("subject", "session").agg(F.count(F.lit(1)).alias("trials"), F.count_distinct("block").alias("blocks"), F.count_if("idle").alias("idle"), F.round(F.sum(total), 4).alias("total"))
+
+
+@query(_RECORDED.format("WHERE vec_id % 10 IN (3, 8)"), longs="idle")
+def a1_recording_source(spark: SparkSession, sf: str) -> DataFrame:
+    """All sessions of two subjects through the data source, with blocks and the idle set; files of others are not opened."""
+    return _summary(spark.read.format("recording").option("path", _recorded(spark, sf)).option("subjects", "3,8").load())
+
+
+@query(_RECORDED.format(""), longs="idle")
+def a22_recording_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same files as a stream."""
+    return _summary(jobs.run_all(spark.readStream.format("recording").option("path", _recorded(spark, sf)).load(), "recorded"))
