@@ -269,25 +269,23 @@ MOTOR = ["csp_lda", "fbcsp", "riemann_svm", "riemann_lr"]
 def cross_validate(epochs: DataFrame, user: str, fold: str, label: str, pipelines: list[str], signal: str = "signal", least: int = 4) -> DataFrame:
     """(user, pipeline, fold, n, correct, accuracy) of one fit each; folds must keep groups whole.
 
-    A user's epochs go to each of its folds' tasks, marked as held out or not: a fit needs them together, and one
+    A user's epochs are sent once, to one task that fits every fold and pipeline: a fit needs them together, and one
     person's calibration is small by nature. Folds with fewer than two classes or `least` trials to learn from give no
     row.
     """
-    jobs = epochs.select(user, F.col(fold).alias("held")).distinct().withColumn("pipeline", F.explode(F.array(*map(F.lit, pipelines))))
-    rows = epochs.select(user, F.col(fold).alias("_f"), F.col(label).cast("bigint").alias("_y"), F.col(signal).alias("_x")).join(jobs, user)
+    rows = epochs.select(user, F.col(fold).cast("int").alias("_f"), F.col(label).cast("bigint").alias("_y"), F.col(signal).alias("_x")).where("_y IS NOT NULL")
 
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part[part["_y"].notna()]
-        apart = (part["_f"] == part["held"]).to_numpy(dtype=bool)
-        y = part["_y"].to_numpy(dtype=np.int64)
-        rows = []
-        if apart.any() and (~apart).sum() >= least and len(np.unique(y[~apart])) >= 2:
-            x = stack(part["_x"])
-            hits = int((PIPELINES[key[1]](x[~apart], y[~apart])(x[apart]) == y[apart]).sum())
-            rows = [(int(key[0]), str(key[1]), int(key[2]), int(apart.sum()), hits, hits / int(apart.sum()))]
-        return pd.DataFrame(rows, columns=[user, "pipeline", "fold", "n", "correct", "accuracy"])
-
-    return rows.groupBy(user, "pipeline", "held").applyInPandas(fit, f"{user} bigint, pipeline string, fold int, n bigint, correct bigint, accuracy double")
+        f, y, x, out = part["_f"].to_numpy(), part["_y"].to_numpy(dtype=np.int64), stack(part["_x"]), []
+        for held in np.unique(f):
+            apart = f == held
+            if (~apart).sum() >= least and len(np.unique(y[~apart])) >= 2:
+                for pipeline in pipelines:
+                    hits = int((PIPELINES[pipeline](x[~apart], y[~apart])(x[apart]) == y[apart]).sum())
+                    out.append((int(key[0]), pipeline, int(held), int(apart.sum()), hits, hits / int(apart.sum())))
+        return pd.DataFrame(out, columns=[user, "pipeline", "fold", "n", "correct", "accuracy"])
+
+    return rows.groupBy(user).applyInPandas(fit, f"{user} bigint, pipeline string, fold int, n bigint, correct bigint, accuracy double")
 
 
 def _scores(pipeline: str, x: np.ndarray, y: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -15,8 +15,8 @@ from epochflow.operators.windows import debounced
 def exact_quantile(df: DataFrame, keys: list[str], value: str, shares: list[float], out: str = "quantiles", error: float = 1e-3) -> DataFrame:
     """(keys, out): the linearly interpolated quantiles of each key, exact, whatever the rows of a key.
 
-    A sketch brackets each quantile; rows below the bracket are counted, and only those within it (a few thousandths)
-    are put in order.
+    A sketch brackets each quantile; rows below the bracket are counted, and only the distinct values within it are put in
+    order, with how often they occur: ties, of which a bracket holds all, are counted before they meet in a task.
     """
     n = len(shares)
     given = [c for c in (*keys,)]
@@ -31,9 +31,10 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, shares: list[floa
     # A bracket may lack one of the two neighbours of a quantile where few rows lie between; these are the next values.
     sides = rows.groupBy(*given, "j", "at").agg(F.count_if(F.col("_v") < low).alias("_below"), F.max(F.when(F.col("_v") < low, F.col("_v"))).alias("_less"), F.min(F.when(F.col("_v") > high, F.col("_v"))).alias("_more"))
     inside = rows.where("_v >= low AND _v <= high")
-    rank = F.row_number().over(Window.partitionBy(*given, "j").orderBy("_v")) - 1
-    placed = inside.withColumn("_rank", rank).join(sides.select(*given, "j", "_below"), [*given, "j"]).withColumn("_rank", F.col("_rank") + F.col("_below"))
-    of = lambda edge: F.min(F.when(F.col("_rank") == edge, F.col("_v")))
+    values = inside.groupBy(*given, "j", "at", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    until = F.sum("_c").over(Window.partitionBy(*given, "j").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = values.withColumn("_until", until).join(sides.select(*given, "j", "_below"), [*given, "j"]).withColumn("_until", F.col("_until") + F.col("_below"))
+    of = lambda edge: F.min(F.when((F.col("_until") - F.col("_c") <= edge) & (edge < F.col("_until")), F.col("_v")))
     ends = placed.groupBy(*given, "j").agg(of(F.floor("at")).alias("_a"), of(F.ceil("at")).alias("_z"))
     ends = sides.join(ends, [*given, "j"], "left").withColumns({"a": F.coalesce("_a", "_less"), "z": F.coalesce("_z", "_more")})
     found = ends.select(*given, F.struct("j", (F.col("a") + (F.col("z") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("v")).alias("q"))
@@ -56,8 +57,11 @@ def separation(df: DataFrame, keys: list[str], score: str, active: str) -> DataF
     """Means, spreads, 5 % and 95 % quantiles of active and idle scores, and Cohen's d."""
     of = lambda c, a: F.when(F.col(active) == a, F.col(c))
     names = ((True, "on"), (False, "off"))
-    aggs = [x for a, n in names for x in (F.avg(of(score, a)).alias(f"mean_{n}"), F.stddev_pop(of(score, a)).alias(f"sd_{n}"), F.percentile(of(score, a), F.lit(0.05)).alias(f"p05_{n}"), F.percentile(of(score, a), F.lit(0.95)).alias(f"p95_{n}"))]
+    aggs = [x for a, n in names for x in (F.avg(of(score, a)).alias(f"mean_{n}"), F.stddev_pop(of(score, a)).alias(f"sd_{n}"))]
     out = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    for a, n in names:
+        edges = exact_quantile(df.where(F.col(active) == a), keys, score, [0.05, 0.95]).select(*keys, F.col("quantiles")[0].alias(f"p05_{n}"), F.col("quantiles")[1].alias(f"p95_{n}"))
+        out = out.join(edges, keys, "left") if keys else out.join(F.broadcast(edges), F.lit(True), "left")  # one row each
     d = cohen_d(F.col("mean_on"), F.col("sd_on") ** 2, F.col("mean_off"), F.col("sd_off") ** 2)
     return out.withColumn("d", d)
 

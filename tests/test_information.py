@@ -234,3 +234,19 @@ def test_overlap_of_the_stream(spark):
     for r in QUERIES["k17_overlap_leakage"](spark, "/root/testdata/sf0.1").collect():
         assert r.leaked > 0 and r.still_shared == 0 and r.purged > 0 and 0 <= r.naive <= 1
         assert r.gap == pytest.approx(r.naive - r.apart)
+
+
+def test_quantiles_of_ties_and_hot_keys(spark):
+    """Nine tenths of one key's values are equal, and one key holds nine tenths of the rows."""
+    from epochflow.operators import stats
+
+    rng = np.random.default_rng(4)
+    v = np.where(rng.random(20_000) < 0.9, 0.0, rng.standard_normal(20_000))
+    k = np.where(rng.random(20_000) < 0.9, 1, 2)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(k, v)], "k int, v double").repartition(8)
+    shares = [0.0, 0.02, 0.05, 0.5, 0.951, 0.99, 1.0]
+    got = {r.k: r.quantiles for r in stats.exact_quantile(df, ["k"], "v", shares).collect()}
+    for key in (1, 2):
+        assert np.allclose(got[key], np.quantile(v[k == key], shares), atol=1e-12)
+    whole = stats.exact_quantile(df, [], "v", shares).first().quantiles
+    assert np.allclose(whole, np.quantile(v, shares), atol=1e-12)
