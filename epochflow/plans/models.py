@@ -102,11 +102,11 @@ def k17_leakage_gap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def k17_overlap_leakage(spark: SparkSession, sf: str) -> DataFrame:
-    """What overlap adds: windows of 750 samples every 250, dealt to folds at random or by stretches of ten whose edges are purged.
+    """What overlap adds: windows of 48 samples every 16, dealt to folds at random or by stretches of ten whose edges are purged.
 
     leaked: training windows that hold samples of a held-out one, over the random folds; purged folds have none.
     """
-    w = stream_windows(spark, sf).select(F.floor(F.col("epoch_id") / 400).alias("subject"), "epoch_id", (F.floor(F.col("epoch_id") / 2) % 2).alias("y"), "signal")
+    w = stream_windows(spark, sf, 48, 16).select(F.floor(F.col("epoch_id") / 400).alias("subject"), "epoch_id", (F.floor(F.col("epoch_id") / 2) % 2).alias("y"), "signal")
     w = w.withColumns({"naive": F.pmod(F.xxhash64(F.lit(17), "epoch_id"), F.lit(4)).cast("int"), "stretch": (F.floor(F.col("epoch_id") / 10) % 4).cast("int")})
     w = staged(w, "windows")
     score = lambda fold: learning.purged_scores(w, "subject", fold, "y", "epoch_id", 3, "csp_lda")

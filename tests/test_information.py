@@ -231,7 +231,7 @@ def test_purged_folds_share_no_sample(spark):
 def test_overlap_of_the_stream(spark):
     from epochflow.plans.registry import QUERIES
 
-    for r in QUERIES["k17_overlap_leakage"](spark, "/root/testdata/sf0.1").collect():
+    for r in QUERIES["k17_overlap_leakage"](spark, "/root/testdata/sf0.01").collect():
         assert r.leaked > 0 and r.still_shared == 0 and r.purged > 0 and 0 <= r.naive <= 1
         assert r.gap == pytest.approx(r.naive - r.apart)
 
