@@ -1,7 +1,7 @@
 """Standardised archives of public recordings: fifteen rules, checked in the pass that writes them.
 
-Trials are written to a folder of their own while an observation counts what breaks each rule; only if none is broken is
-the folder published, by a manifest that names it. A reader goes by the manifest, so it never sees an archive that broke
+Trials are written to a folder of their own, each with what it breaks beside it; only if that one small column of the
+written trials is empty is the folder published, by a manifest that names it. A reader goes by the manifest, so it never sees an archive that broke
 a rule or is half written, and checks again what the rows must say.
 """
 
@@ -12,7 +12,7 @@ import uuid
 from dataclasses import asdict, dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochflow.functions import dims
@@ -81,17 +81,19 @@ def rule_counts(df: DataFrame, h: Header) -> DataFrame:
 def write_archive(df: DataFrame, h: Header, path: str) -> None:
     """Writes trials (ROWS) by subject and publishes them; raises with the rules that are broken, and publishes nothing then.
 
-    The rows are read once: what breaks a rule is counted as they are written. An archive without trials breaks a rule.
+    The rows are read once: the rules that a trial breaks are written as bits beside it, and counted from what was
+    written (a task that ran twice counts once). An archive without trials breaks a rule.
     """
     broken = [name for name, bad in header_rules(h).items() if bad]
     if broken:
         raise ValueError("; ".join(broken))
-    rules, seen = trial_rules(h), Observation()
-    counts = [F.count_if(F.coalesce(c, F.lit(True))).alias(f"r{i}") for i, c in enumerate(rules.values())]
+    rules = trial_rules(h)
+    bits = reduce(lambda a, b: a + b, [F.when(F.coalesce(c, F.lit(True)), 1 << i).otherwise(0) for i, c in enumerate(rules.values())])
     part = f"trials-{uuid.uuid4().hex}"
     rows = df.select(*[F.col(c).cast(t) for c, t in (x.split(" ", 1) for x in ROWS.split(", "))])
-    rows.observe(seen, F.count(F.lit(1)).alias("n"), *counts).write.partitionBy("subject").parquet(f"{path}/{part}")
-    found = seen.get
+    rows.withColumn("broken", bits.cast("int")).write.partitionBy("subject").parquet(f"{path}/{part}")
+    counts = [F.count_if(F.col("broken").bitwiseAND(F.lit(1 << i)) != 0).alias(f"r{i}") for i in range(len(rules))]
+    found = df.sparkSession.read.schema(f"{ROWS}, broken int").parquet(f"{path}/{part}").agg(F.count(F.lit(1)).alias("n"), *counts).first()
     broken = [f"{name} ({found[f'r{i}']} trials)" for i, name in enumerate(rules) if found[f"r{i}"]] + ([] if found["n"] else ["no trials"])
     if broken:
         raise ValueError("; ".join(broken))
