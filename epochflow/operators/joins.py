@@ -38,6 +38,15 @@ def first_per(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 
+def both_ends(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
+    """The first and the last k rows of each key, once each, by an order that tells rows apart.
+
+    Each end is a limit by rank, which tasks apply to their own rows before anything is shuffled.
+    """
+    ends = [df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(c).asc() if up else F.col(c).desc() for c in order]))).where(F.col("_r") <= k).drop("_r") for up in (True, False)]
+    return ends[0].union(ends[1]).dropDuplicates([*keys, *order])
+
+
 def nearest_within(wanted: DataFrame, table: DataFrame, want: str, have: str, tolerance: float) -> DataFrame:
     """wanted with the nearest table value within the tolerance (ties to the smaller), null if none.
 

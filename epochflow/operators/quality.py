@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epochflow.functions.columns import log_variance, reasons
+from epochflow.operators.stats import exact_quantile
+from epochflow.sources.scratch import staged
 
 # Screening limits (microvolts; robust z), and shares of a recording.
 LIMITS = {"amplitude": 400.0, "flat": 0.05, "jump": 75.0, "outlier": 4.0}
@@ -33,12 +35,17 @@ def long_stats(df: DataFrame, keys: list[str], order: str, value: str) -> DataFr
 
 
 def robust_z(df: DataFrame, keys: list[str], value: str, out: str = "z", least: int = 0) -> DataFrame:
-    """Adds 0.6745 (v - median) / MAD within each key; 0 where the MAD is 0 or the key has fewer than `least` rows."""
-    mid = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("_m"), F.count(F.lit(1)).alias("_n"))
-    off = df.join(mid, keys).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
-    mad = off.groupBy(*keys).agg(F.percentile("_d", F.lit(0.5)).alias("_mad"))
+    """Adds 0.6745 (v - median) / MAD within each key; 0 where the MAD is 0 or the key has fewer than `least` rows.
+
+    Both medians are exact and come from brackets, so a key may hold any share of the rows.
+    """
+    rows = staged(df, "scores")  # read for both medians and for the result
+    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    middle = lambda d, c, name: exact_quantile(d, keys, c, [0.5]).select(*keys, F.col("quantiles")[0].alias(name))
+    mid = staged(n.join(middle(rows, value, "_m"), keys, "left"), "medians")
+    off = rows.join(mid, keys).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
     z = F.when((F.col("_mad") > 0) & (F.col("_n") >= least), 0.6745 * (F.col(value) - F.col("_m")) / F.col("_mad")).otherwise(0.0)
-    return off.join(mad, keys).withColumn(out, z).drop("_m", "_n", "_d", "_mad")
+    return off.join(middle(off, "_d", "_mad"), keys, "left").withColumn(out, z).drop("_m", "_n", "_d", "_mad")
 
 
 def screen(stats: DataFrame, trial: list[str], label: str, limits: dict | None = None, noncompliant: Column | None = None) -> DataFrame:
@@ -73,8 +80,8 @@ def recording_verdict(screened: DataFrame, keys: list[str]) -> DataFrame:
 
 def masked_if_enough(screened: DataFrame, keys: list[str], least: int = 8) -> DataFrame:
     """The kept trials of each key, or all of them where fewer than `least` were kept."""
-    n = F.count_if("keep").over(Window.partitionBy(*keys))
-    return screened.withColumn("_n", n).where((F.col("_n") < least) | F.col("keep")).drop("_n")
+    n = screened.groupBy(*keys).agg(F.count_if("keep").alias("_n"))
+    return screened.join(n, keys).where((F.col("_n") < least) | F.col("keep")).drop("_n")
 
 
 def masked_by_classes(screened: DataFrame, keys: list[str], label: str, least: int = 8, each: int = 2) -> DataFrame:

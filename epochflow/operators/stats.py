@@ -27,16 +27,15 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, shares: list[floa
     ).select(*given, "q.*")
     rows = df.where(F.col(value).isNotNull()).select(*given, F.col(value).cast("double").alias("_v"))
     rows = rows.join(each, given) if given else rows.crossJoin(F.broadcast(each))  # a row a quantile
-    low, high = F.col("low"), F.col("high")
-    # A bracket may lack one of the two neighbours of a quantile where few rows lie between; these are the next values.
-    sides = rows.groupBy(*given, "j", "at").agg(F.count_if(F.col("_v") < low).alias("_below"), F.max(F.when(F.col("_v") < low, F.col("_v"))).alias("_less"), F.min(F.when(F.col("_v") > high, F.col("_v"))).alias("_more"))
-    inside = rows.where("_v >= low AND _v <= high")
-    values = inside.groupBy(*given, "j", "at", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    until = F.sum("_c").over(Window.partitionBy(*given, "j").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = values.withColumn("_until", until).join(sides.select(*given, "j", "_below"), [*given, "j"]).withColumn("_until", F.col("_until") + F.col("_below"))
-    of = lambda edge: F.min(F.when((F.col("_until") - F.col("_c") <= edge) & (edge < F.col("_until")), F.col("_v")))
-    ends = placed.groupBy(*given, "j").agg(of(F.floor("at")).alias("_a"), of(F.ceil("at")).alias("_z"))
-    ends = sides.join(ends, [*given, "j"], "left").withColumns({"a": F.coalesce("_a", "_less"), "z": F.coalesce("_z", "_more")})
+    side = F.when(F.col("_v") < F.col("low"), 0).when(F.col("_v") > F.col("high"), 2).otherwise(1)
+    # Rows below and above a bracket fold into one cell each before they are shuffled; those within it into one a value.
+    cells = rows.select(*given, "j", "at", "_v", side.alias("_side")).groupBy(*given, "j", "at", "_side", F.when(F.col("_side") == 1, F.col("_v")).alias("_own"))
+    cells = cells.agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    until = F.sum("_c").over(Window.partitionBy(*given, "j").orderBy("_side", "_own").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # A bracket may lack one of the two neighbours of a quantile; these are the largest value below it or the least above.
+    nearest = F.when(F.col("_side") == 0, F.col("_most")).otherwise(F.col("_least"))
+    of = lambda edge: F.min(F.when((F.col("_until") - F.col("_c") <= edge) & (edge < F.col("_until")), nearest))
+    ends = cells.withColumn("_until", until).groupBy(*given, "j", "at").agg(of(F.floor("at")).alias("a"), of(F.ceil("at")).alias("z"))
     found = ends.select(*given, F.struct("j", (F.col("a") + (F.col("z") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("v")).alias("q"))
     return found.groupBy(*given).agg(F.transform(F.array_sort(F.collect_list("q")), lambda q: q["v"]).alias(out)).where(F.size(out) == n)
 

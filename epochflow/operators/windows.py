@@ -118,10 +118,10 @@ def debounced(df: DataFrame, keys: list[str], order: str, command: str, run: int
 
 
 def halves(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Adds half: 1 for the first floor(n / 2) rows of a key, else 2."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    return df.withColumn("half", F.when(at <= F.floor(n / 2), 1).otherwise(2))
+    """Adds half: 1 for the first floor(n / 2) rows of a key by a whole-numbered order, else 2; no key is ordered in one task."""
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    placed = sample_index(df, keys, order, "_place").join(n, keys)
+    return placed.withColumn("half", F.when(F.col("_place") < F.floor(F.col("_n") / 2), 1).otherwise(2)).drop("_place", "_n")
 
 
 def last_known(df: DataFrame, keys: list[str], order: str, value: str, out: str, span: int = 100_000) -> DataFrame:

@@ -209,9 +209,8 @@ def e7_rank_one(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH r AS (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS lo, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey DESC) AS hi FROM supplier) SELECT s_nationkey, s_suppkey FROM r WHERE lo <= 2 OR hi <= 2")
 def f2_both_ends(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("s_nationkey")
-    r = table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", F.row_number().over(w.orderBy("s_acctbal", "s_suppkey")).alias("lo"), F.row_number().over(w.orderBy(F.col("s_acctbal").desc(), F.col("s_suppkey").desc())).alias("hi"))
-    return r.where("lo <= 2 or hi <= 2").select("s_nationkey", "s_suppkey")
+    rows = table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal")
+    return joins.both_ends(rows, ["s_nationkey"], ["s_acctbal", "s_suppkey"], 2).select("s_nationkey", "s_suppkey")
 
 
 @query("SELECT DISTINCT 60.0 / p_size AS hz FROM part WHERE p_size >= 2 AND 60 % p_size = 0 ORDER BY 1 DESC LIMIT 4")

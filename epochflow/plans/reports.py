@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from epochflow.functions import columns as C
 from epochflow.functions import dims
 from epochflow.functions.text import tail, wrapped
-from epochflow.operators import joins, learning, quality, signals, stats
+from epochflow.operators import information, joins, learning, quality, signals, stats
 from epochflow.plans.analysis import _folds, d11_d12_threshold_sweep
 from epochflow.plans.base import DECISIONS, EPOCHS, SIGNAL, decisions, epochs, long_epochs, query, rounded, signal, stream_windows, table
 from epochflow.plans.relational import _LABELS, _labelled
@@ -72,8 +72,9 @@ def a18_profile_upsert(spark: SparkSession, sf: str) -> DataFrame:
     new = new.agg(F.max("o_orderdate").alias("at"), F.round(F.avg(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))), 4).alias("value"))
     old = table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("threshold"))
     p = old.join(new, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_nationkey", F.coalesce("value", "threshold").alias("threshold"), F.coalesce("at", since).alias("updated"))
-    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.col("updated").desc(), "c_custkey"))
-    return p.withColumns({"calibrated": F.col("threshold").isNotNull(), "recency": place})
+    back = p.withColumn("_back", -F.unix_micros(F.col("updated").cast("timestamp")))  # a nation may hold any share of the profiles
+    placed = information.running_count(back, ["c_nationkey"], ["_back", "c_custkey"], F.lit(1), "recency").drop("_back")
+    return placed.withColumn("calibrated", F.col("threshold").isNotNull())
 
 
 _MONTAGES = "m(name, n_channels, labels) AS (VALUES " + ", ".join(f"('{m[0]}', {m[1]}, '{'|'.join(m[2])}')" for m in dims.MONTAGES) + ")"

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epochflow.functions import columns as C
-from epochflow.operators import joins, quality, windows
+from epochflow.operators import joins, quality, stats, windows
 from epochflow.plans.base import DECISIONS, EPOCHS, SIGNAL, decisions, epochs, long_epochs, query, rounded, signal, table
+from epochflow.sources.scratch import staged
 
 _HOPS = f"WITH {SIGNAL}, w AS (SELECT channel, k, s.i AS i, s.x AS x FROM signal s, LATERAL (SELECT unnest(range(greatest(0, CAST(ceil((s.i - 47) / 16.0) AS BIGINT)), s.i // 16 + 1)) AS k)), full_w AS (SELECT channel, k FROM w GROUP BY 1, 2 HAVING count(*) = 48)"
 
@@ -85,7 +86,11 @@ def d6_class_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {EPOCHS}, st AS (SELECT epoch_id, ch AS channel, max(abs(x - m)) AS peak, stddev_pop(x) AS std FROM (SELECT *, avg(x) OVER (PARTITION BY epoch_id, ch) AS m FROM epochs) GROUP BY 1, 2) SELECT channel, round(quantile_cont(peak, 0.5), 6) AS median_peak, round(quantile_cont(peak, 0.95), 6) AS p95_peak, round(max(peak), 6) AS max_peak, round(quantile_cont(std, 0.5), 6) AS median_std, round(min(std), 6) AS min_std, round(max(std), 6) AS max_std, count_if(peak > 0.42) AS failing FROM st GROUP BY 1", longs="failing")
 def d7_channel_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
-    out = _channel_stats(spark, sf).groupBy("channel").agg(F.percentile("peak", F.lit(0.5)).alias("median_peak"), F.percentile("peak", F.lit(0.95)).alias("p95_peak"), F.max("peak").alias("max_peak"), F.percentile("std", F.lit(0.5)).alias("median_std"), F.min("std").alias("min_std"), F.max("std").alias("max_std"), F.count_if(F.col("peak") > _LIMITS["amplitude"]).alias("failing"))
+    st = staged(_channel_stats(spark, sf), "channel_stats")
+    out = st.groupBy("channel").agg(F.max("peak").alias("max_peak"), F.min("std").alias("min_std"), F.max("std").alias("max_std"), F.count_if(F.col("peak") > _LIMITS["amplitude"]).alias("failing"))
+    peak = stats.exact_quantile(st, ["channel"], "peak", [0.5, 0.95]).select("channel", F.col("quantiles")[0].alias("median_peak"), F.col("quantiles")[1].alias("p95_peak"))
+    std = stats.exact_quantile(st, ["channel"], "std", [0.5]).select("channel", F.col("quantiles")[0].alias("median_std"))
+    out = out.join(peak, "channel").join(std, "channel")
     return rounded(out, "median_peak", "p95_peak", "max_peak", "median_std", "min_std", "max_std")
 
 
@@ -169,7 +174,7 @@ def e11_elapsed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT c_custkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) % 4 AS value FROM customer")
 def e12_round_robin(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").select("c_custkey", ((F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1) % 4).cast("bigint").alias("value"))
+    return windows.sample_index(table(spark, sf, "customer"), ["c_nationkey"], "c_custkey").select("c_custkey", (F.col("i") % 4).alias("value"))
 
 
 # Joins by time

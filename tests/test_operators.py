@@ -205,3 +205,42 @@ def test_places_and_chunks_of_a_hot_key(spark):
     long = spark.createDataFrame([(0, i, float(i)) for i in range(4000)], "c long, i long, x double")
     fast = windows.hop_windows(long, ["c"], "i", "x", 3, 1).orderBy("k").collect()
     assert [r.signal for r in fast] == [[float(i), i + 1.0, i + 2.0] for i in range(3998)]
+
+
+def test_robust_z_with_ties_a_hot_key_and_nulls(spark):
+    from epochflow.operators import quality
+
+    rng = np.random.default_rng(8)
+    hot = np.where(rng.random(4000) < 0.9, 2.5, rng.normal(size=4000))  # nine of ten values are the same
+    rows = [("hot", i, float(v)) for i, v in enumerate(hot)] + [("odd", i, float(v)) for i, v in enumerate(rng.normal(size=7))] + [("few", 0, 1.0), ("few", 1, 5.0), ("none", 0, None), ("odd", 9, None)]
+    df = spark.createDataFrame(rows, "k string, i int, v double")
+    got = {(r["k"], r["i"]): r["z"] for r in quality.robust_z(df, ["k"], "v", least=3).collect()}
+    assert len(got) == len(rows)
+    assert all(got["hot", i] == 0.0 for i in range(4000))  # more than half agree, so there is no spread to compare with
+    odd = np.array([v for k, _, v in rows if k == "odd" and v is not None])
+    mid = np.median(odd)
+    want = 0.6745 * (odd - mid) / np.median(np.abs(odd - mid))
+    assert np.allclose([got["odd", i] for i in range(7)], want) and got["odd", 9] is None
+    assert got["few", 0] == got["few", 1] == 0.0 and got["none", 0] == 0.0
+
+
+def test_quantiles_of_mostly_equal_values(spark):
+    rng = np.random.default_rng(9)
+    v = np.concatenate([np.zeros(9000), rng.exponential(size=1000)])
+    df = spark.createDataFrame([(float(x),) for x in rng.permutation(v)], "v double")
+    shares = [0.0, 0.5, 0.8999, 0.95, 1.0]
+    got = stats.exact_quantile(df, [], "v", shares).first()["quantiles"]
+    assert np.allclose(got, np.quantile(v, shares), rtol=0, atol=1e-12)
+
+
+def test_both_ends_and_halves_of_a_hot_key(spark):
+    from epochflow.operators import joins
+
+    rows = [(0, i, float(i * 7919 % 1000)) for i in range(1000)] + [(1, 1, 2.0), (1, 2, 1.0), (1, 3, 3.0), (2, 1, 0.0)]
+    df = spark.createDataFrame(rows, "k int, i long, v double")
+    ends = joins.both_ends(df, ["k"], ["v", "i"], 2)
+    got = sorted((r["k"], r["v"]) for r in ends.collect())
+    assert got == [(0, 0.0), (0, 1.0), (0, 998.0), (0, 999.0), (1, 1.0), (1, 2.0), (1, 3.0), (2, 0.0)]
+    assert "WindowGroupLimit" in ends._jdf.queryExecution().toString()
+    half = Counter((r["k"], r["half"]) for r in windows.halves(df, ["k"], "i").collect())
+    assert half == {(0, 1): 500, (0, 2): 500, (1, 1): 1, (1, 2): 2, (2, 2): 1}
