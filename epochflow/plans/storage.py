@@ -82,6 +82,22 @@ def a7_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 4).alias("total"), F.round(F.max("fs")).cast("bigint").alias("fs"))
 
 
+_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+@query(f"WITH {SIGNAL}, w AS (SELECT i, count(*) AS c FROM signal GROUP BY 1 HAVING count(*) = {len(_TYPES)}), n AS (SELECT count(*) AS n FROM w) SELECT channel, count(*) AS n, round(sum(x) * 1000, 3) AS total, round(sum(i * x), 3) AS moment, CAST(500 AS BIGINT) AS fs FROM signal SEMI JOIN w USING (i) GROUP BY 1")
+def a7_csv_channels(spark: SparkSession, sf: str) -> DataFrame:
+    """All channels as one text table: its separator is found, times are milliseconds, rows that lack a channel are dropped.
+
+    moment weighs each sample by its place, so samples out of order would show.
+    """
+    wide = signal(spark, sf).groupBy("i").agg(*[F.max(F.when(F.col("channel") == c, F.col("x"))).alias(c.upper()) for c in _TYPES])
+    path = scratch_path(spark, "csv")
+    wide.select((F.col("i") * 2.0).alias("Time"), *[c.upper() for c in _TYPES]).write.option("header", True).option("sep", "\t").csv(path)
+    rows = archives.read_continuous_csv(spark, path, "time", list(_TYPES), scale=1000.0)
+    return rows.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 3).alias("total"), F.round(F.sum(F.col("i") * F.col("x") / 1000), 3).alias("moment"), F.round(F.max("fs")).cast("bigint").alias("fs"))
+
+
 @query()
 def a16_k15_feature_export(spark: SparkSession, sf: str) -> DataFrame:
     """Tangent vectors as floats with small class numbers; no raw signal leaves."""

@@ -6,9 +6,13 @@ import io
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from epochflow.operators.information import running_count
+from epochflow.operators.stats import exact_quantile
+from epochflow.operators.windows import chunked
+
 EPOCH_SCHEMA = "epoch_id string, subject string, session string, label string, fs double, montage string, units string, signal array<array<double>>"
 # Schema version of archives, and accepted units with their factor to microvolts.
 VERSION, MICROVOLTS = 1, {"uV": 1.0, "mV": 1e3, "V": 1e6}
@@ -77,20 +81,39 @@ def read_npz(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInPandas(rows, EPOCH_SCHEMA)
 
 
-def read_continuous_csv(spark: SparkSession, path: str, time: str, channels: list[str], separator: str = ",", scale: float = 1.0) -> DataFrame:
+def sniffed_separator(spark: SparkSession, path: str, among: str = ",;\t") -> str:
+    """The separator that the header line (one line reaches the driver) has most of; the first where it has none."""
+    header = spark.read.text(path).first()
+    if header is None:
+        raise ValueError("no header row")
+    return max(among, key=lambda c: (header[0].count(c), -among.index(c)))
+
+
+def read_continuous_csv(spark: SparkSession, path: str, time: str, channels: list[str], separator: str | None = None, scale: float = 1.0, unit: str = "auto", least: int = 10, nominal: float = 250.0) -> DataFrame:
     """(i, channel, x, fs) of a table of samples: names are matched in any case, rows with a non-number are dropped.
 
-    fs is inferred from the median time step (seconds, or milliseconds where that gives a rate of 20 to 5000 Hz).
+    fs is inferred from the median of the positive time steps: in seconds (`s`) or milliseconds (`ms`), or as either (`auto`),
+    whichever gives a rate of 20 to 5000 Hz, the one closer to `nominal` if both do. Without such a rate, or with fewer than
+    `least` rows of numbers, reading raises. Samples are numbered by ranges of time (ties: as they lie in the
+    files), so a recording of any length is no one task's work.
     """
-    raw = spark.read.option("header", True).option("sep", separator).csv(path)
+    raw = spark.read.option("header", True).option("sep", separator or sniffed_separator(spark, path)).csv(path)
     name = {c.strip().lower(): c for c in raw.columns}
-    col = lambda c: F.expr(f"try_cast(`{name[c.lower()]}` as double)")
+    if missing := [c for c in (time, *channels) if c.strip().lower() not in name]:
+        raise ValueError(f"columns {missing} are missing; found {raw.columns}")
+    col = lambda c: F.expr(f"try_cast(`{name[c.strip().lower()]}` as double)")
     rows = raw.select(col(time).alias("t"), *[(col(c) * scale).alias(c) for c in channels]).dropna()
-    from pyspark.sql import Window
-
-    order = Window.orderBy("t")  # one recording: sorted once, as its index is its order
-    rows = rows.withColumn("i", F.row_number().over(order) - 1).withColumn("dt", F.col("t") - F.lag("t").over(order))
-    step = rows.agg(F.percentile("dt", F.lit(0.5)).alias("step"))
-    rate = F.when((1 / F.col("step")).between(20, 5000), 1 / F.col("step")).when((1000 / F.col("step")).between(20, 5000), 1000 / F.col("step"))
-    long = rows.select("i", F.explode(F.create_map(*[x for c in channels for x in (F.lit(c), F.col(c))])).alias("channel", "x"))
-    return long.crossJoin(F.broadcast(step.select(rate.alias("fs"))))  # one row
+    placed = running_count(rows.withColumn("_id", F.monotonically_increasing_id()), [], ["t", "_id"], F.lit(1), "i").withColumn("i", F.col("i") - 1).drop("_id")
+    dt = F.col("t") - F.lag("t").over(Window.partitionBy("chunk").orderBy("i"))
+    steps = chunked(placed, "i", 65_536, before=1).withColumn("dt", dt).where("own AND dt > 0 AND dt < double('infinity')")
+    step = exact_quantile(steps, [], "dt", [0.5]).select(F.col("quantiles")[0].alias("step"))
+    n, dt = placed.agg(F.count(F.lit(1))).first()[0], step.first()
+    if n < least:
+        raise ValueError(f"{n} rows of numbers, fewer than {least}")
+    if dt is None:
+        raise ValueError("time does not advance")
+    rates = [k / dt["step"] for u, k in (("s", 1.0), ("ms", 1000.0)) if unit in (u, "auto")]
+    if not (plausible := [r for r in rates if unit != "auto" or 20 <= r <= 5000]):
+        raise ValueError(f"no plausible rate from steps of {dt['step']}; name the unit of time")
+    fs = min(plausible, key=lambda r: abs(r - nominal))
+    return placed.select("i", F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("x")) for c in channels])).alias("s")).select("i", "s.*", F.lit(fs).alias("fs"))

@@ -128,6 +128,32 @@ def test_npz_and_csv_readers(spark, tmp_path):
     assert len(rows) == 100 and rows[0].fs == pytest.approx(250.0) and rows[3].x == 2.0
 
 
+@pytest.mark.parametrize(("separator", "step", "fs"), [(",", 0.002, 500.0), ("\t", 4.0, 250.0), (";", 0.04, 25.0)])
+def test_csv_is_sniffed_and_numbered_by_ranges(spark, tmp_path, separator, step, fs):
+    rng = np.random.default_rng(3)
+    order = rng.permutation(300)
+    lines = [separator.join(["Session_Time ", "O1", "note", "o2"])] + [separator.join([repr(float(i * step)), str(i), "a", str(-i)]) for i in order] + [separator.join(["", "1", "2", "3"]), separator.join(["9", "x", "", ""])]
+    (tmp_path / "s.csv").write_text("\n".join(lines))
+    rows = archives.read_continuous_csv(spark, f"file://{tmp_path}/s.csv", "session_time", ["o1", "O2"]).orderBy("i", "channel").collect()
+    assert [(r.i, r.channel, r.x) for r in rows] == [(i, c, float(v)) for i in range(300) for c, v in (("O2", -i), ("o1", i))]
+    assert rows[0].fs == pytest.approx(fs)
+
+
+def test_csv_without_a_rate_or_rows_is_refused(spark, tmp_path):
+    def read(lines, *columns):
+        (tmp_path / "s.csv").write_text("\n".join(["t,c", *lines]))
+        return archives.read_continuous_csv(spark, f"file://{tmp_path}/s.csv", "t", list(columns or ["c"]))
+
+    with pytest.raises(ValueError, match="fewer than 10"):
+        read([f"{i},1" for i in range(9)])
+    with pytest.raises(ValueError, match="no plausible rate"):
+        read([f"{i * 100000},1" for i in range(20)])
+    with pytest.raises(ValueError, match="does not advance"):
+        read(["1,1"] * 20)
+    with pytest.raises(ValueError, match="missing"):
+        read(["1,1"] * 20, "c", "cz")
+
+
 def test_word_wrap(spark):
     from epochflow.functions.text import tail, wrapped
 
