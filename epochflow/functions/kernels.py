@@ -159,6 +159,13 @@ def band_power(x: np.ndarray, fs: float, band: tuple[float, float], segment: int
     return p[..., (f >= band[0]) & (f <= band[1])].mean(axis=-1)
 
 
+def band_integral(x: np.ndarray, fs: float, bands, segment: int = 256) -> np.ndarray:
+    """Trapezoid integrals of the density over [low, high) of each band, on a last axis; NaN with fewer than two bins."""
+    f, p = welch(x, fs, segment)
+    out = [np.trapezoid(p[..., m], f[m], axis=-1) if m.sum() >= 2 else np.full(x.shape[:-1], np.nan) for m in ((f >= low) & (f < high) for low, high in bands)]
+    return np.stack(out, axis=-1)
+
+
 def tone(x: np.ndarray, fs: float, low: float = 4.0, high: float = 45.0) -> dict:
     """The dominant tone of one channel: frequency (parabola on log power), amplitude, peak over median."""
     n = len(x)

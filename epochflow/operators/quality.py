@@ -131,6 +131,18 @@ def gates(stages: DataFrame, keys: list[str], order: str, status: str) -> DataFr
     return stages.withColumn("gated", F.when(before, "SKIP").otherwise(F.col(status))).withColumn("first_fail", first)
 
 
+def json_reports(stages: DataFrame, keys: list[str], order: str, name: str, status: str, details: str) -> DataFrame:
+    """(keys, report): one JSON object a key with its stages in order, a failed one's followers as SKIP, and the first failure.
+
+    details is a struct of any fields; what is null is written as null. A key's stages are a few.
+    """
+    gated = gates(stages, keys, order, status)
+    stage = F.struct(F.col(order).alias("_o"), F.struct(F.col(name).alias("name"), F.col("gated").alias("status"), F.col(details).alias("details")).alias("s"))
+    first = F.max(F.when(F.col(order) == F.col("first_fail"), F.col(name)))
+    out = gated.groupBy(*keys).agg(first.alias("first_failure"), F.transform(F.array_sort(F.collect_list(stage), lambda a, b: F.when(a["_o"] < b["_o"], -1).otherwise(1)), lambda x: x["s"]).alias("stages"))
+    return out.select(*keys, F.to_json(F.struct(*keys, "first_failure", "stages"), {"ignoreNullFields": "false"}).alias("report"))
+
+
 def preflight(stats: DataFrame, keys: list[str], rate: Column, nominal: float, tolerance: float = 0.15) -> DataFrame:
     """READY or BLOCKED for each session of one row per channel (std, distinct): rate error and channel tiers."""
     tier = hardware_tier(F.col("std"), F.col("distinct_values"))

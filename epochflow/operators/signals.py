@@ -92,6 +92,15 @@ def band_powers(signal: Column, fs: float, band: tuple[float, float], segment: i
     return batched(lambda x: as_lists(K.band_power(x, fs, band, segment)), "array<double>")(signal)
 
 
+def band_integrals(signal: Column, fs: float, bands: dict[str, tuple[float, float]], segment: int = 256) -> Column:
+    """Of each channel a map from band to its integrated power; bands with fewer than two bins are not in it."""
+
+    def of(x: np.ndarray) -> list:
+        return [[{b: float(v) for b, v in zip(bands, c) if v == v} for c in t] for t in K.band_integral(x, fs, bands.values(), segment)]
+
+    return batched(of, "array<map<string,double>>")(signal)
+
+
 def tones(df: DataFrame, fs: float, signal: str = "signal", low: float = 4.0, high: float = 45.0) -> DataFrame:
     """Adds the dominant tone of the best channel: tone_channel, frequency, amplitude, snr."""
 

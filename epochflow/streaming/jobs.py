@@ -137,6 +137,11 @@ def snapshots(out: DataFrame, path: str, checkpoint: str, key: str = "session",
     return out.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).start()
 
 
-def on_dispatch(out: DataFrame, callback: Callable[[DataFrame], None], checkpoint: str):
-    """Hands the dispatched commands of each micro-batch to a callback, as a DataFrame."""
-    return out.where("state = 'DISPATCHED'").writeStream.foreachBatch(lambda batch, _: callback(batch)).option("checkpointLocation", checkpoint).start()
+def on_dispatch(out: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False):
+    """Hands the dispatched commands of each micro-batch to a callback, as a DataFrame, with the batch's number.
+
+    A batch that was cut off comes again under its number, so what a callback does should be told apart by it. With
+    `once` the query ends when it has seen what is there now.
+    """
+    writer = out.where("state = 'DISPATCHED'").writeStream.foreachBatch(callback).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
