@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epochflow.sources.scratch import staged
+
 #: What people may log, and days between exports.
 ENABLE, DISABLE, SYNC = "enable", "disable", "sync"
 DAYS = 7
@@ -38,7 +40,8 @@ def sync(features: DataFrame, stated: DataFrame, user: str, path: str) -> DataFr
     """
     due = stated.where("status = 'due'").select(user)
     features.join(due, user, "left_semi").write.mode("overwrite").parquet(path)
-    sent = features.sparkSession.read.schema(features.schema).parquet(path).groupBy(user).agg(F.count(F.lit(1)).alias("trials"))
+    # Counted at once, so that the answer holds when a later try replaces the files.
+    sent = staged(features.sparkSession.read.schema(features.schema).parquet(path).groupBy(user).agg(F.count(F.lit(1)).alias("trials")), "sent")
     out = stated.join(sent, user, "left")
     said = F.when(F.col("status") != "due", F.col("status")).when(F.col("trials") > 0, "exported").otherwise("no_data")
     return out.select(user, said.alias("status"), "next", F.coalesce("trials", F.lit(0)).alias("trials"))
