@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epochflow.functions.columns import itr_bits
-from epochflow.operators.windows import debounced
+from epochflow.operators.windows import is_fired, run_start
 
 
 def exact_quantile(df: DataFrame, keys: list[str], value: str, shares: list[float], out: str = "quantiles", error: float = 1e-3) -> DataFrame:
@@ -66,23 +66,25 @@ def separation(df: DataFrame, keys: list[str], score: str, active: str) -> DataF
 
 
 def threshold_sweep(df: DataFrame, thresholds: DataFrame, order: str, hop_seconds: float, run: int = 3) -> DataFrame:
-    """Metrics of debounced commands at each of a few thresholds (percentile, threshold; broadcast).
+    """Metrics of debounced commands at each of a handful of thresholds (percentile, threshold), which become literals.
 
-    df: one row per window with truth (null for idle), command, score, artifact and session.
+    df: one row per window with truth (null for idle), command, score, artifact and session. Windows are shuffled and
+    sorted by session once; the runs of all thresholds are counted side by side, so no row is copied.
     """
-    rows = df.crossJoin(F.broadcast(thresholds))  # a handful of thresholds
-    held = F.when(~F.col("artifact") & (F.col("score") >= F.col("threshold")), F.col("command"))
-    fired = debounced(rows.withColumn("_held", held), ["percentile", "session"], order, "_held", run)
+    limits = [(r["percentile"], r["threshold"]) for r in thresholds.select("percentile", "threshold").collect()]
+    each = list(enumerate(limits or [(0.0, 0.0)]))
+    w = Window.partitionBy("session").orderBy(order)
+    held = {f"_h{k}": F.when(~F.col("artifact") & (F.col("score") >= t), F.col("command")) for k, (_, t) in each}
+    rows = df.withColumns({**held, "_at": F.row_number().over(w)})
+    rows = rows.withColumns({f"_s{k}": run_start(F.col(f"_h{k}"), F.col("_at"), w) for k, _ in each})
+    rows = rows.withColumns({f"_f{k}": is_fired(F.col(f"_h{k}"), F.col("_at"), F.col(f"_s{k}"), w, run) for k, _ in each})
     target = F.col("truth").isNotNull()
-    right = F.col("fired") & target & (F.col("command") == F.col("truth"))
-    out = fired.groupBy("percentile", "threshold").agg(
-        F.count_if("fired").alias("fired"),
-        F.count_if(right).alias("tp"),
-        F.count_if(F.col("fired") & target & (F.col("command") != F.col("truth"))).alias("wrong"),
-        F.count_if(F.col("fired") & ~target).alias("fp_idle"),
-        F.count_if(target).alias("targets"),
-        F.count_if(~target & ~F.col("artifact")).alias("idle"),
-    )
+    agrees = target & (F.col("command") == F.col("truth"))
+    counts = lambda f: {"fired": f, "tp": f & agrees, "wrong": f & target & (F.col("command") != F.col("truth")), "fp_idle": f & ~target}
+    common = {"targets": target, "idle": ~target & ~F.col("artifact")}
+    sums = rows.agg(*[F.count_if(c).alias(f"{n}{k}") for k, _ in each for n, c in counts(F.col(f"_f{k}")).items()], *[F.count_if(c).alias(n) for n, c in common.items()])
+    cells = [F.struct(F.lit(p).alias("percentile"), F.lit(t).alias("threshold"), *[F.col(f"{n}{k}").alias(n) for n in counts(F.lit(True))], *common) for k, (p, t) in each]
+    out = sums.select(F.explode(F.array(*cells)).alias("z")).where(F.lit(bool(limits))).select("z.*")
     minutes = lambda c: F.col(c) * hop_seconds / 60
     issued = F.col("tp") + F.col("wrong") + F.col("fp_idle")
     accuracy = F.col("tp") / F.greatest(F.lit(1), F.col("tp") + F.col("wrong"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 
 def sample_index(df: DataFrame, keys: list[str], order: str, out: str = "i", span: int = 100_000) -> DataFrame:
@@ -111,10 +112,25 @@ def usable_folds(df: DataFrame, label: str, fold: str = "fold") -> DataFrame:
 
 
 def debounced(df: DataFrame, keys: list[str], order: str, command: str, run: int, out: str = "fired") -> DataFrame:
-    """Adds whether a row is the run-th agreeing one in a row (then counting anew); a null command breaks the run."""
-    held = block_ids(df, keys, order, command, "_island")
-    at = F.row_number().over(Window.partitionBy(*keys, "_island").orderBy(order))
-    return held.withColumn(out, F.col(command).isNotNull() & (at % run == 0)).drop("_island")
+    """Adds whether a row is the run-th agreeing one in a row (then counting anew); a null command breaks the run.
+
+    A row's place in its run is told from where the run began, so one sort by (keys, order) serves all.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    rows = df.withColumn("_at", F.row_number().over(w))
+    rows = rows.withColumn("_start", run_start(F.col(command), F.col("_at"), w))
+    return rows.withColumn(out, is_fired(F.col(command), F.col("_at"), F.col("_start"), w, run)).drop("_at", "_start")
+
+
+def run_start(command: Column, at: Column, w: WindowSpec) -> Column:
+    """The place of a row that differs from the one before it; null within a run."""
+    return F.when((at == 1) | ~command.eqNullSafe(F.lag(command).over(w)), at)
+
+
+def is_fired(command: Column, at: Column, start: Column, w: WindowSpec, run: int) -> Column:
+    """Whether a command is the run-th of its run, from places and run_start() of rows in order of w."""
+    began = F.max(start).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return command.isNotNull() & ((at - began + 1) % run == 0)
 
 
 def halves(df: DataFrame, keys: list[str], order: str) -> DataFrame:
