@@ -250,3 +250,19 @@ def test_quantiles_of_ties_and_hot_keys(spark):
         assert np.allclose(got[key], np.quantile(v[k == key], shares), atol=1e-12)
     whole = stats.exact_quantile(df, [], "v", shares).first().quantiles
     assert np.allclose(whole, np.quantile(v, shares), atol=1e-12)
+
+
+def test_margins_settle_on_classes_that_overlap():
+    """Loss of the margins less the dual's value, of the multipliers that fit them: steps that stop early leave a gap."""
+    rng = np.random.default_rng(3)
+    for n, d in ((200, 36), (400, 10), (10, 40)):
+        x, y = rng.standard_normal((n, d)), np.where(np.arange(n) % 2, 1.0, -1.0)
+        w, b = K.support_vectors(x, y)
+        loss = lambda w, b: 0.5 * w @ w + np.maximum(0, 1 - y * (x @ w + b)).sum()  # noqa: E731, B023
+        # Where the margin is beyond 1 or within it, multipliers are 0 or 1; those at it must make w of what is left.
+        m = y * (x @ w + b)
+        at = np.abs(m - 1) < 1e-4
+        left = np.append(w - x[~at & (m < 1)].T @ y[~at & (m < 1)], -y[~at & (m < 1)].sum())
+        a = np.linalg.lstsq(np.c_[x[at], np.ones(at.sum())].T * y[at], left, rcond=None)[0]
+        assert np.allclose(np.c_[x[at], np.ones(at.sum())].T @ (a * y[at]), left, atol=1e-4)
+        assert all(loss(w, b) <= loss(w + 1e-3 * rng.standard_normal(d), b + 1e-3 * rng.standard_normal()) + 1e-5 for _ in range(50))
