@@ -1,4 +1,4 @@
-"""Pipelines under grouped cross-validation: one task fits one (user, pipeline, fold)."""
+"""Pipelines under grouped cross-validation: a user's epochs are sent once, to one task for all folds and pipelines."""
 
 from __future__ import annotations
 
@@ -139,8 +139,64 @@ def _bank(x: np.ndarray) -> list[np.ndarray]:
     return [K.zero_phase(K.bandpass(4, *band, FS), x) for band in K.MOTOR_BANK]
 
 
-def _bank_features(x: np.ndarray, filters: np.ndarray) -> np.ndarray:
-    return np.concatenate([K.log_variance_features(w, b) for w, b in zip(filters, _bank(x))], axis=1)
+class Trials:
+    """Trials with what pipelines make of each alone, made once for all folds: t[rows] takes along what is there.
+
+    mean and tangent belong to the set as a whole, so they are made anew for each.
+    """
+
+    def __init__(self, x: np.ndarray, made: dict | None = None):
+        self.x, self._made, self._mean = x, made or {}, None
+
+    @classmethod
+    def of(cls, x: np.ndarray | Trials) -> Trials:
+        return x if isinstance(x, Trials) else cls(x)
+
+    def __len__(self) -> int:
+        return len(self.x)
+
+    def __getitem__(self, rows: np.ndarray) -> Trials:
+        return Trials(self.x[rows], {k: [v[rows] for v in vs] for k, vs in self._made.items()})
+
+    def _once(self, name: str, make: Callable[[], list]) -> list:
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
+
+    @property
+    def banded(self) -> np.ndarray:
+        return self._once("banded", lambda: [banded(self.x)])[0]
+
+    @property
+    def covariances(self) -> np.ndarray:
+        return self._once("covariances", lambda: [K.covariances(self.banded)])[0]
+
+    @property
+    def bank(self) -> list[np.ndarray]:
+        return self._once("bank", lambda: _bank(self.x))
+
+    @property
+    def bank_covariances(self) -> list[np.ndarray]:
+        return self._once("bank_covariances", lambda: [K.covariances(b) for b in self.bank])
+
+    def made(self, pipelines: list[str]) -> Trials:
+        """The same, with what these pipelines ask of each trial made at once, so that every fold takes it along."""
+        for pipeline in pipelines:
+            if pipeline == "fbcsp":
+                self.bank_covariances
+            elif pipeline == "csp_lda" or pipeline.startswith("riemann"):
+                self.covariances
+        return self
+
+    @property
+    def mean(self) -> np.ndarray:
+        if self._mean is None:
+            self._mean = _mean(self.covariances)
+        return self._mean
+
+
+def _bank_features(x: Trials, filters: np.ndarray) -> np.ndarray:
+    return np.concatenate([K.log_variance_features(w, b) for w, b in zip(filters, x.bank)], axis=1)
 
 
 def _lda(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -154,52 +210,50 @@ def _told(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     return m.predict(x)
 
 
-def trained(pipeline: str, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+def trained(pipeline: str, x: np.ndarray | Trials, y: np.ndarray) -> dict[str, np.ndarray]:
     """The parameters of a fitted pipeline, as named arrays."""
+    t = Trials.of(x)
     if pipeline == "fbcsp":
         a, b = np.unique(y)[:2]
-        covs = [K.covariances(part) for part in _bank(x)]
-        filters = np.stack([K.csp(c[y == a].mean(axis=0), c[y == b].mean(axis=0)) for c in covs])
-        z = _bank_features(x, filters)
+        filters = np.stack([K.csp(c[y == a].mean(axis=0), c[y == b].mean(axis=0)) for c in t.bank_covariances])
+        z = _bank_features(t, filters)
         picked = np.sort(np.argsort(-K.mutual_information(z, y), kind="stable")[:BEST_FEATURES])
         return {"filters": filters, "picked": picked, **_lda(z[:, picked], y)}
     if pipeline == "csp_lda":
-        x = banded(x)
-        c = K.covariances(x)
+        c = t.covariances
         a, b = np.unique(y)[:2]
         w = K.csp(c[y == a].mean(axis=0), c[y == b].mean(axis=0))
-        return {"filters": w, **_lda(K.log_variance_features(w, x), y)}
+        return {"filters": w, **_lda(K.log_variance_features(w, t.banded), y)}
     if pipeline in ("riemann_lr", "riemann_lda", "riemann_svm"):
-        c = K.covariances(banded(x))
-        mean = _mean(c)
-        z = K.tangent(c, mean)
+        z = K.tangent(t.covariances, t.mean)
         if pipeline == "riemann_lda":
-            return {"mean": mean, **_lda(z, y)}
+            return {"mean": t.mean, **_lda(z, y)}
         if pipeline == "riemann_svm":
             s = Svm().fit(z, y)
-            return {"mean": mean, "centre": s.mean, "scale": s.scale, "classes": s.classes, "w": s.w, "b": s.b, "sigmoid": s.sigmoid}
+            return {"mean": t.mean, "centre": s.mean, "scale": s.scale, "classes": s.classes, "w": s.w, "b": s.b, "sigmoid": s.sigmoid}
         m = Logistic().fit(z, y)
-        return {"mean": mean, "centre": m.mean, "scale": m.scale, "classes": m.classes, "w": m.w}
+        return {"mean": t.mean, "centre": m.mean, "scale": m.scale, "classes": m.classes, "w": m.w}
     if pipeline == "trca":
-        return dict(zip(("classes", "filters", "templates"), K.filter_bank_trca(x, y, FS)))
+        return dict(zip(("classes", "filters", "templates"), K.filter_bank_trca(t.x, y, FS)))
     raise ValueError(pipeline)
 
 
-def told(pipeline: str, p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+def told(pipeline: str, p: dict[str, np.ndarray], x: np.ndarray | Trials) -> np.ndarray:
     """The classes that a fitted pipeline tells."""
+    t = Trials.of(x)
     if pipeline == "fbcsp":
-        return _told(p, _bank_features(x, p["filters"])[:, p["picked"].astype(np.int64)])
+        return _told(p, _bank_features(t, p["filters"])[:, p["picked"].astype(np.int64)])
     if pipeline == "csp_lda":
-        return _told(p, K.log_variance_features(p["filters"], banded(x)))
+        return _told(p, K.log_variance_features(p["filters"], t.banded))
     if pipeline == "riemann_lda":
-        return _told(p, K.tangent(K.covariances(banded(x)), p["mean"]))
+        return _told(p, K.tangent(t.covariances, p["mean"]))
     if pipeline == "riemann_svm":
-        return margins_of(p).predict(K.tangent(K.covariances(banded(x)), p["mean"]))
+        return margins_of(p).predict(K.tangent(t.covariances, p["mean"]))
     if pipeline == "riemann_lr":
         m = Logistic()
         m.mean, m.scale, m.classes, m.w = p["centre"], p["scale"], p["classes"], p["w"]
-        return m.predict(K.tangent(K.covariances(banded(x)), p["mean"]))
-    return p["classes"][np.argmax(K.filter_bank_trca_scores(x, p["filters"], p["templates"], FS), axis=1)]
+        return m.predict(K.tangent(t.covariances, p["mean"]))
+    return p["classes"][np.argmax(K.filter_bank_trca_scores(t.x, p["filters"], p["templates"], FS), axis=1)]
 
 
 def margins_of(p: dict[str, np.ndarray]) -> Svm:
@@ -210,7 +264,7 @@ def margins_of(p: dict[str, np.ndarray]) -> Svm:
 
 
 def _fit(pipeline: str) -> Callable:
-    def fit(x: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    def fit(x: np.ndarray | Trials, y: np.ndarray) -> Callable[[np.ndarray | Trials], np.ndarray]:
         p = trained(pipeline, x, y)
         return lambda new: told(pipeline, p, new)
 
@@ -255,10 +309,10 @@ def applied(epochs: DataFrame, models: DataFrame, user: str, signal: str = "sign
     return epochs.join(models.select(user, "pipeline", "model"), user).withColumn(out, tell("pipeline", "model", signal)).drop("model")
 
 
-def fbcca_classes(x: np.ndarray, y: np.ndarray, frequencies=(15.0, 20.0), fs: float = 250.0) -> Callable[[np.ndarray], np.ndarray]:
+def fbcca_classes(x: np.ndarray | Trials, y: np.ndarray, frequencies=(15.0, 20.0), fs: float = 250.0) -> Callable[[np.ndarray | Trials], np.ndarray]:
     """The class of the frequency with the best filter-bank score; nothing is learned but which classes there are."""
     names = np.unique(y)
-    return lambda new: names[np.argmax(K.fbcca(new, frequencies[: len(names)], fs, list(range(new.shape[1]))), axis=1)]
+    return lambda new: names[np.argmax(K.fbcca(Trials.of(new).x, frequencies[: len(names)], fs, list(range(Trials.of(new).x.shape[1]))), axis=1)]
 
 
 PIPELINES: dict[str, Callable] = {"fbcca": fbcca_classes, "csp_lda": csp_lda, "fbcsp": fbcsp, "riemann_svm": riemann_svm, "riemann_lr": riemann_lr, "riemann_lda": riemann_lda, "trca": trca_templates}
@@ -266,26 +320,33 @@ PIPELINES: dict[str, Callable] = {"fbcca": fbcca_classes, "csp_lda": csp_lda, "f
 MOTOR = ["csp_lda", "fbcsp", "riemann_svm", "riemann_lr"]
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key over as many tasks as shuffles have: fits take long for their few bytes, so tasks must not be joined by size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cross_validate(epochs: DataFrame, user: str, fold: str, label: str, pipelines: list[str], signal: str = "signal", least: int = 4) -> DataFrame:
     """(user, pipeline, fold, n, correct, accuracy) of one fit each; folds must keep groups whole.
 
     A user's epochs are sent once, to one task that fits every fold and pipeline: a fit needs them together, and one
-    person's calibration is small by nature. Folds with fewer than two classes or `least` trials to learn from give no
+    person's calibration is small by nature. Filters and covariances are made once a trial, Riemannian means once a
+    fold. Folds with fewer than two classes or `least` trials to learn from give no
     row.
     """
     rows = epochs.select(user, F.col(fold).cast("int").alias("_f"), F.col(label).cast("bigint").alias("_y"), F.col(signal).alias("_x")).where("_y IS NOT NULL")
 
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        f, y, x, out = part["_f"].to_numpy(), part["_y"].to_numpy(dtype=np.int64), stack(part["_x"]), []
+        f, y, x, out = part["_f"].to_numpy(), part["_y"].to_numpy(dtype=np.int64), Trials(stack(part["_x"])).made(pipelines), []
         for held in np.unique(f):
             apart = f == held
             if (~apart).sum() >= least and len(np.unique(y[~apart])) >= 2:
+                known, new = x[~apart], x[apart]
                 for pipeline in pipelines:
-                    hits = int((PIPELINES[pipeline](x[~apart], y[~apart])(x[apart]) == y[apart]).sum())
+                    hits = int((PIPELINES[pipeline](known, y[~apart])(new) == y[apart]).sum())
                     out.append((int(key[0]), pipeline, int(held), int(apart.sum()), hits, hits / int(apart.sum())))
         return pd.DataFrame(out, columns=[user, "pipeline", "fold", "n", "correct", "accuracy"])
 
-    return rows.groupBy(user).applyInPandas(fit, f"{user} bigint, pipeline string, fold int, n bigint, correct bigint, accuracy double")
+    return dealt(rows, user).groupBy(user).applyInPandas(fit, f"{user} bigint, pipeline string, fold int, n bigint, correct bigint, accuracy double")
 
 
 def _scores(pipeline: str, x: np.ndarray, y: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

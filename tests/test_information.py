@@ -266,3 +266,22 @@ def test_margins_settle_on_classes_that_overlap():
         a = np.linalg.lstsq(np.c_[x[at], np.ones(at.sum())].T * y[at], left, rcond=None)[0]
         assert np.allclose(np.c_[x[at], np.ones(at.sum())].T @ (a * y[at]), left, atol=1e-4)
         assert all(loss(w, b) <= loss(w + 1e-3 * rng.standard_normal(d), b + 1e-3 * rng.standard_normal()) + 1e-5 for _ in range(50))
+
+
+def test_people_of_small_tables_are_fitted_in_several_tasks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(u, i % 4, i // 2 % 2, rng.standard_normal((3, 16)).tolist()) for u in range(12) for i in range(16)]
+    df = spark.createDataFrame(rows, "s long, f int, y int, signal array<array<double>>")
+    cv = learning.cross_validate(df, "s", "f", "y", ["csp_lda"]).withColumn("task", F.spark_partition_id()).collect()
+    assert len(cv) == 48 and len({r.task for r in cv}) > 1
+
+
+def test_what_is_made_of_each_trial_goes_along_with_its_folds():
+    x, y = _trials(40)
+    whole, rows = learning.Trials(x).made(learning.MOTOR), np.arange(0, 40, 3)
+    part, alone = whole[rows], learning.Trials(x[rows])
+    assert set(part._made) == {"banded", "covariances", "bank", "bank_covariances"}
+    assert np.array_equal(part.covariances, alone.covariances) and np.array_equal(part.mean, alone.mean)
+    assert all(np.array_equal(a, b) for a, b in zip(part.bank, alone.bank))
+    for p in learning.PIPELINES.keys() - {"fbcca"}:
+        assert np.array_equal(learning.PIPELINES[p](part, y[rows])(whole), learning.PIPELINES[p](x[rows], y[rows])(x))
