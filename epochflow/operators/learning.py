@@ -28,21 +28,25 @@ class Lda:
         return self.of_moments(classes, np.array([(y == c).sum() for c in classes]), means, z.T @ z, (z**2).T @ (z**2))
 
     def of_moments(self, classes: np.ndarray, counts: np.ndarray, means: np.ndarray, second: np.ndarray, fourth: np.ndarray) -> Lda:
-        """From counts and means of the classes, and sums of products of centred features and of their squares."""
+        """From counts and means of the classes, and sums of products of centred features and of their squares.
+
+        Leading axes of all but the classes are fits side by side.
+        """
         self.classes, self.means = classes, means
-        n, d = counts.sum(), means.shape[1]
+        n, d = counts.sum(axis=-1)[..., None, None], means.shape[-1]
         s = second / n
-        mu = np.trace(s) / d
-        spread = ((s - mu * np.eye(d)) ** 2).sum()
-        noise = min(spread, (fourth / n - s**2).sum() / n)
-        a = noise / spread if spread > 0 else 1.0
-        self.inverse = np.linalg.pinv((1 - a) * s + a * mu * np.eye(d))
-        self.priors = np.log(counts / n)
+        flat = (np.trace(s, axis1=-2, axis2=-1) / d)[..., None, None] * np.eye(d)
+        total = lambda m: m.sum(axis=(-2, -1), keepdims=True)
+        spread = total((s - flat) ** 2)
+        noise = np.minimum(spread, total(fourth / n - s**2) / n)
+        a = np.where(spread > 0, noise / np.where(spread > 0, spread, 1.0), 1.0)
+        self.inverse = np.linalg.pinv((1 - a) * s + a * flat)
+        self.priors = np.log(counts / n[..., 0])
         return self
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         w = self.means @ self.inverse
-        return self.classes[np.argmax(x @ w.T - 0.5 * (w * self.means).sum(axis=1) + self.priors, axis=1)]
+        return self.classes[np.argmax(x @ np.swapaxes(w, -1, -2) + (self.priors - 0.5 * (w * self.means).sum(axis=-1))[..., None, :], axis=-1)]
 
 
 class Logistic:
@@ -412,32 +416,69 @@ def _distance(places: np.ndarray, held: np.ndarray) -> np.ndarray:
     return np.minimum(np.abs(places - left), np.abs(places - right))
 
 
-def permutation_scores(epochs: DataFrame, user: str, fold: str, label: str, order: str, pipeline: str, rounds: int, per_task: int = 10, signal: str = "signal") -> DataFrame:
+def _csp_lda_hits(t: Trials, f: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hits, n) of each row of labels (rounds, trials; two classes) over all folds: csp_lda, fitted for all rounds side by side."""
+    classes, (count, channels) = np.unique(labels), t.x.shape[:2]
+    covs, x = t.covariances.reshape(count, -1), t.banded - t.banded.mean(axis=-1, keepdims=True)
+    powers = (x @ x.transpose(0, 2, 1) / x.shape[-1]).reshape(count, -1)
+    hits, n = np.zeros((2, len(labels)), dtype=np.int64)
+    # What is held side by side stays within a few dozen MB.
+    most = max(1, 1_000_000 // (4 * count))
+    for start in range(0, len(labels), most):
+        part = labels[start : start + most]
+        for held in np.unique(f):
+            apart = f == held
+            member = np.stack([part[:, ~apart] == c for c in classes], axis=1).astype(np.float64)
+            sizes = member.sum(axis=2)
+            fits = np.flatnonzero((sizes > 0).all(axis=1))
+            if not len(fits):
+                continue
+            member, sizes = member[fits], sizes[fits]
+            mean = (member @ covs[~apart] / sizes[..., None]).reshape(len(fits), 2, channels, channels)
+            w = K.csp(mean[:, 0], mean[:, 1])
+            # A filtered signal's variance is a product of its filter with the trial's powers.
+            v = np.maximum((w[..., :, None] * w[..., None, :]).reshape(len(fits), -1, channels * channels) @ powers.T, 1e-20)
+            z = np.swapaxes(np.log(v / v.sum(axis=1, keepdims=True)), 1, 2)
+            known = z[:, ~apart]
+            means = member @ known / sizes[..., None]
+            known = known - np.swapaxes(member, 1, 2) @ means
+            squares = known**2
+            model = Lda().of_moments(classes, sizes, means, np.swapaxes(known, 1, 2) @ known, np.swapaxes(squares, 1, 2) @ squares)
+            hits[start + fits] += (model.predict(z[:, apart]) == part[fits][:, apart]).sum(axis=1)
+            n[start + fits] += int(apart.sum())
+    return hits, n
+
+
+def permutation_scores(epochs: DataFrame, user: str, fold: str, label: str, order: str, pipeline: str, rounds: int, per_task: int = 250, signal: str = "signal") -> DataFrame:
     """(user, round, accuracy) of `rounds` cross-validations with shuffled labels, and of round 0 with the true ones.
 
-    A task fits `per_task` rounds of one user, so epochs are sent once for those. Shuffles are seeded by user and round
-    over the epochs in `order`; folds with fewer than two classes to learn from are left out.
+    A task fits `per_task` rounds of one user, so epochs are sent once for those; csp_lda of two classes fits them side by
+    side. Shuffles are seeded by user and round over the epochs in `order`; folds with fewer than two classes to learn
+    from are left out.
     """
     rows = epochs.select(user, F.col(fold).alias("_f"), F.col(label).cast("bigint").alias("_y"), F.col(order).alias("_o"), F.col(signal).alias("_x")).where("_y is not null")
     sent = rows.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(rounds // per_task))))
 
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_o")
-        x, f, true = stack(part["_x"]), part["_f"].to_numpy(), part["_y"].to_numpy(dtype=np.int64)
-        out = []
-        for m in range(int(key[1]) * per_task, min((int(key[1]) + 1) * per_task, rounds + 1)):
-            y = np.random.default_rng([int(key[0]), m]).permutation(true) if m else true
-            hits = n = 0
+        t, f, true = Trials(stack(part["_x"])).made([pipeline]), part["_f"].to_numpy(), part["_y"].to_numpy(dtype=np.int64)
+        numbers = range(int(key[1]) * per_task, min((int(key[1]) + 1) * per_task, rounds + 1))
+        labels = np.stack([np.random.default_rng([int(key[0]), m]).permutation(true) if m else true for m in numbers])
+        if pipeline == "csp_lda" and len(np.unique(true)) == 2:
+            hits, n = _csp_lda_hits(t, f, labels)
+        else:
+            hits, n = np.zeros((2, len(labels)), dtype=np.int64)
             for held in np.unique(f):
                 apart = f == held
-                if len(np.unique(y[~apart])) >= 2:
-                    hits += int((PIPELINES[pipeline](x[~apart], y[~apart])(x[apart]) == y[apart]).sum())
-                    n += int(apart.sum())
-            if n:
-                out.append((int(key[0]), m, hits / n))
+                known, new = t[~apart], t[apart]
+                for i, y in enumerate(labels):
+                    if len(np.unique(y[~apart])) >= 2:
+                        hits[i] += int((PIPELINES[pipeline](known, y[~apart])(new) == y[apart]).sum())
+                        n[i] += int(apart.sum())
+        out = [(int(key[0]), m, h / k) for m, h, k in zip(numbers, hits.tolist(), n.tolist()) if k]
         return pd.DataFrame(out, columns=[user, "round", "accuracy"])
 
-    return sent.groupBy(user, "_c").applyInPandas(fit, f"{user} bigint, round int, accuracy double")
+    return dealt(sent, user, "_c").groupBy(user, "_c").applyInPandas(fit, f"{user} bigint, round int, accuracy double")
 
 
 def balanced_folds(df: DataFrame, keys: list[str], group: str, folds: int) -> DataFrame:

@@ -285,3 +285,14 @@ def test_what_is_made_of_each_trial_goes_along_with_its_folds():
     assert all(np.array_equal(a, b) for a, b in zip(part.bank, alone.bank))
     for p in learning.PIPELINES.keys() - {"fbcca"}:
         assert np.array_equal(learning.PIPELINES[p](part, y[rows])(whole), learning.PIPELINES[p](x[rows], y[rows])(x))
+
+
+def test_shuffles_side_by_side_equal_one_fit_each():
+    x, y = _trials(40)
+    fold = np.arange(40) // 4 % 5
+    labels = np.stack([np.random.default_rng(m).permutation(y) for m in range(12)] + [np.where(np.arange(40) == 1, 1, 0)])
+    hits, n = learning._csp_lda_hits(learning.Trials(x), fold, labels)
+    for i, z in enumerate(labels):
+        folds = [f for f in range(5) if len(np.unique(z[fold != f])) == 2]
+        assert n[i] == sum((fold == f).sum() for f in folds)
+        assert hits[i] == sum((learning.csp_lda(x[fold != f], z[fold != f])(x[fold == f]) == z[fold == f]).sum() for f in folds)
