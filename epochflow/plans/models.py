@@ -77,7 +77,7 @@ def d14_mahalanobis(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def d35_permutation_test(spark: SparkSession, sf: str) -> DataFrame:
     """Share of 200 label shuffles (within person) that score as well as the true labels, each learned anew."""
-    by = learning.permutation_scores(_folds(spark, sf), "subject", "fold", "y", "epoch_id", "csp_lda", 200)
+    by = staged(learning.permutation_scores(_folds(spark, sf), "subject", "fold", "y", "epoch_id", "csp_lda", 200), "rounds")  # read for the true labels and for the others
     seen = by.where("round = 0").select("subject", F.col("accuracy").alias("seen"))
     p = (F.count_if(F.col("accuracy") >= F.col("seen")) + 1) / (F.count(F.lit(1)) + 1)
     return by.where("round > 0").join(seen, "subject").groupBy(F.col("subject").alias("person"), "seen").agg(p.alias("p"), F.count(F.lit(1)).alias("shuffles"))
