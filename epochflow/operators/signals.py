@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -12,35 +12,43 @@ from pyspark.sql import functions as F
 from epochflow.functions import kernels as K
 
 
+#: Trials that a kernel takes at once, so that its arrays stay small whatever a batch holds.
+SLICE = 1_000
+
+
 def stack(rows: pd.Series) -> np.ndarray:
     """(rows, channels, samples)."""
     return np.stack([np.stack(r) for r in rows]).astype(np.float64)
 
 
 def batched(kernel: Callable[[np.ndarray], object], returns: str):
-    """A pandas UDF of a kernel that takes (rows, channels, samples); trials of one batch have one shape each."""
+    """A pandas UDF of a kernel that takes (rows, channels, samples); trials of one batch have one shape each.
+
+    It takes a batch, not an iterator of them: Spark runs such functions of one another in one Python worker, and others
+    in a worker each.
+    """
 
     @F.pandas_udf(returns)
-    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for rows in batches:
-            out: list = [None] * len(rows)
-            shapes: dict = {}
-            for i, r in enumerate(rows):
-                if r is not None and len(r):
-                    shapes.setdefault((len(r), len(r[0])), []).append(i)
-            for at in shapes.values():
-                for i, value in zip(at, kernel(stack(rows.iloc[at]))):
+    def udf(rows: pd.Series) -> pd.Series:
+        out: list = [None] * len(rows)
+        shapes: dict = {}
+        for i, r in enumerate(rows):
+            if r is not None and len(r):
+                shapes.setdefault((len(r), len(r[0])), []).append(i)
+        for at in shapes.values():
+            for part in (at[start : start + SLICE] for start in range(0, len(at), SLICE)):
+                for i, value in zip(part, kernel(stack(rows.iloc[part]))):
                     out[i] = value
-            if returns.startswith("struct"):
-                yield pd.DataFrame([v or {} for v in out], columns=[f.split(":")[0] for f in returns[7:-1].split(",")])
-            else:
-                yield pd.Series(out, dtype=object if "array" in returns or returns == "string" else None)
+        if returns.startswith("struct"):
+            return pd.DataFrame([v or {} for v in out], columns=[f.split(":")[0] for f in returns[7:-1].split(",")])
+        return pd.Series(out, dtype=object if "array" in returns or returns == "string" else None)
 
     return udf
 
 
 def as_lists(x: np.ndarray) -> list:
-    return [list(row) for row in x]
+    """Rows as arrays: a number in a list of its own takes four times its bytes."""
+    return list(x)
 
 
 def bandpassed(signal: Column, fs: float, low: float, high: float, order: int = 4) -> Column:

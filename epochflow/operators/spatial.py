@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epochflow.functions import kernels as K
-from epochflow.operators.signals import as_lists, batched, stack
+from epochflow.operators.signals import SLICE, as_lists, batched, stack
 
 
 def long_covariance(epochs: DataFrame, key: str, label: str, signal: str = "signal", shrink: float = 0.05) -> DataFrame:
@@ -41,20 +41,22 @@ def frechet_mean(covariances: DataFrame, column: str = "cov", tolerance: float =
 
     Steps end once one is shorter than the tolerance; a mean that `rounds` of them have not settled is warned of.
     """
-    start = covariances.select(F.posexplode(column).alias("p", "c")).groupBy("p").agg(F.avg("c").alias("c")).orderBy("p").collect()
-    n = int(len(start) ** 0.5)
-    mean = np.array([r["c"] for r in start]).reshape(n, n)
     held = covariances.select(column).persist()
     try:
+        # The first pass makes what is held, so that no task has workers for the covariances and for their logarithms at once.
+        start = held.select(F.posexplode(column).alias("p", "c")).groupBy("p").agg(F.avg("c").alias("c")).orderBy("p").collect()
+        n = int(len(start) ** 0.5)
+        mean = np.array([r["c"] for r in start]).reshape(n, n)
         for _ in range(rounds):
             white = K.matrix_function(mean, lambda w: w**-0.5)
 
             def sums(batches: Iterator[pd.DataFrame], white: np.ndarray = white) -> Iterator[pd.DataFrame]:
                 total, count = np.zeros((n, n)), 0
                 for b in batches:
-                    c = np.stack(b[column]).reshape(-1, n, n)
-                    total += K.matrix_function(white @ c @ white, np.log).sum(axis=0)
-                    count += len(c)
+                    for start in range(0, len(b), SLICE):
+                        c = np.stack(b[column].iloc[start : start + SLICE]).reshape(-1, n, n)
+                        total += K.matrix_function(white @ c @ white, np.log).sum(axis=0)
+                        count += len(c)
                 yield pd.DataFrame({"p": range(n * n), "s": total.ravel(), "k": count})
 
             rows = held.mapInPandas(sums, "p int, s double, k bigint").groupBy("p").agg(F.sum("s").alias("s"), F.sum("k").alias("k")).orderBy("p").collect()
@@ -74,10 +76,11 @@ def frechet_mean(covariances: DataFrame, column: str = "cov", tolerance: float =
 def tangent_features(df: DataFrame, mean: np.ndarray, column: str = "cov", out: str = "features") -> DataFrame:
     n = len(mean)
 
+    # Of batches, so that it runs in the worker of the function that makes the covariances.
     @F.pandas_udf("array<double>")
-    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for rows in batches:
-            yield pd.Series(as_lists(K.tangent(np.stack(rows).reshape(-1, n, n), mean)), dtype=object)
+    def features(rows: pd.Series) -> pd.Series:
+        parts = (rows.iloc[start : start + SLICE] for start in range(0, len(rows), SLICE))
+        return pd.Series([v for part in parts for v in K.tangent(np.stack(part).reshape(-1, n, n), mean)], dtype=object)
 
     return df.withColumn(out, features(F.col(column)))
 
@@ -91,6 +94,36 @@ def csp_features(df: DataFrame, filters: np.ndarray, signal: str = "signal", out
     return df.withColumn(out, batched(lambda x: as_lists(K.log_variance_features(filters, x)), "array<double>")(F.col(signal)))
 
 
+def bank_csp_filters(epochs: DataFrame, label: str, classes: tuple, bands: tuple, m: int = 4, signal: str = "signal", fs: float = 250.0) -> list[np.ndarray]:
+    """csp_filters() of each band of a filter bank: one pass sums the covariances of all bands within tasks."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for b in batches:
+            y = b[label].to_numpy()
+            for start in range(0, len(b), SLICE):
+                x, at = stack(b[signal].iloc[start : start + SLICE]), y[start : start + SLICE]
+                for band, limits in enumerate(bands):
+                    c = K.covariances(K.zero_phase(K.bandpass(4, *limits, fs), x)).reshape(len(x), -1)
+                    for k in classes:
+                        held[band, k] = held.get((band, k), 0) + np.append(c[at == k].sum(axis=0), (at == k).sum())
+        for (band, k), v in held.items():
+            yield pd.DataFrame({"band": band, "k": k, "p": range(len(v)), "v": v})
+
+    rows = epochs.where(F.col(label).isin(*classes)).select(label, signal).mapInPandas(sums, "band int, k bigint, p int, v double")
+    found: dict = {}
+    for r in rows.groupBy("band", "k", "p").agg(F.sum("v").alias("v")).orderBy("band", "k", "p").collect():  # bands x classes x matrices
+        found.setdefault((r["band"], r["k"]), []).append(r["v"])
+    mean = {key: (np.array(v[:-1]) / v[-1]).reshape(int(len(v[:-1]) ** 0.5), -1) for key, v in found.items() if v[-1]}
+    return [K.csp(mean[band, classes[0]], mean[band, classes[1]], m) for band in range(len(bands))]
+
+
+def bank_csp_features(df: DataFrame, filters: list[np.ndarray], bands: tuple, signal: str = "signal", out: str = "features", fs: float = 250.0) -> DataFrame:
+    """Adds the log-variance features of all bands side by side; no band's signals leave the function that makes them."""
+    of = lambda x: np.concatenate([K.log_variance_features(w, K.zero_phase(K.bandpass(4, *limits, fs), x)) for w, limits in zip(filters, bands)], axis=1)
+    return df.withColumn(out, batched(lambda x: as_lists(of(x)), "array<double>")(F.col(signal)))
+
+
 def trca_filters(epochs: DataFrame, label: str, signal: str = "signal", bands: tuple | None = None, fs: float = 250.0, top: float = K.TOP_HZ) -> dict:
     """(filters, templates) of each class with two trials or more, a list of one of each a band; without bands a single pair.
 

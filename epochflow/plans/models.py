@@ -171,10 +171,8 @@ def h10_resample(spark: SparkSession, sf: str) -> DataFrame:
 def h24_filter_bank_features(spark: SparkSession, sf: str) -> DataFrame:
     """Log-variance features of four spatial filters in each of six bands, side by side."""
     e = epochs(spark, sf).where("label in (0, 1)").select("epoch_id", "label", "signal")
-    for i, (low, high) in enumerate(((4.0, 8.0), (8.0, 12.0), (12.0, 16.0), (16.0, 20.0), (20.0, 26.0), (26.0, 32.0))):
-        e = e.withColumn("_b", signals.bandpassed(F.col("signal"), 250.0, low, high)).withColumn("_c", signals.covariance(F.col("_b")))
-        e = spatial.csp_features(e, spatial.csp_filters(e, "label", (0, 1), 4, "_c"), "_b", f"f{i}")
-    return e.select("epoch_id", "label", F.concat(*[f"f{i}" for i in range(6)]).alias("features"))
+    found = spatial.bank_csp_filters(e, "label", (0, 1), K.MOTOR_BANK)
+    return spatial.bank_csp_features(e, found, K.MOTOR_BANK).select("epoch_id", "label", "features")
 
 
 @query()

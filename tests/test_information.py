@@ -296,3 +296,42 @@ def test_shuffles_side_by_side_equal_one_fit_each():
         folds = [f for f in range(5) if len(np.unique(z[fold != f])) == 2]
         assert n[i] == sum((fold == f).sum() for f in folds)
         assert hits[i] == sum((learning.csp_lda(x[fold != f], z[fold != f])(x[fold == f]) == z[fold == f]).sum() for f in folds)
+
+
+def _python_stages(df):
+    """How many functions' workers a task of the plan needs at once."""
+    return df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [")
+
+
+def test_filter_bank_features_need_one_worker_and_equal_a_plain_loop(spark):
+    from epochflow.plans.base import epochs
+    from epochflow.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    df = QUERIES["h24_filter_bank_features"](spark, sf)
+    assert _python_stages(df) == 1
+    rows = epochs(spark, sf).where("label in (0, 1)").orderBy("epoch_id").collect()
+    x, y = np.array([r.signal for r in rows]), np.array([r.label for r in rows])
+    want = []
+    for band in K.MOTOR_BANK:
+        b = K.zero_phase(K.bandpass(4, *band, 250.0), x)
+        c = K.covariances(b)
+        want.append(K.log_variance_features(K.csp(c[y == 0].mean(axis=0), c[y == 1].mean(axis=0)), b))
+    got = [r.features for r in df.orderBy("epoch_id").collect()]
+    assert np.allclose(got, np.concatenate(want, axis=1), atol=1e-8)
+
+
+def test_functions_of_signals_share_a_worker(spark):
+    """Band-pass, covariances and tangent vectors of more trials than a slice, with null among them."""
+    from epochflow.operators import signals, spatial
+
+    x = np.random.default_rng(5).standard_normal((1_200, 3, 16))
+    df = spark.createDataFrame([(i, t.tolist()) for i, t in enumerate(x)], "i int, signal array<array<double>>").coalesce(1)
+    banded = signals.bandpassed(F.col("signal"), 250.0, 8.0, 30.0)
+    mean = K.covariances(K.zero_phase(K.bandpass(4, 8.0, 30.0, 250.0), x)).mean(axis=0)
+    out = spatial.tangent_features(df.select("i", signals.covariance(banded).alias("cov")), mean).select("i", "features")
+    assert _python_stages(out) == 1
+    want = K.tangent(K.covariances(K.zero_phase(K.bandpass(4, 8.0, 30.0, 250.0), x)), mean)
+    assert np.allclose([r.features for r in out.orderBy("i").collect()], want)
+    some = df.withColumn("signal", F.when(F.col("i") % 2 == 0, F.col("signal"))).select("i", signals.covariance(F.col("signal")).alias("c"))
+    assert all((r.c is None) == (r.i % 2 == 1) for r in some.collect())
